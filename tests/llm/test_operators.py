@@ -307,3 +307,109 @@ def test_neighbours(spark, unit):
 def test_crc_matches_zlib(spark):
     got = spark.sql("select crc32('é') c").first().c
     assert got == zlib.crc32("é".encode()) and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def slow_repeats(rows, length):
+    seen, out = set(), []
+    for _, raw in rows:
+        gone = [False] * len(raw)
+        for i in range(len(raw) - length + 1):
+            s = raw[i : i + length]
+            if s in seen:
+                gone[i : i + length] = [True] * length
+            seen.add(s)
+        out.append(gone)
+    return out
+
+
+def test_repeats(spark):
+    from worklens.llm import substrings
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdé ", k=rng.randint(1, 7)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    passages = [make(40) for _ in range(6)] + ["a" * 500, "xy" * 90, "z" * 99, make(25) * 3, "0123456789" * 13]
+    rows = [(None, passages[0]), (None, None)]
+    for i in range(150):
+        parts = [make(rng.randint(0, 30)) + (rng.choice(passages) if rng.random() < 0.6 else "") for _ in range(rng.randint(0, 4))]
+        rows.append((1000 - i, "".join(parts)))
+    rows += [(2000 + i, passages[1] + make(9)) for i in range(40)] + [(7, passages[2]), (7, passages[2]), (8, ""), (9, passages[3][:100]), (10, passages[3][1:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("raw", F.lit(1)).repartition(4)
+    out = substrings.remove_repeats(df, batch_bytes=6000).collect()
+    order = sorted([(-1 if i is None else i, (x or "").encode()) for i, x in rows])
+    want = []
+    for (i, raw), gone in zip(order, slow_repeats(order, 100)):
+        edges = [k for k in range(len(raw) + 1) if (k < len(raw) and gone[k]) != (k > 0 and gone[k - 1])]
+        want.append((i, len(raw), list(zip(edges[::2], edges[1::2])), bytes(b for b, g in zip(raw, gone) if not g)))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, [(s.start, s.stop) for s in r.spans], bytes(r.kept)) for r in out)
+    assert got == sorted(want) and sum(map(len, (w[2] for w in want))) > 100
+    assert substrings.remove_repeats(df.limit(0)).count() == 0
+    whole = {(i, n, tuple(s)) for i, n, s, _ in got}
+    again = substrings.remove_repeats(df, batch_bytes=1 << 20).collect()
+    assert {(-1 if r.doc_id is None else r.doc_id, r.n_bytes, tuple((s.start, s.stop) for s in r.spans)) for r in again} == whole
+
+
+def test_rolling_hash_is_of_content():
+    from worklens.llm import substrings
+
+    raw = np.frombuffer(bytes(random.Random(1).choices(range(256), k=400)) * 2, np.uint8)
+    for n in (1, 3, 32, 100, 101):
+        h = substrings.rolling(raw, n)
+        assert len(h) == 801 - n and (h[: 401 - n] == h[400:]).all() and len(set(h[:400].tolist())) > 390 - (n == 1) * 300
+    x = np.random.default_rng(1).integers(0, 99, 300)
+    for w in (1, 2, 5, 69):
+        assert substrings._sliding(x, w, np.minimum).tolist() == [x[i : i + w].min() for i in range(301 - w)]
+
+
+def test_scores(spark):
+    from worklens.llm import mixing_model
+
+    rng = random.Random(9)
+    syllables = [["the", "on", "er", "ti", "wh", "oud"], ["schl", "ß", "ung", "ein", "ch", "är"]]
+    word = lambda i: "".join(rng.choices(syllables[i % 2], k=rng.choice([1, 1, 2, 2, 3])))
+    rows = [(i, " ".join(word(i).title() if rng.random() < 0.1 else word(i) for _ in range(rng.randint(1, 80))) + rng.choice([".", "!\n", ""])) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1001, ""), (1002, " \n "), (None, "the " * 3000), (1003, "qqqqq" * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(0), "kind": F.concat(F.lit("kind"), F.col("doc_id") % 2)}).repartition(3)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    out = mixing_model.score_texts(df, held, label="kind", batch_bytes=4000).collect()
+    assert len(out) == len(rows)
+    held_out = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows}
+    split = lambda x: re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x or "")) + ["\n"]
+    counts = {}
+    for i, x in rows:
+        for w in split(x) if not held_out[i] else ():
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((str(i), held_out[i], len(split(x)), sum(w in counts for w in split(x)), n, round(sum(np.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in split(x)), 6)) for i, x in rows)
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
+    assert all(r.score < 0 and np.isfinite(r.score) for r in out)
+    better = [r.score > r.base_score for r in out if r.held_out and r.n_tokens > 5]
+    assert np.mean(better) > 0.8
+    assert mixing_model.score_texts(df.limit(0), held).count() == 0
+    assert all(r.score < 0 for r in mixing_model.score_texts(df.limit(5), F.lit(True)).collect())
+
+
+def test_model_is_a_distribution():
+    from worklens.llm import mixing_model as m
+
+    keys = [b"Wthe", b"Wthen", b"B", b"Son", b"Wonon"] * 40
+    table = np.zeros(m.OFFSETS[-1], np.uint16)
+    d = m.decisions(keys)
+    zeros, ones = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
+    for k in range(m.ORDERS):
+        np.add.at(zeros, d.slots[k][d.bits == 0], 1)
+        np.add.at(ones, d.slots[k][d.bits == 1], 1)
+    table = np.stack([m.quantised(zeros), m.quantised(ones)], axis=1).copy().view(np.uint16).ravel()
+    weights, z, o = m.learn_weights(table, keys, np.ones(len(keys), np.int64))
+    plain = 1 / (1 + np.exp(-(np.arange(m.CELLS) - 16) / 2))
+    z, o = z.reshape(m.GATES, m.CELLS), o.reshape(m.GATES, m.CELLS)
+    model = m.Model(table, weights, (o + plain) / (z + o + 1))
+    # the blank and all bytes after "W", as last symbols of their own: their first decisions add up to one
+    alone = [b"W"] + [bytes([87, b]) for b in range(256) if b != 32]
+    d = m.decisions(alone)
+    p = model.ones(d)
+    right = np.where(d.bits == 1, p, 1 - p)
+    first = np.array([right[np.flatnonzero(d.owner == i)[:8]].prod() for i in range(256)])
+    assert abs(first.sum() - 1) < 1e-6
+    scores = model.log10([b"Wthe", b"Wzzz"])
+    assert scores[0] > -2 > scores[1]

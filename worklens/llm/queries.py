@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worklens.llm import common, contamination, language, lines, mixing, neighbours, sharding, simhash, tokens
+from worklens.llm import common, contamination, language, lines, mixing, mixing_model, neighbours, sharding, simhash, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(every: int):
+    """Rows that no model may learn from."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % every == 0
+
+
 #: Where the public tokenizers are; their library gives the place of each.
 TOKENIZER, TOKENIZER_LIBRARY = "piece_bpe_32k.model", "sentencepiece"
 
@@ -50,6 +55,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query("op3_context_mixing_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return mixing_model.score_texts(docs, held_out(10), label="lang").withColumn("bits_per_byte", -F.col("score") * F.log2(F.lit(10.0)) / F.col("n_bytes"))
+
+
+@query("op4_prefix_free_parsing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]), F.lit(0).cast("long"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_ring_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -88,11 +106,6 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def held_out(every: int):
-    """Rows that no model may learn from."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % every == 0
-
-
 @query("op7_language_bitmask_filters")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
