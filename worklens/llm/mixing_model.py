@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z) and read as tokens, words and then one end. A word is
 spelled byte by byte and closed by a blank, the end is a word without bytes; each
 byte is eight binary decisions. For every decision, contexts of several lengths
-(none, the last 1, 2, 3, 4 bytes, the word so far, the word so far after its
+(the last 1, 2, 3, 4 bytes, the word so far, the word so far after its
 predecessor's kind) each point to a hashed slot with counts of zeros and ones.
 Their logits are added with weights gated by the place in the word, the bit and
 each count's confidence; a table indexed by the gate and the sum refines the
@@ -35,21 +35,21 @@ from pyspark.sql import functions as F
 
 from worklens.llm import common
 
-#: log2 of the slots of each context: none, 1, 2, 3, 4 bytes, word so far, that after the predecessor's kind.
-SLOTS = (10, 18, 20, 20, 22, 22, 22)
-ORDERS, WORD = len(SLOTS), 5
+#: log2 of the slots of each context: 1, 2, 3, 4 bytes, word so far, that after the predecessor's kind.
+SLOTS = (16, 18, 20, 21, 21, 21)
+ORDERS, WORD = len(SLOTS), 4
 OFFSETS = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])]).astype(np.int64)
 CONFIDENCE = 12
 #: The gate: first byte or later, the confidence of the word so far, the bit.
 GATES = 2 * CONFIDENCE * 8
 #: Weights to begin with, by order.
-BEGIN = (0.02, 0.02, 0.05, 0.1, 0.15, 0.35, 0.35)
+BEGIN = (0.02, 0.05, 0.1, 0.15, 0.35, 0.35)
 CELLS = 33
 RANGES = 64
 #: Classes of documents at most, the first being all other labels.
 CLASSES = 16
 #: What an expert gives to the spelled probability, and to all documents' share of the token in the rest.
-NOVEL, GENERAL = (0.03, 0.1, 0.35), 0.08
+NOVEL, GENERAL = (0.05, 0.3), 0.08
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWER = np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256).astype(np.uint64)
@@ -118,7 +118,7 @@ def decisions(keys: list[bytes]) -> Decisions:
     spelled = np.where(place < sizes[owner] - 1, _BYTES[symbol] * (_POWER ** (place % 64).astype(np.uint64) + place.astype(np.uint64)), np.uint64(0))
     run = np.cumsum(spelled, dtype=np.uint64) - spelled
     so_far = run - run[starts][owner] + _MIX
-    contexts, recent = [np.zeros(len(flat), np.uint64)], np.zeros(len(flat), np.uint64)
+    contexts, recent = [], np.zeros(len(flat), np.uint64)
     for back in range(1, 5):
         earlier = np.zeros(len(flat), np.uint64)
         earlier[back:] = symbol[:-back] if back < len(flat) else 0
@@ -187,8 +187,8 @@ def learn_weights(table: np.ndarray, keys: list[bytes], counts: np.ndarray, rate
     weights, power = first_weights(), np.full((GATES, ORDERS, CONFIDENCE), 1e-6)
     seen = np.zeros((2, GATES * CELLS))
     order = np.random.default_rng(len(keys)).permutation(len(keys))
-    for at in range(0, len(keys), 200):
-        some = order[at : at + 200]
+    for at in range(0, len(keys), 500):
+        some = order[at : at + 500]
         d = decisions([keys[i] for i in some])
         heavy = np.sqrt(counts[some].astype(float))[d.owner]
         given = []
