@@ -1,28 +1,377 @@
-"""First queries over the witness view of lineitem."""
+"""Queries over the ledger tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
+from worklens.functions import predicates as P
+from worklens.operators import graphs, ledger, usage
 from worklens.plans import register, table
+from worklens.plans.sql import EVENTS, LINEAGE, MEMBERS, POOLS, TASKS, USAGE, WITNESS, with_
+from worklens.sources import bridge
 
 
-@register(
-    "run_gpu_seconds",
-    """
-    SELECT o_custkey AS run_id, count(*) AS n_records,
-           count(*) FILTER (WHERE l_returnflag = 'N') AS n_pass,
-           round(coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'F' AND l_returnflag <> 'R'), 0), 2) AS gpu_seconds
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey
-    """,
-)
+@register("run_gpu_seconds", with_(WITNESS, TASKS) + """
+SELECT run, count(*) AS n_records, count(*) FILTER (WHERE verdict = 'pass') AS n_pass, count(*) FILTER (WHERE verdict = 'failed') AS n_failed,
+       round(coalesce(sum(gpu_seconds) FILTER (WHERE labor_class = 'fresh' AND verdict NOT IN ('preempted')), 0), 2) AS gpu_seconds
+FROM witness JOIN task_rows USING (task) GROUP BY run""")
 def run_gpu_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    canonical = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") != "R")
-    return rows.groupBy(F.col("o_custkey").alias("run_id")).agg(
-        F.count("*").alias("n_records"),
-        F.count_if(F.col("l_returnflag") == "N").alias("n_pass"),
-        F.round(F.sum(F.when(canonical, F.col("l_quantity")).otherwise(0.0)), 2).alias("gpu_seconds"),
-    )
+    """A1, F12, R11. No seq is asked for, so Catalyst drops the bridge's window."""
+    rows = bridge.witness(spark, sf_dir).join(bridge.task_rows(spark, sf_dir).select("task", "run"), "task")
+    counted = F.when(P.canonical_gpu(F.col("verdict"), F.col("labor_class")), F.col("gpu_seconds")).otherwise(0.0)
+    return rows.groupBy("run").agg(F.count("*").alias("n_records"), F.count_if(F.col("verdict") == "pass").alias("n_pass"), F.count_if(F.col("verdict") == "failed").alias("n_failed"), F.round(F.sum(counted), 2).alias("gpu_seconds"))
+
+
+@register("jobs_filter", with_(WITNESS) + """
+SELECT ledger_id, seq, task, verdict FROM witness
+WHERE verdict IN ('pass', 'reused', 'substituted') AND ts >= TIMESTAMP '1999-01-01' AND ts <= TIMESTAMP '2000-01-01' AND lease_epoch = 7""")
+def jobs_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, F13, R12."""
+    rows = bridge.witness(spark, sf_dir)
+    keep = P.passing(F.col("verdict")) & P.within(F.col("ts"), F.to_timestamp(F.lit("1999-01-01")), F.to_timestamp(F.lit("2000-01-01"))) & (F.col("lease_epoch") == 7)
+    return rows.filter(keep).select("ledger_id", "seq", "task", "verdict")
+
+
+@register("lifecycle_filter", with_(EVENTS) + """
+SELECT sequence, task, event FROM lifecycle WHERE event IN ('completed', 'failed') AND pool = 'pool-3' AND ts >= TIMESTAMP '2024-01-10' AND context_tokens > 20""")
+def lifecycle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4, F14."""
+    rows = bridge.lifecycle(spark, sf_dir)
+    keep = P.terminal(F.col("event")) & (F.col("pool") == "pool-3") & P.within(F.col("ts"), F.to_timestamp(F.lit("2024-01-10")), None) & (F.col("context_tokens") > 20)
+    return rows.filter(keep).select("sequence", "task", "event")
+
+
+@register("archived_runs", with_(TASKS) + """
+SELECT run, count(*) FILTER (WHERE run % 5 <> 0) AS shown, count(*) FILTER (WHERE run % 5 = 0) AS hidden FROM task_rows GROUP BY run""")
+def archived_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the latest reader state of a run hides it in broad views; hidden rows are counted."""
+    rows = bridge.task_rows(spark, sf_dir)
+    marks = rows.select("run", F.lit(1).alias("line"), F.lit(True).alias("archived")).union(rows.select("run", F.lit(2), F.col("run") % 5 == 0)).distinct()
+    latest = ledger.argmax(marks, ["run"], "line").select("run", "archived")
+    flagged = rows.join(latest, "run", "left").withColumn("archived", F.coalesce("archived", F.lit(False)))
+    return flagged.groupBy("run").agg(F.count_if(~F.col("archived")).alias("shown"), F.count_if("archived").alias("hidden"))
+
+
+@register("governing_witness", with_(WITNESS, EVENTS) + """,
+last AS (SELECT task, max(attempt) AS last_attempt FROM lifecycle GROUP BY task),
+kept AS (SELECT w.* FROM witness w LEFT JOIN last USING (task) WHERE last_attempt IS NULL OR attempt >= last_attempt)
+SELECT task, seq, attempt, verdict FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY seq DESC) AS n FROM kept) WHERE n = 1""")
+def governing_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3, R1."""
+    last = bridge.lifecycle(spark, sf_dir).groupBy("task").agg(F.max("attempt").alias("last_attempt"))
+    return ledger.governing_witness(last, bridge.witness(spark, sf_dir)).select("task", "seq", "attempt", "verdict")
+
+
+@register("latest_witness", with_(WITNESS) + """
+SELECT task, attempt, lease_epoch, seq FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY attempt DESC, lease_epoch DESC, seq DESC) AS n FROM witness) WHERE n = 1""")
+def latest_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W4, R2."""
+    return ledger.argmax(bridge.witness(spark, sf_dir), ["task"], "attempt", "lease_epoch", "seq").select("task", "attempt", "lease_epoch", "seq")
+
+
+@register("current_lane", with_(WITNESS) + """
+SELECT task, attempt AS current_attempt, max(lease_epoch) AS current_lease FROM witness
+WHERE (task, attempt) IN (SELECT (task, max(attempt)) FROM witness GROUP BY task) GROUP BY task, attempt""")
+def current_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5, R3."""
+    return ledger.current_lane(bridge.witness(spark, sf_dir))
+
+
+@register("journal_state", with_(EVENTS) + """
+SELECT task, arg_max(event, (epoch_us(ts), sequence)) AS state, max(attempt) AS max_attempt, coalesce(array_to_string(list_sort(list(DISTINCT attempt) FILTER (WHERE event = 'failed')), ','), '') AS failed_attempts
+FROM lifecycle GROUP BY task""")
+def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2, R4."""
+    return ledger.journal_state(bridge.lifecycle(spark, sf_dir)).withColumn("failed_attempts", F.array_join("failed_attempts", ","))
+
+
+@register("milestones", with_(EVENTS) + """
+SELECT task, min(ts) FILTER (WHERE event = 'enqueued') AS enqueued_at, min(ts) FILTER (WHERE event = 'started') AS started_at, max(ts) AS last_event_at,
+       arg_max(ts, sequence) FILTER (WHERE event IN ('completed', 'failed')) AS terminal_at, count(*) AS n_events FROM lifecycle GROUP BY task""")
+def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W6, W7."""
+    return ledger.milestones(bridge.lifecycle(spark, sf_dir))
+
+
+@register("jobs_v1", with_(WITNESS, TASKS, EVENTS) + """,
+state AS (SELECT task, arg_max(event, (epoch_us(ts), sequence)) AS journal_state, max(attempt) AS max_attempt FROM lifecycle GROUP BY task),
+last AS (SELECT task, r.state, journal_state, max_attempt FROM task_rows r FULL JOIN state USING (task)),
+kept AS (SELECT w.*, row_number() OVER (PARTITION BY w.task ORDER BY seq DESC) AS n FROM witness w LEFT JOIN last USING (task) WHERE max_attempt IS NULL OR attempt >= max_attempt)
+SELECT task, coalesce(verdict, journal_state, state) AS state, max_attempt, seq AS witness_seq, CASE WHEN seq IS NULL THEN 'queue' ELSE 'witness' END AS scope
+FROM last FULL JOIN (SELECT * FROM kept WHERE n = 1) USING (task)""")
+def jobs_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, F7."""
+    return ledger.jobs_v1(bridge.task_rows(spark, sf_dir), bridge.lifecycle(spark, sf_dir), bridge.witness(spark, sf_dir))
+
+
+@register("echo_collapse", with_(WITNESS, EVENTS) + """,
+terminal AS (SELECT task, attempt FROM lifecycle WHERE event IN ('completed', 'failed') GROUP BY ALL),
+first AS (SELECT *, row_number() OVER (PARTITION BY task, attempt ORDER BY ledger_id, seq) AS n FROM witness)
+SELECT 'journal' AS origin, task, attempt, sequence AS number, ts FROM lifecycle
+UNION ALL SELECT 'witness', f.task, f.attempt, f.seq, f.ts FROM first f LEFT JOIN terminal t ON f.task = t.task AND f.attempt = t.attempt WHERE NOT (n = 1 AND t.task IS NOT NULL)""")
+def echo_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6, W9, U3."""
+    return ledger.echo_collapse(bridge.lifecycle(spark, sf_dir), bridge.witness(spark, sf_dir))
+
+
+@register("dedup_probe", with_(WITNESS) + """,
+hit AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY ts DESC, ledger_id DESC, seq DESC) AS n FROM witness WHERE verdict = 'pass')
+SELECT p_partkey AS dedup_key, task, attempt, task IS NOT NULL AS found FROM part LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON p_partkey = dedup_key""")
+def dedup_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8."""
+    return ledger.dedup_probe(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dedup_key")), bridge.witness(spark, sf_dir))
+
+
+@register("run_members", with_(TASKS, MEMBERS) + """
+SELECT run, count(DISTINCT task) AS n_tasks FROM (SELECT run, task FROM task_rows UNION SELECT run, task FROM membership) GROUP BY run""")
+def run_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U2, R8."""
+    members = ledger.run_members(bridge.task_rows(spark, sf_dir), bridge.membership(spark, sf_dir))
+    return members.groupBy("run").agg(F.count("*").alias("n_tasks"))
+
+
+@register("first_membership", with_(TASKS, MEMBERS) + "SELECT task, arg_min(run, (line, run)) AS run FROM membership GROUP BY task")
+def first_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W17, J36."""
+    return ledger.first_membership(bridge.membership(spark, sf_dir))
+
+
+@register("log_order_page", with_(WITNESS) + """
+SELECT ts, ledger_id, seq, task FROM witness WHERE (ts, ledger_id, seq) > (TIMESTAMP '1999-06-01', 3, 0) ORDER BY ts, ledger_id, seq LIMIT 100""")
+def log_order_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1, O3: the limit is the page."""
+    rows = bridge.witness(spark, sf_dir)
+    after = F.struct("ts", "ledger_id", "seq") > F.struct(F.to_timestamp(F.lit("1999-06-01")).alias("ts"), F.lit(3).cast("long").alias("ledger_id"), F.lit(0).cast("long").alias("seq"))
+    return ledger.page(rows.select("ts", "ledger_id", "seq", "task"), after, [F.col("ts"), F.col("ledger_id"), F.col("seq")])
+
+
+@register("sequence_gaps", with_(EVENTS) + """,
+r AS (SELECT ledger_id, sequence // 16 + sequence % 3 AS seq, sequence AS line FROM lifecycle),
+s AS (SELECT *, lag(seq) OVER (PARTITION BY ledger_id ORDER BY line) AS before, count(*) OVER (PARTITION BY ledger_id, seq) AS copies FROM r),
+g AS (SELECT ledger_id, min(seq + 1) AS first_gap FROM (SELECT ledger_id, seq, lead(seq) OVER (PARTITION BY ledger_id ORDER BY seq) AS next FROM (SELECT DISTINCT ledger_id, seq FROM r)) WHERE next > seq + 1 GROUP BY ledger_id)
+SELECT *, out_of_order = 0 AND repeated = 0 AND first_gap IS NULL AS ok FROM (
+  SELECT ledger_id, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, count(*) FILTER (WHERE seq < before) AS out_of_order, count(*) FILTER (WHERE copies > 1) AS repeated FROM s GROUP BY ledger_id) LEFT JOIN g USING (ledger_id)""")
+def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W12, W13, A23."""
+    rows = bridge.lifecycle(spark, sf_dir)
+    return ledger.sequence_gaps(rows.select("ledger_id", (F.floor(F.col("sequence") / 16) + F.col("sequence") % 3).alias("seq"), F.col("sequence").alias("line")))
+
+
+@register("compare_ledgers", with_(WITNESS) + """,
+a AS (SELECT task, attempt, max(seq) AS seq, count(*) AS n FROM witness WHERE task % 10 <> 3 GROUP BY ALL),
+b AS (SELECT task, attempt, max(seq) AS seq, count(*) FILTER (WHERE lease_epoch <> 5) AS n FROM witness WHERE task % 10 <> 4 GROUP BY ALL)
+SELECT coalesce(a.task, b.task) AS task, coalesce(a.attempt, b.attempt) AS attempt,
+       CASE WHEN b.task IS NULL THEN 'missing' WHEN a.task IS NULL THEN 'orphan' WHEN a.n <> b.n THEN 'differs' ELSE 'agrees' END AS status,
+       CASE WHEN a.task IS NOT NULL AND b.task IS NOT NULL THEN CASE WHEN a.n <> b.n THEN 'n' ELSE '' END END AS fields
+FROM a FULL JOIN b ON a.task = b.task AND a.attempt = b.attempt""")
+def compare_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7, U5, J27."""
+    rows = bridge.witness(spark, sf_dir)
+    ours = rows.filter("task % 10 <> 3").groupBy("task", "attempt").agg(F.max("seq").alias("seq"), F.count("*").alias("n"))
+    theirs = rows.filter("task % 10 <> 4").groupBy("task", "attempt").agg(F.max("seq").alias("seq"), F.count_if(F.col("lease_epoch") != 5).alias("n"))
+    return ledger.compare_ledgers(ours, theirs, ["task", "attempt"], ["seq", "n"])
+
+
+_LAST = """,
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task, attempt ORDER BY seq DESC, ledger_id DESC) AS n FROM attestations) WHERE n = 1)
+"""
+
+
+@register("usage_rollup", with_(WITNESS, USAGE, TASKS) + _LAST + """
+SELECT run, count(*) AS attempts, sum(input_tokens)::BIGINT AS input_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens, sum(cache_write_tokens)::BIGINT AS cache_write_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+       count(input_tokens) AS n_input_tokens, count(cache_read_tokens) AS n_cache_read_tokens, count(cache_write_tokens) AS n_cache_write_tokens, count(output_tokens) AS n_output_tokens,
+       sum(input_tokens + cache_write_tokens)::BIGINT AS fresh_input, count(input_tokens + cache_write_tokens) AS n_fresh_input,
+       sum(CASE WHEN known THEN coalesce(declared_total, coalesce(input_tokens, 0) + coalesce(cache_read_tokens, 0) + coalesce(cache_write_tokens, 0) + coalesce(output_tokens, 0)) END)::BIGINT AS total_tokens,
+       CASE WHEN bool_or(declared_total IS NOT NULL) AND bool_or(declared_total IS NULL AND known) THEN 'mixed' WHEN bool_or(declared_total IS NOT NULL) THEN 'harness' WHEN bool_or(declared_total IS NULL AND known) THEN 'derived' END AS total_source,
+       round(sum(cost) FILTER (WHERE currency = 'USD'), 6) AS cost_usd, count(*) FILTER (WHERE currency <> 'USD') AS n_other_currency
+FROM (SELECT *, declared_total IS NOT NULL OR coalesce(input_tokens, cache_read_tokens, cache_write_tokens, output_tokens) IS NOT NULL AS known FROM last) JOIN task_rows USING (task) GROUP BY run""")
+def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 to A5, W15, R5, R14."""
+    last = usage.last_attestation(bridge.attestations(spark, sf_dir))
+    return usage.roll_up(last.join(bridge.task_rows(spark, sf_dir).select("task", "run"), "task"), "run")
+
+
+@register("field_coverage", with_(WITNESS, USAGE, TASKS) + """,
+long AS (UNPIVOT (SELECT run, coalesce(input_tokens, -1) AS input_tokens, coalesce(cache_read_tokens, -1) AS cache_read_tokens, coalesce(cache_write_tokens, -1) AS cache_write_tokens, coalesce(output_tokens, -1) AS output_tokens
+                  FROM attestations JOIN task_rows USING (task)) ON input_tokens, cache_read_tokens, cache_write_tokens, output_tokens INTO NAME field VALUE v)
+SELECT run, field, count(*) FILTER (WHERE v >= 0) AS reported, count(*) FILTER (WHERE v < 0) AS unreported FROM long GROUP BY run, field""")
+def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6, A10."""
+    rows = bridge.attestations(spark, sf_dir).join(bridge.task_rows(spark, sf_dir).select("task", "run"), "task")
+    return usage.field_coverage(rows, "run")
+
+
+@register("missing_attempts", with_(WITNESS) + """,
+top AS (SELECT task, max(attempt) AS top FROM witness GROUP BY task),
+gone AS (SELECT task, a FROM (SELECT task, unnest(range(1, top + 1)) AS a FROM top) ANTI JOIN (SELECT DISTINCT task, attempt AS a FROM witness) USING (task, a))
+SELECT task, count(*) AS n_missing, string_agg(a::VARCHAR, ',' ORDER BY a) AS missing FROM gone GROUP BY task""")
+def missing_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7, A8, X5."""
+    return usage.missing_attempts(bridge.witness(spark, sf_dir))
+
+
+@register("usage_deltas", with_(WITNESS, USAGE) + """,
+p AS (SELECT *, lag(input_tokens) OVER (PARTITION BY session ORDER BY ledger_id, seq) AS previous FROM attestations),
+r AS (SELECT *, CASE WHEN input_tokens IS NULL THEN 'unreported' WHEN previous IS NULL THEN 'no-predecessor' WHEN input_tokens < previous THEN 'underflow' ELSE 'exact' END AS reason FROM p)
+SELECT session, ledger_id, seq, reason, CASE WHEN reason = 'exact' THEN input_tokens - previous END AS delta FROM r""")
+def usage_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J20, J21, H17."""
+    return usage.deltas(bridge.attestations(spark, sf_dir))
+
+
+@register("trailing_debit", with_(EVENTS) + """
+SELECT pool, sequence, round(sum(gpu_seconds) OVER (PARTITION BY pool ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), 4) AS in_window FROM lifecycle""")
+def trailing_debit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W19, A26."""
+    return usage.trailing_debit(bridge.lifecycle(spark, sf_dir), "1 hour")
+
+
+@register("first_grants", with_(EVENTS) + """
+SELECT task, attempt, sequence, pool, gpu_seconds, ts FROM (SELECT *, row_number() OVER (PARTITION BY task, attempt ORDER BY sequence) AS n FROM lifecycle) WHERE n = 1""")
+def first_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W14."""
+    return usage.first_grants(bridge.lifecycle(spark, sf_dir))
+
+
+@register("pool_headroom", with_(EVENTS, POOLS) + """,
+held AS (SELECT pool, count(*) AS held, sum(gpu_seconds) AS used FROM lifecycle WHERE event = 'started' GROUP BY pool),
+t AS (SELECT pool, capacity, coalesce(held, 0) AS held, round(coalesce(used, 0), 4) AS used FROM pools LEFT JOIN held USING (pool)),
+p AS (SELECT *, floor(used * 100 / capacity)::BIGINT AS percent FROM t)
+SELECT *, CASE WHEN percent >= 90 THEN 'STOP' WHEN percent >= 70 THEN 'SLOW' ELSE 'GO' END AS allows FROM p""")
+def pool_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A27, A28, H25."""
+    return usage.pool_headroom(bridge.lifecycle(spark, sf_dir).filter("event = 'started'"), bridge.pools(spark, sf_dir), P.headroom)
+
+
+@register("fair_interleave", with_(TASKS) + """
+SELECT task, run, priority, row_number() OVER (PARTITION BY priority, run ORDER BY created, task) AS nth,
+       first_value(task) OVER (PARTITION BY priority, run ORDER BY created, task) AS oldest FROM task_rows""")
+def fair_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W20."""
+    return usage.interleaved(bridge.task_rows(spark, sf_dir), "run").select("task", "run", "priority", "nth", "oldest")
+
+
+@register("lineage_heads", with_(LINEAGE, """walk AS (
+  SELECT run, successor AS head, 1 AS steps FROM lineage UNION ALL SELECT w.run, l.successor, steps + 1 FROM walk w JOIN lineage l ON w.head = l.run)""", recursive=True) + """
+SELECT run, arg_max(head, steps) AS head, max(steps) AS steps FROM walk GROUP BY run""")
+def lineage_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J15."""
+    return graphs.heads(bridge.lineage(spark, sf_dir))
+
+
+@register("lineage_conflicts", with_(TASKS) + """,
+e AS (SELECT DISTINCT run % 500 AS run, priority * 100 + run % 100 AS successor FROM task_rows)
+SELECT run, 'second-successor' AS problem FROM e GROUP BY run HAVING count(*) > 1
+UNION ALL SELECT successor, 'second-predecessor' FROM e GROUP BY successor HAVING count(*) > 1
+UNION ALL SELECT run, 'self-edge' FROM e WHERE run = successor""")
+def lineage_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J16."""
+    edges = bridge.task_rows(spark, sf_dir).select((F.col("run") % 500).alias("run"), (F.col("priority") * 100 + F.col("run") % 100).alias("successor")).distinct()
+    return graphs.conflicts(edges)
+
+
+@register("blocked_roots", with_(LINEAGE, """needs AS (SELECT successor AS task, run AS needs FROM lineage)""", """
+closure AS (SELECT task, needs AS root FROM needs WHERE needs % 9 = 0 UNION SELECT n.task, c.root FROM needs n JOIN closure c ON n.needs = c.task)""", recursive=True) + "SELECT task, root FROM closure")
+def blocked_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A32, A33, J17."""
+    edges = bridge.lineage(spark, sf_dir).select(F.col("successor").alias("task"), F.col("run").alias("needs"))
+    return graphs.blocked_by(edges, edges.filter("needs % 9 = 0").select(F.col("needs").alias("task")).distinct())
+
+
+@register("standup_digest", with_(WITNESS, TASKS) + """,
+v AS (SELECT task, arg_max(verdict, (seq, ledger_id)) AS verdict, sum(gpu_seconds) FILTER (WHERE labor_class = 'fresh' AND verdict <> 'preempted') AS gpu FROM witness GROUP BY task)
+SELECT priority, count(*) FILTER (WHERE verdict = 'pass') AS completed, count(*) FILTER (WHERE verdict = 'failed') AS gate_fails, count(*) FILTER (WHERE verdict = 'preempted') AS cancelled,
+       count(*) FILTER (WHERE verdict IS NULL) AS in_flight, round(coalesce(sum(gpu), 0), 2) AS gpu_seconds FROM task_rows LEFT JOIN v USING (task) GROUP BY priority""")
+def standup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12."""
+    gpu = F.when(P.canonical_gpu(F.col("verdict"), F.col("labor_class")), F.col("gpu_seconds"))
+    verdicts = bridge.witness(spark, sf_dir).groupBy("task").agg(F.max_by("verdict", F.struct("seq", "ledger_id")).alias("verdict"), F.sum(gpu).alias("gpu"))
+    rows = bridge.task_rows(spark, sf_dir).join(verdicts, "task", "left")
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    return rows.groupBy("priority").agg(n("pass").alias("completed"), n("failed").alias("gate_fails"), n("preempted").alias("cancelled"), F.count_if(F.col("verdict").isNull()).alias("in_flight"), F.round(F.coalesce(F.sum("gpu"), F.lit(0.0)), 2).alias("gpu_seconds"))
+
+
+@register("run_state", with_(WITNESS, TASKS) + """,
+v AS (SELECT task, arg_max(verdict, (seq, ledger_id)) AS verdict FROM witness GROUP BY task),
+s AS (SELECT run, CASE WHEN verdict = 'pass' THEN 'done' WHEN verdict = 'failed' THEN 'blocked' WHEN state = 'recurring' THEN 'running' ELSE 'pending' END AS status FROM task_rows LEFT JOIN v USING (task)),
+c AS (SELECT run, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'blocked') AS blocked, count(*) FILTER (WHERE status = 'pending') AS pending FROM s GROUP BY run)
+SELECT *, CASE WHEN running > 0 THEN 'running' WHEN blocked > 0 THEN 'needs-attention' WHEN pending = 0 THEN 'complete' WHEN done > 0 THEN 'advanced' ELSE 'idle' END AS state FROM c""")
+def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the cases is the rule."""
+    verdicts = bridge.witness(spark, sf_dir).groupBy("task").agg(F.max_by("verdict", F.struct("seq", "ledger_id")).alias("verdict"))
+    rows = bridge.task_rows(spark, sf_dir).join(verdicts, "task", "left")
+    status = F.when(F.col("verdict") == "pass", "done").when(F.col("verdict") == "failed", "blocked").when(F.col("state") == "recurring", "running").otherwise("pending")
+    counts = rows.withColumn("status", status).groupBy("run").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("done", "running", "blocked", "pending")])
+    return counts.withColumn("state", F.when(F.col("running") > 0, "running").when(F.col("blocked") > 0, "needs-attention").when(F.col("pending") == 0, "complete").when(F.col("done") > 0, "advanced").otherwise("idle"))
+
+
+@register("lane_evidence", with_(WITNESS) + """
+SELECT task, attempt, lease_epoch, CASE WHEN bool_or(verdict = 'failed') THEN 'fail' WHEN bool_or(verdict = 'pass') THEN 'pass' ELSE 'none' END AS evidence, count(*) AS n FROM witness GROUP BY ALL""")
+def lane_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A21, A22, R16."""
+    seen = lambda v: F.max(F.col("verdict") == v)
+    return bridge.witness(spark, sf_dir).groupBy(*ledger.LANE).agg(F.when(seen("failed"), "fail").when(seen("pass"), "pass").otherwise("none").alias("evidence"), F.count("*").alias("n"))
+
+
+@register("gate_budget", with_(WITNESS, TASKS) + """
+SELECT priority, CASE WHEN max(gpu_seconds) IS NULL THEN 3600 ELSE greatest(60, floor(max(gpu_seconds) * 2)) END::DOUBLE AS budget FROM task_rows LEFT JOIN witness USING (task) GROUP BY priority""")
+def gate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A25."""
+    rows = bridge.task_rows(spark, sf_dir).select("task", "priority").join(bridge.witness(spark, sf_dir).select("task", "gpu_seconds"), "task", "left")
+    most = F.max("gpu_seconds")
+    return rows.groupBy("priority").agg(F.when(most.isNull(), F.lit(3600.0)).otherwise(F.greatest(F.lit(60.0), F.floor(most * 2).cast("double"))).alias("budget"))
+
+
+@register("secret_lines", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+f AS (SELECT doc_id, regexp_matches(lower(line), '(token|secret|password|api_key|apikey)[ \t]*[:=]') AS marked,
+             len(list_filter(regexp_extract_all(line, '[A-Za-z0-9_]{32,}'), lambda r: NOT regexp_full_match(r, '[0-9a-f]{40}|[0-9a-f]{64}'))) > 0 AS shaped FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE marked) AS marked, count(*) FILTER (WHERE shaped) AS shaped, count(*) FILTER (WHERE marked OR shaped) AS redacted FROM f GROUP BY doc_id""")
+def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted in the row's own array, without exploding lines."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    n = lambda f: F.size(F.filter(lines, f)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), n(lambda x: P.marked_secret(x)).alias("marked"), n(lambda x: P.token_shaped(x)).alias("shaped"), n(lambda x: P.marked_secret(x) | P.token_shaped(x)).alias("redacted"))
+
+
+@register("event_windows", with_(EVENTS) + """
+SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event, pool, count(*) AS n, round(sum(gpu_seconds), 4) AS gpu_seconds FROM lifecycle GROUP BY ALL""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T15, as a batch."""
+    rows = bridge.lifecycle(spark, sf_dir)
+    return rows.groupBy(F.window("ts", "1 hour").alias("w"), "event", "pool").agg(F.count("*").alias("n"), F.round(F.sum("gpu_seconds"), 4).alias("gpu_seconds")).select(F.col("w.start").alias("start"), "event", "pool", "n", "gpu_seconds")
+
+
+@register("retention_plan", with_(EVENTS) + """
+SELECT ledger_id, count(*) AS examined, min(sequence) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') AS boundary,
+       count(*) FILTER (WHERE sequence < b) AS dropped, count(*) FILTER (WHERE sequence >= b) AS kept
+FROM (SELECT *, min(sequence) FILTER (WHERE ts >= TIMESTAMP '2024-01-15') OVER (PARTITION BY ledger_id) AS b FROM lifecycle) GROUP BY ledger_id""")
+def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix goes, from the first record inside the horizon on everything stays."""
+    rows = bridge.lifecycle(spark, sf_dir)
+    first = F.min(F.when(F.col("ts") >= F.to_timestamp(F.lit("2024-01-15")), F.col("sequence")))
+    bounds = rows.groupBy("ledger_id").agg(first.alias("boundary"))
+    return rows.join(bounds, "ledger_id").groupBy("ledger_id", "boundary").agg(F.count("*").alias("examined"), F.count_if(F.col("sequence") < F.col("boundary")).alias("dropped"), F.count_if(F.col("sequence") >= F.col("boundary")).alias("kept"))
+
+
+@register("execution_ids", with_(WITNESS) + """
+SELECT DISTINCT task, attempt, lease_epoch, sha256('{"taskUuid":' || task || ',"attempt":' || attempt || ',"leaseEpoch":' || lease_epoch || '}') AS execution_id FROM witness""")
+def execution_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H8, H9, H10."""
+    lanes = bridge.witness(spark, sf_dir).select(*ledger.LANE).distinct()
+    return lanes.withColumn("execution_id", P.execution_id(F.col("task"), F.col("attempt"), F.col("lease_epoch")))
+
+
+@register("url_slugs", """
+SELECT page_id, regexp_replace(left(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 48), '-+$', '', 'g') AS slug FROM pages""")
+def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H11."""
+    return table(spark, sf_dir, "pages").select("page_id", P.slug(F.col("url")).alias("slug"))
+
+
+@register("clipped_turns", """
+SELECT conv_id, turn, CASE WHEN length(f) > 80 THEN left(f, 77) || '...' ELSE f END AS shown FROM (SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS f FROM conversations)""")
+def clipped_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H13."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", P.clipped(F.col("text"), 80).alias("shown"))
