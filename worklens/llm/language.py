@@ -95,15 +95,19 @@ def places(grams: np.ndarray, hashes: int, size: int) -> Iterator[np.ndarray]:
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n: int = 4, per_language: int = 1000, share: float = 0.02, bits: int = 1 << 19, hashes: int = 3) -> Filters:
     """Filters from labelled rows (null text or lang: passed over).
 
-    Bounded sample: the per_language rows of each language whose text hashes
-    lowest, whole texts. An n-gram belongs to a language if at least `share` of
+    Bounded sample: of each language the per_language distinct texts with the
+    lowest hashes (fewer, if its rows are mostly copies), whole texts. An n-gram belongs to a language if at least `share` of
     its sampled rows hold it. Slots are combined on the executors; the driver
     gets at most `bits` masks.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    lowest = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = rows.withColumn("rank", F.row_number().over(lowest)).filter(F.col("rank") <= per_language).select("lang", "text")
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
+    # about twice as many as needed pass, and copies meet before they shuffle
+    sizes = rows.groupBy("lang").agg((2.0 * per_language * (1 << 31) / F.count("*")).alias("below"))
+    few = rows.join(sizes, "lang").filter(F.col("hash") < F.col("below")).select("lang", "hash", "text").dropDuplicates(["lang", "hash"])
+    lowest = Window.partitionBy("lang").orderBy("hash")
+    sample = few.withColumn("rank", F.row_number().over(lowest)).filter(F.col("rank") <= per_language).select("lang", "text")
     sample = common.staged(sample, "language-sample")
     languages = [x[0] for x in sample.select("lang").distinct().orderBy("lang").collect()]  # as many as there are languages
     planes = max(1, -(-len(languages) // 64))
