@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from worklens.llm import common
 
 
+#: Parts of the rows that share a frequent line.
+SALTS = 32
+
+
 def line_key(line: Column) -> Column:
     """The line without blanks at its ends, A-Z in lower case."""
     return common.ascii_lower(F.btrim(line, F.lit(common.BLANKS)))
@@ -38,7 +42,9 @@ def drop_common_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     pairs = common.staged(pairs, "line-digests")
     frequent = pairs.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("line")
     # rows that repeat whole share their key, so their digests come several times
-    lost = pairs.join(frequent, "line").groupBy("row").agg(F.collect_set("line").alias("__lost"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))  # rows of a hot line meet its copies in several tasks
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(frequent.withColumn("salt", parts), ["line", "salt"])
+    lost = salted.groupBy("row").agg(F.collect_set("line").alias("__lost"))
     out = docs.withColumn("__row", row_key).join(lost.withColumnRenamed("row", "__row"), "__row", "left")
     lines = F.split(body, "\n")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__lost"), _digest(line_key(x))), F.lit(False)) | (F.length(line_key(x)) < min_chars))
