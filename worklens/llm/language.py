@@ -103,9 +103,9 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n: int = 4
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
-    # about twice as many as needed pass, and copies meet before they shuffle
+    # one row a language; about twice as many rows as needed pass, and copies meet before they shuffle
     sizes = rows.groupBy("lang").agg((2.0 * per_language * (1 << 31) / F.count("*")).alias("below"))
-    few = rows.join(sizes, "lang").filter(F.col("hash") < F.col("below")).select("lang", "hash", "text").dropDuplicates(["lang", "hash"])
+    few = rows.join(F.broadcast(sizes), "lang").filter(F.col("hash") < F.col("below")).select("lang", "hash", "text").dropDuplicates(["lang", "hash"])
     lowest = Window.partitionBy("lang").orderBy("hash")
     sample = few.withColumn("rank", F.row_number().over(lowest)).filter(F.col("rank") <= per_language).select("lang", "text")
     sample = common.staged(sample, "language-sample")
