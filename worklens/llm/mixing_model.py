@@ -69,9 +69,10 @@ KINDS, START = _kinds(), b"B"
 def pairs(raw: bytes) -> list[bytes]:
     """For each token the kind of the one before it, then its bytes."""
     words = raw.lower().split()
-    words.append(b"")
-    before = [START, *[KINDS[w[-1]] for w in words[:-1]]]
-    return [k + w for k, w in zip(before, words)]
+    if not words:
+        return [START]
+    kinds = KINDS
+    return [START + words[0], *[kinds[a[-1]] + b for a, b in zip(words, words[1:])], kinds[words[-1][-1]]]
 
 
 _CODE = np.minimum(255, np.round(8 * np.log2(1 + np.arange(1 << 16)))).astype(np.uint8)
@@ -92,6 +93,9 @@ def _evidence(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 #: By a slot's two bytes, zeros first.
 _LOGIT, _CLASS = (x.astype(k).reshape(-1) for x, k in zip(_evidence(_COUNT[None, :], _COUNT[:, None]), (np.float32, np.int64)))
+#: The same without one occurrence of a zero, then without one of a one.
+_LEFT = [_evidence(np.maximum(0, _COUNT[None, :] - (bit == 0)), np.maximum(0, _COUNT[:, None] - (bit == 1))) for bit in (0, 1)]
+_LEFT_LOGIT, _LEFT_CLASS = (np.concatenate([_LEFT[bit][i].reshape(-1) for bit in (0, 1)]) for i in (0, 1))
 
 
 @dataclass
@@ -193,9 +197,8 @@ def learn_weights(table: np.ndarray, keys: list[bytes], counts: np.ndarray, rate
         heavy = np.sqrt(counts[some].astype(float))[d.owner]
         given = []
         for k in range(ORDERS):
-            found = table[d.slots[k]]
-            # without this occurrence
-            given.append(_evidence(np.maximum(0, _COUNT[found & 255] - (d.bits == 0)), np.maximum(0, _COUNT[found >> 8] - (d.bits == 1))))
+            found = table[d.slots[k]].astype(np.int64) + (d.bits.astype(np.int64) << 16)
+            given.append((_LEFT_LOGIT[found], _LEFT_CLASS[found]))
         gates = gate(d, given[WORD][1])
         places = [(gates * ORDERS + k) * CONFIDENCE + sure for k, (_, sure) in enumerate(given)]
         total = sum(weights.ravel()[where] * logit for where, (logit, _) in zip(places, given))
@@ -272,8 +275,9 @@ def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id
             keys.update(pairs(x)) if out else counts[c].update(pairs(x))
         keys = sorted(keys.union(*counts))
         numbers = np.zeros((len(keys), classes), np.int64)
+        place = {k: i for i, k in enumerate(keys)}
         for c, mine in enumerate(counts):
-            numbers[:, c] = np.fromiter((mine.get(k, 0) for k in keys), np.int64, len(keys))
+            numbers[np.fromiter(map(place.__getitem__, mine), np.int64, len(mine)), c] = np.fromiter(mine.values(), np.int64, len(mine))
         batch = table["batch"][0].as_py()
         return _table(ASKED, [(s, batch, _pack(b" ".join([keys[i] for i in at.tolist()])), _pack(numbers[at].tobytes())) for s, at in _shares(keys, n)])
 
