@@ -39,6 +39,16 @@ def within(at: Column, since: Column | None, until: Column | None) -> Column:
     return out
 
 
+def in_pool(pools: Column, name: str) -> Column:
+    """any of the pools has this name; no pools match nothing."""
+    return F.coalesce(F.array_contains(pools, name), F.lit(False))
+
+
+def from_origin(source: Column, producer: Column, name: str) -> Column:
+    """source or producer name; null matches nothing."""
+    return F.coalesce(source == name, F.lit(False)) | F.coalesce(producer == name, F.lit(False))
+
+
 def duration_seconds(text: Column) -> Column:
     """H3: `2h 30min` and the like to seconds; null if there is no number with a unit."""
     units = {"s": 1.0, "sec": 1.0, "min": 60.0, "m": 60.0, "h": 3600.0, "d": 86400.0, "day": 86400.0, "days": 86400.0, "w": 604800.0, "week": 604800.0, "month": 2629800.0, "year": 31557600.0}

@@ -7,7 +7,7 @@ import importlib
 from worklens import plans
 
 #: Modules of worklens.plans that register queries when imported.
-MODULES = ["ledger", "chains"]
+MODULES = ["ledger", "chains", "summary", "proofs", "upkeep"]
 
 
 def _load() -> None:

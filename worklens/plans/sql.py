@@ -29,6 +29,12 @@ LINEAGE = """lineage AS (
   WHERE successor IS NOT NULL AND n % 8 <> 0)"""
 POOLS = """pools AS (SELECT 'pool-' || s_suppkey AS pool, (s_suppkey * 500 + 1000)::DOUBLE AS capacity FROM supplier WHERE s_suppkey < 7)"""
 
+LIVE = """live AS (
+  SELECT task, attempt, event AS state FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY sequence DESC) AS n FROM lifecycle) WHERE n = 1 AND event IN ('started', 'heartbeat'))"""
+PARENTS = """parents AS (
+  SELECT task, parent FROM (SELECT task, lag(task) OVER (PARTITION BY run ORDER BY created, task) AS parent FROM task_rows) WHERE parent IS NOT NULL)"""
+PATHS = """paths AS (SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages) WHERE path <> '')"""
+
 
 def with_(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(parts) + "\n"

@@ -80,3 +80,21 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < 7).select(F.concat(F.lit("pool-"), F.col("s_suppkey")).alias("pool"), (F.col("s_suppkey") * 500 + 1000).cast("double").alias("capacity"))
+
+
+def live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks whose last record says that they run; a stand-in for a host's snapshot."""
+    last = lifecycle(spark, sf_dir).groupBy("task").agg(F.max_by(F.struct("attempt", "event"), "sequence").alias("x"))
+    return last.select("task", "x.attempt", F.col("x.event").alias("state")).filter(F.col("state").isin("started", "heartbeat"))
+
+
+def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task, parent): the task before it in its run."""
+    before = F.lag("task").over(Window.partitionBy("run").orderBy("created", "task"))
+    return task_rows(spark, sf_dir).select("task", before.alias("parent")).filter("parent IS NOT NULL")
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, path): the path part of each page's address."""
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1)
+    return _table(spark, sf_dir, "pages").select("page_id", path.alias("path")).filter("path <> ''")
