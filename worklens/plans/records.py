@@ -45,7 +45,7 @@ def fresh_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("broken_records", with_(WITNESS) + """
 SELECT ledger_id, seq, concat_ws(',', CASE WHEN NOT coalesce(verdict IN ('pass', 'failed'), FALSE) THEN 'verdict' END, CASE WHEN NOT lease_epoch > 0 THEN 'lease' END, CASE WHEN NOT gpu_seconds <= 40 THEN 'gpu' END) AS broken FROM witness""")
 def broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F17, F19, F20, S9, S11."""
+    """The builder of rules, with three of them."""
     rules = {"verdict": F.col("verdict").isin("pass", "failed"), "lease": F.col("lease_epoch") > 0, "gpu": F.col("gpu_seconds") <= 40}
     return records.broken_rules(bridge.witness(spark, sf_dir), rules).select("ledger_id", "seq", F.array_join("broken", ",").alias("broken"))
 
@@ -70,7 +70,7 @@ r AS (SELECT ledger_id, sequence AS line, sequence // 16 AS sequence FROM lifecy
 e AS (SELECT *, coalesce(lag(sequence) OVER (PARTITION BY ledger_id ORDER BY line) + 1, sequence) AS expected FROM r)
 SELECT ledger_id, line, sequence, expected, sequence = expected AS ok FROM e""")
 def sequence_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3, S5."""
+    """S3."""
     return records.sequence_checks(bridge.lifecycle(spark, sf_dir).select("ledger_id", F.col("sequence").alias("line"), F.floor(F.col("sequence") / 16).alias("sequence")))
 
 
