@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COMPONENTS = ["input_tokens", "cache_read_tokens", "cache_write_tokens", "output_tokens"]
-#: Sums stop at the largest 64-bit number.
-MOST = "18446744073709551615"
+#: Sums stop at the largest number that their column, a signed long, holds.
+MOST = "9223372036854775807"
 
 
 def last_attestation(rows: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def roll_up(rows: DataFrame, key: str) -> DataFrame:
     total = F.coalesce(F.col("declared_total"), sum(F.coalesce(F.col(c), F.lit(0)) for c in COMPONENTS))
     known = F.col("declared_total").isNotNull() | F.greatest(*[F.col(c) for c in COMPONENTS]).isNotNull()
     fresh = F.col("input_tokens") + F.col("cache_write_tokens")
-    sums = [F.least(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(MOST).cast("decimal(38,0)")).cast("long").alias(c) for c in COMPONENTS]
+    whole = {c: F.sum(F.col(c).cast("decimal(38,0)")) for c in COMPONENTS}
+    sums = [F.when(s.isNotNull(), F.least(s, F.lit(MOST).cast("decimal(38,0)"))).cast("long").alias(c) for c, s in whole.items()]  # least passes nulls over
     counts = [F.count(c).alias(f"n_{c}") for c in COMPONENTS]
     usd = F.col("currency") == "USD"
     declared, derived = F.max(F.col("declared_total").isNotNull()), F.max(F.col("declared_total").isNull() & known)
