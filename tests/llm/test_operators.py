@@ -227,10 +227,10 @@ def test_simhash(spark, docs):
             least[group[c]] = min(i, least.get(group[c], i))
     want = sorted((str(r.doc_id), code[r.doc_id, r.text], least.get(group[code[r.doc_id, r.text]])) for r in rows)
     assert sorted((str(r.doc_id), r.code % (1 << 64), r.component_id) for r in out) == want
-    kept = simhash.keep_one(docs).collect()
+    kept = simhash.keep_one(docs, simhash.near_groups(docs)).collect()
     lone = len(set(group.values())) - len(least)  # groups without any doc_id keep a row too
     assert sorted(str(r.doc_id) for r in kept) == sorted([*map(str, least.values()), *["None"] * lone]) and kept[0].asDict().keys() == rows[0].asDict().keys()
-    assert simhash.near_groups(empty(spark)).count() == 0 and simhash.keep_one(empty(spark)).count() == 0
+    assert simhash.near_groups(empty(spark)).count() == 0 and simhash.keep_one(empty(spark), simhash.similar_groups(empty(spark))).count() == 0
 
 
 @pytest.mark.parametrize("most", [4096, 8])
@@ -251,6 +251,44 @@ def test_near_links(spark, most):
     assert sides(lambda c: got.get(simhash._signed(c), simhash._signed(c))) == sides(want.get)
 
 
+def test_similar_groups(spark, docs):
+    """Copies with few changed words join their original, unlike texts and halves don't, odd rows have groups."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows, of = [], {}
+    for i in range(60):
+        base = rng.choices(words, k=rng.choice([120, 400, 1500]))
+        for j in range(6):
+            mine = list(base)
+            for at in rng.sample(range(len(mine)), len(mine) // 90 if j else 0):  # about 5 % of the shingles: similarity 0.9
+                mine[at] = rng.choice(words)
+            of[100 * i + j] = 100 * i
+            rows.append((100 * i + j, " ".join(mine), "en", "a", 1))
+        of[100 * i + 9] = 100 * i + 9
+        rows.append((100 * i + 9, " ".join(base[: len(base) // 2]), "en", "a", 1))
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found == of
+    odd = simhash.similar_groups(docs).collect()
+    assert sorted(str(r.doc_id) for r in odd) == sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+    assert {r.component_id for r in odd if r.doc_id in (7, 8, 9)} == {7} and {r.component_id for r in odd if (r.doc_id or 0) >= 1000} == {1000}
+
+
+@pytest.mark.parametrize("most", [4096, 150])
+def test_wide_links(spark, most):
+    """One crowded group: what the bands and finer bands find connects all that pairs within the distance connect."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (40, simhash.WORDS)).astype(np.uint64)
+    codes = base[np.minimum(39, rng.integers(0, 80, 1200))].copy()
+    for row in codes:
+        for b in rng.integers(0, 64 * simhash.WORDS, 20):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    df = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(codes)], "node long, wide binary")
+    got = {r.node: r.root for r in components.connected_components(simhash.wide_links(df, 86, most=most)).collect()}
+    apart = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2) <= 86
+    parent = simhash._join(np.arange(len(codes)), *np.nonzero(apart))
+    assert [got.get(i, i) for i in range(len(codes))] == parent.tolist()
+
+
 def test_gray_index():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 1 << 20, 1500).astype(np.uint64)  # crowded
