@@ -23,12 +23,12 @@ distinct pair once, with its number.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +75,34 @@ def pairs(raw: bytes) -> list[bytes]:
     return [START + words[0], *[kinds[a[-1]] + b for a, b in zip(words, words[1:])], kinds[words[-1][-1]]]
 
 
+#: Kinds by number, the one before the first token first; the number of a last byte's kind.
+_KINDS = [START, *sorted(set(KINDS))]
+_KIND = np.array([_KINDS.index(k) for k in KINDS], np.int64)
+
+
+def all_pairs(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pairs of several texts, sorted; of each token in turn the place of its pair there; where each text starts, and the end."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy()
+    text, there = np.repeat(np.arange(len(sizes)), sizes), pc.greater(pc.binary_length(words), 0)
+    coded, text = words.filter(there).dictionary_encode(), text[there.to_numpy(zero_copy_only=False)]
+    order = pc.array_sort_indices(coded.dictionary)
+    words = [b"", *coded.dictionary.take(order).cast(pa.binary()).to_pylist()]  # the end comes first
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(1, len(words))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)) + 1)])
+    token = np.zeros(starts[-1], np.int64)
+    token[np.arange(len(text)) + text] = rank.take(coded.indices.to_numpy())
+    before = np.roll(_KIND[[w[-1] if w else 0 for w in words]].take(token), 1)
+    before[starts[:-1]] = 0
+    token += before * len(words)
+    used = np.zeros(len(_KINDS) * len(words), bool)
+    used[token] = True
+    found = np.flatnonzero(used)
+    keys = [_KINDS[k] + words[w] for k, w in zip((found // len(words)).tolist(), (found % len(words)).tolist())]
+    return keys, (np.cumsum(used) - 1).take(token), starts
+
+
 _CODE = np.minimum(255, np.round(8 * np.log2(1 + np.arange(1 << 16)))).astype(np.uint8)
 
 
@@ -129,12 +157,14 @@ def decisions(keys: list[bytes]) -> Decisions:
         recent = recent | np.where(place >= back, earlier, np.uint64(1)) << np.uint64(8 * (back - 1))
         contexts.append(recent)
     contexts += [so_far, so_far + kind[owner] * _POWER]
-    nodes = np.stack([(symbol.astype(np.uint64) | np.uint64(256)) >> np.uint64(8 - b) for b in range(8)], axis=1)
+    nodes = np.stack([(symbol.astype(np.uint64) | np.uint64(256)) >> np.uint64(8 - b) for b in range(8)], axis=1) * _POWER
     slots = np.empty((ORDERS, len(flat) * 8), np.int64)
     for k, (c, size) in enumerate(zip(contexts, SLOTS)):
-        h = (c * _MIX + np.uint64(k + 1))[:, None] ^ (nodes * _POWER)
-        h = (h ^ (h >> np.uint64(29))) * _MIX
-        slots[k] = (h >> np.uint64(64 - size)).astype(np.int64).ravel() + OFFSETS[k]
+        h = (c * _MIX + np.uint64(k + 1))[:, None] ^ nodes
+        h ^= h >> np.uint64(29)
+        h *= _MIX
+        h >>= np.uint64(64 - size)
+        np.add(h.view(np.int64).ravel(), OFFSETS[k], out=slots[k])
     bits = (symbol[:, None] >> np.arange(7, -1, -1).astype(np.uint8) & 1).ravel()
     return Decisions(slots, bits, np.repeat(np.minimum(place, 1), 8), np.tile(np.arange(8), len(flat)), np.repeat(owner, 8))
 
@@ -146,26 +176,26 @@ def gate(d: Decisions, sure: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     table: np.ndarray  # a slot's two count bytes as one number
-    weights: np.ndarray | None = None  # (gates, orders, confidence)
+    weights: np.ndarray | None = None  # (orders, gates, confidence)
     refine: np.ndarray | None = None  # (gates, cells): the share of ones there
 
     def ones(self, d: Decisions) -> np.ndarray:
         """The probability of a one, for each decision."""
-        found = [self.table[s] for s in d.slots]
-        gates = gate(d, _CLASS[found[WORD]])
+        found = [self.table.take(s) for s in d.slots]
+        gates = gate(d, _CLASS.take(found[WORD]))
         total = np.zeros(len(d.bits))
         for k, f in enumerate(found):
-            total += self.weights.ravel()[(gates * ORDERS + k) * CONFIDENCE + _CLASS[f]] * _LOGIT[f]
+            total += self.weights[k].ravel().take(gates * CONFIDENCE + _CLASS.take(f)) * _LOGIT.take(f)
         return _probability(total, gates, self.refine)
 
     def log10(self, keys: list[bytes]) -> np.ndarray:
         """The log10 probability of each pair's token."""
         out = np.zeros(len(keys))
-        for at in range(0, len(keys), 4000):
-            d = decisions(keys[at : at + 4000])
+        for at in range(0, len(keys), 1000):
+            d = decisions(keys[at : at + 1000])
             p = self.ones(d)
             right = np.where(d.bits == 1, p, 1 - p)
-            out[at : at + 4000] = np.bincount(d.owner, np.log10(right), len(keys[at : at + 4000]))
+            out[at : at + 1000] = np.bincount(d.owner, np.log10(right), len(keys[at : at + 1000]))
         return out
 
 
@@ -179,38 +209,39 @@ def _probability(total: np.ndarray, gates: np.ndarray, refine: np.ndarray) -> np
     """The mixed probability of a one, averaged with what the refining table holds around it."""
     p = 1 / (1 + np.exp(-np.clip(total, -12, 12)))
     low, part = _cell(total)
-    return np.clip((p + refine[gates, low] * (1 - part) + refine[gates, low + 1] * part) / 2, 1e-5, 1 - 1e-5)
+    cell = gates * CELLS + low
+    return np.clip((p + refine.ravel().take(cell) * (1 - part) + refine.ravel().take(cell + 1) * part) / 2, 1e-5, 1 - 1e-5)
 
 
 def first_weights() -> np.ndarray:
-    return np.repeat(np.array(BEGIN)[None, :], GATES, axis=0)[:, :, None] * np.ones(CONFIDENCE)
+    return np.array(BEGIN)[:, None, None] * np.ones((GATES, CONFIDENCE))
 
 
 def learn_weights(table: np.ndarray, keys: list[bytes], counts: np.ndarray, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights after online steps over the pairs, and the refining table's zeros and ones."""
-    weights, power = first_weights(), np.full((GATES, ORDERS, CONFIDENCE), 1e-6)
+    weights, power = first_weights(), np.full((ORDERS, GATES, CONFIDENCE), 1e-6)
     seen = np.zeros((2, GATES * CELLS))
     order = np.random.default_rng(len(keys)).permutation(len(keys))
     for at in range(0, len(keys), 500):
         some = order[at : at + 500]
         d = decisions([keys[i] for i in some])
         heavy = np.sqrt(counts[some].astype(float))[d.owner]
-        given = []
+        half, given = d.bits.astype(np.int64) << 16, []
         for k in range(ORDERS):
-            found = table[d.slots[k]].astype(np.int64) + (d.bits.astype(np.int64) << 16)
-            given.append((_LEFT_LOGIT[found], _LEFT_CLASS[found]))
+            found = table.take(d.slots[k]) + half
+            given.append((_LEFT_LOGIT.take(found), _LEFT_CLASS.take(found)))
         gates = gate(d, given[WORD][1])
-        places = [(gates * ORDERS + k) * CONFIDENCE + sure for k, (_, sure) in enumerate(given)]
-        total = sum(weights.ravel()[where] * logit for where, (logit, _) in zip(places, given))
+        places = [gates * CONFIDENCE + sure for _, sure in given]
+        total = sum(weights[k].ravel().take(where) * logit for k, (where, (logit, _)) in enumerate(zip(places, given)))
         off = (d.bits - 1 / (1 + np.exp(-np.clip(total, -12, 12)))) * heavy
-        for where, (logit, _) in zip(places, given):
-            step = np.bincount(where, off * logit, weights.size).reshape(weights.shape) / heavy.sum()
-            power += step**2
-            weights += rate * step / np.sqrt(power)
+        for k, (where, (logit, _)) in enumerate(zip(places, given)):
+            step = np.bincount(where, off * logit, GATES * CONFIDENCE).reshape(GATES, CONFIDENCE) / heavy.sum()
+            power[k] += step**2
+            weights[k] += rate * step / np.sqrt(power[k])
         low, part = _cell(total)
-        for bit in (0, 1):
-            for where, share in ((low, 1 - part), (low + 1, part)):
-                seen[bit] += np.bincount(gates * CELLS + where, share * heavy * (d.bits == bit), GATES * CELLS)
+        cell = (d.bits.astype(np.int64) * GATES + gates) * CELLS + low
+        for where, share in ((cell, 1 - part), (cell + 1, part)):
+            seen += np.bincount(where, share * heavy, seen.size).reshape(seen.shape)
     return weights, seen[0], seen[1]
 
 
@@ -265,19 +296,13 @@ def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id
     sort = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col(label)), F.lit(0)) if names else F.lit(0)
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n)).cast("int").alias("batch"), F.col(doc_id).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"), held.alias("held_out"), sort.cast("int").alias("class"),
+        F.coalesce(F.col(text), F.lit("")).alias("raw"), held.alias("held_out"), sort.cast("int").alias("class"),
     ).repartition(n, "batch")
 
     def ask(table: pa.Table) -> pa.Table:
-        counts = [Counter() for _ in range(classes)]
-        keys: set[bytes] = set()
-        for x, out, c in zip(table["raw"].to_pylist(), table["held_out"].to_pylist(), table["class"].to_pylist()):
-            keys.update(pairs(x)) if out else counts[c].update(pairs(x))
-        keys = sorted(keys.union(*counts))
-        numbers = np.zeros((len(keys), classes), np.int64)
-        place = {k: i for i, k in enumerate(keys)}
-        for c, mine in enumerate(counts):
-            numbers[np.fromiter(map(place.__getitem__, mine), np.int64, len(mine)), c] = np.fromiter(mine.values(), np.int64, len(mine))
+        keys, at, starts = all_pairs(table["raw"].combine_chunks())
+        learn, sort = (np.repeat(x, np.diff(starts)) for x in (~table["held_out"].to_numpy(), table["class"].to_numpy()))
+        numbers = np.bincount(at[learn] * classes + sort[learn], minlength=len(keys) * classes).reshape(-1, classes)
         batch = table["batch"][0].as_py()
         return _table(ASKED, [(s, batch, _pack(b" ".join([keys[i] for i in at.tolist()])), _pack(numbers[at].tobytes())) for s, at in _shares(keys, n)])
 
@@ -322,8 +347,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id
     def add_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _table(RESULT, [])
-        each = [pairs(x) for x in texts["raw"].to_pylist()]
-        keys = sorted(set().union(*each))
+        keys, places, starts = all_pairs(texts["raw"].combine_chunks())
         counts, spelled = np.zeros((len(keys), classes), np.int64), np.zeros(len(keys))
         told = {s: (c, p) for s, c, p in zip(*(answers[c].to_pylist() for c in ("bucket", "counts", "scores")))}
         for s, at in _shares(keys, n):
@@ -332,14 +356,12 @@ def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id
         base = np.log10((total + 0.1) / (trained + 0.1 * (words + 1)))
         experts = _experts(counts, spelled, per_class)
         prior = np.log10(np.tile((documents + 0.01) / (documents + 0.01).sum() / len(NOVEL), len(NOVEL)))
-        place = {k: i for i, k in enumerate(keys)}
-        out = []
-        for i, held, mine in zip(texts["doc_id"].to_pylist(), texts["held_out"].to_pylist(), each):
-            at = np.fromiter(map(place.__getitem__, mine), np.int64, len(mine))
+        length, out = np.fromiter(map(len, keys), np.int64, len(keys)), []
+        for i, held, at in zip(texts["doc_id"].to_pylist(), texts["held_out"].to_pylist(), np.split(places, starts[1:-1])):
             # the product of the online predictions is the experts' mean probability of the whole
             whole = prior + experts[at].sum(axis=0, dtype=np.float64)
             score = whole.max() + np.log10((10 ** (whole - whole.max())).sum())
-            out.append((i, held, len(mine), int(np.count_nonzero(total[at])), trained, float(base[at].sum()), float(score), sum(map(len, mine))))
+            out.append((i, held, len(at), int(np.count_nonzero(total[at])), trained, float(base[at].sum()), float(score), int(length[at].sum())))
         return _table(RESULT, out)
 
     scored = known.mapInArrow(judge, SCORED)
@@ -362,7 +384,8 @@ def _counted(known: DataFrame, n: int, classes: int) -> tuple[np.ndarray, int, n
     """The slots' counts, the number of distinct training words, and each class's tokens and documents."""
 
     def count(table: pa.Table) -> pa.Table:
-        zeros, ones = np.zeros(OFFSETS[-1], np.float32), np.zeros(OFFSETS[-1], np.float32)
+        both = np.zeros(2 * OFFSETS[-1], np.float32)
+        zeros, ones = np.split(both, 2)
         sums, words = np.zeros((2, classes), np.int64), set()
         for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist()):
             keys, by_class = _unpack(k).split(), np.frombuffer(_unpack(c), np.int64).reshape(-1, classes)
@@ -370,13 +393,12 @@ def _counted(known: DataFrame, n: int, classes: int) -> tuple[np.ndarray, int, n
             counts = by_class.sum(axis=1)
             keys, counts = [x for x, y in zip(keys, counts.tolist()) if y], counts[counts > 0]
             words.update(x[1:] for x in keys)
-            for at in range(0, len(keys), 20000):
-                d = decisions(keys[at : at + 20000])
-                heavy = counts[at : at + 20000][d.owner].astype(np.float32)
-                for bit, into in ((0, zeros), (1, ones)):
-                    mine = d.bits == bit
-                    for k in range(ORDERS):
-                        np.add.at(into, d.slots[k][mine], heavy[mine])
+            for at in range(0, len(keys), 2000):
+                d = decisions(keys[at : at + 2000])
+                heavy = counts[at : at + 2000][d.owner].astype(np.float32)
+                half = d.bits.astype(np.int64) * OFFSETS[-1]
+                for slots in d.slots:
+                    np.add.at(both, slots + half, heavy)
         width, out = -(-int(OFFSETS[-1]) // RANGES), [(-1, np.array([len(words), *sums.ravel()], np.int64).tobytes())]
         for r in range(RANGES):
             part = np.stack([x[r * width : (r + 1) * width] for x in (zeros, ones)])
@@ -425,4 +447,4 @@ def _learned(known: DataFrame, shared, classes: int) -> tuple[np.ndarray, np.nda
     values = np.array([r["x"] for r in rows]) if rows else np.concatenate([first_weights().ravel(), np.zeros(2 * cells)])
     plain = 1 / (1 + np.exp(-(np.arange(CELLS) - 16) / 2))
     zeros, ones = values[size : size + cells].reshape(GATES, CELLS), values[size + cells :].reshape(GATES, CELLS)
-    return values[:size].reshape(GATES, ORDERS, CONFIDENCE), (ones + plain) / (zeros + ones + 1)
+    return values[:size].reshape(ORDERS, GATES, CONFIDENCE), (ones + plain) / (zeros + ones + 1)
