@@ -342,6 +342,40 @@ def test_neighbours(spark, unit):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, dims, spread", [(4000, 64, 0.5), (4000, 256, 0.0), (3000, 128, 0.5)])
+def test_neighbours_of_uneven_norms_and_many_dimensions(spark, size, dims, spread):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(size, dims))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(0, spread, (size, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    want = {q: set(np.argsort(-score[q])[:20].tolist()) for q in range(0, size, 20)}
+    assert np.mean([len(want[q] & got.get(q, set())) / 20 for q in want]) >= 0.9
+
+
+def test_neighbours_choose_probes_by_band(spark):
+    """Groups of like directions in two bands of norms: few probes find them, and none is compared whole."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(60, 128)), 30, axis=0) + rng.normal(size=(1800, 128)) * 0.3
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * np.repeat(np.where(np.arange(60) % 2, 1.0, 5.0), 30)[:, None]
+    classes = spark.createDataFrame([(i, v.tolist(), i % 20 == 0) for i, v in enumerate(x)], "class long, v array<double>, asks boolean")
+    q, i, near = neighbours._sampled_pairs(classes, 20)
+    assert len(q) == 90 and (np.bincount(i) == 20).all()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    best = np.sort(score, axis=1)[:, ::-1][:, :20]
+    at = [int(np.flatnonzero((np.abs(x - v) < 1e-12).all(axis=1))[0]) for v in q]
+    assert all(np.allclose(np.sort(near[i == n] @ q[n])[::-1], best[at[n]]) for n in range(90))
+    bands = neighbours._bands(near, np.linalg.norm(x, axis=1).max(), neighbours.BANDS)
+    assert set(bands.tolist()) <= {0, 4, 5}
+    plan = neighbours._probes(q, i, near, bands, 8, 4, 7)
+    assert all(4 <= p <= 256 for p in plan) and plan[15] == 4
+
+
 def test_crc_matches_zlib(spark):
     got = spark.sql("select crc32('é') c").first().c
     assert got == zlib.crc32("é".encode()) and hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from worklens.llm import common
 
+#: Bands of norms, each 1 / sqrt(2) of the one before; the last holds all that are shorter still.
+BANDS = 16
+#: Asking classes whose nearest are found exactly to choose the probes, and the share of those to be found.
+SAMPLE, RECALL = 256, 0.95
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows; their length is a power of two."""
@@ -51,6 +56,50 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
+def _bands(x: np.ndarray, high: float, count: int) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        found = np.nan_to_num(2 * np.log2(high / np.sqrt((x * x).sum(axis=1))), posinf=count)
+    return np.clip(found, 0, count - 1).astype(np.int64)
+
+
+def _sampled_pairs(classes: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors q of up to SAMPLE asking classes, and of each its k nearest other classes by a look at all: (q, i, x), x[j] near q[i[j]]."""
+    some = classes.filter("asks").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("class", "v").toArrow()
+    if not some.num_rows:
+        return np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1))
+    q, own = _matrix(some["v"]), some["class"].to_numpy()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
+        for b in common.by_partition(batches, 1 << 20):
+            now = b["class"].to_numpy()
+            found = q @ _matrix(b["v"]).T
+            found[own[:, None] == now[None]] = -np.inf
+            score, ids = np.concatenate([score, found], axis=1), np.concatenate([ids, np.broadcast_to(now, found.shape)], axis=1)
+            if score.shape[1] > k:
+                best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                score, ids = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
+        i = np.repeat(np.arange(len(q)), score.shape[1])
+        real = score.ravel() > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(i[real]), pa.array(ids.ravel()[real]), pa.array(score.ravel()[real])], names=["i", "class", "score"])
+
+    found = classes.select("class", "v").mapInArrow(search, "i long, class long, score double")
+    found = found.withColumn("at", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("score"), "class"))).filter(F.col("at") <= k)
+    found = classes.select("class", "v").join(F.broadcast(found.select("i", "class")), "class").select("i", "v").toArrow()  # SAMPLE * k rows at most
+    return q, found["i"].to_numpy(), _matrix(found["v"]) if found.num_rows else np.zeros((0, q.shape[1]))
+
+
+def _probes(q: np.ndarray, i: np.ndarray, x: np.ndarray, bands: np.ndarray, tables: int, least: int, seed: int) -> list[int]:
+    """For each band the fewest probes, `least` or more, that find RECALL of the pairs whose nearer one is in it."""
+    need = np.full(len(i), np.iinfo(np.int64).max)
+    for t in range(tables if len(i) else 0):
+        turned = rotate(q, t, seed)
+        rank = np.argsort(axes(turned, 2 * turned.shape[1]), axis=1)
+        need = np.minimum(need, rank[i, np.concatenate([axes(rotate(x[at : at + 4096], t, seed), 1) for at in range(0, len(x), 4096)])[:, 0]] + 1)
+    of = [np.sort(need[bands == b]) for b in range(BANDS)]
+    return [max(least, int(n[int(np.ceil(RECALL * len(n))) - 1])) if len(n) else least for n in of]
+
+
 def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", queries: str = "vec_id % 20 = 0", k: int = 20, tables: int = 8, probes: int = 16, chunk: int = 8192, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` selects its k nearest other rows found, by inner product.
 
@@ -58,10 +107,14 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     non-finite component take no part. Equal vectors form a class, hashed and
     compared once; a class keeps its k + 1 smallest ids, as more can't be among
     the nearest. Every class is in each table under its nearest signed axis; a
-    query looks in its `probes` nearest axes of each table. Where lengths
-    differ, a further coordinate makes all vectors equally long, so that
-    nearness by angle is nearness by inner product; scores always come from the
-    vectors as they are, in double precision, ties to the smaller id.
+    query looks in its `probes` nearest axes of each table, or in more. Where
+    `tables` times that many probes are as many as a table has axes, that is as
+    much as comparing everything, which is what is done then: up to 64
+    dimensions with the defaults. Else the classes are parted in bands by norm,
+    each hashed by direction; the exact nearest of SAMPLE asking classes tell how
+    many probes a band needs for RECALL of them, and a band that needs too many
+    is compared whole. Scores come from the vectors as they are, in double
+    precision, ties to the smaller id.
 
     A bucket of more than `chunk` classes is dealt to several tasks, and its
     queries go to each; each task returns k + 1 candidates a query, which loses
@@ -80,30 +133,46 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     rows = rows.filter(F.size("v") == length["n"])
     classes = rows.groupBy("a", "b").agg(F.first("v").alias("v"), F.min("vec_id").alias("class"), F.max("asks").alias("asks"))
     classes = common.staged(classes, "vector-classes")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    low, high = classes.agg(F.min(norm), F.max(norm)).first()
-    lift = low < high * (1 - 1e-6)
+    axis_count = 2 << max(1, (length["n"] - 1).bit_length())
+    plan, high = [probes], 1.0
+    if tables * probes < axis_count:
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        high = classes.agg(F.max(norm)).first()[0]
+        q, i, x = _sampled_pairs(classes, k)
+        plan = _probes(q, i, x, _bands(x, high, BANDS), tables, probes, seed)
+    whole = np.array([tables * p >= axis_count for p in plan])
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / chunk)).cast("int")
 
-    def keys(count: int):
-        def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in common.by_partition(batches, 256 << 10):
-                x = _matrix(b["v"])
-                if lift and count == 1:  # as long as the longest
-                    x = np.concatenate([x / high, np.sqrt(np.clip(1 - (x * x).sum(axis=1) / high**2, 0, None))[:, None]], axis=1)
-                elif lift:
-                    x = np.concatenate([x / np.sqrt((x * x).sum(axis=1))[:, None], np.zeros((len(x), 1))], axis=1)
-                for t in range(tables):
-                    found = axes(rotate(x, t, seed), count)
-                    take = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(found.size, t, np.int32)), pa.array(found.ravel().astype(np.int32)), b["class"].take(take), b["v"].take(take)], names=["t", "axis", "class", "v"])
-
-        return key
+    def placed(t: int, axis: np.ndarray, row: np.ndarray, b: pa.RecordBatch) -> pa.RecordBatch:
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(t, len(row)).astype(np.int32)), pa.array(np.broadcast_to(axis, len(row)).astype(np.int32)), b["class"].take(take), b["v"].take(take)], names=["t", "axis", "class", "v"])
+
+    # t counts tables and bands; a band that is compared whole is one bucket, of no axis
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.by_partition(batches, 256 << 10):
+            x = _matrix(b["v"])
+            band = _bands(x, high, len(plan))
+            row = np.flatnonzero(whole[band])
+            yield placed(band[row] * tables, -1, row, b)
+            row = np.flatnonzero(~whole[band])
+            for t in range(tables if len(row) else 0):
+                yield placed(band[row] * tables + t, axes(rotate(x[row], t, seed), 1)[:, 0], row, b)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.by_partition(batches, 256 << 10):
+            rows = np.arange(b.num_rows)
+            for band in np.flatnonzero(whole):
+                yield placed(band * tables, -1, rows, b)
+            for t in range(0 if whole.all() else tables):
+                found = axes(rotate(_matrix(b["v"]), t, seed), max(p for p, w in zip(plan, whole) if not w))
+                for band in np.flatnonzero(~whole):
+                    some = found[:, : plan[band]]
+                    yield placed(band * tables + t, some.ravel(), np.repeat(rows, some.shape[1]), b)
 
     keyed = "t int, axis int, class long, v array<double>"
-    base = classes.select("class", "v").mapInArrow(keys(1), keyed)
-    asked = classes.filter("asks").select("class", "v").mapInArrow(keys(probes), keyed)
-    # one row a bucket: as many as there are tables and axes
+    base = classes.select("class", "v").mapInArrow(store, keyed)
+    asked = classes.filter("asks").select("class", "v").mapInArrow(ask, keyed)
+    # one row a bucket: as many as there are bands, tables and axes
     counts = common.staged(base.groupBy("t", "axis").agg(F.count("*").alias("n")).join(asked.groupBy("t", "axis").agg(F.count("*").alias("m")), ["t", "axis"]), "bucket-sizes")
     counts = F.broadcast(counts.select("t", "axis", parts("n").alias("n"), parts("m").alias("m")))
     spread = lambda df, own, other: df.join(counts, ["t", "axis"]).withColumns({own: F.pmod(F.xxhash64("class"), F.col("n" if own == "i" else "m")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col("m" if own == "i" else "n") - 1))}).drop("n", "m")
