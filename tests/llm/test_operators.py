@@ -143,6 +143,15 @@ def test_languages(spark):
     assert many.predict(["hello"])[0][0] == "l69"
 
 
+def test_languages_are_learned_from_distinct_texts(spark):
+    """Copies of one text, many or few, leave the sample of a language as it is."""
+    texts = [(f"{'tion the wh' if i % 2 else 'schung ei'}{chr(97 + i // 26)}{chr(97 + i % 26)} more", "aa" if i % 2 else "bb") for i in range(120)]
+    once = spark.createDataFrame(texts, "text string, lang string")
+    copies = spark.range(20000).select(F.lit(texts[1][0]).alias("text"), F.lit("aa").alias("lang"))
+    want, got = (language.learn(df, per_language=40, bits=1 << 12) for df in (once, once.union(copies)))
+    assert got.languages == want.languages == ["aa", "bb"] and (got.slots == want.slots).all()
+
+
 def test_bloom_holds_all(spark):
     grams = np.random.default_rng(1).integers(1, 2**63, 1000).astype(np.uint64)
     f = language.Filters(["a", "b"], np.zeros((1 << 14, 1), np.uint64), 3, 4)

@@ -103,11 +103,11 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n: int = 4
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
-    # one row a language; about twice as many rows as needed pass, and copies meet before they shuffle
-    sizes = rows.groupBy("lang").agg((2.0 * per_language * (1 << 31) / F.count("*")).alias("below"))
-    few = rows.join(F.broadcast(sizes), "lang").filter(F.col("hash") < F.col("below")).select("lang", "hash", "text").dropDuplicates(["lang", "hash"])
+    # the highest hash that is taken, one row a language; of distinct hashes only the lowest of each task shuffle
     lowest = Window.partitionBy("lang").orderBy("hash")
-    sample = few.withColumn("rank", F.row_number().over(lowest)).filter(F.col("rank") <= per_language).select("lang", "text")
+    last = rows.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(lowest)).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("hash").alias("last"))
+    # copies meet before they shuffle
+    sample = rows.join(F.broadcast(last), "lang").filter(F.col("hash") <= F.col("last")).select("lang", "hash", "text").dropDuplicates(["lang", "hash"]).select("lang", "text")
     sample = common.staged(sample, "language-sample")
     languages = [x[0] for x in sample.select("lang").distinct().orderBy("lang").collect()]  # as many as there are languages
     planes = max(1, -(-len(languages) // 64))
