@@ -298,6 +298,39 @@ def test_wide_links(spark, most):
     assert [got.get(i, i) for i in range(len(codes))] == parent.tolist()
 
 
+@pytest.mark.parametrize("most", [4096, 1])
+def test_wide_links_find_lone_pairs_in_any_bucket(spark, most):
+    rng = np.random.default_rng(10)
+    first = rng.integers(0, 1 << 63, (600, simhash.WORDS)).astype(np.uint64)
+    second = first.copy()
+    for row in second:
+        for b in rng.choice(64 * simhash.WORDS, 77, replace=False):  # 15.1 %: similarity 0.8
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    df = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(np.concatenate([first, second]))], "node long, wide binary")
+    found = {(min(r), max(r)) for r in simhash.wide_links(df, 86, most=most).collect()}
+    assert len(found & {(i, 600 + i) for i in range(600)}) / 600 >= 0.97 and all(b - a == 600 for a, b in found)
+
+
+@pytest.mark.parametrize("count", [10**4, 10**7, 10**9])
+def test_bands_find_pairs_for_any_number_of_codes(count):
+    rng = np.random.default_rng(12)
+    bands = simhash._bands(count)
+    differs = np.stack([np.isin(np.arange(512), rng.choice(512, 77, replace=False)) for _ in range(4000)]).reshape(4000, 128, 4).any(axis=2)
+    assert np.mean(np.any([~differs[:, at].any(axis=1) for at in bands], axis=0)) >= 0.98 and count / 16 ** len(bands[0]) <= 1000
+
+
+def test_wide_bucket_connects_what_pairs_connect():
+    rng = np.random.default_rng(13)
+    codes = rng.integers(0, 1 << 63, (30, simhash.WORDS)).astype(np.uint64)[rng.integers(0, 30, 900)]
+    for row in codes:
+        for b in rng.integers(0, 512, rng.integers(40, 75)):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    near = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2) <= 86)
+    want = simhash._join(np.arange(900), *near)
+    got = simhash._join(np.arange(900), *simhash._wide_bucket_links(codes, 86))
+    assert (got == want).all() and 30 < len(set(want.tolist())) < 900
+
+
 def test_gray_index():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 1 << 20, 1500).astype(np.uint64)  # crowded

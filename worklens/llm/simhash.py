@@ -18,9 +18,8 @@ SEED = 42
 FAN = 8
 #: So many codes are compared directly.
 FEW = 96
-#: 64-bit words of a wide fingerprint, and its bands: the first 12 of each 16 bits.
+#: 64-bit words of a wide fingerprint.
 WORDS = 8
-BANDS = 4 * WORDS
 _FACTORS = np.random.default_rng(8).integers(1, 1 << 63, WORDS).astype(np.uint64) | np.uint64(1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -219,48 +218,80 @@ def near_links(codes: DataFrame, distance: int = 4, most: int = 4096, deepest: i
 
 
 def _wide_bucket_links(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) of codes (n, WORDS) that connect what pairs within distance, over all words, connect."""
+    """Places (a, b) of codes (n, WORDS) that connect just what pairs within distance, over all words, connect.
+
+    Codes within the distance of a leader are its group, the first code of none
+    leads the next. Two groups are compared code by code only if neither their
+    leaders' distance nor a code's distance to the other leader excludes a pair.
+    """
+    apart = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
     parent = np.arange(len(codes))
     if len(codes) <= FEW:
-        i, j = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2) <= distance, 1))
-        found = [(i, j)]
+        i, j = np.nonzero(np.triu(apart(codes[:, None], codes[None]) <= distance, 1))
+        parent = _join(parent, i, j)
     else:
-        first = codes[:, 0].copy()
-        for shift in (1, 2, 4, 8, 16, 32):
-            first ^= first >> np.uint64(shift)
-        order = np.argsort(first, kind="stable")
-        # one word of a pair within distance hardly ever differs in twice its share
-        found = ((order[i], order[j]) for i, j in GrayIndex(codes[order, 0], 2 * distance // WORDS).links(every=True, block=256))
-    for i, j in found:
-        near = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1) <= distance
-        parent = _join(parent, i[near], j[near])
+        rest, leaders, groups, radius = parent, [], [], []
+        while len(rest):
+            d = apart(codes[rest], codes[rest[0]])
+            mine = d <= distance
+            leaders.append(rest[0])
+            groups.append(rest[mine])
+            radius.append(d[mine].max())
+            rest = rest[~mine]
+        lead, radius, root = np.array(leaders), np.array(radius), np.arange(len(leaders))
+        for g in np.flatnonzero(radius):
+            between = apart(codes[lead], codes[lead[g]])
+            for h in np.flatnonzero(between <= distance + radius + radius[g]):
+                if root[g] == root[h]:
+                    continue
+                x = codes[groups[g]]
+                x = x[apart(x, codes[lead[h]]) <= distance + radius[h]]
+                y = codes[groups[h]]
+                y = y[apart(y, codes[lead[g]]) <= distance + radius[g]]
+                step = max(1, (1 << 20) // max(1, len(y)))
+                if any((apart(x[at : at + step, None], y[None]) <= distance).any() for at in range(0, len(x), step)):
+                    root[root == max(root[g], root[h])] = min(root[g], root[h])
+        for g, members in enumerate(groups):
+            parent[members] = lead[root[g]]
     own = np.flatnonzero(parent != np.arange(len(codes)))
     return own, parent[own]
 
 
-def wide_links(codes: DataFrame, distance: int, most: int = 4096, deepest: int = 4, fan: int = 8) -> DataFrame:
+def _bands(count: int) -> list[list[int]]:
+    """Hexadecimal digits of each band: the more codes, the longer the bands and the more of them.
+
+    Of pairs that differ in 15.1 % of their bits 99 % agree in 1 of 32 bands of
+    12 bits, of 64 of 16 bits or of 125 of 20; a band's values hold at most about
+    1000 codes each, if these are spread evenly.
+    """
+    digits = 16 * WORDS
+    if count <= 1000 << 12:
+        return [[at, at + 1, at + 2] for at in range(0, digits, 4)]
+    size, rounds = (4, 2) if count <= 1000 << 16 else (5, 5)
+    orders = [np.random.default_rng([11, i]).permutation(digits) for i in range(rounds)]
+    return [sorted(order[at : at + size].tolist()) for order in orders for at in range(0, digits - size + 1, size)]
+
+
+def wide_links(codes: DataFrame, distance: int, most: int = 1 << 16) -> DataFrame:
     """codes (node long, wide binary; distinct) to links (a, b) of nodes within distance bits.
 
-    Codes meet where they agree in a band; of pairs that differ in 15 % of the
-    bits 99 % do in one of BANDS bands. A bucket of over `most` codes is cut
-    again by `fan` of its codes' other bands. Each bucket compares all its pairs,
-    large ones through a Gray-order index over the first word, and returns at
-    most one link a code. Only bits count, no text is read again.
+    Codes meet where they agree in one of the bands, of which there are more and
+    longer ones for more codes. All of a bucket is compared: the codes of one of
+    over `most` are dealt to parts, and every two parts meet in a task, so no
+    pair that agrees in a band is lost. Each task returns at most one link a code.
+    Only bits count, no text is read again.
     """
-    digits = lambda band: F.substring(F.hex("wide"), 4 * band + 1, 3)
-    entry = lambda band, *key: F.struct(F.lit(band).alias("band"), F.xxhash64(*key, F.lit(band), digits(band)).alias("key"))
-    keyed, done = codes.select("node", "wide", F.inline(F.array(*[entry(b) for b in range(BANDS)]))), None
-    for _ in range(deepest):
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-        hot = common.staged(sizes.filter(F.col("n") > most).select("key"), "hot-bands")
-        if hot.isEmpty():
-            break
-        fits = keyed.join(hot, "key", "left_anti").select("node", "wide", "band", "key")
-        done = fits if done is None else done.union(fits)
-        cut = keyed.join(hot, "key").withColumn("step", F.explode(F.array(*[F.lit(1 + 3 * i) for i in range(fan)]))).withColumn("other", (F.col("band") + F.col("step")) % BANDS)
-        other = F.expr("substring(hex(wide), 4 * other + 1, 3)")
-        keyed = common.staged(cut.select("node", "wide", F.col("other").alias("band"), F.xxhash64("key", "other", other).alias("key")), "finer-bands")
-    keyed = keyed if done is None else done.union(keyed)
+    bands = _bands(codes.count())
+    entry = lambda n, at: F.xxhash64(F.lit(n), F.concat(*[F.substring("hex", i + 1, 1) for i in at]))
+    keyed = codes.withColumn("hex", F.hex("wide")).select("node", "wide", F.explode(F.array(*[entry(n, at) for n, at in enumerate(bands)])).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    hot = common.staged(sizes.select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")), "hot-bands")
+    if not hot.isEmpty():
+        part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
+        dealt = keyed.join(F.broadcast(hot), "key").withColumn("part", part).withColumn("other", other)
+        dealt = dealt.select("node", "wide", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+        keyed = keyed.join(F.broadcast(hot), "key", "left_anti").select("node", "wide", "key").union(dealt)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
