@@ -503,27 +503,105 @@ def test_scores(spark):
     assert all(r.score < 0 for r in mixing_model.score_texts(df.limit(5), F.lit(True)).collect())
 
 
-def test_model_is_a_distribution():
+def trained_model():
     from worklens.llm import mixing_model as m
 
-    keys = [b"Wthe", b"Wthen", b"B", b"Son", b"Wonon"] * 40
-    table = np.zeros(m.OFFSETS[-1], np.uint16)
-    d = m.decisions(keys)
-    zeros, ones = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
-    for k in range(m.ORDERS):
-        np.add.at(zeros, d.slots[k][d.bits == 0], 1)
-        np.add.at(ones, d.slots[k][d.bits == 1], 1)
+    keys = [m.state_bytes(s) + k for s in (0, 1) for k in (b"Wthe", b"Wthen", b"B", b".on", b"Wonon", b"Wotherwise")]
+    counts, sizes = np.arange(1, len(keys) + 1) * 3, (10,) * m.ORDERS
+    zeros, ones = np.zeros(m.ORDERS << 10, np.int64), np.zeros(m.ORDERS << 10, np.int64)
+    for some, owner in m.chunks(keys):
+        d = m.decisions(some, sizes)
+        for k in range(m.ORDERS):
+            for x, bit in ((zeros, 0), (ones, 1)):
+                np.add.at(x, d.slots[k][d.bits == bit], (counts if k >= m.BY_TOKEN else np.ones_like(counts))[owner[d.owner]][d.bits == bit])
     table = np.stack([m.quantised(zeros), m.quantised(ones)], axis=1).copy().view(np.uint16).ravel()
-    weights, z, o = m.learn_weights(table, keys, np.ones(len(keys), np.int64))
-    plain = 1 / (1 + np.exp(-(np.arange(m.CELLS) - 16) / 2))
-    z, o = z.reshape(m.GATES, m.CELLS), o.reshape(m.GATES, m.CELLS)
-    model = m.Model(table, weights, (o + plain) / (z + o + 1))
-    # the blank and all bytes after "W", as last symbols of their own: their first decisions add up to one
-    alone = [b"W"] + [bytes([87, b]) for b in range(256) if b != 32]
-    d = m.decisions(alone)
+    found = m.learn(table, sizes, keys, counts)
+    return m.finished(m.Model(sizes, table), found.weights, found.histories, found.cells)
+
+
+def test_model_is_a_distribution():
+    from worklens.llm import mixing_model as m
+
+    model = trained_model()
+    # all bytes after "W", as first symbols: what their decisions say adds up to one
+    d = m.decisions([m.state_bytes(1) + bytes([87, b]) for b in range(256) if b != 32] + [m.state_bytes(1) + b"W"], model.slots_of)
     p = model.ones(d)
     right = np.where(d.bits == 1, p, 1 - p)
     first = np.array([right[np.flatnonzero(d.owner == i)[:8]].prod() for i in range(256)])
     assert abs(first.sum() - 1) < 1e-6
-    scores = model.log10([b"Wthe", b"Wzzz"])
-    assert scores[0] > -2 > scores[1]
+    head = m.state_bytes(1) + b"W"
+    scores = model.log10([head + b"the", head + b"zzz", head + b"x" * 1000, head + b"x" * m.LONG, head + b"x" * (1000 - 3 * m.LONG)])
+    assert scores[0] > -2 > scores[1] and scores[2] == pytest.approx(3 * scores[3] + scores[4])
+
+
+def slow_spelling(model, head, word):
+    """The mixed bits of one word, one after the other; slots and tables are the model's."""
+    from worklens.llm import mixing_model as m
+
+    out = 0.0
+    for at in range(0, max(1, len(word)), m.LONG):
+        piece = word[at : at + m.LONG]
+        d = m.decisions([head + piece], model.slots_of)
+        for i, byte in enumerate(piece + b" "):
+            for b in range(8):
+                j, bit = 8 * i + b, byte >> (7 - b) & 1
+                assert d.bits[j] == bit
+                pairs = [(int(model.table[d.slots[k][j]]) & 255, int(model.table[d.slots[k][j]]) >> 8) for k in range(m.ORDERS)]
+                number = lambda code: 2 ** (code / 8) - 1
+                sure = [min(m.CONFIDENCE - 1, int(np.log2(1 + number(z) + number(o)))) for z, o in pairs]
+                step = lambda n: sum(n > x for x in m._STEPS)
+                history = [step(number(z)) * 16 + step(number(o)) for z, o in pairs]
+                gate = (min(i, m.PLACES - 1) * m.CONFIDENCE + sure[m.WORD]) * 8 + b
+                total = sum(float(model.weights[k, gate, sure[k]]) * float(model.maps[k, history[k] + (sure[m.WORD] > 0) * m.HISTORIES]) for k in range(m.ORDERS))
+                cell = min(max(total, -11.99), 11.99) * 4 / 3 + 16
+                low, part = int(cell), cell - int(cell)
+                p = (1 / (1 + np.exp(-min(max(total, -14), 14))) + model.refine[gate, low] * (1 - part) + model.refine[gate, low + 1] * part) / 2
+                p = min(max(p, 1e-6), 1 - 1e-6)
+                out += np.log10(p if bit else 1 - p)
+    return out
+
+
+def test_scores_equal_those_of_one_token_after_the_other(spark):
+    from worklens.llm import mixing_model as m
+
+    rng = random.Random(10)
+    words = {"aa": "alpha beta of the gamma, ab.".split(), "bb": "delta der und die zeta! ab.".split()}
+    rows = [(i, " ".join(rng.choices(words["aa" if i % 2 else "bb"], k=rng.randint(0, 12))), "aa" if i % 2 else "bb") for i in range(40)]
+    rows += [(100 + i, "of der the first story told twice in other words and again " + str(i // 2), None) for i in range(6)] + [(200, None, "aa"), (201, "A" * 700 + " of", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = []
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    out = {r.doc_id: r for r in m.score_texts(df, held, label="lang", batch_bytes=2000, most_slots=(10, 10, 12, 12, 14, 14, 14, 14), fitted=fitted).collect()}
+    f = fitted[0]
+    held_out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _, _ in rows}
+    split = {i: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", (x or "").lower())] + [b""] for i, x, _ in rows}
+    assert f.voters.get(b"of") == 1 and f.voters.get(b"der") == 2 and b"ab." not in f.voters
+    foreseen = 0
+    for i, toks in split.items():
+        score, seen, before = 0.0, {True: [1.8, 0.2], False: [0.2, 1.8]}, False
+        for t, w in enumerate(toks):
+            votes = [f.voters[x] for x in toks[:t] if x in f.voters]
+            state = min(set(votes), key=lambda c: (-votes.count(c), c)) if votes else 0
+            kind = m.START if t == 0 else m.KINDS[toks[t - 1][-1]]
+            next_ones = {j: [y[u] for u in range(2, len(y)) if y[u - 2 : u] == toks[t - 2 : t]] for j, y in split.items() if not held_out[j]} if t >= 2 else {}
+            every = [x for y in next_ones.values() for x in y]
+            others = [x for j, y in next_ones.items() if j != i for x in y]
+            came = False
+            if len(set(every)) == 1 and others:
+                foreseen += 1
+                came = every[0] == w
+                yes, no = seen[before]
+                score += np.log10((yes if came else no) / (yes + no))
+                seen[before][0 if came else 1] += 1
+            score += 0 if came else slow_spelling(f.model, m.state_bytes(state) + kind, w)
+            before = came
+        assert out[i].score == pytest.approx(score, rel=1e-4), i
+    assert foreseen > 20
+
+
+def test_scores_of_an_endless_word(spark):
+    from worklens.llm import mixing_model as m
+
+    df = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string").union(spark.range(1).select("id", F.repeat(F.lit("qx"), 1_000_000)))
+    out = m.score_texts(df, F.lit(False)).collect()
+    assert max(r.n_bytes for r in out) == 2_000_002 and all(np.isfinite(r.score) for r in out)

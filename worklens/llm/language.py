@@ -92,15 +92,8 @@ def places(grams: np.ndarray, hashes: int, size: int) -> Iterator[np.ndarray]:
         yield ((grams + np.uint64(i) * step) % np.uint64(size)).astype(np.int64)
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n: int = 4, per_language: int = 1000, share: float = 0.02, bits: int = 1 << 19, hashes: int = 3) -> Filters:
-    """Filters from labelled rows (null text or lang: passed over).
-
-    Bounded sample: of each language the per_language distinct texts with the
-    lowest hashes (fewer, if its rows are mostly copies), whole texts. An n-gram belongs to a language if at least `share` of
-    its sampled rows hold it. Slots are combined on the executors; the driver
-    gets at most `bits` masks.
-    """
-    spark = docs.sparkSession
+def sampled(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = 1000) -> DataFrame:
+    """(lang, text): of each language the per_language distinct texts with the lowest hashes, or all that it has, however often each repeats."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
     # the highest hash that is taken, one row a language; of distinct hashes only the lowest of each task shuffle
@@ -108,7 +101,18 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n: int = 4
     last = rows.select("lang", "hash").distinct().withColumn("rank", F.row_number().over(lowest)).filter(F.col("rank") <= per_language).groupBy("lang").agg(F.max("hash").alias("last"))
     # copies meet before they shuffle
     sample = rows.join(F.broadcast(last), "lang").filter(F.col("hash") <= F.col("last")).select("lang", "hash", "text").dropDuplicates(["lang", "hash"]).select("lang", "text")
-    sample = common.staged(sample, "language-sample")
+    return common.staged(sample, "language-sample")
+
+
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n: int = 4, per_language: int = 1000, share: float = 0.02, bits: int = 1 << 19, hashes: int = 3) -> Filters:
+    """Filters from labelled rows (null text or lang: passed over).
+
+    Bounded sample: of each language per_language distinct texts, whole. An
+    n-gram belongs to a language if at least `share` of its sampled texts hold
+    it. Repeated rows count once. Slots are combined on the executors; the driver
+    gets at most `bits` masks.
+    """
+    sample = sampled(docs, text=text, lang=lang, per_language=per_language)
     languages = [x[0] for x in sample.select("lang").distinct().orderBy("lang").collect()]  # as many as there are languages
     planes = max(1, -(-len(languages) // 64))
 
