@@ -366,7 +366,7 @@ def test_neighbours(spark, unit):
     rows = [(i, v.tolist(), "clash") for i, v in enumerate(x.astype(np.float32))]
     bad = [(5000, None, ""), (5020, [0.0] * 24, ""), (5040, [float("nan")] * 24, ""), (5060, [1.0] * 3, ""), (5080, [None] + [1.0] * 23, ""), (None, [1.0] * 24, ""), (5100, [], "")]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score string")
-    out = neighbours.nearest(df, tables=8, probes=16, chunk=400).collect()
+    out = neighbours.nearest(df, tables=8, leaf=16, chunk=400).collect()
     x = x.astype(np.float32).astype(float)
     score = x @ x.T
     got = {}
@@ -399,8 +399,8 @@ def test_neighbours_of_uneven_norms_and_many_dimensions(spark, size, dims, sprea
     assert np.mean([len(want[q] & got.get(q, set())) / 20 for q in want]) >= 0.9
 
 
-def test_neighbours_choose_probes_by_band(spark):
-    """Groups of like directions in two bands of norms: few probes find them, and none is compared whole."""
+def test_neighbours_choose_tables_and_slack_by_band(spark):
+    """Groups of like directions in two bands of norms: small parts of each band find nearly all."""
     rng = np.random.default_rng(4)
     x = np.repeat(rng.normal(size=(60, 128)), 30, axis=0) + rng.normal(size=(1800, 128)) * 0.3
     x = x / np.linalg.norm(x, axis=1, keepdims=True) * np.repeat(np.where(np.arange(60) % 2, 1.0, 5.0), 30)[:, None]
@@ -412,10 +412,34 @@ def test_neighbours_choose_probes_by_band(spark):
     best = np.sort(score, axis=1)[:, ::-1][:, :20]
     at = [int(np.flatnonzero((np.abs(x - v) < 1e-12).all(axis=1))[0]) for v in q]
     assert all(np.allclose(np.sort(near[i == n] @ q[n])[::-1], best[at[n]]) for n in range(90))
-    bands = neighbours._bands(near, np.linalg.norm(x, axis=1).max(), neighbours.BANDS)
+    high = np.linalg.norm(x, axis=1).max()
+    bands = neighbours._bands(near, high, neighbours.BANDS)
     assert set(bands.tolist()) <= {0, 4, 5}
-    plan = neighbours._probes(q, i, near, bands, 8, 4, 7)
-    assert all(4 <= p <= 256 for p in plan) and plan[15] == 4
+    h = neighbours.hash_for(len(x), 128, 8, 7)
+    assert (h.full, h.groups, h.axes) == (0, 225, 256)
+    plan = neighbours._plans(h, q, i, near, bands, x, neighbours._bands(x, high, neighbours.BANDS), 8)
+    assert not plan[0].whole and 1 <= plan[0].tables <= 8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, leaf=8, chunk=200).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {n: set(np.argsort(-score[n])[:20].tolist()) for n in range(0, 1800, 20)}
+    assert np.mean([len(want[n] & got[n]) / 20 for n in want]) >= 0.9
+
+
+def test_cells_and_probes_agree():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 10))
+    for full, groups in ((0, 1), (0, 5), (1, 1), (2, 3)):
+        h = neighbours.Hash(10, full, groups, 7)
+        assert h.axes == 32 and h.polytopes == full + (groups > 1) and h.cells == 32**full * groups
+        cell = h.cell(x, 3)
+        assert ((cell >= 0) & (cell < h.cells)).all() and np.allclose(h.shortfall(x, cell[:, None], 3), 0)
+        row, probed = h.probes(x[:20], 3, 0.4)
+        assert (h.shortfall(x[:20][row], probed[:, None], 3) <= 0.4 + 1e-9).all()
+        every = h.shortfall(x[:20], np.broadcast_to(cell, (20, 200)), 3) <= 0.4
+        assert {(int(r), int(c)) for r, j in zip(*np.nonzero(every)) for c in [cell[j]]} <= set(zip(row.tolist(), probed.tolist()))
+    assert [(neighbours.hash_for(n, 64, 256, 7).full, neighbours.hash_for(n, 64, 256, 7).groups) for n in (10, 51200, 10**7, 10**10)] == [(0, 1), (1, 1), (2, 2), (3, 18)]
 
 
 def test_crc_matches_zlib(spark):
