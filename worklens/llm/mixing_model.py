@@ -14,10 +14,11 @@ The state reaches over all earlier words of the text: the label (such as a
 language) for which most of them speak, or none. Which words speak for a label is
 fitted on a bounded sample; the label of a text is never read when it is scored.
 
-One more predictor looks two words back: where these were always followed by one
-and the same token in the other training documents, a decision tells whether it
-comes again, at a probability that adapts within the text. If it comes, nothing
-is left to spell. The score is the product of all these decisions.
+One more predictor looks back over two words, at places that the content chooses,
+one in RUN: where these were always followed by one and the same run of tokens, up
+to the next such place, in the other training documents, a decision tells whether
+it comes again, at a probability that adapts within the text. If it comes, nothing
+of it is left to spell. The score is the product of all these decisions.
 
 A token's spelling depends on its state, its predecessor's kind and the word:
 counting, learning and scoring see each distinct such unit once, with its number.
@@ -54,7 +55,9 @@ CELLS = 33
 RANGES = 64
 #: A key is a state, the kind of the token before, and a word's bytes; of so many bytes at most, longer words come in pieces.
 HEAD, LONG = 4, 256
-#: How often a foreseen token came and failed to come, before a text is read: after another foreseen one that came, and else.
+#: One in so many pairs of words opens a run of tokens; a power of two.
+RUN = 8
+#: How often a foreseen run came and failed to come, before a text is read: after one that came, and else.
 FORESEEN = {True: (1.8, 0.2), False: (0.2, 1.8)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POWER = np.uint64(0xD6E8FEB86659FD93)
@@ -106,17 +109,31 @@ class Tokens:
         heads = [state_bytes(s) + _KINDS[k] for s, k in zip(state.tolist(), kind.tolist())]
         return [h + self.words[w] for h, w in zip(heads, word.tolist())], at
 
-    def behind(self) -> np.ndarray:
-        """A hash of the two words before each token and, in the last 20 bits, of the token; 0 where there are no two in its text."""
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of tokens that parts of the content itself open: (first token, hash of the two words before it, hash of the run).
+
+        A run begins after two words of its text whose hash is one in RUN, and
+        ends before the next run or with the text. Hashes of words before are
+        odd; the last 20 bits of a run's hash are used.
+        """
         mine = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64).take(self.word)
         h = np.zeros(len(mine), np.uint64)
-        h[2:] = mine[:-2] * _POWER + mine[1:-1] * _MIX
-        h ^= h >> np.uint64(31)
-        h *= _POWER
-        h ^= h >> np.uint64(29)
-        h |= np.uint64(1)
+        h[2:] = _stirred(mine[:-2] * _POWER + mine[1:-1] * _MIX)
         far = np.arange(len(h)) - self.starts[:-1].take(self.text) >= 2
-        return np.where(far, h, np.uint64(0)), mine >> np.uint64(44)
+        first = np.flatnonzero(far & (h >> np.uint64(20) & np.uint64(RUN - 1) == 0))
+        run = np.cumsum(np.isin(np.arange(len(h)), first)) - 1  # of each token; those before a text's first run are left out
+        inside = run >= 0
+        inside[inside] &= self.text[first].take(run[inside]) == self.text[inside]
+        after = np.where(inside, np.arange(len(h)) - (first.take(run) if len(first) else 0), 0)
+        stirred = np.where(inside, _stirred(mine + after.astype(np.uint64) * _MIX), np.uint64(0))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(stirred, dtype=np.uint64)])
+        end = np.append(first[1:], len(h))
+        return first, h[first] | np.uint64(1), _stirred(total[end] - total[first])
+
+
+def _stirred(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * _POWER
+    return h ^ h >> np.uint64(29)
 
 
 def tokens(texts: pa.Array) -> Tokens:
@@ -370,28 +387,28 @@ def _runs(share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 @dataclass
 class Foreseen:
-    """The distinct pairs of two words and a token of several texts: share and value of each, and of each token its pair (-1: none)."""
+    """The distinct runs of several texts: share and value of each; of each run in turn its first token and its place among these."""
 
     share: np.ndarray
     value: np.ndarray
+    first: np.ndarray
     at: np.ndarray
 
 
 def foreseen(t: Tokens, shares: int) -> Foreseen:
-    h, word = t.behind()
-    there = np.flatnonzero(h)
-    share, value = (h[there] & np.uint64(0xFFFFF)) % np.uint64(shares), h[there] & ~np.uint64(0xFFFFF) | word[there]
+    first, before, run = t.runs()
+    share, value = (before & np.uint64(0xFFFFF)) % np.uint64(shares), before & ~np.uint64(0xFFFFF) | run & np.uint64(0xFFFFF)
     order = np.lexsort((value, share))
     new = np.ones(len(order), bool)
     new[1:] = (share[order][1:] != share[order][:-1]) | (value[order][1:] != value[order][:-1])
-    at = np.full(len(h), -1, np.int64)
-    at[there[order]] = np.cumsum(new) - 1
-    return Foreseen(share[order][new].astype(np.int64), value[order][new], at)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return Foreseen(share[order][new].astype(np.int64), value[order][new], first, at)
 
 
 def answers_ahead(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For each list of values, with how often training texts hold each: 0 where two words are followed by several tokens there or by none,
-    else how often they are, 254 at most, and 255 for a value whose token is another than theirs."""
+    """For each list of values, with how often training texts hold each: 0 where two words are followed by several runs there or by none,
+    else how often they are, 254 at most, and 255 for a value whose run is another than theirs."""
     value = np.concatenate([v for v, _ in parts])
     times = np.concatenate([c for _, c in parts]).astype(np.int64)
     distinct, at = np.unique(value, return_inverse=True)
@@ -403,29 +420,30 @@ def answers_ahead(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray
     return np.split(code.take(at), np.cumsum([len(v) for v, _ in parts])[:-1])
 
 
-def foreseen_log10(t: Tokens, pair: np.ndarray, code: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token whether it was foreseen and came, and the log10 probability of that decision, 0 where there was none.
+def foreseen_log10(t: Tokens, runs: Foreseen, code: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token whether it is in a run that was foreseen and came, and the log10 probability of that decision at its first one.
 
-    pair numbers a token's pair (-1: none), code is the pair's answer; learned
-    tells the training texts, whose own occurrences don't count.
+    code is the answer for each distinct run; learned tells the training texts,
+    whose own occurrences don't count.
     """
-    there = pair >= 0
-    given = np.where(there, code.take(np.maximum(pair, 0)) if len(code) else 0, 0).astype(np.int64)
-    _, which, own = np.unique(t.text[there] * (len(code) + 1) + pair[there], return_inverse=True, return_counts=True)
-    others = given.copy()
-    others[there] -= np.where(learned[t.text[there]], own.take(which), 0)
+    text, given = t.text[runs.first], code.take(runs.at).astype(np.int64) if len(code) else np.zeros(0, np.int64)
+    _, which, own = np.unique(text * (len(code) + 1) + runs.at, return_inverse=True, return_counts=True)
+    others = given - np.where(learned[text], own.take(which), 0)
     comes = (given > 0) & (given < 255) & ((others > 0) | (given == 254))
     asked = comes | (given == 255)
-    out = np.zeros(len(pair))
-    after = np.zeros(len(pair), bool)
-    after[1:] = comes[:-1] & (t.text[1:] == t.text[:-1])
+    begin = np.searchsorted(text, np.arange(len(t.starts) - 1)).take(text)
+    after, out = np.zeros(len(text), bool), np.zeros(len(t.word))
+    after[1:] = comes[:-1] & (text[1:] == text[:-1])
     for was, (yes, no) in FORESEEN.items():
         mine = asked & (after == was)
         n, a = (np.concatenate([[0], np.cumsum(x)]) for x in (mine, mine & comes))
-        before, came = ((x[:-1] - x[t.starts[:-1]].take(t.text))[mine] for x in (n, a))
+        before, came = ((x[:-1] - x[begin])[mine] for x in (n, a))
         p = (yes + came) / (yes + no + before)
-        out[mine] = np.log10(np.where(comes[mine], p, 1 - p))
-    return comes, out
+        out[runs.first[mine]] = np.log10(np.where(comes[mine], p, 1 - p))
+    end = np.append(runs.first[1:], len(t.word))
+    end = np.minimum(end, t.starts[1:].take(text))
+    edge = np.bincount(runs.first[comes], minlength=len(t.word) + 1) - np.bincount(end[comes], minlength=len(t.word) + 1)
+    return np.cumsum(edge)[:-1] > 0, out
 
 
 def _table(kinds: str, rows: list[tuple]) -> pa.Table:
@@ -516,8 +534,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id
         numbers, batch = np.bincount(at[learn], minlength=len(keys)), table["batch"][0].as_py()
         out = [(s, batch, _pack(b" ".join([keys[i] for i in mine.tolist()])), _pack(numbers[mine].tobytes())) for s, mine in _shares(keys, shares)]
         ahead = foreseen(t, shares)
-        counted = learn & (ahead.at >= 0)
-        numbers = np.minimum(np.bincount(ahead.at[counted], minlength=len(ahead.value)), 255).astype(np.uint8)
+        numbers = np.minimum(np.bincount(ahead.at[learn[ahead.first]], minlength=len(ahead.value)), 255).astype(np.uint8)
         out += [(-1 - s, batch, _pack_sorted(ahead.value[mine]), _pack(numbers[mine].tobytes())) for s, mine in _runs(ahead.share)]
         return _table(ASKED, out)
 
@@ -579,7 +596,7 @@ def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id
         code = np.zeros(len(ahead.value), np.uint8)
         for s, mine in _runs(ahead.share):
             code[mine] = np.frombuffer(_unpack(told[-1 - s][1]), np.uint8)
-        comes, decided = foreseen_log10(t, ahead.at, code, ~texts["held_out"].to_numpy())
+        comes, decided = foreseen_log10(t, ahead, code, ~texts["held_out"].to_numpy())
         base = np.log10((total + 0.1) / (trained + 0.1 * (words + 1)))
         length = np.fromiter(map(len, keys), np.int64, len(keys)) - HEAD + 1
         per_text = lambda x: np.bincount(t.text, x, len(t.starts) - 1)
