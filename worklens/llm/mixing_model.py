@@ -56,7 +56,7 @@ RANGES = 64
 #: A key is a state, the kind of the token before, and a word's bytes; of so many bytes at most, longer words come in pieces.
 HEAD, LONG = 4, 256
 #: One in so many pairs of words opens a run of tokens; a power of two.
-RUN = 8
+RUN = 4
 #: How often a foreseen run came and failed to come, before a text is read: after one that came, and else.
 FORESEEN = {True: (1.8, 0.2), False: (0.2, 1.8)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
