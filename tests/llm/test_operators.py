@@ -487,6 +487,35 @@ def test_repeats(spark):
     assert {(-1 if r.doc_id is None else r.doc_id, r.n_bytes, tuple((s.start, s.stop) for s in r.spans)) for r in again} == whole
 
 
+def test_repeats_of_a_hot_passage(spark):
+    """A passage of most documents, with other bytes at its edges in each, and hot triggers from two occurrences on."""
+    from worklens.llm import substrings
+
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    hot = make(300)
+    rows = [(i, make(rng.randint(0, 150)) + (hot[: rng.choice([300, 120, 99])] if i % 3 else "") + make(rng.randint(0, 150))) for i in range(150)]
+    rows += [(500 + i, rows[i][1][20:] + "tail") for i in range(0, 150, 10)]
+    want = [(i, len(x), sum(g)) for (i, x), g in zip(rows, slow_repeats([(i, x.encode()) for i, x in rows], 100))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot_from in (1, 50, 4096):
+        out = substrings.remove_repeats(df, batch_bytes=4000, hot=hot_from).collect()
+        assert sorted((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans)) for r in out) == want
+
+
+def test_suffix_array_sorts_bytes():
+    from worklens.llm import substrings
+
+    rng = random.Random(13)
+    raw = bytes(rng.choices(b"ab\xff", k=60)) * 6 + bytes(rng.choices(b"ab", k=200))
+    for length in (8, 9, 64, 100, 130):
+        at = np.arange(0, len(raw) - length + 1, 3)
+        order, same = substrings.suffix_array(np.frombuffer(raw, np.uint8), at, length)
+        strings = [raw[i : i + length] for i in at[order].tolist()]
+        assert strings == sorted(strings) and same.tolist() == [False] + [x == y for x, y in zip(strings, strings[1:])]
+        assert all(order[i] > order[i - 1] for i in np.flatnonzero(same))
+
+
 def test_rolling_hash_is_of_content():
     from worklens.llm import substrings
 
