@@ -130,6 +130,15 @@ def _bands(x: np.ndarray, high: float, count: int) -> np.ndarray:
     return np.clip(found, 0, count - 1).astype(np.int64)
 
 
+def _seen_bands(high: float):
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bands(_matrix(b["v"]), high, BANDS)))], names=["band"])
+
+    return see
+
+
 def _sampled_pairs(classes: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors q of up to SAMPLE asking classes, and of each its k nearest other classes by a look at all: (q, i, x), x[j] near q[i[j]]."""
     some = classes.filter("asks").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("class", "v").toArrow()
@@ -179,7 +188,7 @@ def _plans(h: Hash, q: np.ndarray, i: np.ndarray, x: np.ndarray, near: np.ndarra
     return out
 
 
-def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", queries: str = "vec_id % 20 = 0", k: int = 20, tables: int = 8, leaf: int = 16, chunk: int = 8192, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", queries: str = "vec_id % 20 = 0", k: int = 20, tables: int = 8, leaf: int = 16, chunk: int = 1 << 16, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `queries` selects its k nearest other rows found, by inner product.
 
     Vectors that are null, zero, of another length than most, or hold a null or
@@ -221,6 +230,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     q, i, x = _sampled_pairs(classes, k)
     some = _matrix(classes.orderBy(F.xxhash64(F.lit(2), "class"), "class").limit(OTHERS).select("v").toArrow()["v"])
     plan = _plans(h, q, i, x, _bands(x, high, BANDS), some, _bands(some, high, BANDS), tables)
+    bands = sorted(r[0] for r in classes.select("v").mapInArrow(_seen_bands(high), "band long").distinct().collect())  # BANDS at most
     parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / chunk)).cast("int")
     direction = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
     lies_in = lambda cell: cell * parts_of // h.cells if h.cells * parts_of < 1 << 62 else cell // -(-h.cells // parts_of)
@@ -244,7 +254,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.by_partition(batches, 256 << 10):
             x = direction(_matrix(b["v"]))
-            for band, p in enumerate(plan):
+            for band, p in ((x, plan[x]) for x in bands):
                 if p.whole:
                     yield placed(band * tables, -1, np.arange(b.num_rows), b)
                 for t in range(0 if p.whole else p.tables):
@@ -274,8 +284,8 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
                 x, ids, cells = x[order], ids[order], cells[order]
             here, begin = np.unique(cells, return_index=True)
             end = np.append(begin[1:], len(x))
-            for at in range(0, len(q), 512):
-                part = q[at : at + 512]
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256]
                 if whole:
                     score = part @ x.T
                 else:
@@ -292,7 +302,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
                 some = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
                 row, which = np.nonzero(np.take_along_axis(score, some, 1) > -np.inf)
                 found = some[row, which]
-                out[0].append(asks[at : at + 512][row])
+                out[0].append(asks[at : at + 256][row])
                 out[1].append(ids[found])
                 out[2].append((part[row] * x[found]).sum(axis=1))  # in one order for a pair, whatever the part
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query", "class", "score"])
