@@ -56,7 +56,7 @@ RANGES = 64
 #: A key is a state, the kind of the token before, and a word's bytes; of so many bytes at most, longer words come in pieces.
 HEAD, LONG = 4, 256
 #: One in so many pairs of words opens a run of tokens; a power of two.
-RUN = 4
+RUN = 8
 #: How often a foreseen run came and failed to come, before a text is read: after one that came, and else.
 FORESEEN = {True: (1.8, 0.2), False: (0.2, 1.8)}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +103,13 @@ class Tokens:
 
     def units(self, states: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The distinct keys, and of each token the place of its key there."""
-        found, at = np.unique((states * len(_KINDS) + self.kind) * len(self.words) + self.word, return_inverse=True)
+        each = (states * len(_KINDS) + self.kind) * len(self.words) + self.word
+        if (size := (int(states.max(initial=0)) + 1) * len(_KINDS) * len(self.words)) <= 1 << 26:
+            used = np.zeros(size, bool)
+            used[each] = True
+            found, at = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1).take(each)
+        else:
+            found, at = np.unique(each, return_inverse=True)
         head, word = np.divmod(found, len(self.words))
         state, kind = np.divmod(head, len(_KINDS))
         heads = [state_bytes(s) + _KINDS[k] for s, k in zip(state.tolist(), kind.tolist())]
@@ -177,10 +183,10 @@ def _class(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.minimum(CONFIDENCE - 1, np.log2(1 + zeros + ones)).astype(np.int64)
 
 
-#: By a slot's two bytes, zeros first: its history and class; then the same without one occurrence of a zero, and without one of a one.
+#: By a slot's two bytes, zeros first: its history, and from bit 10 on its class; then the same without one occurrence of a zero, and without one of a one.
 _Z, _O = np.broadcast_arrays(_COUNT[None, :], _COUNT[:, None])
-_HISTORY, _CLASS = (f(_Z, _O).ravel() for f in (_history, _class))
-_LEFT_HISTORY, _LEFT_CLASS = (np.concatenate([f(np.maximum(0, _Z - (bit == 0)), np.maximum(0, _O - (bit == 1))).ravel() for bit in (0, 1)]) for f in (_history, _class))
+_SLOT = (_history(_Z, _O) | _class(_Z, _O) << 10).astype(np.int16).ravel()
+_LEFT = np.concatenate([(_history(z, o) | _class(z, o) << 10).astype(np.int16).ravel() for z, o in ((np.maximum(0, _Z - 1), _O), (_Z, np.maximum(0, _O - 1)))])
 
 
 def first_seen() -> np.ndarray:
@@ -265,12 +271,12 @@ class Model:
 
     def ones(self, d: Decisions) -> np.ndarray:
         """The probability of a one, for each decision."""
-        found = [self.table.take(s) for s in d.slots]
-        sure = _CLASS.take(found[WORD])
-        gates, known = d.gates + sure * 8, (sure > 0) * HISTORIES
+        found = [_SLOT.take(self.table.take(s)) for s in d.slots]
+        sure = found[WORD] >> 10
+        gates, known = d.gates + sure * 8, np.where(sure > 0, HISTORIES, 0)
         total, at = np.zeros(len(d.bits), np.float32), gates * CONFIDENCE
         for k, f in enumerate(found):
-            total += self.weights[k].ravel().take(at + _CLASS.take(f)) * self.maps[k].take(_HISTORY.take(f) + known)
+            total += self.weights[k].ravel().take(at + (f >> 10)) * self.maps[k].take(known + (f & 1023))
         return _probability(total, gates, self.refine)
 
     def log10(self, keys: list[bytes]) -> np.ndarray:
@@ -323,13 +329,15 @@ def learn(table: np.ndarray, slots_of: tuple[int, ...], keys: list[bytes], count
         d = decisions(some, slots_of)
         heavy = counts.take(order.take(owner.take(d.owner))) / passes
         bits, maps, given = d.bits.astype(np.int64), logits(seen + prior), []
-        found = [table.take(s) + (bits << 16) for s in d.slots]
-        gates = d.gates + _LEFT_CLASS.take(found[WORD]) * 8
-        known = (_LEFT_CLASS.take(found[WORD]) > 0) * HISTORIES
+        half = bits << 16
+        found = [_LEFT.take(table.take(s) + half) for s in d.slots]
+        sure = found[WORD] >> 10
+        gates, known = d.gates + sure * 8, np.where(sure > 0, HISTORIES, 0)
+        far = bits * MAPS
         for k, f in enumerate(found):
-            history = _LEFT_HISTORY.take(f) + known
-            given.append((maps[k].take(history), _LEFT_CLASS.take(f)))
-            seen[:, k] += np.bincount(bits * MAPS + history, heavy, 2 * MAPS).reshape(2, MAPS)
+            history = known + (f & 1023)
+            given.append((maps[k].take(history), f >> 10))
+            seen[:, k] += np.bincount(far + history, heavy, 2 * MAPS).reshape(2, MAPS)
         at = gates * CONFIDENCE
         places = [at + sure for _, sure in given]
         total = sum(weights[k].ravel().take(where) * logit for k, (where, (logit, _)) in enumerate(zip(places, given)))
@@ -339,9 +347,8 @@ def learn(table: np.ndarray, slots_of: tuple[int, ...], keys: list[bytes], count
             power[k] += move**2
             weights[k] += rate * move / np.sqrt(power[k])
         low, part = _cell(total)
-        cell = (bits * GATES + gates) * CELLS + low
-        for where, share in ((cell, 1 - part), (cell + 1, part)):
-            cells += np.bincount(where, share * heavy, cells.size).reshape(cells.shape)
+        cell = (bits * GATES + gates) * CELLS + low + (part >= 0.5)
+        cells += np.bincount(cell, heavy, cells.size).reshape(cells.shape)
     return Learned(weights, seen, cells)
 
 
@@ -497,7 +504,7 @@ class Fitted:
     words: int
 
 
-def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id: str = "doc_id", label: str | None = None, batch_bytes: int = 8 << 20, most_slots: tuple[int, ...] = MOST_SLOTS, fitted: list[Fitted] | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, *, text: str = "text", doc_id: str = "doc_id", label: str | None = None, batch_bytes: int = 16 << 20, most_slots: tuple[int, ...] = MOST_SLOTS, fitted: list[Fitted] | None = None) -> DataFrame:
     """RESULT for each row: the base and the model's log10 probability of its text, learned from rows not held_out.
 
     label names a column of which training rows tell the states; scoring never
