@@ -1,0 +1,126 @@
+"""Rules against fixtures: one good record, and one that breaks each rule; lanes, probes and pools by hand."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from worklens.functions import predicates as P
+from worklens.functions import rules
+from worklens.operators import campaigns, graphs, ledger, records, usage
+
+SHA, UUID = "a" * 64, "00000000-0000-4000-8000-000000000001"
+PATH = "/nix/store/" + "0" * 32 + "-x"
+GOOD = {"schemaVersion": 2, "recordType": "verdict", "seq": 1, "prevHash": SHA, "hash": SHA, "taskUuid": UUID, "attempt": 1, "leaseEpoch": 1, "verdict": "pass", "laborClass": "fresh", "exitCode": 0,
+        "transitionTimestamp": "2026-01-02T03:04:05.678Z", "wallClock": 1.0, "pools": ["a", "b"]}
+CHEAP = {"verdict": "substituted", "laborClass": "substituted", "storePaths": [PATH], "drvPath": "/d", "dedupKey": "drv:/d", "wallClock": 0.0, "pools": ["build"]}
+BROKEN = [
+    ("schema-version", {"schemaVersion": 1}), ("record-type", {"recordType": "other"}), ("error-verdict", {"error": "x"}), ("timestamp", {"transitionTimestamp": "2026-01-02T03:04:05Z"}),
+    ("timestamp", {"transitionTimestamp": "2026-13-02T03:04:05.678Z"}), ("task-uuid", {"taskUuid": "x"}), ("hash-shape:artifactContentHash", {"artifactContentHash": SHA.upper()}), ("hash-shape:payloadHash", {"payloadHash": "a"}),
+    ("hash-shape:briefHash", {"briefHash": ""}), ("store-paths-empty", {"storePaths": []}), ("store-paths-shape", {"storePaths": ["/tmp/x"]}), ("store-paths-order", {"storePaths": [PATH + "b", PATH]}),
+    ("store-paths-order", {"storePaths": [PATH, PATH]}), ("executor", {"executor": ".."}), ("executor", {"executor": "a b"}), ("reused-labor", {"laborClass": "reused"}), ("substituted-labor", {"laborClass": "substituted"}),
+    ("exit-code", {"verdict": "reused", "laborClass": "reused", "exitCode": 1}), ("substituted", CHEAP | {"attempt": 2}), ("substituted", CHEAP | {"dedupKey": None}), ("seq", {"seq": 0}), ("prev-hash", {"prevHash": None}),
+    ("hash", {"hash": "x"}), ("wall-clock", {"wallClock": -1.0}), ("wall-clock", {"wallClock": float("nan")}), ("gpu-seconds", {"gpuSeconds": float("inf")}), ("charge", {"charge": float("inf")}), ("attempt", {"attempt": 0}),
+    ("lease-epoch", {"leaseEpoch": 0}), ("pools", {"pools": ["b", "a"]}), ("pools", {"pools": []}), ("result-revision", {"resultRevision": "A" * 40}),
+]
+
+
+def test_witness_rules(spark):
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string(rules.WITNESS)
+    cases = [("", {}), ("", CHEAP), ("", {"verdict": "reused", "laborClass": "reused"}), ("", {"verdict": "failed", "error": "x", "exitCode": 2}), *BROKEN]
+    rows = [tuple((GOOD | change).get(f.name) for f in schema.fields) for _, change in cases]
+    found = records.broken_rules(spark.createDataFrame(rows, schema), rules.witness_rules()).collect()
+    assert [",".join(r.broken) for r in found] == [name for name, _ in cases]
+    assert {name for name, _ in BROKEN} == set(rules.witness_rules())
+
+
+def test_text_and_capsule_rules(spark):
+    texts = [('{"a":1}', []), ('{"a":null}', ["null-field"]), ('{"kind":"x"}', ["forbidden-field"]), ("[1]", ["object", "forbidden-field", "null-field"])]
+    out = records.broken_rules(spark.createDataFrame([(t,) for t, _ in texts], "raw string"), rules.witness_text_rules()).collect()
+    assert [r.broken for r in out] == [b for _, b in texts]
+    role = {"nodeRole": "work", "taskRef": "spec/T1", "subjectTaskId": "T1"}
+    capsules = [
+        ({}, []), (role, []), ({"maxNodes": 3, "nodeOrdinal": 0, "promptRevision": "sha256:" + SHA, "skillRevision": "v1"}, []), ({"iterationPath": "x"}, ["iteration-path"]), ({"flowRunId": "x"}, ["flow-run-id"]), ({"flowRunId": None}, ["flow-run-id"]),
+        ({"maxNodes": 0}, ["max-nodes"]), ({"maxNodes": "3"}, ["max-nodes"]), ({"nodeOrdinal": -1}, ["node-ordinal"]), ({"promptRevision": SHA}, ["prompt-revision"]), ({"skillRevision": ""}, ["skill-revision"]),
+        ({"skillRevision": "x" * 257}, ["skill-revision"]), ({"taskRef": 5}, ["task-ref"]), ({"subjectTaskId": "T1"}, ["subject-needs-role", "subject-needs-ref"]), ({"taskRef": "spec/T1", "nodeRole": "work"}, ["role-needs-subject"]),
+        (role | {"subjectTaskId": "T2"}, ["subject-matches-ref"]),
+    ]
+    df = spark.createDataFrame([(json.dumps({"flowRunId": UUID} | c),) for c, _ in capsules], "raw string")
+    assert [r.broken for r in records.broken_rules(df, rules.orchestration_rules()).collect()] == [b for _, b in capsules]
+
+
+def test_required_fields():
+    need = rules.required_fields()
+    assert "agent" not in need["enqueued"] and "agent" in need["dispatched"] and "unit" not in need["dispatched"] and "unit" in need["heartbeat"]
+    assert "artifact_hash" in need["completed"] and "artifact_hash" not in need["failed"] and "exit_code" in need["failed"] and "evidence" in need["evidence_fail"] and "evidence" not in need["completed"]
+
+
+@pytest.mark.parametrize("text, want", [("2h 30min", 9000.0), ("90", 90.0), ("1.5s", 1.5), ("250ms", 0.25), ("3 us", 0.000003), ("2 weeks", 1209600.0), ("1 month", 2629800.0), ("2y", 63115200.0), ("5 parsecs", None), ("h", None), ("", None), ("1h -2m", None)])
+def test_durations(spark, text, want):
+    got = spark.range(1).select(P.duration_seconds(F.lit(text))).first()[0]
+    assert got is None if want is None else got == pytest.approx(want)
+
+
+def test_terminal_events(spark):
+    events = spark.createDataFrame([(e,) for e in [*rules.EVENT_ORDER, "cancelled"]], "event string")
+    pick = lambda f: {r.event for r in events.filter(f(F.col("event"))).collect()}
+    assert pick(P.terminal) == {"completed", "failed", "preempted", "witness_emitted"}
+    assert pick(P.journal_terminal) == {"completed", "failed", "evidence_pass", "evidence_fail", "witness_emitted"}
+    assert pick(P.evidence) == {"evidence_pass", "evidence_fail"}
+
+
+def test_echo_collapse(spark):
+    """Only the newest terminal takes the first witness of its lane; other leases and later witnesses stay."""
+    events = spark.createDataFrame([(0, 1, 7, 1, None, "started", 1, 0.5), (0, 2, 7, 1, None, "preempted", 2, 0.5), (0, 3, 7, 1, None, "failed", 3, 0.5), (0, 4, 7, 2, 9, "completed", 4, 0.5), (0, 5, 8, 1, 1, "heartbeat", 5, 0.5)],
+                                   "ledger_id long, sequence long, task long, attempt int, lease_epoch long, event string, ts long, gpu_seconds double")
+    witness = spark.createDataFrame([(0, 10, 7, 1, None, "failed", "fresh", 9, None), (0, 11, 7, 1, None, "pass", "fresh", 9, 4.0), (0, 12, 7, 2, 8, "pass", "fresh", 9, 4.0), (0, 13, 8, 1, 1, "pass", "fresh", 9, 4.0)],
+                                    "ledger_id long, seq long, task long, attempt int, lease_epoch long, verdict string, labor_class string, ts long, gpu_seconds double")
+    got = sorted((r.number, r.origin, r.verdict, r.gpu_seconds, r.witness_seq) for r in ledger.echo_collapse(events, witness).collect())
+    assert got == [(1, "journal", None, 0.5, None), (2, "journal", None, 0.5, None), (3, "journal+witness", "failed", 0.5, 10), (4, "journal", None, 0.5, None), (5, "journal", None, 0.5, None),
+                   (11, "witness", "pass", 4.0, 11), (12, "witness", "pass", 4.0, 12), (13, "witness", "pass", 4.0, 13)]
+
+
+def test_dedup_probe_takes_the_latest_pass_with_content(spark):
+    witness = spark.createDataFrame([("k", 0, 5, 1, 1, "pass", True), ("k", 0, 6, 2, 1, "reused", True), ("k", 0, 7, 3, 1, "pass", False), ("k", 0, 4, 4, 1, "pass", True)], "dedup_key string, ledger_id long, seq long, task long, attempt int, verdict string, has_content boolean")
+    out = ledger.dedup_probe(spark.createDataFrame([("k",), ("n",)], "dedup_key string"), witness).collect()
+    assert sorted((r.dedup_key, r.task, r.found) for r in out) == [("k", 1, True), ("n", None, False)]
+
+
+def test_headroom(spark):
+    cases = [((10, 5, None, None), "GO"), ((69, 5, 70.0, None), "SLOW"), ((10, 5, 95.0, None), "STOP"), ((10, 0, None, None), "STOP"), ((10, 5, None, 80.0), "SLOW"), ((90, 5, None, None), "STOP")]
+    df = spark.createDataFrame([c for c, _ in cases], "own int, remaining int, meter double, weekly double")
+    assert [r[0] for r in df.select(P.headroom(F.col("own"), F.col("remaining"), F.col("meter"), F.col("weekly"))).collect()] == [w for _, w in cases]
+
+
+def test_sums_saturate(spark):
+    most = 2**63 - 1
+    df = spark.createDataFrame([(1, most, most, 1, None, None, "USD", 0.0)] * 3 + [(2, 1, None, 2, 3, None, "USD", 0.0)], "run long, input_tokens long, cache_read_tokens long, cache_write_tokens long, output_tokens long, declared_total long, currency string, cost double")
+    got = {r.run: r for r in usage.roll_up(df, "run").collect()}
+    assert (got[1].input_tokens, got[1].fresh_input, got[1].total_tokens, got[1].saturated) == (most, most, most, True)
+    assert (got[2].input_tokens, got[2].fresh_input, got[2].total_tokens, got[2].saturated) == (1, 3, 6, False)
+
+
+def test_missing_attempts_of_a_huge_number(spark):
+    rows = [(1, 2), (1, 2), (1, 2_000_000_000), (2, 1), (2, 2), (3, 70)]
+    got = {r.task: (r.n_missing, r.missing) for r in usage.missing_attempts(spark.createDataFrame(rows, "task long, attempt int")).collect()}
+    assert got[1] == (1_999_999_998, ",".join(map(str, [1, *range(3, 66)]))) and got[3] == (69, ",".join(map(str, range(1, 65)))) and set(got) == {1, 3}
+
+
+def test_blocked_by_follows_any_depth(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 501), (501, 500), (500, 0)], "task long, needs long")
+    got = {(r.task, r.root) for r in graphs.blocked_by(edges, spark.createDataFrame([(0,), (150,)], "task long")).collect()}
+    assert got == {(i, 0) for i in range(1, 201)} | {(i, 150) for i in range(151, 201)} | {(500, 0), (501, 0)}
+
+
+def test_campaign_passes(spark):
+    """Three passes of an issue in a row, one of another registration, one of another issue."""
+    facts = spark.createDataFrame([(1, "i", "o1", "r", None), (2, "i", "o2", "r", 11), (3, "i", "o3", None, 21), (4, "i", "o4", "s", 12), (5, "j", "o5", "r", 31)], "run long, issue string, observation string, registration string, parent long")
+    members = spark.createDataFrame([(1, 11), (1, 12), (2, 22), (3, 31)], "run long, task long")
+    parents = spark.createDataFrame([(21, 22), (22, 23), (23, 22)], "task long, parent long")
+    before = campaigns.precedes(facts, parents, members)
+    assert {(r.ancestor, r.successor) for r in before.collect()} == {(1, 2), (2, 3), (1, 4), (3, 5)}
+    states = spark.createDataFrame([(i, "running" if i == 2 else "idle") for i in range(1, 6)], "run long, state string")
+    assert {(r.run, r.latest, r.observation) for r in campaigns.supersessions(facts, before, states).collect()} == {(1, 2, "o2")}
+    assert sorted((r.issue, r.latest, r.run) for r in campaigns.chains(facts, before).collect()) == [("i", 4, 1), ("i", 4, 4), ("j", 5, 5)]

@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 #: Verdicts and events of the ledger's contract.
 UNCOUNTED = ["clean-exit-no-artifact", "pool-vanished", "preempted", "cancelled", "substituted"]
 PASSING = ["pass", "reused", "substituted"]
-TERMINAL = ["completed", "failed", "preempted", "cancelled"]
+TERMINAL = ["completed", "failed", "preempted", "witness_emitted"]
+EVIDENCE = ["evidence_pass", "evidence_fail"]
+JOURNAL_TERMINAL = ["completed", "failed", *EVIDENCE, "witness_emitted"]
+
+
+#: Names of time units by their seconds.
+UNITS = {
+    1.0: ["", "s", "sec", "secs", "second", "seconds"], 0.001: ["ms", "msec", "msecs"], 0.000001: ["us", "usec", "usecs"],
+    60.0: ["m", "min", "mins", "minute", "minutes"], 3600.0: ["h", "hr", "hrs", "hour", "hours"], 86400.0: ["d", "day", "days"],
+    604800.0: ["w", "week", "weeks"], 2629800.0: ["month", "months"], 31557600.0: ["y", "year", "years"],
+}
 
 
 def canonical_gpu(verdict: Column, labor: Column) -> Column:
@@ -21,9 +31,20 @@ def passing(verdict: Column) -> Column:
 
 
 def terminal(event: Column) -> Column:
+    """ends an attempt; `cancelled` is a verdict, not an event."""
     return event.isin(TERMINAL)
 
 
+def journal_terminal(event: Column) -> Column:
+    """F14, first version: a journal state that is final there, evidence included."""
+    return event.isin(JOURNAL_TERMINAL)
+
+
+def evidence(event: Column) -> Column:
+    """F15."""
+    return event.isin(EVIDENCE)
+
+
 def compatible(a: Column, b: Column) -> Column:
     """null on either side matches."""
     return a.isNull() | b.isNull() | (a == b)
@@ -50,11 +71,12 @@ def from_origin(source: Column, producer: Column, name: str) -> Column:
 
 
 def duration_seconds(text: Column) -> Column:
-    """H3: `2h 30min` and the like to seconds; null if there is no number with a unit."""
-    units = {"s": 1.0, "sec": 1.0, "min": 60.0, "m": 60.0, "h": 3600.0, "d": 86400.0, "day": 86400.0, "days": 86400.0, "w": 604800.0, "week": 604800.0, "month": 2629800.0, "year": 31557600.0}
-    table = F.create_map(*[F.lit(x) for pair in units.items() for x in pair])
-    numbers, names = (F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)\s*([a-z]+)"), F.lit(g)) for g in (1, 2))
-    return F.when(F.size(numbers) > 0, F.aggregate(F.zip_with(numbers, names, lambda n, u: n.cast("double") * table[u]), F.lit(0.0), lambda a, x: a + x))
+    """H3: `2h 30min` and the like to seconds, bare numbers as such; null if anything in it is not a number with a known unit or none."""
+    table = F.create_map(*[F.lit(x) for seconds, names in UNITS.items() for name in names for x in (name, seconds)])
+    part = r"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*([A-Za-z]*)"
+    numbers, names = (F.regexp_extract_all(text, F.lit(part), F.lit(g)) for g in (1, 2))
+    total = F.aggregate(F.zip_with(numbers, names, lambda n, u: n.cast("double") * F.try_element_at(table, u)), F.lit(0.0), lambda a, x: a + x)
+    return F.when(text.rlike(rf"^\s*({part}\s*)+$"), total)
 
 
 def execution_id(task: Column, attempt: Column, lease: Column) -> Column:
@@ -89,6 +111,39 @@ def exclusive_input(inclusive: Column, cached: Column) -> Column:
     return F.when(inclusive >= cached, inclusive - cached)
 
 
-def headroom(percent: Column) -> Column:
-    """What the used share allows."""
-    return F.when(percent >= 90, "STOP").when(percent >= 70, "SLOW").otherwise("GO")
+def headroom(own: Column, remaining: Column, meter: Column, weekly: Column) -> Column:
+    """What a pool allows, from its own used share and a meter's, the greater of them counting, its free slots and the week's share."""
+    percent = F.greatest(own, F.coalesce(meter, F.lit(0.0)))
+    return F.when((remaining <= 0) | (percent >= 90), "STOP").when((percent >= 70) | (weekly >= 80), "SLOW").otherwise("GO")
+
+
+def equals(column: str, value) -> Column:
+    """A filter that is set: null fails it."""
+    return F.coalesce(F.col(column) == value, F.lit(False))
+
+
+def jobs_filter(*, pool: str | None = None, origin: str | None = None, since: Column | None = None, until: Column | None = None, **fields) -> Column:
+    """all filters that are set; fields are live_state, terminal_verdict, executor, adapter, source, parent, session, compared as they are.
+
+    Times bound the later of last_event_at and terminal_at; a run's filter is a
+    join with its members (J5).
+    """
+    unknown = set(fields) - {"live_state", "terminal_verdict", "executor", "adapter", "source", "parent", "session"}
+    if unknown:
+        raise ValueError(f"no such filter: {sorted(unknown)}")
+    out = within(F.greatest("last_event_at", "terminal_at"), since, until)
+    for name, value in fields.items():
+        out = out if value is None else out & equals(name, value)
+    out = out if pool is None else out & in_pool(F.col("pools"), pool)
+    return out if origin is None else out & from_origin(F.col("origin_source"), F.col("producer"), origin)
+
+
+def lifecycle_filter(*, since: Column | None = None, until: Column | None = None, **fields) -> Column:
+    """all filters that are set; fields are task, attempt, session, event, journal_scope, projection_scope, source."""
+    unknown = set(fields) - {"task", "attempt", "session", "event", "journal_scope", "projection_scope", "source"}
+    if unknown:
+        raise ValueError(f"no such filter: {sorted(unknown)}")
+    out = within(F.col("ts"), since, until)
+    for name, value in fields.items():
+        out = out if value is None else out & equals(name, value)
+    return out

@@ -7,13 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from worklens.sources.shared import shared_folder
+
 
 def _kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder where the session names one, so that rounds don't pile up."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/closure-{uuid.uuid4().hex}"
+    """df written to the shared folder, so that rounds don't pile up and survive lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/closure-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,14 +40,38 @@ def conflicts(edges: DataFrame) -> DataFrame:
     return several("run", "second-successor").union(several("successor", "second-predecessor")).union(own)
 
 
-def blocked_by(dependencies: DataFrame, blocked: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(task, root) for every blocked task that a task depends on, near or far; sets, so cycles end."""
-    found = dependencies.join(blocked.select(F.col("task").alias("needs")), "needs").select("task", F.col("needs").alias("root")).distinct()
-    edge = found
-    for _ in range(most_rounds):
-        fresh = dependencies.join(edge.select(F.col("task").alias("needs"), "root"), "needs").select("task", "root").distinct()
-        fresh = _kept(fresh.join(found, ["task", "root"], "left_anti"))
+def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, node) from (name, node) and edges (node, to): all that each name reaches from its nodes, these included.
+
+    The edges of a round are as long as all rounds before reached, so a path of
+    any length is found after the logarithm of it; sets, so cycles end. It stops
+    at the first round that finds nothing new, however long that takes.
+    """
+    found, step = _kept(starts.select("name", "node").distinct()), _kept(edges.select("node", "to").distinct())
+    while True:
+        fresh = found.join(step, "node").select("name", F.col("to").alias("node")).distinct()
+        fresh = _kept(fresh.join(found, ["name", "node"], "left_anti"))
         if fresh.isEmpty():
-            break
-        found, edge = _kept(found.union(fresh)), fresh
-    return found
+            return found
+        found = _kept(found.union(fresh))
+        step = _kept(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")).distinct())
+
+
+def blocked_by(dependencies: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(task, root) for every blocked task that a task depends on, near or far."""
+    back = dependencies.select(F.col("needs").alias("node"), F.col("task").alias("to"))
+    starts = back.join(blocked.select(F.col("task").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("name"), F.col("to").alias("node"))
+    return reach(starts, back).select(F.col("node").alias("task"), F.col("name").alias("root"))
+
+
+def deferrals(dependencies: DataFrame, checkpoints: DataFrame, open_tasks: DataFrame) -> DataFrame:
+    """(checkpoint, task) for open work that a checkpoint waits for though neither depends on the other, near or far.
+
+    checkpoints (checkpoint, campaign) and open_tasks (task, campaign): each
+    checkpoint waits for the open tasks of its campaign. Of related ones only the
+    pairs are looked up, so no task is compared with all others.
+    """
+    back = dependencies.select(F.col("needs").alias("node"), F.col("task").alias("to"))
+    start = checkpoints.select(F.col("checkpoint").alias("name"), F.col("checkpoint").alias("node"))
+    related = reach(start, back).union(reach(start, back.select(F.col("to").alias("node"), F.col("node").alias("to")))).select(F.col("name").alias("checkpoint"), F.col("node").alias("task"))
+    return checkpoints.join(open_tasks, "campaign").select("checkpoint", "task").join(related, ["checkpoint", "task"], "left_anti")

@@ -44,29 +44,49 @@ def milestones(events: DataFrame) -> DataFrame:
 
 
 def jobs_v1(rows: DataFrame, events: DataFrame, witness: DataFrame) -> DataFrame:
-    """Rows, journal state and governing witness of each task, whichever exist."""
-    state = journal_state(events).select("task", F.col("state").alias("journal_state"), "max_attempt")
-    last = rows.select("task", "state").join(state, "task", "full_outer")
-    chosen = governing_witness(last.select("task", F.col("max_attempt").alias("last_attempt")), witness).select("task", "verdict", F.col("seq").alias("witness_seq"))
-    out = last.join(chosen, "task", "full_outer")
-    return out.select("task", F.coalesce("verdict", "journal_state", "state").alias("state"), "max_attempt", "witness_seq", F.when(F.col("witness_seq").isNull(), "queue").otherwise("witness").alias("scope"))
+    """Rows, journal state and governing witness of each task, whichever exist.
+
+    All facts of a task meet in one shuffle. A witness governs if its attempt is
+    not older than the journal's last; so the latest of each attempt is kept, as
+    a map, and that of the greatest seq among the fitting attempts is picked.
+    """
+    fact = lambda df, **have: df.select("task", *[have.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("state", "string"), ("at", "struct<us:bigint,n:bigint>"), ("event", "string"), ("journal_attempt", "int"), ("attempt", "int"), ("seq", "bigint"), ("verdict", "string"))])
+    at = F.struct(F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-1)).alias("us"), F.col("sequence").alias("n"))
+    facts = fact(rows, state=F.col("state")).union(fact(events, at=at, event=F.col("event"), journal_attempt=F.col("attempt"))).union(fact(witness, attempt=F.col("attempt"), seq=F.col("seq"), verdict=F.col("verdict")))
+    lanes = facts.groupBy("task", "attempt").agg(F.max("state").alias("state"), F.max_by("event", "at").alias("journal_state"), F.max("journal_attempt").alias("max_attempt"), F.max(F.struct("seq", "verdict")).alias("latest"))
+    found = lanes.groupBy("task").agg(F.max("state").alias("state"), F.max("journal_state").alias("journal_state"), F.max("max_attempt").alias("max_attempt"), F.collect_list(F.when(F.col("latest.seq").isNotNull(), F.struct("latest", "attempt"))).alias("seen"))
+    fitting = F.array_max(F.transform(F.filter("seen", lambda x: F.col("max_attempt").isNull() | (x["attempt"] >= F.col("max_attempt"))), lambda x: x["latest"]))
+    out = found.withColumn("chosen", fitting)
+    return out.select("task", F.coalesce("chosen.verdict", "journal_state", "state").alias("state"), "max_attempt", F.col("chosen.seq").alias("witness_seq"), F.when(F.col("chosen.seq").isNull(), "queue").otherwise("witness").alias("scope"))
 
 
 def echo_collapse(events: DataFrame, witness: DataFrame) -> DataFrame:
-    """The newest journal terminal of a key absorbs its first witness, which then shows no row of its own."""
-    key = ["task", "attempt"]
-    terminal = events.filter(P.terminal(F.col("event"))).withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("sequence")))).filter("n = 1").select(*key, "sequence")
-    first = witness.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("ledger_id", "seq"))).filter("n = 1").select(*key, "ledger_id", "seq")
-    same = [terminal[k].eqNullSafe(first[k]) for k in key]
-    absorbed = terminal.join(first, same).select(first["ledger_id"], first["seq"])
-    shown = witness.join(absorbed, ["ledger_id", "seq"], "left_anti").select(F.lit("witness").alias("origin"), "task", "attempt", F.col("seq").alias("number"), "ts")
-    return events.select(F.lit("journal").alias("origin"), "task", "attempt", F.col("sequence").alias("number"), "ts").unionByName(shown)
+    """The newest journal terminal of a lane absorbs the lane's first witness, which then shows no row of its own.
+
+    Lanes are (task, attempt, lease_epoch), of which the last two may be null.
+    The row that absorbs keeps its own number and time; what the witness says of
+    outcome, labor and seconds goes before what the journal says. One shuffle by
+    lane serves both sides.
+    """
+    mine = ["origin", *LANE, "ledger_id", "number", "ts", "terminal", "verdict", "labor_class", "gpu_seconds"]
+    journal = events.withColumns({"origin": F.lit("journal"), "number": F.col("sequence"), "terminal": P.terminal(F.col("event")), "verdict": F.lit(None).cast("string"), "labor_class": F.lit(None).cast("string")})
+    both = journal.select(*mine).union(witness.withColumns({"origin": F.lit("witness"), "number": F.col("seq"), "terminal": F.lit(False)}).select(*mine))
+    lane = Window.partitionBy(*LANE)
+    is_witness = F.col("origin") == "witness"
+    last = F.max(F.when(F.col("terminal"), F.col("number"))).over(lane)
+    first = F.min(F.when(is_witness, F.struct("ledger_id", "number"))).over(lane)
+    said = F.min_by(F.struct("number", "verdict", "labor_class", "gpu_seconds"), F.when(is_witness, F.struct("ledger_id", "number"))).over(lane)
+    out = both.withColumns({"last": last, "first": first, "said": said})
+    out = out.filter(~(is_witness & F.col("last").isNotNull() & (F.struct("ledger_id", "number") == F.col("first"))))
+    merged = F.col("terminal") & (F.col("number") == F.col("last")) & F.col("first").isNotNull()
+    pick = lambda c: F.when(merged, F.coalesce(F.col(f"said.{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
+    return out.select(F.when(merged, "journal+witness").otherwise(F.col("origin")).alias("origin"), *LANE, "number", "ts", pick("verdict"), pick("labor_class"), pick("gpu_seconds"), F.when(merged, F.col("said.number")).when(is_witness, F.col("number")).alias("witness_seq"))
 
 
 def dedup_probe(keys: DataFrame, witness: DataFrame) -> DataFrame:
-    """The latest passing witness of each dedup key, if any."""
-    best = witness.filter(P.passing(F.col("verdict"))).groupBy("dedup_key").agg(F.max_by(F.struct("task", "attempt", "ts"), F.struct("ts", "ledger_id", "seq")).alias("hit"))
-    return keys.join(best, "dedup_key", "left").select("dedup_key", F.col("hit.task").alias("task"), F.col("hit.attempt").alias("attempt"), F.col("hit").isNotNull().alias("found"))
+    """Of each dedup key the witness of greatest seq that passed, with content of its own: a hash or store paths (has_content)."""
+    best = witness.filter((F.col("verdict") == "pass") & F.col("has_content")).groupBy("dedup_key").agg(F.max_by(F.struct("task", "attempt", "seq"), F.struct("seq", "ledger_id")).alias("hit"))
+    return keys.join(best, "dedup_key", "left").select("dedup_key", F.col("hit.task").alias("task"), F.col("hit.attempt").alias("attempt"), F.col("hit.seq").alias("seq"), F.col("hit").isNotNull().alias("found"))
 
 
 def run_members(rows: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -31,13 +31,17 @@ def run_proofs(members: DataFrame, proofs_: DataFrame) -> DataFrame:
     return ordinal.join(proofs_, "task", "left").select("run", "task", "ordinal", "attempt", F.coalesce("status", F.lit("no-witness")).alias("status"))
 
 
-def dedup_verdict(found: Column, current: Column, declared: Column, witnessed: Column, paths: Column, witnessed_paths: Column) -> Column:
+def dedup_verdict(key: Column, found: Column, evidence: Column, current: Column, declared: Column, witnessed: Column, paths: Column, witnessed_paths: Column) -> Column:
     """Why a dedup key misses, in the ledger's order of questions; null for a hit.
 
-    No current artifact leaves nothing to compare but the declared paths.
+    key is the job's, blank or null for none; evidence tells whether it declares
+    any artifact or store path. No current artifact leaves nothing to compare but
+    the declared paths.
     """
     return (
-        F.when(~found, "no-witness")
+        F.when(F.coalesce(F.trim(key), F.lit("")) == "", "no-key")
+        .when(~found, "no-prior-pass")
+        .when(~evidence, "no-artifact-evidence")
         .when(declared.isNotNull() & ~declared.eqNullSafe(current), "declared-hash-mismatch")
         .when(current.isNotNull() & ~witnessed.eqNullSafe(current), "witness-hash-mismatch")
         .when((F.size(F.coalesce(paths, F.array().cast("array<string>"))) > 0) & ~F.array_sort(F.array_distinct(paths)).eqNullSafe(witnessed_paths), "store-paths-mismatch")

@@ -11,18 +11,25 @@ def log_filter(log: DataFrame, since: Column) -> DataFrame:
     return log.filter(F.coalesce(F.try_to_timestamp("at") >= since, F.lit(False)))
 
 
-def known_pools(pools: DataFrame, wanted: list[str]) -> DataFrame:
-    """F8: (pool, known) for the pools asked for, so that unknown ones show instead of vanishing."""
-    names = pools.sparkSession.createDataFrame([(p,) for p in wanted], "pool string")
+def known_pools(pools: DataFrame, wanted: DataFrame) -> DataFrame:
+    """F8: (pool, known) for the pools asked for, each once, so that unknown ones show instead of vanishing."""
+    names = wanted.select("pool").distinct()
     there = pools.select("pool", F.lit(True).alias("known")).distinct()
     return names.join(there, "pool", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def fresh_meters(meters: DataFrame, now: Column, seconds: int) -> DataFrame:
-    """Each pool's latest reading (pool, observed_at, n, percent, resets_at) and whether it may be used."""
-    last = meters.groupBy("pool").agg(F.max_by(F.struct("observed_at", "percent", "resets_at"), F.struct("observed_at", "n")).alias("x")).select("pool", "x.*")
+    """Each pool's latest reading (pool, observed_at, n, budget_class, percent, weekly, resets_at) and whether it may be used.
+
+    It must be of the programmatic class, not of the future nor older than
+    `seconds`, reset after now and not before it was observed, and both shares
+    must be 0 to 100; the weekly one may be missing.
+    """
+    last = meters.groupBy("pool").agg(F.max_by(F.struct("observed_at", "budget_class", "percent", "weekly", "resets_at"), F.struct("observed_at", "n")).alias("x")).select("pool", "x.*")
+    share = lambda c: F.col(c).between(0, 100) & ~F.isnan(c)
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("observed_at").cast("timestamp"))
-    good = (age >= 0) & (age <= seconds * 1_000_000) & (F.col("resets_at") > now) & F.col("percent").between(0, 100) & ~F.isnan("percent")
+    good = (age >= 0) & (age <= seconds * 1_000_000) & (F.col("resets_at") > now) & (F.col("resets_at") >= F.col("observed_at")) & share("percent")
+    good = good & (F.col("budget_class") == "programmatic") & (F.col("weekly").isNull() | share("weekly"))
     return last.select("pool", "observed_at", "percent", F.coalesce(good, F.lit(False)).alias("fresh"))
 
 

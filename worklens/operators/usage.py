@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklens.functions import predicates as P
+
 COMPONENTS = ["input_tokens", "cache_read_tokens", "cache_write_tokens", "output_tokens"]
 #: Sums stop at the largest number that their column, a signed long, holds.
 MOST = "9223372036854775807"
@@ -17,19 +19,24 @@ def last_attestation(rows: DataFrame) -> DataFrame:
 
 
 def roll_up(rows: DataFrame, key: str) -> DataFrame:
-    """A2 to A5: sums with how many attempts gave each; what is missing stays null, never zero."""
-    total = F.coalesce(F.col("declared_total"), sum(F.coalesce(F.col(c), F.lit(0)) for c in COMPONENTS))
+    """A2 to A5: sums with how many attempts gave each; what is missing stays null, never zero.
+
+    R14: sums are taken as wide decimals and stop at MOST; `saturated` tells that one did.
+    """
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
+    total = F.coalesce(wide("declared_total"), sum(F.coalesce(wide(c), F.lit(0)) for c in COMPONENTS))
     known = F.col("declared_total").isNotNull() | F.greatest(*[F.col(c) for c in COMPONENTS]).isNotNull()
-    fresh = F.col("input_tokens") + F.col("cache_write_tokens")
-    whole = {c: F.sum(F.col(c).cast("decimal(38,0)")) for c in COMPONENTS}
-    sums = [F.when(s.isNotNull(), F.least(s, F.lit(MOST).cast("decimal(38,0)"))).cast("long").alias(c) for c, s in whole.items()]  # least passes nulls over
+    fresh = wide("input_tokens") + wide("cache_write_tokens")
+    sums = {c: F.sum(wide(c)) for c in COMPONENTS} | {"fresh_input": F.sum(fresh), "total_tokens": F.sum(F.when(known, total))}
+    most = F.lit(MOST).cast("decimal(38,0)")
+    capped = [F.when(s.isNotNull(), F.least(s, most)).cast("long").alias(c) for c, s in sums.items()]  # least passes nulls over
+    over = F.greatest(*[F.coalesce(s > most, F.lit(False)) for s in sums.values()])
     counts = [F.count(c).alias(f"n_{c}") for c in COMPONENTS]
     usd = F.col("currency") == "USD"
     declared, derived = F.max(F.col("declared_total").isNotNull()), F.max(F.col("declared_total").isNull() & known)
     source = F.when(declared & derived, "mixed").when(declared, "harness").when(derived, "derived")
     return rows.groupBy(key).agg(
-        F.count("*").alias("attempts"), *sums, *counts, F.sum(fresh).alias("fresh_input"), F.count(fresh).alias("n_fresh_input"),
-        F.sum(F.when(known, total)).alias("total_tokens"), source.alias("total_source"),
+        F.count("*").alias("attempts"), *capped, *counts, F.count(fresh).alias("n_fresh_input"), over.alias("saturated"), source.alias("total_source"),
         F.round(F.sum(F.when(usd, F.col("cost"))).cast("double"), 6).alias("cost_usd"), F.count_if(~usd).alias("n_other_currency"),
     )
 
@@ -41,10 +48,19 @@ def field_coverage(rows: DataFrame, key: str) -> DataFrame:
 
 
 def missing_attempts(rows: DataFrame, most: int = 64) -> DataFrame:
-    """Attempts below the greatest that no attestation names, the first `most` of each task."""
-    top = rows.groupBy("task").agg(F.max("attempt").alias("top"), F.collect_set("attempt").alias("seen"))
-    missing = F.array_except(F.sequence(F.lit(1), F.greatest(F.col("top"), F.lit(1))), F.col("seen"))
-    return top.select("task", F.size(missing).alias("n_missing"), F.array_join(F.slice(F.array_sort(missing), 1, most), ",").alias("missing")).filter("n_missing > 0")
+    """Attempts below the greatest that no attestation names, the first `most` of each task.
+
+    Gaps between the attempts that are there are counted, not listed, so a lone
+    attempt of a great number costs no more than another; each gap lists its
+    first `most` at most.
+    """
+    before = F.coalesce(F.lag("attempt").over(Window.partitionBy("task").orderBy("attempt")), F.lit(0))
+    gaps = rows.select("task", F.col("attempt").cast("long").alias("attempt")).filter("attempt > 0").distinct().withColumn("before", before).filter("attempt > before + 1")
+    listed = F.sequence(F.col("before") + 1, F.least(F.col("attempt") - 1, F.col("before") + most))
+    ranked = gaps.withColumn("upto", F.sum(F.col("attempt") - F.col("before") - 1).over(Window.partitionBy("task").orderBy("attempt").rowsBetween(Window.unboundedPreceding, -1)))
+    near = F.when(F.coalesce("upto", F.lit(0)) < most, listed)
+    out = ranked.groupBy("task").agg(F.sum(F.col("attempt") - F.col("before") - 1).alias("n_missing"), F.array_sort(F.flatten(F.collect_list(near))).alias("first"))
+    return out.select("task", "n_missing", F.array_join(F.slice("first", 1, most), ",").alias("missing"))
 
 
 def deltas(rows: DataFrame) -> DataFrame:
@@ -56,13 +72,24 @@ def deltas(rows: DataFrame) -> DataFrame:
     return out.select("session", "ledger_id", "seq", "reason", "delta")
 
 
-def trailing_debit(debits: DataFrame, window: str) -> DataFrame:
-    """Per pool the debits of the half-open trailing window at each debit; one expires at exactly its end."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    width = F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00' + interval {window})")
-    n = debits.sparkSession.range(1).select(width).first()[0]
-    over = Window.partitionBy("pool").orderBy(micros).rangeBetween(-(n - 1), 0)
-    return debits.select("pool", "sequence", F.round(F.sum("gpu_seconds").over(over), 4).alias("in_window"))
+def trailing_debit(debits: DataFrame, seconds: int) -> DataFrame:
+    """Per pool the debits of the half-open trailing window at each debit; one expires at exactly its end.
+
+    Time is cut in spans as long as the window, so a window lies in its own span
+    and the one before. Sums run inside a span of a pool, never over a whole
+    pool: what the own span holds up to here, and what the one before holds less
+    what has expired there.
+    """
+    width = seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = debits.select("pool", "sequence", F.col("gpu_seconds").alias("x"), at.alias("at"), F.floor(at / width).alias("span"))
+    span = Window.partitionBy("pool", "span")
+    upto = span.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    probes = rows.select("pool", "sequence", F.lit(0.0).alias("x"), (F.col("at") - width).alias("at"), (F.col("span") - 1).alias("span"), F.lit(True).alias("asks"))
+    every = rows.withColumn("asks", F.lit(False)).union(probes)
+    sums = every.withColumns({"so_far": F.sum("x").over(upto), "all": F.sum("x").over(span)})
+    part = F.when(F.col("asks"), F.col("all") - F.col("so_far")).otherwise(F.col("so_far"))
+    return sums.groupBy("pool", "sequence").agg(F.round(F.sum(part), 4).alias("in_window"))
 
 
 def first_grants(events: DataFrame) -> DataFrame:
@@ -70,11 +97,23 @@ def first_grants(events: DataFrame) -> DataFrame:
     return events.groupBy("task", "attempt").agg(F.min_by(F.struct("sequence", "pool", "gpu_seconds", "ts"), "sequence").alias("x")).select("task", "attempt", "x.*")
 
 
-def pool_headroom(debits: DataFrame, pools: DataFrame, level) -> DataFrame:
-    """What pools hold, use and allow; pools without debits too."""
-    held = debits.groupBy("pool").agg(F.count("*").alias("held"), F.sum("gpu_seconds").alias("used"))
-    out = pools.join(held, "pool", "left").withColumns({"held": F.coalesce("held", F.lit(0)), "used": F.round(F.coalesce("used", F.lit(0.0)), 4)})
-    return out.withColumn("percent", F.floor(F.col("used") * 100 / F.col("capacity"))).withColumn("allows", level(F.col("percent")))
+def pool_headroom(records: DataFrame, pools: DataFrame) -> DataFrame:
+    """What pools hold, have queued, use and allow; pools without records too.
+
+    A lane holds its pool from its last `started` until a later terminal record,
+    and is queued from `enqueued` until it starts; each counts once. Its seconds
+    are used while it holds. pools (pool, capacity, slots, meter, weekly).
+    """
+    last = records.groupBy("pool", "task", "attempt").agg(
+        F.max(F.when(F.col("event") == "started", F.col("sequence"))).alias("began"), F.max(F.when(F.col("event") == "enqueued", F.col("sequence"))).alias("asked"),
+        F.max(F.when(P.terminal(F.col("event")), F.col("sequence"))).alias("ended"), F.sum(F.when(F.col("event") == "started", F.col("gpu_seconds"))).alias("spent"),
+    )
+    holds = F.col("began").isNotNull() & (F.col("ended").isNull() | (F.col("ended") < F.col("began")))
+    waits = F.col("asked").isNotNull() & (F.col("began").isNull() | (F.col("began") < F.col("asked"))) & (F.col("ended").isNull() | (F.col("ended") < F.col("asked")))
+    held = last.groupBy("pool").agg(F.count_if(holds).alias("held"), F.count_if(waits).alias("queued"), F.sum(F.when(holds, F.col("spent"))).alias("used"))
+    out = pools.join(held, "pool", "left").withColumns({"held": F.coalesce("held", F.lit(0)), "queued": F.coalesce("queued", F.lit(0)), "used": F.round(F.coalesce("used", F.lit(0.0)), 4)})
+    out = out.withColumns({"percent": F.floor(F.col("used") * 100 / F.col("capacity")), "remaining": F.greatest(F.lit(0), F.col("slots") - F.col("held"))})
+    return out.withColumn("allows", P.headroom(F.col("percent"), F.col("remaining"), F.col("meter"), F.col("weekly")))
 
 
 def interleaved(rows: DataFrame, group: str) -> DataFrame:

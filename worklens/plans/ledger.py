@@ -25,21 +25,25 @@ def run_gpu_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("jobs_filter", with_(WITNESS) + """
 SELECT ledger_id, seq, task, verdict FROM witness
-WHERE verdict IN ('pass', 'reused', 'substituted') AND ts >= TIMESTAMP '1999-01-01' AND ts <= TIMESTAMP '2000-01-01' AND lease_epoch = 7""")
+WHERE verdict = 'pass' AND ts >= TIMESTAMP '1999-01-01' AND ts <= TIMESTAMP '2000-01-01' AND lease_epoch % 10 = 7 AND labor_class = 'fresh' AND (dedup_key % 3 = 1 OR task % 5 = 1)""")
 def jobs_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, F13, R12."""
-    rows = bridge.witness(spark, sf_dir)
-    keep = P.passing(F.col("verdict")) & P.within(F.col("ts"), F.to_timestamp(F.lit("1999-01-01")), F.to_timestamp(F.lit("2000-01-01"))) & (F.col("lease_epoch") == 7)
-    return rows.filter(keep).select("ledger_id", "seq", "task", "verdict")
+    """A record's lease says its pool, its labor the adapter, its keys the origin."""
+    rows = bridge.witness(spark, sf_dir).withColumns({
+        "last_event_at": F.col("ts"), "terminal_at": F.col("ts"), "terminal_verdict": F.col("verdict"), "adapter": F.col("labor_class"), "pools": F.array(F.concat(F.lit("pool-"), F.col("lease_epoch") % 10)),
+        "origin_source": F.when(F.col("dedup_key") % 3 == 1, "forge").otherwise("manual"), "producer": F.when(F.col("task") % 5 == 1, "forge"),
+    })
+    keep = P.jobs_filter(terminal_verdict="pass", pool="pool-7", adapter="fresh", origin="forge", since=F.to_timestamp(F.lit("1999-01-01")), until=F.to_timestamp(F.lit("2000-01-01")))
+    return rows.filter(keep & P.passing(F.col("verdict"))).select("ledger_id", "seq", "task", "verdict")
 
 
 @register("lifecycle_filter", with_(EVENTS) + """
-SELECT sequence, task, event FROM lifecycle WHERE event IN ('completed', 'failed') AND pool = 'pool-3' AND ts >= TIMESTAMP '2024-01-10' AND context_tokens > 20""")
+SELECT sequence, task, event FROM lifecycle WHERE event = 'completed' AND attempt = 1 AND ledger_id % 2 = 0 AND pool = 'pool-3' AND ts >= TIMESTAMP '2024-01-02'
+UNION ALL SELECT sequence, task, event FROM lifecycle WHERE event IN ('completed', 'failed') AND context_tokens > 60""")
 def lifecycle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4, F14."""
-    rows = bridge.lifecycle(spark, sf_dir)
-    keep = P.terminal(F.col("event")) & (F.col("pool") == "pool-3") & P.within(F.col("ts"), F.to_timestamp(F.lit("2024-01-10")), None) & (F.col("context_tokens") > 20)
-    return rows.filter(keep).select("sequence", "task", "event")
+    """one filter of several fields, and all terminal records of wide contexts."""
+    rows = bridge.lifecycle(spark, sf_dir).withColumns({"journal_scope": F.when(F.col("ledger_id") % 2 == 0, "even").otherwise("odd"), "source": F.col("pool")})
+    one = rows.filter(P.lifecycle_filter(event="completed", attempt=1, journal_scope="even", source="pool-3", since=F.to_timestamp(F.lit("2024-01-02"))))
+    return one.union(rows.filter(P.terminal(F.col("event")) & (F.col("context_tokens") > 60))).select("sequence", "task", "event")
 
 
 @register("archived_runs", with_(TASKS) + """
@@ -106,21 +110,27 @@ def jobs_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("echo_collapse", with_(WITNESS, EVENTS) + """,
-terminal AS (SELECT task, attempt FROM lifecycle WHERE event IN ('completed', 'failed') GROUP BY ALL),
-first AS (SELECT *, row_number() OVER (PARTITION BY task, attempt ORDER BY ledger_id, seq) AS n FROM witness)
-SELECT 'journal' AS origin, task, attempt, sequence AS number, ts FROM lifecycle
-UNION ALL SELECT 'witness', f.task, f.attempt, f.seq, f.ts FROM first f LEFT JOIN terminal t ON f.task = t.task AND f.attempt = t.attempt WHERE NOT (n = 1 AND t.task IS NOT NULL)""")
+j AS (SELECT *, CASE WHEN task % 3 = 0 THEN attempt END AS lease, event IN ('completed', 'failed') AS terminal FROM lifecycle),
+w AS (SELECT *, CASE WHEN task % 3 = 0 THEN attempt END AS lease FROM witness),
+last AS (SELECT task, attempt, lease, max(sequence) AS sequence FROM j WHERE terminal GROUP BY ALL),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task, attempt, lease ORDER BY ledger_id, seq) AS n FROM w) WHERE n = 1)
+SELECT CASE WHEN f.task IS NOT NULL THEN 'journal+witness' ELSE 'journal' END AS origin, j.task, j.attempt, j.lease AS lease_epoch, j.sequence AS number, j.ts, f.verdict, f.labor_class, coalesce(f.gpu_seconds, j.gpu_seconds) AS gpu_seconds, f.seq AS witness_seq
+FROM j LEFT JOIN last l ON j.terminal AND j.sequence = l.sequence LEFT JOIN first f ON l.task = f.task AND l.attempt = f.attempt AND l.lease IS NOT DISTINCT FROM f.lease
+UNION ALL SELECT 'witness', w.task, w.attempt, w.lease, w.seq, w.ts, w.verdict, w.labor_class, w.gpu_seconds, w.seq
+FROM w LEFT JOIN (SELECT f.ledger_id, f.seq FROM first f JOIN last l ON l.task = f.task AND l.attempt = f.attempt AND l.lease IS NOT DISTINCT FROM f.lease) x ON x.ledger_id = w.ledger_id AND x.seq = w.seq WHERE x.seq IS NULL""")
 def echo_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6, W9, U3."""
-    return ledger.echo_collapse(bridge.lifecycle(spark, sf_dir), bridge.witness(spark, sf_dir))
+    """Tasks of two thirds have no lease, which matches as null."""
+    lease = F.when(F.col("task") % 3 == 0, F.col("attempt"))
+    return ledger.echo_collapse(bridge.lifecycle(spark, sf_dir).withColumn("lease_epoch", lease), bridge.witness(spark, sf_dir).withColumn("lease_epoch", lease))
 
 
 @register("dedup_probe", with_(WITNESS) + """,
-hit AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY ts DESC, ledger_id DESC, seq DESC) AS n FROM witness WHERE verdict = 'pass')
-SELECT p_partkey AS dedup_key, task, attempt, task IS NOT NULL AS found FROM part LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON p_partkey = dedup_key""")
+hit AS (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY seq DESC, ledger_id DESC) AS n FROM witness WHERE verdict = 'pass' AND discount <> 0.05 AND lease_epoch % 3 <> 0)
+SELECT p_partkey AS dedup_key, task, attempt, seq, task IS NOT NULL AS found FROM part LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON p_partkey = dedup_key""")
 def dedup_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J8."""
-    return ledger.dedup_probe(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dedup_key")), bridge.witness(spark, sf_dir))
+    """Some records were reused, a third have no content; neither is found."""
+    rows = bridge.witness(spark, sf_dir).withColumns({"verdict": F.when((F.col("verdict") == "pass") & (F.col("discount") == 0.05), "reused").otherwise(F.col("verdict")), "has_content": F.col("lease_epoch") % 3 != 0})
+    return ledger.dedup_probe(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dedup_key")), rows)
 
 
 @register("run_members", with_(TASKS, MEMBERS) + """
@@ -183,7 +193,7 @@ SELECT run, count(*) AS attempts, sum(input_tokens)::BIGINT AS input_tokens, sum
        count(input_tokens) AS n_input_tokens, count(cache_read_tokens) AS n_cache_read_tokens, count(cache_write_tokens) AS n_cache_write_tokens, count(output_tokens) AS n_output_tokens,
        sum(input_tokens + cache_write_tokens)::BIGINT AS fresh_input, count(input_tokens + cache_write_tokens) AS n_fresh_input,
        sum(CASE WHEN known THEN coalesce(declared_total, coalesce(input_tokens, 0) + coalesce(cache_read_tokens, 0) + coalesce(cache_write_tokens, 0) + coalesce(output_tokens, 0)) END)::BIGINT AS total_tokens,
-       CASE WHEN bool_or(declared_total IS NOT NULL) AND bool_or(declared_total IS NULL AND known) THEN 'mixed' WHEN bool_or(declared_total IS NOT NULL) THEN 'harness' WHEN bool_or(declared_total IS NULL AND known) THEN 'derived' END AS total_source,
+       CASE WHEN bool_or(declared_total IS NOT NULL) AND bool_or(declared_total IS NULL AND known) THEN 'mixed' WHEN bool_or(declared_total IS NOT NULL) THEN 'harness' WHEN bool_or(declared_total IS NULL AND known) THEN 'derived' END AS total_source, false AS saturated,
        round(sum(cost) FILTER (WHERE currency = 'USD'), 6) AS cost_usd, count(*) FILTER (WHERE currency <> 'USD') AS n_other_currency
 FROM (SELECT *, declared_total IS NOT NULL OR coalesce(input_tokens, cache_read_tokens, cache_write_tokens, output_tokens) IS NOT NULL AS known FROM last) JOIN task_rows USING (task) GROUP BY run""")
 def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +234,7 @@ def usage_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT pool, sequence, round(sum(gpu_seconds) OVER (PARTITION BY pool ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), 4) AS in_window FROM lifecycle""")
 def trailing_debit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W19, A26."""
-    return usage.trailing_debit(bridge.lifecycle(spark, sf_dir), "1 hour")
+    return usage.trailing_debit(bridge.lifecycle(spark, sf_dir), 3600)
 
 
 @register("first_grants", with_(EVENTS) + """
@@ -235,13 +245,16 @@ def first_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("pool_headroom", with_(EVENTS, POOLS) + """,
-held AS (SELECT pool, count(*) AS held, sum(gpu_seconds) AS used FROM lifecycle WHERE event = 'started' GROUP BY pool),
-t AS (SELECT pool, capacity, coalesce(held, 0) AS held, round(coalesce(used, 0), 4) AS used FROM pools LEFT JOIN held USING (pool)),
-p AS (SELECT *, floor(used * 100 / capacity)::BIGINT AS percent FROM t)
-SELECT *, CASE WHEN percent >= 90 THEN 'STOP' WHEN percent >= 70 THEN 'SLOW' ELSE 'GO' END AS allows FROM p""")
+lane AS (SELECT pool, task, attempt, max(sequence) FILTER (WHERE event = 'started') AS began, max(sequence) FILTER (WHERE event = 'enqueued') AS asked,
+                max(sequence) FILTER (WHERE event IN ('completed', 'failed')) AS ended, sum(gpu_seconds) FILTER (WHERE event = 'started') AS spent FROM lifecycle GROUP BY ALL),
+f AS (SELECT pool, spent, began IS NOT NULL AND (ended IS NULL OR ended < began) AS holds, asked IS NOT NULL AND (began IS NULL OR began < asked) AND (ended IS NULL OR ended < asked) AS waits FROM lane),
+held AS (SELECT pool, count(*) FILTER (WHERE holds) AS held, count(*) FILTER (WHERE waits) AS queued, sum(spent) FILTER (WHERE holds) AS used FROM f GROUP BY pool),
+t AS (SELECT p.*, coalesce(held, 0) AS held, coalesce(queued, 0) AS queued, round(coalesce(used, 0), 4) AS used FROM pools p LEFT JOIN held USING (pool)),
+p AS (SELECT *, floor(used * 100 / capacity)::BIGINT AS percent, greatest(0, slots - held) AS remaining FROM t)
+SELECT *, CASE WHEN remaining <= 0 OR greatest(percent, coalesce(meter, 0)) >= 90 THEN 'STOP' WHEN greatest(percent, coalesce(meter, 0)) >= 70 OR coalesce(weekly, 0) >= 80 THEN 'SLOW' ELSE 'GO' END AS allows FROM p""")
 def pool_headroom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A27, A28, H25."""
-    return usage.pool_headroom(bridge.lifecycle(spark, sf_dir).filter("event = 'started'"), bridge.pools(spark, sf_dir), P.headroom)
+    """A26 to A28, H25."""
+    return usage.pool_headroom(bridge.lifecycle(spark, sf_dir), bridge.pools(spark, sf_dir))
 
 
 @register("fair_interleave", with_(TASKS) + """
@@ -261,20 +274,20 @@ def lineage_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("lineage_conflicts", with_(TASKS) + """,
-e AS (SELECT DISTINCT run % 500 AS run, priority * 100 + run % 100 AS successor FROM task_rows)
+e AS (SELECT DISTINCT run, run + priority - 2 AS successor FROM task_rows)
 SELECT run, 'second-successor' AS problem FROM e GROUP BY run HAVING count(*) > 1
 UNION ALL SELECT successor, 'second-predecessor' FROM e GROUP BY successor HAVING count(*) > 1
 UNION ALL SELECT run, 'self-edge' FROM e WHERE run = successor""")
 def lineage_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J16."""
-    edges = bridge.task_rows(spark, sf_dir).select((F.col("run") % 500).alias("run"), (F.col("priority") * 100 + F.col("run") % 100).alias("successor")).distinct()
+    edges = bridge.task_rows(spark, sf_dir).select("run", (F.col("run") + F.col("priority") - 2).alias("successor")).distinct()
     return graphs.conflicts(edges)
 
 
 @register("blocked_roots", with_(LINEAGE, """needs AS (SELECT successor AS task, run AS needs FROM lineage)""", """
 closure AS (SELECT task, needs AS root FROM needs WHERE needs % 9 = 0 UNION SELECT n.task, c.root FROM needs n JOIN closure c ON n.needs = c.task)""", recursive=True) + "SELECT task, root FROM closure")
 def blocked_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A32, A33, J17."""
+    """A32."""
     edges = bridge.lineage(spark, sf_dir).select(F.col("successor").alias("task"), F.col("run").alias("needs"))
     return graphs.blocked_by(edges, edges.filter("needs % 9 = 0").select(F.col("needs").alias("task")).distinct())
 
@@ -329,10 +342,12 @@ f AS (SELECT doc_id, regexp_matches(lower(line), '(token|secret|password|api_key
              len(list_filter(regexp_extract_all(line, '[A-Za-z0-9_]{32,}'), lambda r: NOT regexp_full_match(r, '[0-9a-f]{40}|[0-9a-f]{64}'))) > 0 AS shaped FROM l)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE marked) AS marked, count(*) FILTER (WHERE shaped) AS shaped, count(*) FILTER (WHERE marked OR shaped) AS redacted FROM f GROUP BY doc_id""")
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted in the row's own array, without exploding lines."""
+    """Each line's two signs are found once, in the row's own array, and added up from there."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    n = lambda f: F.size(F.filter(lines, f)).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("n_lines"), n(lambda x: P.marked_secret(x)).alias("marked"), n(lambda x: P.token_shaped(x)).alias("shaped"), n(lambda x: P.marked_secret(x) | P.token_shaped(x)).alias("redacted"))
+    signs = F.transform(lines, lambda x: P.marked_secret(x).cast("int") + 2 * P.token_shaped(x).cast("int"))
+    found = table(spark, sf_dir, "documents").select("doc_id", signs.alias("signs"))
+    n = lambda *which: F.size(F.filter("signs", lambda x: x.isin(*which))).cast("long")
+    return found.select("doc_id", F.size("signs").cast("long").alias("n_lines"), n(1, 3).alias("marked"), n(2, 3).alias("shaped"), n(1, 2, 3).alias("redacted"))
 
 
 @register("event_windows", with_(EVENTS) + """

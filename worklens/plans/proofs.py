@@ -41,9 +41,11 @@ def run_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("dedup_verdicts", with_(WITNESS) + """,
-hit AS (SELECT dedup_key, arg_max(lease_epoch, (ts, ledger_id, seq)) AS lease_epoch, arg_max(attempt, (ts, ledger_id, seq)) AS attempt FROM witness WHERE verdict = 'pass' GROUP BY dedup_key)
+hit AS (SELECT dedup_key, arg_max(lease_epoch, (seq, ledger_id)) AS lease_epoch, arg_max(attempt, (seq, ledger_id)) AS attempt FROM witness WHERE verdict = 'pass' GROUP BY dedup_key)
 SELECT p_partkey AS dedup_key,
-       CASE WHEN h.dedup_key IS NULL THEN 'no-witness'
+       CASE WHEN p_partkey % 11 = 0 THEN 'no-key'
+            WHEN h.dedup_key IS NULL THEN 'no-prior-pass'
+            WHEN p_partkey % 13 = 0 THEN 'no-artifact-evidence'
             WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> p_partkey % 7 THEN 'declared-hash-mismatch'
             WHEN lease_epoch % 3 <> p_partkey % 3 THEN 'witness-hash-mismatch'
             WHEN p_partkey % 2 = 0 AND attempt % 2 <> 0 THEN 'store-paths-mismatch' END AS miss
@@ -51,13 +53,14 @@ FROM part LEFT JOIN hit h ON p_partkey = h.dedup_key""")
 def dedup_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J9."""
     hash_of = lambda c, n: F.concat(F.lit("sha256:"), F.col(c) % n)
-    hit = bridge.witness(spark, sf_dir).filter("verdict = 'pass'").groupBy("dedup_key").agg(F.max_by(F.struct("lease_epoch", "attempt"), F.struct("ts", "ledger_id", "seq")).alias("h"))
+    hit = bridge.witness(spark, sf_dir).filter("verdict = 'pass'").groupBy("dedup_key").agg(F.max_by(F.struct("lease_epoch", "attempt"), F.struct("seq", "ledger_id")).alias("h"))
     keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dedup_key")).join(hit, "dedup_key", "left")
     keys = keys.withColumns({
         "current": hash_of("dedup_key", 3), "declared": F.when(F.col("dedup_key") % 5 == 0, hash_of("dedup_key", 7)), "witnessed": hash_of("h.lease_epoch", 3),
         "paths": F.when(F.col("dedup_key") % 2 == 0, F.array(F.lit("/b"), F.lit("/a"), F.lit("/b"))), "witnessed_paths": F.when(F.col("h.attempt") % 2 == 0, F.array(F.lit("/a"), F.lit("/b"))),
     })
-    miss = proofs.dedup_verdict(F.col("h").isNotNull(), F.col("current"), F.col("declared"), F.col("witnessed"), F.col("paths"), F.col("witnessed_paths"))
+    key = F.when(F.col("dedup_key") % 11 != 0, F.col("dedup_key").cast("string"))
+    miss = proofs.dedup_verdict(key, F.col("h").isNotNull(), F.col("dedup_key") % 13 != 0, F.col("current"), F.col("declared"), F.col("witnessed"), F.col("paths"), F.col("witnessed_paths"))
     return keys.select("dedup_key", miss.alias("miss"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.functions import predicates as P
+from worklens.functions import rules
 from worklens.operators import records
 from worklens.plans import register, table
 from worklens.plans.sql import EVENTS, POOLS, TASKS, WITNESS, with_
@@ -26,43 +27,72 @@ def origin_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(P.from_origin(F.col("event"), F.col("pool"), "started") | P.from_origin(F.col("event"), F.col("pool"), "pool-2")).select("sequence", "task")
 
 
-@register("known_pools", with_(POOLS) + "SELECT w.pool, p.pool IS NOT NULL AS known FROM (VALUES ('pool-1'), ('pool-4'), ('pool-99')) w(pool) LEFT JOIN pools p ON w.pool = p.pool")
+@register("known_pools", with_(POOLS) + "SELECT w.pool, p.pool IS NOT NULL AS known FROM (SELECT DISTINCT 'pool-' || l_suppkey * 2 AS pool FROM lineitem) w LEFT JOIN pools p ON w.pool = p.pool")
 def known_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8."""
-    return records.known_pools(bridge.pools(spark, sf_dir), ["pool-1", "pool-4", "pool-99"])
+    """F8: twice the number of each supplier that line items name; half of them aren't there."""
+    wanted = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("pool-"), F.col("l_suppkey") * 2).alias("pool"))
+    return records.known_pools(bridge.pools(spark, sf_dir), wanted)
 
 
 @register("fresh_meters", with_(EVENTS) + """,
-m AS (SELECT pool, arg_max(ts, (ts, sequence)) AS observed_at, arg_max(gpu_seconds, (ts, sequence)) AS percent, arg_max(ts + INTERVAL 12 HOUR, (ts, sequence)) AS resets_at FROM lifecycle WHERE event = 'completed' GROUP BY pool)
-SELECT pool, observed_at, percent, observed_at <= TIMESTAMP '2024-01-30' AND observed_at >= TIMESTAMP '2024-01-30' - INTERVAL 1 DAY AND resets_at > TIMESTAMP '2024-01-30' AND percent BETWEEN 0 AND 100 AS fresh FROM m""")
+m AS (SELECT pool, arg_max(ts, (ts, sequence)) AS observed_at, arg_max(gpu_seconds, (ts, sequence)) AS percent, arg_max(CASE WHEN sequence % 5 = 0 THEN TIMESTAMP '2024-01-29 18:00:00' ELSE ts + INTERVAL 12 HOUR END, (ts, sequence)) AS resets_at,
+      arg_max(sequence, (ts, sequence)) AS sequence FROM lifecycle WHERE event = 'completed' GROUP BY pool)
+SELECT pool, observed_at, percent, sequence % 7 <> 0 AND (sequence % 3 <> 0 OR sequence % 120 BETWEEN 0 AND 100) AND resets_at >= observed_at AND observed_at <= TIMESTAMP '2024-01-30' AND observed_at >= TIMESTAMP '2024-01-30' - INTERVAL 1 DAY AND resets_at > TIMESTAMP '2024-01-30' AND percent BETWEEN 0 AND 100 AS fresh FROM m""")
 def fresh_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16, T10."""
-    resets = F.col("ts") + F.make_dt_interval(hours=F.lit(12))
-    meters = bridge.lifecycle(spark, sf_dir).filter("event = 'completed'").select("pool", F.col("sequence").alias("n"), F.col("ts").alias("observed_at"), F.col("gpu_seconds").alias("percent"), resets.alias("resets_at"))
+    n = F.col("sequence")
+    resets = F.when(n % 5 == 0, F.to_timestamp(F.lit("2024-01-29 18:00:00")).cast("timestamp_ntz")).otherwise(F.col("ts") + F.make_dt_interval(hours=F.lit(12)))
+    kind, weekly = F.when(n % 7 == 0, "interactive").otherwise("programmatic"), F.when(n % 3 == 0, (n % 120).cast("double"))
+    meters = bridge.lifecycle(spark, sf_dir).filter("event = 'completed'").select("pool", n.alias("n"), F.col("ts").alias("observed_at"), kind.alias("budget_class"), F.col("gpu_seconds").alias("percent"), weekly.alias("weekly"), resets.alias("resets_at"))
     return records.fresh_meters(meters, F.to_timestamp(F.lit("2024-01-30")).cast("timestamp_ntz"), 86_400)
 
 
-@register("broken_records", with_(WITNESS) + """
-SELECT ledger_id, seq, concat_ws(',', CASE WHEN NOT coalesce(verdict IN ('pass', 'failed'), FALSE) THEN 'verdict' END, CASE WHEN NOT lease_epoch > 0 THEN 'lease' END, CASE WHEN NOT gpu_seconds <= 40 THEN 'gpu' END) AS broken FROM witness""")
+@register("broken_records", with_(WITNESS) + """,
+r AS (SELECT *, seq % 17 = 0 AS odd, 'sha' || seq AS sha, CASE WHEN seq % 29 = 0 THEN 'reused' ELSE verdict END AS v, CASE WHEN seq % 31 = 0 THEN 'reused' ELSE labor_class END AS labor FROM witness)
+SELECT ledger_id, seq, concat_ws(',', CASE WHEN seq % 19 = 0 THEN 'schema-version' END, CASE WHEN seq % 23 = 0 AND v <> 'failed' THEN 'error-verdict' END, CASE WHEN odd THEN 'timestamp' END,
+       CASE WHEN (v = 'reused') <> (labor = 'reused') THEN 'reused-labor' END, CASE WHEN v = 'reused' AND seq % 2 = 0 THEN 'exit-code' END, CASE WHEN seq % 13 = 0 THEN 'prev-hash' END,
+       CASE WHEN seq % 37 = 0 OR lease_epoch = 0 THEN 'lease-epoch' END, CASE WHEN seq % 11 = 0 THEN 'pools' END) AS broken FROM r""")
 def broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The builder of rules, with three of them."""
-    rules = {"verdict": F.col("verdict").isin("pass", "failed"), "lease": F.col("lease_epoch") > 0, "gpu": F.col("gpu_seconds") <= 40}
-    return records.broken_rules(bridge.witness(spark, sf_dir), rules).select("ledger_id", "seq", F.array_join("broken", ",").alias("broken"))
-
-
-#: The query's matrix: what each kind of event must carry.
-REQUIRED = {"completed": ["exit_code", "gpu"], "failed": ["exit_code"], "heartbeat": ["tokens"]}
+    """All rules of the witness; some are broken by the sequence number."""
+    seq, nth = F.col("seq"), lambda n: F.col("seq") % n == 0
+    digest = F.sha2(seq.cast("string"), 256)
+    rows = bridge.witness(spark, sf_dir).select(
+        "ledger_id", "seq", F.when(nth(19), 1).otherwise(2).alias("schemaVersion"), F.lit("verdict").alias("recordType"), F.when(nth(13), "none").otherwise(digest).alias("prevHash"), digest.alias("hash"),
+        F.lit("00000000-0000-4000-8000-000000000000").alias("taskUuid"), F.col("attempt").cast("long").alias("attempt"), F.when(nth(37), 0).otherwise(F.col("lease_epoch")).cast("long").alias("leaseEpoch"),
+        F.when(nth(29), "reused").otherwise(F.col("verdict")).alias("verdict"), F.when(nth(31), "reused").otherwise(F.col("labor_class")).alias("laborClass"), (seq % 2 == 0).cast("int").alias("exitCode"),
+        F.when(nth(17), F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("transitionTimestamp"), F.lit(1.5).alias("wallClock"), F.col("gpu_seconds").cast("double").alias("gpuSeconds"),
+        F.lit(None).cast("double").alias("charge"), F.when(nth(23), "broken").alias("error"), digest.alias("artifactContentHash"), F.lit(None).cast("string").alias("payloadHash"), F.lit(None).cast("string").alias("briefHash"),
+        F.lit(None).cast("array<string>").alias("storePaths"), F.lit("local").alias("executor"), F.when(nth(11), F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("pools"),
+        F.col("dedup_key").cast("string").alias("dedupKey"), F.lit(None).cast("string").alias("drvPath"), F.lit(None).cast("string").alias("resultRevision"),
+    )
+    return records.broken_rules(rows, rules.witness_rules()).select("ledger_id", "seq", F.array_join("broken", ",").alias("broken"))
 
 
 @register("missing_fields", with_(EVENTS) + """
-SELECT sequence, event, concat_ws(',', CASE WHEN event IN ('completed', 'failed') AND sequence % 3 = 0 THEN 'exit_code' END, CASE WHEN event = 'completed' AND NOT gpu_seconds > 20 THEN 'gpu' END,
-       CASE WHEN event = 'heartbeat' AND NOT context_tokens > 30 THEN 'tokens' END) AS missing FROM lifecycle""")
+SELECT sequence, event, concat_ws(',', CASE WHEN event <> 'enqueued' AND sequence % 4 = 0 THEN 'agent' END, CASE WHEN event = 'completed' AND NOT gpu_seconds > 20 THEN 'artifact_hash' END,
+       CASE WHEN event IN ('completed', 'failed') AND sequence % 3 = 0 THEN 'exit_code' END, CASE WHEN sequence % 50 = 0 THEN 'message' END, CASE WHEN event <> 'enqueued' AND NOT coalesce(context_tokens > 30, FALSE) THEN 'unit' END) AS missing FROM lifecycle""")
 def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F18."""
-    rows = bridge.lifecycle(spark, sf_dir).withColumns({
-        "exit_code": F.when(F.col("sequence") % 3 != 0, 0), "gpu": F.when(F.col("gpu_seconds") > 20, F.col("gpu_seconds")), "tokens": F.when(F.col("context_tokens") > 30, F.col("context_tokens")),
-    })
-    return records.missing_fields(rows, "event", REQUIRED).select("sequence", "event", F.array_join("missing", ",").alias("missing"))
+    """the whole matrix."""
+    n, there = F.col("sequence"), F.lit("x")
+    have = {
+        "identifier": there, "task_uuid": there, "class": there, "source": there, "message": F.when(n % 50 != 0, "x"), "agent": F.when(n % 4 != 0, "x"), "lease_epoch": F.lit(1), "unit": F.when(F.col("context_tokens") > 30, "x"),
+        "artifact_hash": F.when(F.col("gpu_seconds") > 20, "x"), "exit_code": F.when(n % 3 != 0, 0), "labor_class": there, "evidence": there,
+    }
+    return records.missing_fields(bridge.lifecycle(spark, sf_dir).withColumns(have), "event", rules.required_fields()).select("sequence", "event", F.array_join("missing", ",").alias("missing"))
+
+
+@register("broken_capsules", with_(EVENTS) + """
+SELECT sequence, concat_ws(',', CASE WHEN sequence % 7 = 0 THEN 'iteration-path' END, CASE WHEN sequence % 5 = 0 THEN 'flow-run-id' END, CASE WHEN coalesce(context_tokens, 0) = 0 THEN 'max-nodes' END,
+       CASE WHEN sequence % 2 = 0 THEN 'subject-needs-role' END, CASE WHEN sequence % 2 = 0 AND sequence % 3 <> 0 THEN 'subject-needs-ref' END, CASE WHEN sequence % 6 = 0 AND task % 2 = 1 THEN 'subject-matches-ref' END) AS broken FROM lifecycle""")
+def broken_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F19."""
+    n = F.col("sequence")
+    run = F.concat(F.lit("00000000-0000-4000-8000-"), F.when(n % 5 == 0, "x").otherwise(F.lpad(n.cast("string"), 12, "0")))
+    capsule = F.to_json(F.struct(
+        run.alias("flowRunId"), F.when(n % 7 == 0, "a/b").alias("iterationPath"), F.coalesce("context_tokens", F.lit(0)).alias("maxNodes"),
+        F.when(n % 3 == 0, F.concat(F.lit("spec/T"), (F.col("task") % 2).cast("string"))).alias("taskRef"), F.when(n % 2 == 0, "T0").alias("subjectTaskId"),
+    ))
+    return records.broken_rules(bridge.lifecycle(spark, sf_dir).withColumn("raw", capsule), rules.orchestration_rules()).select("sequence", F.array_join("broken", ",").alias("broken"))
 
 
 @register("sequence_checks", with_(EVENTS) + """,

@@ -1,8 +1,8 @@
 """The bridge of worklens.sources.bridge as SQL, for the oracle."""
 
 WITNESS = """witness AS (
-  SELECT l_orderkey % 16 AS ledger_id,
-         row_number() OVER (PARTITION BY l_orderkey % 16 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
+  SELECT l_orderkey // 1024 AS ledger_id,
+         row_number() OVER (PARTITION BY l_orderkey // 1024 ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS seq,
          l_orderkey AS task, l_linenumber AS attempt, l_suppkey AS lease_epoch,
          CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'failed' WHEN 'R' THEN 'preempted' END AS verdict,
          CASE l_linestatus WHEN 'F' THEN 'fresh' WHEN 'O' THEN 'replay' END AS labor_class,
@@ -12,9 +12,9 @@ TASKS = """task_rows AS (
          CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' WHEN 'P' THEN 'recurring' END AS state,
          o_orderdate AS created, o_totalprice AS budget FROM orders)"""
 EVENTS = """lifecycle AS (
-  SELECT user_id % 16 AS ledger_id, event_id AS sequence, user_id AS task, (event_id // 2000)::INT AS attempt,
+  SELECT user_id // 16 AS ledger_id, event_id AS sequence, user_id AS task, (event_id // 2000)::INT AS attempt,
          CASE event_type WHEN 'signup' THEN 'enqueued' WHEN 'view' THEN 'started' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS event,
-         ts AS ts, value AS gpu_seconds, 'pool-' || (user_id % 7) AS pool, (props->>'$.k')::INT AS context_tokens FROM events)"""
+         ts AS ts, value AS gpu_seconds, 'pool-' || (user_id % 50 + 1) AS pool, (props->>'$.k')::INT AS context_tokens FROM events)"""
 MEMBERS = """membership AS (
   SELECT run, task, 1 AS line FROM task_rows UNION ALL SELECT run + 1, task, 2 FROM task_rows WHERE task % 7 = 0)"""
 USAGE = """attestations AS (
@@ -25,9 +25,9 @@ USAGE = """attestations AS (
          CASE WHEN seq % 13 = 0 THEN 'EUR' ELSE 'USD' END AS currency, discount AS cost FROM witness)"""
 LINEAGE = """lineage AS (
   SELECT run, successor FROM (
-    SELECT c_custkey AS run, lead(c_custkey) OVER w AS successor, row_number() OVER w AS n FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
-  WHERE successor IS NOT NULL AND n % 8 <> 0)"""
-POOLS = """pools AS (SELECT 'pool-' || s_suppkey AS pool, (s_suppkey * 500 + 1000)::DOUBLE AS capacity FROM supplier WHERE s_suppkey < 7)"""
+    SELECT c_custkey AS run, lead(c_custkey) OVER w AS successor FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
+  WHERE successor IS NOT NULL)"""
+POOLS = """pools AS (SELECT 'pool-' || s_suppkey AS pool, (s_suppkey * 50 + 100)::DOUBLE AS capacity, s_suppkey % 9 AS slots, CASE WHEN s_suppkey % 4 = 0 THEN (s_suppkey * 7 % 100)::DOUBLE END AS meter, CASE WHEN s_suppkey % 3 = 0 THEN (s_suppkey * 11 % 100)::DOUBLE END AS weekly FROM supplier)"""
 
 LIVE = """live AS (
   SELECT task, attempt, event AS state FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY sequence DESC) AS n FROM lifecycle) WHERE n = 1 AND event IN ('started', 'heartbeat'))"""

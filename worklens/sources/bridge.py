@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 VERDICTS = {"A": "pass", "N": "failed", "R": "preempted"}
 LABOR = {"F": "fresh", "O": "replay"}
 EVENTS = {"signup": "enqueued", "view": "started", "click": "heartbeat", "purchase": "completed", "error": "failed"}
-LEDGERS = 16
+#: Tasks of one witness ledger, and of one lifecycle ledger: there are the more ledgers the more tasks there are.
+WITNESS_TASKS, LIFECYCLE_TASKS = 1024, 16
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,7 @@ def _mapped(column: str, names: dict[str, str]):
 
 def witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record a line item; seq counts within a ledger, over all columns, as keys repeat."""
-    rows = _table(spark, sf_dir, "lineitem").withColumn("ledger_id", F.col("l_orderkey") % LEDGERS)
+    rows = _table(spark, sf_dir, "lineitem").withColumn("ledger_id", F.floor(F.col("l_orderkey") / WITNESS_TASKS))
     order = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
     seq = F.row_number().over(Window.partitionBy("ledger_id").orderBy(*order))
     return rows.select(
@@ -44,8 +45,8 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record an event; attempts are blocks of 2000 records."""
     rows = _table(spark, sf_dir, "events")
     return rows.select(
-        (F.col("user_id") % LEDGERS).alias("ledger_id"), F.col("event_id").alias("sequence"), F.col("user_id").alias("task"), F.floor(F.col("event_id") / 2000).cast("int").alias("attempt"),
-        _mapped("event_type", EVENTS).alias("event"), F.col("ts").alias("ts"), F.col("value").alias("gpu_seconds"), F.concat(F.lit("pool-"), F.col("user_id") % 7).alias("pool"),
+        F.floor(F.col("user_id") / LIFECYCLE_TASKS).alias("ledger_id"), F.col("event_id").alias("sequence"), F.col("user_id").alias("task"), F.floor(F.col("event_id") / 2000).cast("int").alias("attempt"),
+        _mapped("event_type", EVENTS).alias("event"), F.col("ts").alias("ts"), F.col("value").alias("gpu_seconds"), F.concat(F.lit("pool-"), F.col("user_id") % 50 + 1).alias("pool"),
         F.get_json_object("props", "$.k").cast("int").alias("context_tokens"),
     )
 
@@ -71,15 +72,18 @@ def attestations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, successor): in each nation the next customer, in chains of eight."""
+    """(run, successor): in each nation the next customer, so that chains grow with the customers."""
     rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     among = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    rows = rows.select(F.col("c_custkey").alias("run"), F.lead("c_custkey").over(among).alias("successor"), F.row_number().over(among).alias("n"))
-    return rows.filter(F.col("successor").isNotNull() & (F.col("n") % 8 != 0)).select("run", "successor")
+    rows = rows.select(F.col("c_custkey").alias("run"), F.lead("c_custkey").over(among).alias("successor"))
+    return rows.filter(F.col("successor").isNotNull()).select("run", "successor")
 
 
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") < 7).select(F.concat(F.lit("pool-"), F.col("s_suppkey")).alias("pool"), (F.col("s_suppkey") * 500 + 1000).cast("double").alias("capacity"))
+    """Suppliers as pools; some have a meter, some a weekly share."""
+    key = F.col("s_suppkey")
+    some = lambda every, factor: F.when(key % every == 0, (key * factor % 100).cast("double"))
+    return _table(spark, sf_dir, "supplier").select(F.concat(F.lit("pool-"), key).alias("pool"), (key * 50 + 100).cast("double").alias("capacity"), (key % 9).alias("slots"), some(4, 7).alias("meter"), some(3, 11).alias("weekly"))
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
