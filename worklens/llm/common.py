@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,31 +11,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from worklens.sources.shared import shared_folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: \x20 and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in this application's part of the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again: later uses and lost executors don't compute it anew."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what staged() wrote for df, once nothing that is still to run reads it."""
+    _delete(df.sparkSession, df.staged_path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes all that this application staged: for callers, after they have written or collected their results."""
+    _delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, most: int = 2000) -> DataFrame:
+    """left joined with right, which has one row for each of the keys, and n, the number of left's rows with them.
+
+    total is the number of left's rows. Keys of more than a `most`-th of these,
+    10000 at least, are `most` at most, so they are broadcast, and no task gets
+    all rows of one of them.
+    """
+    limit = max(10_000, total // most)
+    hot = F.broadcast(right.filter(F.col("n") > limit))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.filter(F.col("n") <= limit), keys)
+    return left.join(hot, keys).select(*rest.columns).union(rest)
 
 
 def ascii_lower(text: Column) -> Column:

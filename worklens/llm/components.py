@@ -13,21 +13,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hangs every node's larger neighbours, then its smaller ones, on
     its smallest neighbour, until the edges are stars; the number of rounds grows
-    with the logarithm of the nodes. Minima are aggregated before they shuffle;
-    the join back to a hub's edges is one that Spark splits. Each round is
-    written to the shared folder.
+    with the logarithm of the nodes. Minima are aggregated before they shuffle,
+    and those of hubs are broadcast to their edges, so that no task gets all edges
+    of a hub. Each round is written to the shared folder, and the last one removed.
     """
     edges = common.staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = common.spread_join(both, least, ["u"], 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.staged(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
-        edges = common.staged(small, "small-star")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.spread_join(large, least, ["u"], before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
+        last, edges = edges, common.staged(small, "small-star")
+        common.discard(last)
+        common.discard(large)
         now = mark(edges)
         if now == before:
             break

@@ -148,7 +148,7 @@ class Automaton:
                 spans.append((i - covers + 1, i + 1))
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, most_words: int = 2_000_000) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, most_words: int = 200_000) -> DataFrame:
     """docs with n_words, spans (array of word stretches [start, stop)) and items (sorted ids as strings).
 
     A document word is hit if it lies in an occurrence of `window` consecutive
@@ -157,9 +157,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     null item_id is the string "null". Clashing columns are replaced.
 
     Documents stay where they are read: no shuffle. The automaton goes to all
-    tasks, so its size is checked: items are dealt to parts of at most
-    most_words words (a longer item is a part of its own), and with several
-    parts the documents pass through one automaton after the other.
+    tasks, so its size is checked: items are dealt to parts of about most_words
+    words, some 200 MB of states at the default, and longer items are cut in
+    pieces that share their windows. With several parts the documents pass
+    through one automaton after the other, and are written in between, so that a
+    task holds one at a time. A long text is held in one task, with its words.
+    Repeated rows stay.
     """
     spark = docs.sparkSession
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_words", "spans", "items")])
@@ -172,12 +175,19 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:int,stop:int>>"), "items": F.array().cast("array<string>")})
     for part in range(parts):
         mine = items if parts == 1 else items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        rows = [(r[0], words_of(r[1])) for r in mine.collect()]  # at most about most_words words
+        rows = [(r[0], piece) for r in mine.collect() for piece in _pieces(words_of(r[1]), most_words, window)]  # about most_words words
         shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(rows, window)))
         out = out.mapInArrow(_matcher(shared, at), fields)
+        if part + 1 < parts:
+            out = common.staged(out, "matched")
     return out
 
 
+def _pieces(words: list[bytes], most: int, window: int) -> list[list[bytes]]:
+    """words, or pieces of at most `most` of them and a window more that hold all their windows."""
+    return [words[a : a + most + window - 1] for a in range(0, max(1, len(words) - window + 1), most)] if len(words) > most + window else [words]
+
+
 def _matcher(shared, at: str):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = pickle.loads(shared.value)

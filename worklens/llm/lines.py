@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from worklens.llm import common
 
 
-#: Parts of the rows that share a frequent line.
-SALTS = 32
-
-
 def line_key(line: Column) -> Column:
     """The line without blanks at its ends, A-Z in lower case."""
     return common.ascii_lower(F.btrim(line, F.lit(common.BLANKS)))
@@ -29,30 +25,34 @@ def drop_common_lines(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     too; a line that repeats within a row counts once. Null text is one empty
     line, as is the empty text; a row that loses all lines keeps the empty text.
     Columns that clash with the three new ones are replaced; others are kept.
-    An empty table gives an empty table.
-
-    The count is aggregated before its shuffle, so a line of a third of all rows
-    is one small row for each task. Only digests of lines travel for counting;
-    texts travel once, to meet the digests that their row loses.
+    An empty table gives an empty table. A text of many lines costs as much as
+    the same lines in many texts, but for sorting their digests in its own row.
+
+    Lines are exploded with their digest, their place, and whether they are the
+    row's first of that key. The count is aggregated before its shuffle, so a
+    line of a third of all rows is one small row for each task; lines that are
+    that frequent are few, and broadcast to their rows. Only digests and places
+    travel for counting; texts travel once, to meet the places that they lose.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    row_key = F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))))
-    digests = F.transform(F.split(body, "\n"), lambda x: F.when(F.length(line_key(x)) >= min_chars, _digest(line_key(x))))
-    pairs = docs.select(row_key.alias("row"), F.explode(F.array_distinct(F.array_compact(digests))).alias("line"))
-    pairs = common.staged(pairs, "line-digests")
-    frequent = pairs.groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("line")
-    # rows that repeat whole share their key, so their digests come several times
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))  # rows of a hot line meet its copies in several tasks
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(frequent.withColumn("salt", parts), ["line", "salt"])
-    lost = salted.groupBy("row").agg(F.collect_set("line").alias("__lost"))
+    row_key = F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit("|"), body)))
+    keyed = docs.select(row_key.alias("row"), F.transform(F.split(body, "\n"), line_key).alias("keys"))
+    digests = F.transform("keys", lambda k, i: F.when(F.length(k) >= min_chars, F.struct(_digest(k).alias("line"), i.cast("int").alias("at"))))
+    digests = keyed.select("row", F.array_sort(F.array_compact(digests)).alias("lines"))
+    first = F.transform("lines", lambda x, i: F.struct(x["line"].alias("line"), x["at"].alias("at"), ((i == 0) | (F.get("lines", i - 1)["line"] != x["line"])).cast("int").alias("first")))
+    places = common.staged(digests.select("row", F.inline(first)), "line-places")
+    counts = places.groupBy("line").agg(F.sum("first").alias("docs"), F.count("*").alias("n"))
+    frequent = common.staged(counts.filter(F.col("docs") >= min_docs).select("line", "n"), "frequent-lines")
+    # rows that repeat whole share their key, so their places come several times
+    lost = common.spread_join(places, frequent, ["line"], places.count()).groupBy("row").agg(F.collect_set("at").alias("__lost"))
     out = docs.withColumn("__row", row_key).join(lost.withColumnRenamed("row", "__row"), "__row", "left")
     lines = F.split(body, "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__lost"), _digest(line_key(x))), F.lit(False)) | (F.length(line_key(x)) < min_chars))
-    out = out.withColumn("__n", F.size(lines)).withColumn("__kept", F.when(F.col("__lost").isNull(), lines).otherwise(kept))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
+    out = out.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.transform(stay, lambda i: F.get("__lines", i))))
     return out.withColumns(
         {
-            "n_lines": F.col("__n").cast("long"),
-            "n_dropped": (F.col("__n") - F.size("__kept")).cast("long"),
+            "n_lines": F.size("__lines").cast("long"),
+            "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long"),
             "kept_text": F.array_join("__kept", "\n"),
         },
-    ).drop("__row", "__lost", "__n", "__kept")
+    ).drop("__row", "__lost", "__lines", "__kept")

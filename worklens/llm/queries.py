@@ -129,13 +129,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op10_line_dedup",
     r"""
-    WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
-    lines AS (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS line FROM split),
+    WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+    lines AS (SELECT r, doc_id, unnest(range(len(p))) AS i, unnest(p) AS line FROM split),
     keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
-    frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
     SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-    FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id
+    FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY r, doc_id
     """,
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
