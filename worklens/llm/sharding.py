@@ -15,10 +15,12 @@ CELLS = 1 << CELL_BITS
 def ring(spark: SparkSession, shards: int, nodes: int) -> DataFrame:
     """(cell, prefer): for each cell the shards in the order in which a clockwise walk first meets them.
 
-    Each shard has `nodes` virtual nodes at hashed cells. The table has a fixed
-    number of rows, so its window runs in one task.
+    Each shard has `nodes` virtual nodes at cells that hash its number and the
+    node's, so that another shard leaves those of the others where they are. The
+    table has a fixed number of rows, so its window runs in one task.
     """
-    placed = spark.range(shards * nodes).select((F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(CELLS)).cast("int").alias("cell"))
+    shard = F.floor(F.col("id") / nodes).cast("int")
+    placed = spark.range(shards * nodes).select(shard.alias("shard"), F.pmod(F.xxhash64(F.lit("node"), shard, F.col("id") % nodes), F.lit(CELLS)).cast("int").alias("cell"))
     # one row a cell: the shards that have a node there
     here = placed.groupBy("cell").agg(F.collect_set("shard").alias("owners"))
     cells = spark.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(here, "cell", "left")
