@@ -103,17 +103,16 @@ class Tokens:
 
     def units(self, states: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """The distinct keys, and of each token the place of its key there."""
-        each = (states * len(_KINDS) + self.kind) * len(self.words) + self.word
-        if (size := (int(states.max(initial=0)) + 1) * len(_KINDS) * len(self.words)) <= 1 << 26:
-            used = np.zeros(size, bool)
-            used[each] = True
-            found, at = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1).take(each)
-        else:
-            found, at = np.unique(each, return_inverse=True)
-        head, word = np.divmod(found, len(self.words))
-        state, kind = np.divmod(head, len(_KINDS))
-        heads = [state_bytes(s) + _KINDS[k] for s, k in zip(state.tolist(), kind.tolist())]
-        return [h + self.words[w] for h, w in zip(heads, word.tolist())], at
+        heads, head = np.unique(states * len(_KINDS) + self.kind, return_inverse=True)
+        each = head * len(self.words) + self.word
+        order = np.argsort(each, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = each[order[1:]] != each[order[:-1]]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        head, word = np.divmod(each[order[new]], len(self.words))
+        named, words = [state_bytes(h // len(_KINDS)) + _KINDS[h % len(_KINDS)] for h in heads.tolist()], self.words
+        return [named[h] + words[w] for h, w in zip(head.tolist(), word.tolist())], at
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The runs of tokens that parts of the content itself open: (first token, hash of the two words before it, hash of the run).
@@ -127,7 +126,9 @@ class Tokens:
         h[2:] = _stirred(mine[:-2] * _POWER + mine[1:-1] * _MIX)
         far = np.arange(len(h)) - self.starts[:-1].take(self.text) >= 2
         first = np.flatnonzero(far & (h >> np.uint64(20) & np.uint64(RUN - 1) == 0))
-        run = np.cumsum(np.isin(np.arange(len(h)), first)) - 1  # of each token; those before a text's first run are left out
+        opens = np.zeros(len(h), np.int64)
+        opens[first] = 1
+        run = np.cumsum(opens) - 1  # of each token; those before a text's first run are left out
         inside = run >= 0
         inside[inside] &= self.text[first].take(run[inside]) == self.text[inside]
         after = np.where(inside, np.arange(len(h)) - (first.take(run) if len(first) else 0), 0)
@@ -144,11 +145,12 @@ def _stirred(h: np.ndarray) -> np.ndarray:
 
 def tokens(texts: pa.Array) -> Tokens:
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy()
+    words, sizes = split.values, pc.list_value_length(split).to_numpy()  # no nulls, no offset: just computed
     text, there = np.repeat(np.arange(len(sizes)), sizes), pc.greater(pc.binary_length(words), 0)
     coded, text = words.filter(there).dictionary_encode(), text[there.to_numpy(zero_copy_only=False)]
     order = pc.array_sort_indices(coded.dictionary)
-    words = [b"", *coded.dictionary.take(order).cast(pa.binary()).to_pylist()]  # the end comes first
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), coded.dictionary.take(order)), " ")  # words hold no blank
+    words = [b"", *(whole[0].as_py().encode("utf-8", "surrogatepass").split(b" ") if len(order) else [])]  # the end comes first
     rank = np.empty(len(order), np.int64)
     rank[order.to_numpy()] = np.arange(1, len(words))
     starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(sizes)) + 1)])
@@ -319,7 +321,7 @@ class Learned:
     cells: np.ndarray
 
 
-def learn(table: np.ndarray, slots_of: tuple[int, ...], keys: list[bytes], counts: np.ndarray, rate: float = 0.04, step: int = 200, least: int = 300) -> Learned:
+def learn(table: np.ndarray, slots_of: tuple[int, ...], keys: list[bytes], counts: np.ndarray, rate: float = 0.04, step: int = 400, least: int = 150) -> Learned:
     """Online steps over the keys, a few hundred at a time: each predicts with what was learned before, then corrects it; few keys are seen again, up to eight times, until there were `least` steps."""
     weights, power = first_weights(), np.full((ORDERS, GATES, CONFIDENCE), 1e-6)
     prior, seen, cells = first_seen()[:, None], np.zeros((2, ORDERS, MAPS)), np.zeros((2, GATES * CELLS))
