@@ -334,6 +334,8 @@ def near_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     within `distance` bits are linked, and root is one class for all that links
     connect. component_id is the smallest doc_id there. No words (or null text):
     fingerprint zero. Null ids are passed over in the minimum; repeated rows stay.
+    Other columns of docs are not carried along. Texts are read whole; a long one
+    is held in one task, at some 100 bytes a word. An empty table gives an empty table.
     """
     rows = common.staged(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle), "fingerprints")
     return _grouped(rows, lambda classes: near_links(classes.select("code"), distance))
@@ -345,7 +347,8 @@ def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     Wide fingerprints of two texts differ in acos(c) / pi of their bits, c being
     the cosine of their shingle counts: 15.1 % at similarity 0.8, 17.2 % at 0.75,
     19.2 % at 0.7, with a standard deviation of 1.6 points; `differing` is the
-    largest share that links. code is a digest of the wide fingerprint.
+    largest share that links. code is a digest of the wide fingerprint. A long
+    text is held in one task, at some 300 bytes a word; else as near_groups.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,7 +57,8 @@ def count_tokens(docs: DataFrame, model: bytes, library: str, cache_path: str, *
     A text that makes a third of all rows shuffles once for each task, since
     copies meet before the shuffle; the join back to rows has short rows and one
     match each, which Spark splits where a digest is hot. Clashing columns are
-    replaced; repeated rows stay.
+    replaced; repeated rows stay. Texts are encoded whole, a long one in one task,
+    as cutting it could change its count. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     version = tokenizer_version(model, library)
