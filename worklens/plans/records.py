@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.functions import predicates as P
-from worklens.functions import rules
+from worklens.functions import rules, texts
 from worklens.operators import records
 from worklens.plans import register, table
 from worklens.plans.sql import EVENTS, POOLS, TASKS, WITNESS, with_
@@ -190,3 +190,28 @@ def producer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both origins of each task's log."""
     return _log(spark, sf_dir).groupBy("task", "origin").agg(F.count("*").alias("n"), F.max("number").alias("head"))
+
+
+@register("json_digests", """
+SELECT event_id, sha256('{"a":[1,{"c":null,"d":' || (user_id % 3) || '}],"k":' || coalesce((props->>'$.k'), 'null') || '}') AS digest FROM events""")
+def json_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: members come in another order than the canonical one."""
+    raw = F.concat(F.lit('{"k": '), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.lit(', "a": [1, {"d": '), (F.col("user_id") % 3).cast("string"), F.lit(', "c": null}]}'))
+    return table(spark, sf_dir, "events").select("event_id", texts.json_digest(raw).alias("digest"))
+
+
+@register("worker_outcomes", """
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'invalid' ELSE 'needs-authority' END WHEN event_id % 4 = 1 THEN CASE WHEN event_id % 5 = 0 THEN 'invalid' ELSE 'impossible' END END AS class FROM events""")
+def worker_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter lacks authority, some of these without paths; a quarter is impossible, some with a member too many."""
+    n = F.col("event_id")
+    authority = F.when(n % 3 == 0, '{"outcome":"needs-authority","paths":[]}').otherwise('{"paths":["b","a"],"outcome":"needs-authority"}')
+    impossible = F.when(n % 5 == 0, '{"outcome":"impossible","reason":"x","more":1}').otherwise('{"outcome":"impossible","reason":" no way "}')
+    raw = F.when(n % 4 == 0, authority).when(n % 4 == 1, impossible).when(n % 4 == 2, '{"outcome":"done"}')
+    return table(spark, sf_dir, "events").select("event_id", texts.worker_outcome(raw)["class"].alias("class"))
+
+
+@register("redacted_documents")
+def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their secrets taken out; tested by hand."""
+    return table(spark, sf_dir, "documents").select("doc_id", texts.redacted("text").alias("text"))
