@@ -246,7 +246,7 @@ def prefix_trie(convs: DataFrame) -> DataFrame:
     ends = dealt.groupBy("shard").agg(F.min("path").alias("first"), F.max("path").alias("last"))
     ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("shard"))).select("shard", "before", "first")
     depths = sorted((r.shard, r.depth) for r in ends.mapInArrow(_common_depth, "shard int, depth int").collect())
-    after = [d for _, d in depths[1:]] + [-1]
+    after = [d for _, d in depths[1:]] + [-1] * bool(depths)
     borders = {shard: (left, right) for (shard, left), right in zip(depths, after, strict=True)}
     nodes = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "path", "conv_id").mapInArrow(_nodes(borders), _NODE)
     nodes = common.staged(nodes, "trie-nodes")
