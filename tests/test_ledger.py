@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from worklens.functions import predicates as P
+from worklens.functions import texts
 from worklens.operators import folds, graphs, ledger
 from worklens.plans import catalog
 from worklens.sources import bridge, lines
@@ -78,8 +79,8 @@ def test_graphs(spark):
 def test_functions(spark):
     rows = spark.createDataFrame([("2h 30min",), ("1month",), ("soon",), (None,)], "x string")
     assert [r[0] for r in rows.select(P.duration_seconds(F.col("x"))).collect()] == [9000.0, 2629800.0, None, None]
-    secrets = spark.createDataFrame([("a" * 39 + "Z",), ("a" * 40,), ("token = 1",)], "x string")
-    assert [tuple(r) for r in secrets.select(P.token_shaped(F.col("x")), P.marked_secret(F.col("x"))).collect()] == [(True, False), (False, False), (False, True)]
+    secrets = spark.createDataFrame([("a" * 38 + "Z1",), ("a" * 40,), ("token = 1",)], "x string")
+    assert [tuple(r) for r in secrets.select(texts.holds_token(F.col("x")), texts.marked_line(F.col("x"))).collect()] == [(True, False), (False, False), (False, True)]
 
 
 def test_stream_is_batch(spark, tmp_path):

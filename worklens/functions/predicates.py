@@ -95,17 +95,6 @@ def clipped(text: Column, most: int) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most - 3)), F.lit("..."))).otherwise(flat)
 
 
-def token_shaped(text: Column, least: int = 32) -> Column:
-    """Holds a run of token characters that is not plain hex of 40 or 64."""
-    runs = F.regexp_extract_all(text, F.lit(f"[A-Za-z0-9_]{{{least},}}"), F.lit(0))
-    return F.exists(runs, lambda r: ~r.rlike("^([0-9a-f]{40}|[0-9a-f]{64})$"))
-
-
-def marked_secret(line: Column) -> Column:
-    """A marker word followed by a colon or an equals sign."""
-    return F.lower(line).rlike(r"(token|secret|password|api_key|apikey)[ \t]*[:=]")
-
-
 def exclusive_input(inclusive: Column, cached: Column) -> Column:
     """Input without its cached part; null where that would be negative."""
     return F.when(inclusive >= cached, inclusive - cached)

@@ -1,9 +1,8 @@
-"""Texts that a column expression can't walk: JSON in its canonical form, and secrets taken out. Arrow batches, one small helper a row."""
+"""JSON in its canonical form, by a small helper a row in Arrow batches, and secrets taken out of texts, by patterns in the JVM."""
 
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _no_number(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
 def _canonical(text: str | None) -> str | None:
     try:
-        return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return None if text is None else json.dumps(json.loads(text, parse_constant=_no_number), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     except ValueError:
         return None
 
@@ -36,46 +39,47 @@ MARKERS = [
 ]
 #: Beginnings of access tokens.
 PREFIXES = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "xoxb-", "xoxp-", "xoxa-", "xoxr-"]
+#: What stands in the place of a sensitive line, and of a token.
 LINE, TOKEN = "[redacted sensitive diagnosis line]", "[redacted-token]"
-_MARKED = re.compile("(" + "|".join(map(re.escape, MARKERS)) + r""")['"` \t]*[:=]""")
-_PIECES = re.compile(r"(\s+)")
-
-
-def token_is_sensitive(piece: str) -> bool:
+#: Signs around a token that aren't part of it.
+_AROUND = "'\"`()\\[\\]{},;"
+_MARKED = "(?:" + "|".join(MARKERS) + ")['\"` \t]*[:=]"
+#: A line of text that names a private key, at its beginning or its end.
+_KEY_LINE = "(?=[^\n]*-----{} )(?=[^\n]*private key-----)"
+#: A key's first line, all lines up to its last one, and that; without a last one all the rest.
+_KEY = "(?id)(?m:^)" + _KEY_LINE.format("begin") + "(?:(?!" + _KEY_LINE.format("end") + ")[^\n]*\n)*+[^\n]*"
+_SECRET = "|".join([
+    "(?i:" + "|".join(PREFIXES) + r")\S*",
+    rf"A[KS]IA\S{{11,}}[^\s{_AROUND}]\S*",  # access keys of 16 characters and more
+    r"(?=\S*://)\S*[@?]\S*",  # addresses with credentials or a query
+    rf"[^\s.]{{8,}}\.[^\s.]{{8,}}\.[^\s.]{{7,}}[^\s.{_AROUND}]",  # three long parts
+    rf"(?!(?:[0-9a-f]{{40}}|[0-9a-f]{{64}})(?![^\s{_AROUND}]))[0-9A-Fa-f]{{32,}}",  # hex, save plain digests
+    rf"(?=[^\s0-9]*[0-9])(?![0-9A-Fa-f]+(?![^\s{_AROUND}]))(?:(?=[^\sa-z]*[a-z])(?=[^\sA-Z]*[A-Z])|(?=[A-Za-z0-9+/_=-]{{40}}))[A-Za-z0-9+/_=-]{{32,}}",  # random looks
+])
+_SENSITIVE = rf"(?U)(?<!\S)[{_AROUND}]*+(?:{_SECRET})[{_AROUND}]*(?!\S)"
+
+
+def marked_line(line: Column) -> Column:
+    """A marker word, then a colon or an equals sign, with at most quotes and blanks between."""
+    return F.lower(line).rlike(_MARKED)
+
+
+def holds_token(line: Column) -> Column:
     """An access key, an address with credentials or a query, three long parts between dots, or 32 characters and more that look random."""
-    token = piece.strip("'\"`()[]{},;")
-    lower = token.lower()
-    parts = token.split(".")
-    if lower.startswith(tuple(PREFIXES)) or (token[:4] in ("AKIA", "ASIA") and len(token) >= 16) or ("://" in token and ("@" in token or "?" in token)) or (len(parts) == 3 and min(map(len, parts)) >= 8):
-        return True
-    if len(token) < 32 or not token.isascii():
-        return False
-    if re.fullmatch("[0-9A-Fa-f]+", token):
-        return not (token == lower and len(token) in (40, 64))  # plain digests stay
-    mixed = re.search("[a-z]", token) and re.search("[A-Z]", token)
-    return bool(re.fullmatch("[A-Za-z0-9+/_=-]+", token) and re.search("[0-9]", token) and (mixed or len(token) >= 40))
-
-
-def _redacted(text: str | None) -> str | None:
-    if text is None:
-        return None
-    out, in_key = [], False
-    for line in text.split("\n"):
-        lower = line.lower()
-        in_key = in_key or ("-----begin " in lower and "private key-----" in lower)
-        if in_key or _MARKED.search(lower):
-            out.append(LINE)
-        else:
-            out.append("".join(TOKEN if p and not p.isspace() and token_is_sensitive(p) else p for p in _PIECES.split(line)))
-        if "-----end " in lower and "private key-----" in lower:
-            in_key = False
-    return "\n".join(out).strip()
+    return line.rlike(_SENSITIVE)
 
 
-@F.pandas_udf(T.StringType())
-def redacted(texts: pd.Series) -> pd.Series:
-    """The text with sensitive lines, key blocks and tokens replaced, trimmed at both ends."""
-    return texts.map(_redacted)
+def redacted(text: Column) -> Column:
+    """The text with the lines of private keys, lines that marked_line() finds and tokens that holds_token() finds replaced, trimmed at both ends.
+
+    Three replacements over the whole text, all in the JVM. A key's lines become
+    as many replaced lines; those are counted in what the pattern found.
+    """
+    keys = F.regexp_extract_all(text, F.lit(_KEY), F.lit(0))
+    covered = F.transform(keys, lambda k: F.array_join(F.array_repeat(F.lit(LINE), F.size(F.split(k, "\n"))), "\n"))
+    out = F.array_join(F.zip_with(F.split(text, _KEY, -1), covered, lambda rest, key: F.concat(rest, F.coalesce(key, F.lit("")))), "")
+    out = F.regexp_replace(out, "(?id)(?m:^)[^\n]*" + _MARKED + "[^\n]*", LINE)
+    return F.regexp_replace(F.regexp_replace(out, _SENSITIVE, TOKEN), r"(?U)\A\s+|\s+\z", "")
 
 
 def worker_outcome(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.functions import predicates as P
+from worklens.functions import texts
 from worklens.operators import graphs, ledger, usage
 from worklens.plans import register, table
 from worklens.plans.sql import EVENTS, LINEAGE, MEMBERS, POOLS, TASKS, USAGE, WITNESS, with_
@@ -336,15 +337,18 @@ def gate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("priority").agg(F.when(most.isNull(), F.lit(3600.0)).otherwise(F.greatest(F.lit(60.0), F.floor(most * 2).cast("double"))).alias("budget"))
 
 
-@register("secret_lines", """
+@register("secret_lines", r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-f AS (SELECT doc_id, regexp_matches(lower(line), '(token|secret|password|api_key|apikey)[ \t]*[:=]') AS marked,
-             len(list_filter(regexp_extract_all(line, '[A-Za-z0-9_]{32,}'), lambda r: NOT regexp_full_match(r, '[0-9a-f]{40}|[0-9a-f]{64}'))) > 0 AS shaped FROM l)
+t AS (SELECT doc_id, line, list_transform(regexp_split_to_array(line, '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+'), lambda p: trim(p, '"`()[]{},;' || chr(39))) AS tokens FROM l),
+f AS (SELECT doc_id, regexp_matches(lower(line), '(' || array_to_string(['authorization', 'bearer', 'token', 'secret', 'password', 'passwd', 'credential', 'credentials', 'api_key', 'api-key', 'apikey', 'private key', 'access key', 'access_key', 'secret_key', 'client_secret', 'client key', 'cookie', 'dsn', 'session_id', 'sessionid'], '|') || ')[''"` \t]*[:=]') AS marked,
+  len(list_filter(tokens, lambda t: regexp_matches(lower(t), '^(ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|sk-|xoxb-|xoxp-|xoxa-|xoxr-)') OR (regexp_matches(t, '^A[KS]IA') AND length(t) >= 16) OR (contains(t, '://') AND (contains(t, '@') OR contains(t, '?')))
+    OR regexp_full_match(t, '[^.]{8,}\.[^.]{8,}\.[^.]{8,}') OR (length(t) >= 32 AND CASE WHEN regexp_full_match(t, '[0-9A-Fa-f]+') THEN NOT regexp_full_match(t, '[0-9a-f]{40}|[0-9a-f]{64}')
+      ELSE regexp_full_match(t, '[A-Za-z0-9+/_=-]+') AND regexp_matches(t, '[0-9]') AND ((regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]')) OR length(t) >= 40) END))) > 0 AS shaped FROM t)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE marked) AS marked, count(*) FILTER (WHERE shaped) AS shaped, count(*) FILTER (WHERE marked OR shaped) AS redacted FROM f GROUP BY doc_id""")
 def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line's two signs are found once, in the row's own array, and added up from there."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    signs = F.transform(lines, lambda x: P.marked_secret(x).cast("int") + 2 * P.token_shaped(x).cast("int"))
+    signs = F.transform(lines, lambda x: texts.marked_line(x).cast("int") + 2 * texts.holds_token(x).cast("int"))
     found = table(spark, sf_dir, "documents").select("doc_id", signs.alias("signs"))
     n = lambda *which: F.size(F.filter("signs", lambda x: x.isin(*which))).cast("long")
     return found.select("doc_id", F.size("signs").cast("long").alias("n_lines"), n(1, 3).alias("marked"), n(2, 3).alias("shaped"), n(1, 2, 3).alias("redacted"))

@@ -48,24 +48,59 @@ def fresh_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("broken_records", with_(WITNESS) + """,
-r AS (SELECT *, seq % 17 = 0 AS odd, 'sha' || seq AS sha, CASE WHEN seq % 29 = 0 THEN 'reused' ELSE verdict END AS v, CASE WHEN seq % 31 = 0 THEN 'reused' ELSE labor_class END AS labor FROM witness)
-SELECT ledger_id, seq, concat_ws(',', CASE WHEN seq % 19 = 0 THEN 'schema-version' END, CASE WHEN seq % 23 = 0 AND v <> 'failed' THEN 'error-verdict' END, CASE WHEN odd THEN 'timestamp' END,
+r AS (SELECT *, CASE WHEN seq % 29 = 0 THEN 'reused' ELSE verdict END AS v, CASE WHEN seq % 31 = 0 THEN 'reused' ELSE labor_class END AS labor FROM witness)
+SELECT ledger_id, seq, concat_ws(',', CASE WHEN seq % 19 = 0 THEN 'schema-version' END, CASE WHEN seq % 23 = 0 AND v <> 'failed' THEN 'error-verdict' END, CASE WHEN seq % 46 = 0 THEN 'error-code' END, CASE WHEN seq % 17 = 0 THEN 'timestamp' END,
+       CASE WHEN seq % 41 = 0 THEN 'drv-path' END, CASE WHEN seq % 43 = 0 THEN 'executor' END, CASE WHEN seq % 53 = 0 THEN 'origin-producer' END,
        CASE WHEN (v = 'reused') <> (labor = 'reused') THEN 'reused-labor' END, CASE WHEN v = 'reused' AND seq % 2 = 0 THEN 'exit-code' END, CASE WHEN seq % 13 = 0 THEN 'prev-hash' END,
-       CASE WHEN seq % 37 = 0 OR lease_epoch = 0 THEN 'lease-epoch' END, CASE WHEN seq % 11 = 0 THEN 'pools' END) AS broken FROM r""")
+       CASE WHEN seq % 37 = 0 OR lease_epoch = 0 THEN 'lease-epoch' END, CASE WHEN seq % 11 = 0 THEN 'pools' END,
+       CASE WHEN seq % 47 = 0 THEN 'forbidden-field' END, CASE WHEN seq % 59 = 0 THEN 'null-field' END, CASE WHEN seq % 61 = 0 THEN 'field-order' END) AS broken FROM r""")
 def broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules of the witness; some are broken by the sequence number."""
+    """Records as lines of JSON, held against all rules of the witness, text and columns; some are broken by the sequence number."""
     seq, nth = F.col("seq"), lambda n: F.col("seq") % n == 0
-    digest = F.sha2(seq.cast("string"), 256)
-    rows = bridge.witness(spark, sf_dir).select(
-        "ledger_id", "seq", F.when(nth(19), 1).otherwise(2).alias("schemaVersion"), F.lit("verdict").alias("recordType"), F.when(nth(13), "none").otherwise(digest).alias("prevHash"), digest.alias("hash"),
-        F.lit("00000000-0000-4000-8000-000000000000").alias("taskUuid"), F.col("attempt").cast("long").alias("attempt"), F.when(nth(37), 0).otherwise(F.col("lease_epoch")).cast("long").alias("leaseEpoch"),
-        F.when(nth(29), "reused").otherwise(F.col("verdict")).alias("verdict"), F.when(nth(31), "reused").otherwise(F.col("labor_class")).alias("laborClass"), (seq % 2 == 0).cast("int").alias("exitCode"),
-        F.when(nth(17), F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("transitionTimestamp"), F.lit(1.5).alias("wallClock"), F.col("gpu_seconds").cast("double").alias("gpuSeconds"),
-        F.lit(None).cast("double").alias("charge"), F.when(nth(23), "broken").alias("error"), digest.alias("artifactContentHash"), F.lit(None).cast("string").alias("payloadHash"), F.lit(None).cast("string").alias("briefHash"),
-        F.lit(None).cast("array<string>").alias("storePaths"), F.lit("local").alias("executor"), F.when(nth(11), F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("pools"),
-        F.col("dedup_key").cast("string").alias("dedupKey"), F.lit(None).cast("string").alias("drvPath"), F.lit(None).cast("string").alias("resultRevision"),
+    digest, plain = F.concat(F.lit("sha256:"), F.sha2(seq.cast("string"), 256)), F.sha2(seq.cast("string"), 256)
+    store = F.lit("/nix/store/" + "0" * 32 + "-x")
+    drv = F.struct(F.when(nth(41), store).otherwise(F.concat(store, F.lit(".drv"))).alias("drvPath"), F.array(F.struct(F.lit("out").alias("name"), store.alias("path"))).alias("outputs"))
+    kind = F.when(nth(53), "gh").otherwise("calendar")
+    record = F.struct(
+        F.when(nth(19), 1).otherwise(2).alias("schemaVersion"), F.lit("verdict").alias("recordType"), F.when(nth(17), F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("transitionTimestamp"),
+        F.lit("00000000-0000-4000-8000-000000000000").alias("taskUuid"), F.when(nth(29), "reused").otherwise(F.col("verdict")).alias("verdict"), (seq % 2 == 0).cast("int").alias("exitCode"), digest.alias("artifactContentHash"), drv.alias("drv"),
+        F.col("gpu_seconds").cast("double").alias("gpuSeconds"), F.lit(1.5).alias("wallClock"), F.col("attempt"), F.when(nth(37), 0).otherwise(F.col("lease_epoch")).alias("leaseEpoch"), F.col("dedup_key").cast("string").alias("dedupKey"),
+        F.struct(F.lit(1).alias("schemaVersion"), F.lit("calendar").alias("source"), F.struct(F.lit("daily").alias("name"), kind.alias("kind")).alias("producer")).alias("origin"),
+        F.when(nth(31), "reused").otherwise(F.col("labor_class")).alias("laborClass"), F.when(nth(11), F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("pools"), F.when(nth(43), "a@b").otherwise("local").alias("executor"),
+        F.struct(F.lit("gpu-seconds").alias("unit"), F.col("gpu_seconds").cast("double").alias("amount"), F.lit("verifiable").alias("class")).alias("charge"), F.when(nth(23), F.struct(F.when(nth(46), "A B").otherwise("lost").alias("code"), F.lit("gone").alias("message"))).alias("error"),
+        F.when(nth(47), "x").alias("kind"), seq.alias("seq"), F.when(nth(13), plain).otherwise(digest).alias("prevHash"), digest.alias("hash"), F.when(nth(61), "m").alias("model"),
     )
-    return records.broken_rules(rows, rules.witness_rules()).select("ledger_id", "seq", F.array_join("broken", ",").alias("broken"))
+    raw = F.to_json(record)
+    raw = F.when(nth(59), F.concat(F.lit('{"more":null,'), F.substring(raw, 2, 1 << 20))).otherwise(raw)
+    rows = bridge.witness(spark, sf_dir).select("ledger_id", raw.alias("raw"))
+    rows = rows.select("ledger_id", "raw", F.from_json("raw", rules.WITNESS).alias("r")).select("ledger_id", "raw", "r.*")
+    return records.broken_rules(rows, rules.witness_rules() | rules.witness_text_rules()).select("ledger_id", "seq", F.array_join("broken", ",").alias("broken"))
+
+
+@register("broken_events", with_(EVENTS) + """
+SELECT sequence, concat_ws(',', CASE WHEN sequence % 5 = 0 THEN 'pools' END, CASE WHEN sequence % 11 = 0 THEN 'journal-scope' END, CASE WHEN sequence % 21 = 0 AND sequence % 11 <> 0 THEN 'projection-needs-scope' END,
+       CASE WHEN sequence % 4 = 1 AND sequence % 2 = 0 THEN 'attempt-scope' END, CASE WHEN sequence % 4 = 0 AND sequence % 3 = 0 AND sequence % 13 <> 0 THEN 'wide-scope' END, CASE WHEN sequence % 17 = 0 THEN 'control' END,
+       CASE WHEN sequence % 19 = 0 THEN 'exit-code' END, CASE WHEN sequence % 23 = 0 AND event <> 'failed' THEN 'tail-pair' END, CASE WHEN sequence % 23 = 0 AND event <> 'failed' THEN 'tail-event' END,
+       CASE WHEN attempt = 0 THEN 'attempt' END) AS broken FROM lifecycle""")
+def broken_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what holds for an event's fields besides the matrix; some are broken by the sequence number."""
+    n, nth = F.col("sequence"), lambda k: F.col("sequence") % k == 0
+    there = F.lit("x")
+    have = {
+        "identifier": there, "task_uuid": there, "task_ref": F.when(~nth(13), "c/t"), "journal_scope": F.when(nth(11), "run").otherwise(F.when(~nth(7) | ~nth(3), "00000000-0000-4000-8000-000000000000")),
+        "projection_scope": F.when(nth(3), F.when(n % 4 == 0, "pass").when(~nth(13), "task")), "class": there, "source": there, "message": F.lit("two\nlines"), "agent": F.when(nth(17), "a\tb").otherwise("a"), "unit": there, "session_ref": F.lit(None).cast("string"),
+        "evidence": there, "executor": there, "pools": F.when(nth(5), F.array(F.lit("b"), F.lit("a"))).otherwise(F.array("pool")), "lease_epoch": F.lit(1), "exit_code": F.when(nth(19), -1).otherwise(0),
+        "stderr_tail": F.when(nth(23), "oh"), "stderr_truncated": F.when(nth(23) & (F.col("event") == "failed"), F.lit(False)),
+    }
+    return records.broken_rules(bridge.lifecycle(spark, sf_dir).withColumns(have), rules.journal_rules()).select("sequence", F.array_join("broken", ",").alias("broken"))
+
+
+@register("broken_pools", with_(POOLS) + """
+SELECT pool, concat_ws(',', CASE WHEN slots = 0 THEN 'capacity' END, CASE WHEN coalesce(weekly, 0) * 2 > 100 THEN 'weekly' END, CASE WHEN capacity % 300 = 0 AND (meter IS NOT NULL OR weekly IS NOT NULL) THEN 'meter-needs-window' END) AS broken FROM pools""")
+def broken_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """some pools have no slots, others a share beyond all, or a meter without a window."""
+    rows = bridge.pools(spark, sf_dir).withColumns({"weekly": F.col("weekly") * 2, "window_cap": F.when(F.col("capacity") % 300 != 0, F.col("capacity"))})
+    return records.broken_rules(rows, rules.pool_rules()).select("pool", F.array_join("broken", ",").alias("broken"))
 
 
 @register("missing_fields", with_(EVENTS) + """
@@ -82,15 +117,15 @@ def missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("broken_capsules", with_(EVENTS) + """
-SELECT sequence, concat_ws(',', CASE WHEN sequence % 7 = 0 THEN 'iteration-path' END, CASE WHEN sequence % 5 = 0 THEN 'flow-run-id' END, CASE WHEN coalesce(context_tokens, 0) = 0 THEN 'max-nodes' END,
-       CASE WHEN sequence % 2 = 0 THEN 'subject-needs-role' END, CASE WHEN sequence % 2 = 0 AND sequence % 3 <> 0 THEN 'subject-needs-ref' END, CASE WHEN sequence % 6 = 0 AND task % 2 = 1 THEN 'subject-matches-ref' END) AS broken FROM lifecycle""")
+SELECT sequence, concat_ws(',', CASE WHEN sequence % 7 = 0 THEN 'iteration-path' END, CASE WHEN sequence % 5 = 0 THEN 'flow-run-id' END, CASE WHEN coalesce(context_tokens, 0) = 0 THEN 'max-nodes' END, CASE WHEN sequence % 11 = 0 THEN 'node-role' END,
+       CASE WHEN sequence % 2 = 0 AND sequence % 11 <> 0 THEN 'subject-needs-role' END, CASE WHEN sequence % 2 = 0 AND sequence % 3 <> 0 THEN 'subject-needs-ref' END, CASE WHEN sequence % 33 = 0 AND sequence % 2 = 1 THEN 'role-needs-subject' END, CASE WHEN sequence % 6 = 0 AND task % 2 = 1 THEN 'subject-matches-ref' END) AS broken FROM lifecycle""")
 def broken_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F19."""
     n = F.col("sequence")
     run = F.concat(F.lit("00000000-0000-4000-8000-"), F.when(n % 5 == 0, "x").otherwise(F.lpad(n.cast("string"), 12, "0")))
     capsule = F.to_json(F.struct(
         run.alias("flowRunId"), F.when(n % 7 == 0, "a/b").alias("iterationPath"), F.coalesce("context_tokens", F.lit(0)).alias("maxNodes"),
-        F.when(n % 3 == 0, F.concat(F.lit("spec/T"), (F.col("task") % 2).cast("string"))).alias("taskRef"), F.when(n % 2 == 0, "T0").alias("subjectTaskId"),
+        F.when(n % 3 == 0, F.concat(F.lit("spec/T"), (F.col("task") % 2).cast("string"))).alias("taskRef"), F.when(n % 2 == 0, "T0").alias("subjectTaskId"), F.when(n % 11 == 0, "painter").alias("nodeRole"),
     ))
     return records.broken_rules(bridge.lifecycle(spark, sf_dir).withColumn("raw", capsule), rules.orchestration_rules()).select("sequence", F.array_join("broken", ",").alias("broken"))
 
@@ -214,4 +249,4 @@ def worker_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("redacted_documents")
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their secrets taken out; tested by hand."""
-    return table(spark, sf_dir, "documents").select("doc_id", texts.redacted("text").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.redacted(F.col("text")).alias("text"))
