@@ -24,8 +24,8 @@ def governing_witness(rows: DataFrame, witness: DataFrame) -> DataFrame:
 
 
 def current_lane(facts: DataFrame) -> DataFrame:
-    """The greatest attempt of each task, then the greatest lease within it."""
-    return facts.groupBy("task").agg(F.max(F.struct("attempt", "lease_epoch")).alias("lane")).select("task", F.col("lane.attempt").alias("current_attempt"), F.col("lane.lease_epoch").alias("current_lease"))
+    """The greatest attempt of each task, then the greatest lease within it; facts without attempt name none."""
+    return facts.filter("attempt IS NOT NULL").groupBy("task").agg(F.max(F.struct("attempt", "lease_epoch")).alias("lane")).select("task", F.col("lane.attempt").alias("current_attempt"), F.col("lane.lease_epoch").alias("current_lease"))
 
 
 def journal_state(events: DataFrame) -> DataFrame:

@@ -17,11 +17,6 @@ def anchors(sources: dict[str, DataFrame]) -> DataFrame:
     return marked.groupBy("task").agg(*[F.max(f"in_{name}").alias(f"in_{name}") for name in sources])
 
 
-def labor_class(witnessed, live, live_attempt, current_attempt, latest):
-    """The current witness, then the live job of the current attempt, any live job, the latest witness."""
-    return F.coalesce(witnessed, F.when(live_attempt == current_attempt, live), live, latest)
-
-
 def children(parents: DataFrame) -> DataFrame:
     """(parent, children) with distinct children in order."""
     return parents.groupBy("parent").agg(F.sort_array(F.collect_set("task")).alias("children"))
@@ -35,32 +30,6 @@ def durable_parents(rows: DataFrame, lifecycle: DataFrame, continued: DataFrame)
     return out.select("task", F.coalesce("p0", "p1", "p2").alias("parent"), source.alias("source")).filter("parent IS NOT NULL")
 
 
-def jobs_v2(rows: DataFrame, live: DataFrame, events: DataFrame, witness: DataFrame, parents: DataFrame) -> DataFrame:
-    """One summary an anchor.
-
-    The lane is the greatest attempt over live jobs, events and witnesses, then
-    the greatest lease within it; without one all its fields are null.
-    """
-    lease = F.lit(0).cast("long").alias("lease_epoch")
-    facts = witness.select("task", "attempt", "lease_epoch").union(events.select("task", "attempt", lease)).union(live.select("task", "attempt", lease))
-    lane = facts.groupBy("task").agg(F.max(F.struct("attempt", "lease_epoch")).alias("x")).select("task", F.col("x.attempt").alias("current_attempt"), F.col("x.lease_epoch").alias("current_lease"))
-    latest = F.max_by("event", "sequence")
-    now = F.max_by(F.when(F.col("attempt") == F.col("current_attempt"), F.col("event")), F.when(F.col("attempt") == F.col("current_attempt"), F.col("sequence")))
-    current = events.join(lane, "task").groupBy("task").agg(F.coalesce(now, latest).alias("event"))
-    order = F.struct("attempt", "lease_epoch", "seq")
-    here = (F.col("attempt") == F.col("current_attempt")) & (F.col("lease_epoch") == F.col("current_lease"))
-    seen = witness.join(lane, "task").groupBy("task").agg(
-        F.max_by("verdict", order).alias("verdict"), F.max_by(F.when(here, F.col("labor_class")), F.when(here, F.col("seq"))).alias("current_labor"), F.max_by("labor_class", order).alias("latest_labor")
-    )
-    alive = live.select("task", F.col("attempt").alias("live_attempt"), F.lit("fresh").alias("live_labor"))
-    counts = parents.groupBy(F.col("parent").alias("task")).agg(F.count("*").alias("n_children"))
-    out = anchors({"rows": rows, "live": live, "lifecycle": events, "witness": witness}).select("task")
-    for df in (rows.select("task", "run", "priority"), lane, current, seen, alive, counts):
-        out = out.join(df, "task", "left")
-    labor = labor_class(F.col("current_labor"), F.col("live_labor"), F.col("live_attempt"), F.col("current_attempt"), F.col("latest_labor"))
-    return out.select("task", "run", "priority", "current_attempt", "current_lease", "event", "verdict", labor.alias("labor_class"), F.coalesce("n_children", F.lit(0)).alias("n_children"))
-
-
 def enriched_log(events: DataFrame, rows: DataFrame) -> DataFrame:
     """Journal records with their row's run and state where the journal itself is silent."""
     known = rows.select("task", "run", F.col("state").alias("row_state"))

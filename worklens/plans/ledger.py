@@ -75,14 +75,6 @@ def latest_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.argmax(bridge.witness(spark, sf_dir), ["task"], "attempt", "lease_epoch", "seq").select("task", "attempt", "lease_epoch", "seq")
 
 
-@register("current_lane", with_(WITNESS) + """
-SELECT task, attempt AS current_attempt, max(lease_epoch) AS current_lease FROM witness
-WHERE (task, attempt) IN (SELECT (task, max(attempt)) FROM witness GROUP BY task) GROUP BY task, attempt""")
-def current_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W5, R3."""
-    return ledger.current_lane(bridge.witness(spark, sf_dir))
-
-
 @register("journal_state", with_(EVENTS) + """
 SELECT task, arg_max(event, (epoch_us(ts), sequence)) AS state, max(attempt) AS max_attempt, coalesce(array_to_string(list_sort(list(DISTINCT attempt) FILTER (WHERE event = 'failed')), ','), '') AS failed_attempts
 FROM lifecycle GROUP BY task""")
@@ -293,41 +285,6 @@ def blocked_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.blocked_by(edges, edges.filter("needs % 9 = 0").select(F.col("needs").alias("task")).distinct())
 
 
-@register("standup_digest", with_(WITNESS, TASKS) + """,
-v AS (SELECT task, arg_max(verdict, (seq, ledger_id)) AS verdict, sum(gpu_seconds) FILTER (WHERE labor_class = 'fresh' AND verdict <> 'preempted') AS gpu FROM witness GROUP BY task)
-SELECT priority, count(*) FILTER (WHERE verdict = 'pass') AS completed, count(*) FILTER (WHERE verdict = 'failed') AS gate_fails, count(*) FILTER (WHERE verdict = 'preempted') AS cancelled,
-       count(*) FILTER (WHERE verdict IS NULL) AS in_flight, round(coalesce(sum(gpu), 0), 2) AS gpu_seconds FROM task_rows LEFT JOIN v USING (task) GROUP BY priority""")
-def standup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A12."""
-    gpu = F.when(P.canonical_gpu(F.col("verdict"), F.col("labor_class")), F.col("gpu_seconds"))
-    verdicts = bridge.witness(spark, sf_dir).groupBy("task").agg(F.max_by("verdict", F.struct("seq", "ledger_id")).alias("verdict"), F.sum(gpu).alias("gpu"))
-    rows = bridge.task_rows(spark, sf_dir).join(verdicts, "task", "left")
-    n = lambda v: F.count_if(F.col("verdict") == v)
-    return rows.groupBy("priority").agg(n("pass").alias("completed"), n("failed").alias("gate_fails"), n("preempted").alias("cancelled"), F.count_if(F.col("verdict").isNull()).alias("in_flight"), F.round(F.coalesce(F.sum("gpu"), F.lit(0.0)), 2).alias("gpu_seconds"))
-
-
-@register("run_state", with_(WITNESS, TASKS) + """,
-v AS (SELECT task, arg_max(verdict, (seq, ledger_id)) AS verdict FROM witness GROUP BY task),
-s AS (SELECT run, CASE WHEN verdict = 'pass' THEN 'done' WHEN verdict = 'failed' THEN 'blocked' WHEN state = 'recurring' THEN 'running' ELSE 'pending' END AS status FROM task_rows LEFT JOIN v USING (task)),
-c AS (SELECT run, count(*) FILTER (WHERE status = 'done') AS done, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'blocked') AS blocked, count(*) FILTER (WHERE status = 'pending') AS pending FROM s GROUP BY run)
-SELECT *, CASE WHEN running > 0 THEN 'running' WHEN blocked > 0 THEN 'needs-attention' WHEN pending = 0 THEN 'complete' WHEN done > 0 THEN 'advanced' ELSE 'idle' END AS state FROM c""")
-def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of the cases is the rule."""
-    verdicts = bridge.witness(spark, sf_dir).groupBy("task").agg(F.max_by("verdict", F.struct("seq", "ledger_id")).alias("verdict"))
-    rows = bridge.task_rows(spark, sf_dir).join(verdicts, "task", "left")
-    status = F.when(F.col("verdict") == "pass", "done").when(F.col("verdict") == "failed", "blocked").when(F.col("state") == "recurring", "running").otherwise("pending")
-    counts = rows.withColumn("status", status).groupBy("run").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("done", "running", "blocked", "pending")])
-    return counts.withColumn("state", F.when(F.col("running") > 0, "running").when(F.col("blocked") > 0, "needs-attention").when(F.col("pending") == 0, "complete").when(F.col("done") > 0, "advanced").otherwise("idle"))
-
-
-@register("lane_evidence", with_(WITNESS) + """
-SELECT task, attempt, lease_epoch, CASE WHEN bool_or(verdict = 'failed') THEN 'fail' WHEN bool_or(verdict = 'pass') THEN 'pass' ELSE 'none' END AS evidence, count(*) AS n FROM witness GROUP BY ALL""")
-def lane_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A21, A22, R16."""
-    seen = lambda v: F.max(F.col("verdict") == v)
-    return bridge.witness(spark, sf_dir).groupBy(*ledger.LANE).agg(F.when(seen("failed"), "fail").when(seen("pass"), "pass").otherwise("none").alias("evidence"), F.count("*").alias("n"))
-
-
 @register("gate_budget", with_(WITNESS, TASKS) + """
 SELECT priority, CASE WHEN max(gpu_seconds) IS NULL THEN 3600 ELSE greatest(60, floor(max(gpu_seconds) * 2)) END::DOUBLE AS budget FROM task_rows LEFT JOIN witness USING (task) GROUP BY priority""")
 def gate_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("broken_events", with_(EVENTS) + """
-SELECT sequence, concat_ws(',', CASE WHEN sequence % 5 = 0 THEN 'pools' END, CASE WHEN sequence % 11 = 0 THEN 'journal-scope' END, CASE WHEN sequence % 21 = 0 AND sequence % 11 <> 0 THEN 'projection-needs-scope' END,
+SELECT sequence, concat_ws(',', CASE WHEN sequence % 5 = 0 THEN 'pools' END, CASE WHEN sequence % 11 = 0 THEN 'journal-scope' END, CASE WHEN sequence % 21 = 0 AND sequence % 11 <> 0 AND (sequence % 4 = 0 OR sequence % 13 <> 0) THEN 'projection-needs-scope' END,
        CASE WHEN sequence % 4 = 1 AND sequence % 2 = 0 THEN 'attempt-scope' END, CASE WHEN sequence % 4 = 0 AND sequence % 3 = 0 AND sequence % 13 <> 0 THEN 'wide-scope' END, CASE WHEN sequence % 17 = 0 THEN 'control' END,
        CASE WHEN sequence % 19 = 0 THEN 'exit-code' END, CASE WHEN sequence % 23 = 0 AND event <> 'failed' THEN 'tail-pair' END, CASE WHEN sequence % 23 = 0 AND event <> 'failed' THEN 'tail-event' END,
        CASE WHEN attempt = 0 THEN 'attempt' END) AS broken FROM lifecycle""")

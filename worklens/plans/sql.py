@@ -34,6 +34,12 @@ LIVE = """live AS (
 PARENTS = """parents AS (
   SELECT task, parent FROM (SELECT task, lag(task) OVER (PARTITION BY run ORDER BY created, task) AS parent FROM task_rows) WHERE parent IS NOT NULL)"""
 PATHS = """paths AS (SELECT page_id, path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) AS path FROM pages) WHERE path <> '')"""
+GRADED = """graded AS (
+  SELECT * REPLACE (CASE WHEN event = 'heartbeat' AND sequence % 7 = 0 THEN 'evidence_fail' WHEN event = 'heartbeat' AND sequence % 7 < 3 THEN 'evidence_pass' ELSE event END AS event),
+         CASE WHEN sequence % 3 <> 0 THEN sequence % 5 END AS lease_epoch, CASE WHEN sequence % 4 = 0 THEN 'retry' END AS labor_class FROM lifecycle)"""
+JUDGED = """judged AS (
+  SELECT * REPLACE (CASE WHEN verdict = 'pass' AND discount = 0.05 THEN 'reused' WHEN verdict = 'pass' AND discount = 0.06 THEN 'substituted' WHEN verdict = 'preempted' AND discount < 0.035 THEN 'cancelled' WHEN verdict = 'failed' AND discount = 0.03 THEN 'clean-exit-no-artifact' ELSE verdict END AS verdict,
+         CASE WHEN verdict = 'pass' AND discount = 0.05 THEN 'reused' WHEN verdict = 'pass' AND discount = 0.06 THEN 'substituted' ELSE labor_class END AS labor_class) FROM witness)"""
 
 
 def with_(*parts: str, recursive: bool = False) -> str:

@@ -20,21 +20,6 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.anchors({"rows": bridge.task_rows(spark, sf_dir), "live": bridge.live(spark, sf_dir), "lifecycle": bridge.lifecycle(spark, sf_dir), "witness": bridge.witness(spark, sf_dir)})
 
 
-@register("jobs_v2", with_(WITNESS, TASKS, EVENTS, LIVE, PARENTS) + """,
-facts AS (SELECT task, attempt, lease_epoch FROM witness UNION ALL SELECT task, attempt, 0 FROM lifecycle UNION ALL SELECT task, attempt, 0 FROM live),
-lane AS (SELECT task, attempt AS current_attempt, max(lease_epoch) AS current_lease FROM facts WHERE (task, attempt) IN (SELECT (task, max(attempt)) FROM facts GROUP BY task) GROUP BY task, attempt),
-ev AS (SELECT task, coalesce(arg_max(event, sequence) FILTER (WHERE attempt = current_attempt), arg_max(event, sequence)) AS event FROM lifecycle JOIN lane USING (task) GROUP BY task),
-w AS (SELECT task, arg_max(verdict, (attempt, lease_epoch, seq)) AS verdict, arg_max(labor_class, seq) FILTER (WHERE attempt = current_attempt AND lease_epoch = current_lease) AS current_labor, arg_max(labor_class, (attempt, lease_epoch, seq)) AS latest_labor
-      FROM witness JOIN lane USING (task) GROUP BY task),
-a AS (SELECT task FROM task_rows UNION SELECT task FROM facts),
-kids AS (SELECT parent AS task, count(*) AS n FROM parents GROUP BY parent)
-SELECT task, run, priority, current_attempt, current_lease, event, verdict, coalesce(current_labor, CASE WHEN live.task IS NOT NULL THEN 'fresh' END, latest_labor) AS labor_class, coalesce(n, 0) AS n_children
-FROM a LEFT JOIN task_rows USING (task) LEFT JOIN lane USING (task) LEFT JOIN ev USING (task) LEFT JOIN w USING (task) LEFT JOIN live USING (task) LEFT JOIN kids USING (task)""")
-def jobs_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2, J14, W5, W6, W8."""
-    return summary.jobs_v2(bridge.task_rows(spark, sf_dir), bridge.live(spark, sf_dir), bridge.lifecycle(spark, sf_dir), bridge.witness(spark, sf_dir), bridge.parents(spark, sf_dir))
-
-
 @register("child_lists", with_(TASKS, PARENTS) + "SELECT parent, string_agg(task::VARCHAR, ',' ORDER BY task) AS children FROM parents GROUP BY parent")
 def child_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J14."""

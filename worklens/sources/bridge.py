@@ -102,3 +102,17 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, path): the path part of each page's address."""
     path = F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1)
     return _table(spark, sf_dir, "pages").select("page_id", path.alias("path")).filter("path <> ''")
+
+
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lifecycle() with evidence, leases and labor: some heartbeats bring evidence, a third of the records has no lease, a quarter names a labor."""
+    n, beat = F.col("sequence"), F.col("event") == "heartbeat"
+    event = F.when(beat & (n % 7 == 0), "evidence_fail").when(beat & (n % 7 < 3), "evidence_pass").otherwise(F.col("event"))
+    return lifecycle(spark, sf_dir).withColumns({"event": event, "lease_epoch": F.when(n % 3 != 0, n % 5), "labor_class": F.when(n % 4 == 0, "retry")})
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """witness() with all kinds of verdicts: the discount tells what was reused, cancelled or left nothing behind."""
+    v, labor, d = F.col("verdict"), F.col("labor_class"), F.round(F.col("discount") * 100).cast("int")
+    verdict = F.when((v == "pass") & (d == 5), "reused").when((v == "pass") & (d == 6), "substituted").when((v == "preempted") & (d < 4), "cancelled").when((v == "failed") & (d == 3), "clean-exit-no-artifact").otherwise(v)
+    return witness(spark, sf_dir).withColumns({"verdict": verdict, "labor_class": F.when((v == "pass") & (d == 5), "reused").when((v == "pass") & (d == 6), "substituted").otherwise(labor)})
