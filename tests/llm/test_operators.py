@@ -399,6 +399,28 @@ def test_neighbours_of_uneven_norms_and_many_dimensions(spark, size, dims, sprea
     assert np.mean([len(want[q] & got.get(q, set())) / 20 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("worth", [0.0, 0.8])
+def test_neighbours_of_equal_scores_go_to_the_smaller_id(spark, monkeypatch, worth):
+    monkeypatch.setattr(neighbours, "WORTH", worth)  # at 0 all is compared whole
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (900, 8)).astype(float)
+    ids = rng.permutation(5000)[: len(x)]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, leaf=4, chunk=300).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    zero = ~x.any(axis=1)
+    total = right = 0
+    for i, v in zip(ids, x):
+        if i % 20 == 0 and v.any():
+            want = sorted((-float(s), int(j)) for j, s, z in zip(ids, x @ v, zero) if j != i and not z)[:20]
+            mine = sorted(got[int(i)])
+            assert got[int(i)] == mine and len(mine) == 20  # nearest first, ties to the smaller id
+            total, right = total + 20, right + len(set(mine) & set(want))
+            assert worth or mine == want
+    assert right >= 0.9 * total
+
+
 def test_neighbours_choose_tables_and_slack_by_band(spark):
     """Groups of like directions in two bands of norms: small parts of each band find nearly all."""
     rng = np.random.default_rng(4)

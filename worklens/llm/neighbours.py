@@ -154,7 +154,7 @@ def _sampled_pairs(classes: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray,
             found[own[:, None] == now[None]] = -np.inf
             score, ids = np.concatenate([score, found], axis=1), np.concatenate([ids, np.broadcast_to(now, found.shape)], axis=1)
             if score.shape[1] > k:
-                best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                best = np.lexsort((ids, -score), axis=1)[:, :k]
                 score, ids = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
         i = np.repeat(np.arange(len(q)), score.shape[1])
         real = score.ravel() > -np.inf
@@ -283,7 +283,7 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
                 order = np.argsort(cells, kind="stable")
                 x, ids, cells = x[order], ids[order], cells[order]
             here, begin = np.unique(cells, return_index=True)
-            end = np.append(begin[1:], len(x))
+            end, longest = np.append(begin[1:], len(x)), np.linalg.norm(x, axis=1).max()
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
                 if whole:
@@ -298,13 +298,19 @@ def nearest(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "emb
                     for mine in np.split(order, np.flatnonzero(np.diff(place[order])) + 1) if len(order) else []:
                         a, z = begin[place[mine[0]]], end[place[mine[0]]]
                         score[row[mine], a:z] = part[row[mine]] @ x[a:z].T
+                # all that may tie with the last one kept, then exact scores, ties to the smaller class
                 keep = min(k + 1, len(x))
-                some = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                row, which = np.nonzero(np.take_along_axis(score, some, 1) > -np.inf)
-                found = some[row, which]
+                last = np.partition(score, len(x) - keep, axis=1)[:, len(x) - keep]
+                slip = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(part, axis=1) * longest
+                row, found = np.nonzero((score >= (last - slip)[:, None]) & (score > -np.inf))
+                exact = (part[row] * x[found]).sum(axis=1)  # in one order for a pair, whatever the part
+                order = np.lexsort((ids[found], -exact, row))
+                row, found, exact = row[order], found[order], exact[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < keep
+                row, found, exact = row[first], found[first], exact[first]
                 out[0].append(asks[at : at + 256][row])
                 out[1].append(ids[found])
-                out[2].append((part[row] * x[found]).sum(axis=1))  # in one order for a pair, whatever the part
+                out[2].append(exact)
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0), t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], names=["query", "class", "score"])
 
     found = spread(base, "i", "j").groupBy(*bucket).cogroup(spread(asked, "j", "i").groupBy(*bucket)).applyInArrow(compare, "query long, class long, score double")
