@@ -1,4 +1,4 @@
-"""Lineage and closures. Rounds double the distance covered, so their number is the logarithm of the longest chain."""
+"""Lineage and closures. Along chains rounds double the distance covered; over branching graphs they go from frontier to frontier."""
 
 from __future__ import annotations
 
@@ -10,51 +10,128 @@ from pyspark.sql import functions as F
 from worklens.sources.shared import shared_folder
 
 
+#: How many times the edges, or the pairs found, ways of double length may be.
+GROWTH = 4
+
+
 def _kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, so that rounds don't pile up and survive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/closure-{uuid.uuid4().hex}"
+    """df written to the application's part of the shared folder, so that rounds don't pile up and survive lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/closure-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
 
+def _gone(*frames: DataFrame) -> None:
+    """Removes what _kept() wrote, once nothing reads it any more."""
+    for df in frames:
+        there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+        there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
-def heads(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(run, head, steps) for each run with a successor: the last of its chain and how far it is.
 
-    Pointer doubling: every round a run points where its target pointed. A run
-    on a cycle never ends; it has a null head.
+def follow(pointers: DataFrame) -> DataFrame:
+    """(node, good) from pointers (node, to, good), one for each node: whether it and all that its pointers lead to are good.
+
+    Pointers double: each round a node points where its target pointed, until
+    all have come to an end. One that leads to no node is bad, and so are nodes
+    on a cycle or that lead to one: when no more come to an end in a round, none
+    of those left ever will.
     """
-    to = edges.select(F.col("run"), F.col("successor").alias("head"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("done"))
-    for _ in range(most_rounds):
-        ahead = to.select(F.col("run").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
-        moved = to.join(ahead, "head", "left").select("run", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNull().alias("done"))
-        to = _kept(moved)
-        if to.filter(~F.col("done")).isEmpty():
-            break
-    return to.select("run", F.when(F.col("done"), F.col("head")).alias("head"), F.when(F.col("done"), F.col("steps")).alias("steps"))
+    state, left = _kept(pointers.select("node", "to", "good")), None
+    while True:
+        open_ = F.col("to").isNotNull() & F.col("good")
+        now = state.filter(open_).count()
+        if now in (0, left):
+            return state.select("node", (F.col("good") & F.col("to").isNull()).alias("good"))
+        ahead = state.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("good").alias("met"))
+        moved = state.filter(open_).join(ahead, "to", "left").select("node", F.col("next").alias("to"), F.coalesce("met", F.lit(False)).alias("good"))
+        before, left = state, now
+        state = _kept(state.filter(~open_).union(moved))
+        _gone(before)
+
+
+def _doubled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of edges (run, successor): the ends (run, head, steps) of runs whose chain ends, and the rest (run, to, low): to lies on a cycle, low is the least of it.
+
+    One successor a run, the least, so a run has one row whatever the edges are.
+    A run points twice as far each round, with the number of steps and the least
+    run on the way. Runs that come to an end rest there. The others are done when
+    neither their targets grow fewer nor anything less is found in a round: then
+    all targets lie on cycles, and each way has gone around its own.
+    """
+    first = edges.groupBy("run").agg(F.min("successor").alias("to"))
+    state, seen = _kept(first.select("run", "to", F.lit(1).cast("long").alias("steps"), F.col("run").alias("low"), F.lit(False).alias("ended"))), None
+    while True:
+        ahead = state.select(F.col("run").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("low").alias("lower"), F.lit(True).alias("there"), F.col("ended").alias("over"))
+        moved = state.filter(~F.col("ended")).join(ahead, "to", "left").select(
+            "run", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.least("low", "lower").alias("low"), (F.col("there").isNull() | F.col("over")).alias("ended")
+        )
+        before = state
+        state = _kept(state.filter("ended").union(moved))
+        _gone(before)
+        open_ = state.filter(~F.col("ended"))
+        mark = open_.agg(F.count("*"), F.count_distinct("to"), F.sum(F.xxhash64("run", "low").cast("decimal(38,0)"))).first()
+        if not mark[0] or mark == seen:
+            return state.filter("ended").select("run", F.col("to").alias("head"), "steps"), open_.select("run", "to", "low")
+        seen = mark
+
+
+def heads(edges: DataFrame) -> DataFrame:
+    """(run, head, steps), one row for each run with a successor: the last of its chain and how far it is.
+
+    A run on a cycle, or that leads to one, has no head: null. Of several
+    successors the least counts; conflicts() reports them.
+    """
+    ends, endless = _doubled(edges)
+    return ends.union(endless.select("run", F.lit(None).cast(ends.schema["head"].dataType), F.lit(None).cast("long")))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(run, cycle) for each run that lies on a cycle, which is named by its least run."""
+    _, endless = _doubled(edges)
+    on = endless.select(F.col("to").alias("run")).distinct()
+    return endless.join(on, "run", "left_semi").select("run", F.col("low").alias("cycle"))
 
 
 def conflicts(edges: DataFrame) -> DataFrame:
-    """Second successors, second predecessors and edges to oneself."""
+    """(run, problem): second successors, second predecessors, edges to oneself and members of cycles."""
     several = lambda side, name: edges.groupBy(F.col(side).alias("run")).agg(F.count("*").alias("n")).filter("n > 1").select("run", F.lit(name).alias("problem"))
     own = edges.filter("run = successor").select("run", F.lit("self-edge").alias("problem"))
-    return several("run", "second-successor").union(several("successor", "second-predecessor")).union(own)
+    return several("run", "second-successor").union(several("successor", "second-predecessor")).union(own).union(cycles(edges).select("run", F.lit("cycle")))
 
 
 def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, node) from (name, node) and edges (node, to): all that each name reaches from its nodes, these included.
 
-    The edges of a round are as long as all rounds before reached, so a path of
-    any length is found after the logarithm of it; sets, so cycles end. It stops
-    at the first round that finds nothing new, however long that takes.
+    Along chains the step doubles each round, so a long one takes as many rounds
+    as its length has binary digits. Where it branches, ways of double length
+    may be far more than edges; they are counted before they are made, and if
+    there are more than GROWTH times as many as edges or pairs found, the step
+    stays as it is, and from there only what a round found new goes on, from
+    frontier to frontier. Sets, so cycles end, at the first round without
+    anything new.
     """
-    found, step = _kept(starts.select("name", "node").distinct()), _kept(edges.select("node", "to").distinct())
+    step = _kept(edges.select("node", "to").distinct())
+    found = _kept(starts.select("name", "node").distinct())
+    fresh, n_edges, n_found, doubles, changed = found, step.count(), found.count(), True, True
     while True:
-        fresh = found.join(step, "node").select("name", F.col("to").alias("node")).distinct()
-        fresh = _kept(fresh.join(found, ["name", "node"], "left_anti"))
-        if fresh.isEmpty():
+        onward = (found if changed else fresh).join(step, "node").select("name", F.col("to").alias("node")).distinct()
+        new = _kept(onward.join(found, ["name", "node"], "left_anti"))
+        n = new.count()
+        if not n:
             return found
-        found = _kept(found.union(fresh))
-        step = _kept(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")).distinct())
+        whole = _kept(found.union(new))
+        _gone(found, *([fresh] if fresh is not found else []))
+        found, fresh, n_found, changed = whole, new, n_found + n, False
+        if doubles:
+            degrees = step.select(F.col("node").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(step.select("to", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+            ways = degrees.agg(F.coalesce(F.sum(F.col("out") * F.col("in")), F.lit(0))).first()[0]
+            doubles = ways <= GROWTH * max(n_edges, n_found)
+        if doubles:
+            longer = _kept(step.join(step.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")).distinct())
+            _gone(step)
+            step, changed = longer, True
 
 
 def blocked_by(dependencies: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -75,3 +152,50 @@ def deferrals(dependencies: DataFrame, checkpoints: DataFrame, open_tasks: DataF
     start = checkpoints.select(F.col("checkpoint").alias("name"), F.col("checkpoint").alias("node"))
     related = reach(start, back).union(reach(start, back.select(F.col("to").alias("node"), F.col("node").alias("to")))).select(F.col("name").alias("checkpoint"), F.col("node").alias("task"))
     return checkpoints.join(open_tasks, "campaign").select("checkpoint", "task").join(related, ["checkpoint", "task"], "left_anti")
+
+
+def ready(tasks: DataFrame, needs: DataFrame) -> DataFrame:
+    """(task, status, wave, blocked_by, open_needs) for tasks (task, done, blocked) and needs (task, needs).
+
+    Done stays done. A task that is blocked itself, or needs such a one, near or
+    far, is blocked, with the roots. Of the others those without open needs are
+    ready, wave 0; wave n are those that become so when all before are done,
+    found by peeling the frontier round by round. Tasks that never do, as they
+    wait for a cycle or for a task that isn't there, are `stuck`.
+    """
+    known = _kept(tasks.groupBy("task").agg(F.max("done").alias("done"), F.max("blocked").alias("blocked")))
+    edges = _kept(needs.join(known.filter("done").select(F.col("task").alias("needs")), "needs", "left_anti").select("task", "needs").distinct())
+    roots = blocked_by(edges, known.filter("blocked AND NOT done").select("task")).groupBy("task").agg(F.sort_array(F.collect_set("root")).alias("blocked_by"))
+    roots = _kept(known.join(roots, "task", "left").select("task", "done", (F.col("blocked") | F.col("blocked_by").isNotNull()).alias("blocked"), "blocked_by"))
+    waiting = _kept(roots.filter("NOT done AND NOT blocked").select("task"))
+    open_ = _kept(edges.join(waiting, "task", "left_semi"))
+    waves, n = [], 0
+    while True:
+        free = _kept(waiting.join(open_.select("task"), "task", "left_anti").select("task", F.lit(n).alias("wave")))
+        if free.isEmpty():
+            break
+        waves.append(free)
+        last = (waiting, open_)
+        waiting = _kept(waiting.join(free, "task", "left_anti"))
+        open_ = _kept(open_.join(free.select(F.col("task").alias("needs")), "needs", "left_anti").select("task", "needs"))
+        _gone(*last)
+        n += 1
+    when = None
+    for w in waves:
+        when = w if when is None else when.union(w)
+    out = roots.join(when, "task", "left") if when is not None else roots.withColumn("wave", F.lit(None).cast("int"))
+    counts = edges.groupBy("task").agg(F.count("*").alias("open_needs"))
+    status = F.when(F.col("done"), "done").when(F.col("blocked"), "blocked").when(F.col("wave") == 0, "ready").when(F.col("wave").isNotNull(), "waiting").otherwise("stuck")
+    return out.join(counts, "task", "left").select("task", status.alias("status"), "wave", "blocked_by", F.coalesce("open_needs", F.lit(0)).alias("open_needs"))
+
+
+def settled(states: DataFrame, members: DataFrame, running: DataFrame) -> DataFrame:
+    """(campaign, done, ready, complete, quiescent) from ready() and members (campaign, task).
+
+    complete: all tasks are done. quiescent: nothing is ready, nothing of running
+    (task) goes on, and not all is done, so that nothing will move by itself.
+    """
+    rows = members.join(states, "task").join(running.select("task", F.lit(True).alias("runs")).distinct(), "task", "left")
+    counts = rows.groupBy("campaign").agg(F.count("*").alias("tasks"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.coalesce("runs", F.lit(False))).alias("running"))
+    complete = F.col("done") == F.col("tasks")
+    return counts.select("campaign", "done", "ready", complete.alias("complete"), (~complete & (F.col("ready") == 0) & (F.col("running") == 0)).alias("quiescent"))

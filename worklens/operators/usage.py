@@ -63,15 +63,6 @@ def missing_attempts(rows: DataFrame, most: int = 64) -> DataFrame:
     return out.select("task", "n_missing", F.array_join(F.slice("first", 1, most), ",").alias("missing"))
 
 
-def deltas(rows: DataFrame) -> DataFrame:
-    """Cumulative counters of a session less those of the record before; a drop is an underflow, not a number."""
-    before = Window.partitionBy("session").orderBy("ledger_id", "seq")
-    previous = F.lag("input_tokens").over(before)
-    reason = F.when(F.col("input_tokens").isNull(), "unreported").when(previous.isNull(), "no-predecessor").when(F.col("input_tokens") < previous, "underflow").otherwise("exact")
-    out = rows.withColumns({"reason": reason, "delta": F.when(reason == "exact", F.col("input_tokens") - previous)})
-    return out.select("session", "ledger_id", "seq", "reason", "delta")
-
-
 def trailing_debit(debits: DataFrame, seconds: int) -> DataFrame:
     """Per pool the debits of the half-open trailing window at each debit; one expires at exactly its end.
 

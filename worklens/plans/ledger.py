@@ -214,15 +214,6 @@ def missing_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.missing_attempts(bridge.witness(spark, sf_dir))
 
 
-@register("usage_deltas", with_(WITNESS, USAGE) + """,
-p AS (SELECT *, lag(input_tokens) OVER (PARTITION BY session ORDER BY ledger_id, seq) AS previous FROM attestations),
-r AS (SELECT *, CASE WHEN input_tokens IS NULL THEN 'unreported' WHEN previous IS NULL THEN 'no-predecessor' WHEN input_tokens < previous THEN 'underflow' ELSE 'exact' END AS reason FROM p)
-SELECT session, ledger_id, seq, reason, CASE WHEN reason = 'exact' THEN input_tokens - previous END AS delta FROM r""")
-def usage_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J20, J21, H17."""
-    return usage.deltas(bridge.attestations(spark, sf_dir))
-
-
 @register("trailing_debit", with_(EVENTS) + """
 SELECT pool, sequence, round(sum(gpu_seconds) OVER (PARTITION BY pool ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), 4) AS in_window FROM lifecycle""")
 def trailing_debit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,11 +257,12 @@ def lineage_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.heads(bridge.lineage(spark, sf_dir))
 
 
-@register("lineage_conflicts", with_(TASKS) + """,
-e AS (SELECT DISTINCT run, run + priority - 2 AS successor FROM task_rows)
+@register("lineage_conflicts", with_(TASKS, "e AS (SELECT DISTINCT run, run + priority - 2 AS successor FROM task_rows)", "f AS (SELECT run, min(successor) AS next FROM e GROUP BY run)", """
+walk AS (SELECT run AS start, next AS at_ FROM f UNION SELECT start, f.next FROM walk JOIN f ON f.run = at_)""", recursive=True) + """
 SELECT run, 'second-successor' AS problem FROM e GROUP BY run HAVING count(*) > 1
 UNION ALL SELECT successor, 'second-predecessor' FROM e GROUP BY successor HAVING count(*) > 1
-UNION ALL SELECT run, 'self-edge' FROM e WHERE run = successor""")
+UNION ALL SELECT run, 'self-edge' FROM e WHERE run = successor
+UNION ALL SELECT start, 'cycle' FROM walk WHERE start = at_""")
 def lineage_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J16."""
     edges = bridge.task_rows(spark, sf_dir).select("run", (F.col("run") + F.col("priority") - 2).alias("successor")).distinct()
