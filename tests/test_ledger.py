@@ -55,7 +55,7 @@ def test_chain(spark, tmp_path):
     removed = sealed.filter("NOT (ledger_id = 1 AND line = 2)")
     assert [(r.ledger_id, r.line, r.problem) for r in ledger.verify_chain(removed).collect()] == [(1, 3, "prev-hash-mismatch")]
     kept = [r.raw for r in sealed.filter("ledger_id = 1").orderBy("line").collect()]
-    (tmp_path / "a.jsonl").write_text("\n".join([*kept, "", "oops", "[1]"]))
+    (tmp_path / "a.jsonl").write_text("\n".join([*kept, "", "oops", "[1]", ""]))
     read = lines.quality(lines.read_lines(spark, str(tmp_path))).orderBy("line").collect()
     assert [r.raw for r in read][:6] == kept and [r.rejected for r in read] == [None] * 6 + ["blank", "not-json", "not-a-record"]
 

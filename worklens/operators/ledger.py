@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.functions import predicates as P
+from worklens.operators import segments
 
 LANE = ["task", "attempt", "lease_epoch"]
 
@@ -100,35 +101,56 @@ def first_membership(ledger: DataFrame) -> DataFrame:
 
 
 def sequence_gaps(records: DataFrame) -> DataFrame:
-    """Per ledger its count, ends, out-of-order and repeated numbers, and the first gap."""
-    after = Window.partitionBy("ledger_id").orderBy("line")
-    seen = records.withColumns({"before": F.lag("seq").over(after), "copies": F.count("*").over(Window.partitionBy("ledger_id", "seq"))})
-    order = seen.groupBy("ledger_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count_if(F.col("seq") < F.col("before")).alias("out_of_order"), F.count_if(F.col("copies") > 1).alias("repeated"))
-    numbers = records.select("ledger_id", "seq").distinct()
-    next_one = F.lead("seq").over(Window.partitionBy("ledger_id").orderBy("seq"))
-    gaps = numbers.withColumn("next", next_one).filter(F.col("next") > F.col("seq") + 1).groupBy("ledger_id").agg(F.min(F.col("seq") + 1).alias("first_gap"))
-    out = order.join(gaps, "ledger_id", "left")
+    """Per ledger its count, ends, out-of-order and repeated numbers, and the first gap.
+
+    line counts the records of a ledger. What came before a record, by line and
+    by number, is found piece by piece, so no task gets a whole ledger; all the
+    rest are sums.
+    """
+    seen = segments.with_before(records.select("ledger_id", "line", "seq"), ["ledger_id"], "line", F.col("seq"))
+    order = seen.groupBy("ledger_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count_if(F.col("seq") < F.col("before")).alias("out_of_order"))
+    numbers = records.groupBy("ledger_id", "seq").agg(F.count("*").alias("copies")).filter("seq IS NOT NULL")
+    after = segments.with_before(numbers, ["ledger_id"], "seq", F.col("seq"))
+    gaps = after.groupBy("ledger_id").agg(F.sum(F.when(F.col("copies") > 1, F.col("copies")).otherwise(0)).alias("repeated"), F.min(F.when(F.col("seq") > F.col("before") + 1, F.col("before") + 1)).alias("first_gap"))
+    out = order.join(gaps, "ledger_id", "left").withColumn("repeated", F.coalesce("repeated", F.lit(0)))
     return out.withColumn("ok", (F.col("out_of_order") == 0) & (F.col("repeated") == 0) & F.col("first_gap").isNull())
 
 
 GENESIS = "sha256:" + "0" * 64
-_OWN_HASH = r'"hash":"sha256:[0-9a-f]{64}"\}$'
+#: What stands at the end of a sealed line around its 64 digits, and before that around those of the hash before.
+_HASH, _PREVIOUS, _DIGITS = b'"hash":"sha256:', (b'"prevHash":"sha256:', b'"prev_hash":"sha256:'), 64
+
+
+def _sealed(raw: Column) -> tuple[Column, Column, Column]:
+    """Of a line the hash it says, the hash before, and its own: bytes are cut where the writer puts them; JSON is read only where they aren't there."""
+    b, n, tail = raw.cast("binary"), F.octet_length(raw), len(_HASH) + _DIGITS + 2
+    at = lambda start, length: F.substring(b, start, length)
+    usual = (n > tail) & (at(n - tail + 1, F.lit(len(_HASH))) == F.lit(_HASH)) & (at(n - 1, F.lit(2)) == F.lit(b'"}'))
+    digits = lambda start: F.concat(F.lit("sha256:"), at(start, F.lit(_DIGITS)).cast("string"))
+    said = F.when(usual, digits(n - 1 - _DIGITS)).otherwise(F.get_json_object(raw, "$.hash"))
+    before = F.coalesce(F.get_json_object(raw, "$.prevHash"), F.get_json_object(raw, "$.prev_hash"))
+    for name in _PREVIOUS:
+        back = tail + 2 + _DIGITS + len(name)
+        before = F.when(usual & (n > back) & (at(n - back + 1, F.lit(len(name))) == F.lit(name)) & (at(n - tail - 1, F.lit(2)) == F.lit(b'",')), digits(n - tail - 1 - _DIGITS)).otherwise(before)
+    own = F.when(usual, F.concat(F.lit("sha256:"), F.sha2(F.concat(at(F.lit(1), n - _DIGITS - 9), F.lit(b'"}')), 256)))
+    return said, before, own
 
 
 def verify_chain(lines: DataFrame) -> DataFrame:
     """(ledger_id, line, problem) for each record of (ledger_id, line, raw) that fails.
 
     A record's hash is that of its line with the closing hash blanked; its
-    prevHash is the hash of the valid record before it.
+    prevHash is the hash of the valid record before it. Hashes are computed where
+    lines are read; only they go on, 32 bytes each, and the valid one before is
+    found piece by piece, so no task gets a whole ledger.
     """
-    said, before = F.get_json_object("raw", "$.hash"), F.get_json_object("raw", "$.prevHash")
-    body = F.regexp_replace("raw", _OWN_HASH, '"hash":""}')
-    out = lines.withColumns({"said": said, "prev": before, "own": F.concat(F.lit("sha256:"), F.sha2(body, 256))})
-    out = out.withColumn("bad", ~F.coalesce(F.col("said") == F.col("own"), F.lit(False)))
-    order = Window.partitionBy("ledger_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.coalesce(F.last(F.when(~F.col("bad"), F.col("said")), ignorenulls=True).over(order), F.lit(GENESIS))
-    problem = F.when(F.col("said").isNull(), "not-a-record").when(F.col("bad"), "hash-mismatch").when(~F.col("prev").eqNullSafe(last), "prev-hash-mismatch")
-    return out.select("ledger_id", "line", problem.alias("problem")).filter("problem IS NOT NULL")
+    said, before, own = _sealed(F.col("raw"))
+    bits = lambda h: F.unhex(F.substring(h, 8, _DIGITS))
+    read = lines.select("ledger_id", F.col("line").cast("long").alias("line"), said.alias("said"), before.alias("prev"), own.alias("own"))
+    short = read.select("ledger_id", "line", F.col("said").isNull().alias("none"), (~F.coalesce(F.col("said") == F.col("own"), F.lit(False))).alias("bad"), F.when(F.col("said") == F.col("own"), bits(F.col("said"))).alias("hash"), bits(F.when(F.col("prev").rlike("^sha256:[0-9a-f]{64}$"), F.col("prev"))).alias("prev"))
+    linked = segments.with_before(short, ["ledger_id"], "line", F.col("hash"), F.lit(bytes(32)))
+    problem = F.when(F.col("none"), "not-a-record").when(F.col("bad"), "hash-mismatch").when(~F.col("prev").eqNullSafe(F.col("before")), "prev-hash-mismatch")
+    return linked.select("ledger_id", "line", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
 def compare_ledgers(ours: DataFrame, theirs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

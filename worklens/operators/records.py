@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklens.operators import segments
+
 
 def log_filter(log: DataFrame, since: Column) -> DataFrame:
     """records since a time given as text; a record whose own time can't be read goes."""
@@ -45,10 +47,19 @@ def missing_fields(rows: DataFrame, kind: str, required: dict[str, list[str]]) -
 
 
 def sequence_checks(records: DataFrame) -> DataFrame:
-    """S3: (ledger_id, line, sequence, expected, ok): each record should follow the one before it by one."""
-    before = F.lag("sequence").over(Window.partitionBy("ledger_id").orderBy("line"))
-    expected = F.coalesce(before + 1, F.col("sequence"))
-    return records.select("ledger_id", "line", "sequence", expected.alias("expected"), (F.col("sequence") == expected).alias("ok"))
+    """S3: (ledger_id, line, sequence, expected, ok): each record should follow the one before it by one.
+
+    With columns cursor and ts, ok also asks that the cursor is that of the
+    sequence and that time doesn't run back.
+    """
+    rows = segments.with_before(records, ["ledger_id"], "line", F.struct("sequence", *(["ts"] if "ts" in records.columns else [])))
+    expected = F.coalesce(F.col("before.sequence") + 1, F.col("sequence"))
+    ok = F.col("sequence") == expected
+    if "cursor" in records.columns:
+        ok = ok & F.coalesce(F.col("cursor") == F.concat(F.lit("lifecycle:"), F.col("sequence")), F.lit(False))
+    if "ts" in records.columns:
+        ok = ok & F.coalesce(F.col("ts") >= F.col("before.ts"), F.lit(True))
+    return rows.select("ledger_id", "line", "sequence", expected.alias("expected"), ok.alias("ok"))
 
 
 def split_records(captures: DataFrame) -> DataFrame:

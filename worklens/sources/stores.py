@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.operators import ledger
@@ -12,16 +12,22 @@ from worklens.sources import lines
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(file, line, record) of every log under path; R9.
 
-    A last line that isn't JSON is a torn append and skipped; any other bad line
-    fails the read when its rows are used. Blank lines count as bad, save the last.
-    A torn line that happens to be JSON can't be told apart here and stays.
+    A last line without an end is a torn append and skipped, whatever it holds;
+    any other line that isn't JSON fails the read when its rows are used.
     """
-    rows = lines.read_lines(spark, path)
-    torn = (F.col("line") == F.max("line").over(Window.partitionBy("file"))) & F.try_parse_json("raw").isNull()
-    whole = rows.withColumn("torn", torn).filter(~F.col("torn"))
+    rows = lines.read_lines(spark, path).filter(~F.col("torn"))
     bad = F.raise_error(F.concat(F.lit("bad record at "), F.col("file"), F.lit(":"), F.col("line"))).cast("string")
     checked = F.when(F.try_parse_json("raw").isNull(), bad).otherwise(F.col("raw"))
-    return whole.select("file", "line", F.from_json(checked, schema).alias("record"))
+    return rows.select("file", "line", F.from_json(checked, schema).alias("record"))
+
+
+def journal(spark: SparkSession, path: str, schema: str, identifier: str) -> DataFrame:
+    """(file, line, entry) of exported journal lines under path whose SYSLOG_IDENTIFIER is ours; blank lines and those of others are skipped, a bad line of any kind fails the read."""
+    rows = lines.read_lines(spark, path).filter(F.trim("raw") != "")
+    bad = F.raise_error(F.concat(F.lit("bad journal line at "), F.col("file"), F.lit(":"), F.col("line"))).cast("string")
+    checked = F.when(F.try_parse_json("raw").isNull(), bad).otherwise(F.col("raw"))
+    mine = F.get_json_object(checked, "$.SYSLOG_IDENTIFIER") == identifier
+    return rows.filter(mine).select("file", "line", F.from_json("raw", schema).alias("entry"))
 
 
 def attestations(spark: SparkSession, path: str, schema: str) -> DataFrame:
