@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from worklens.sources.shared import shared_folder
+from worklens.sources.shared import gone as _gone
+from worklens.sources.shared import kept as _kept
 
 
 #: How many times the edges, or the pairs found, ways of double length may be.
 GROWTH = 4
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the application's part of the shared folder, so that rounds don't pile up and survive lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.kept_path = path
-    return out
-
-
-def _gone(*frames: DataFrame) -> None:
-    """Removes what _kept() wrote, once nothing reads it any more."""
-    for df in frames:
-        there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_path)
-        there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def follow(pointers: DataFrame) -> DataFrame:
     """(node, good) from pointers (node, to, good), one for each node: whether it and all that its pointers lead to are good.
 

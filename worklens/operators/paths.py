@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from worklens.sources.shared import kept
 
 
 def component_regex(glob: str) -> str:
@@ -46,6 +50,52 @@ def forbidden(paths: DataFrame, globs: list[str]) -> DataFrame:
     return paths.select("*", F.explode(hits).alias("glob"))
 
 
+@F.pandas_udf(T.StringType())
+def _fits(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda p: f"^{component_regex(p)}$")
+
+
+def forbidden_by(paths: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(path, glob) for each of patterns (glob) that a path matches, both tables, by a trie of the patterns' components.
+
+    A node of the trie is the beginning of some patterns, up to a component. In
+    each round every path takes its next component from where it stands: to the
+    child of that name, by an equi join, to children whose wildcards fit, and,
+    standing behind a **, it may also stay. Before a ** it stands behind it as
+    well. So a path only meets the edges of its nodes, not all patterns. As many
+    rounds as the longest path has components. A ** at the end takes one
+    component at least; a bare name matches any component.
+    """
+    low = F.lower("glob")
+    bare = ~low.contains("/") & (low != "**")
+    span = F.lit("**")
+    ways = F.when(bare, F.array(F.array(span, low), F.array(span, low, span))).otherwise(F.array(F.split(low, "/")))
+    rows = patterns.select("glob", F.explode(ways).alias("parts")).distinct()
+    once = F.filter("parts", lambda p, i: (p != "**") | (i == 0) | (F.get("parts", i - 1) != "**"))  # ** and ** are one
+    rows = rows.select("glob", once.alias("parts"))
+    upto = lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/")
+    edges = kept(rows.select(F.posexplode("parts").alias("at", "part"), "parts").select(upto(F.col("at")).alias("node"), "part", upto(F.col("at") + 1).alias("child")).distinct())
+    ends = kept(rows.select(F.array_join("parts", "/").alias("node"), "glob"))
+    spans, wild = edges.filter("part = '**'").select("node", "child"), F.col("part").rlike(r"[*?\[]")
+    names = edges.filter((F.col("part") != "**") & ~wild)
+    globs = kept(edges.filter((F.col("part") != "**") & wild).select("node", "child", _fits("part").alias("pattern")))
+    before_span = lambda at: at.union(at.join(spans, "node").select("path", "parts", F.col("child").alias("node")))
+    at = before_span(paths.select("path", F.split(F.lower("path"), "/").alias("parts"), F.lit("").alias("node")).distinct())
+    found = []
+    for i in range(paths.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0):
+        here = at.filter(F.size("parts") > i).withColumn("part", F.get("parts", F.lit(i)))
+        named = here.join(names, ["node", "part"]).select("path", "parts", F.col("child").alias("node"))
+        fitting = here.join(globs, "node").filter(F.expr("part RLIKE pattern")).select("path", "parts", F.col("child").alias("node"))
+        stays = here.filter((F.col("node") == "**") | F.col("node").endswith("/**")).select("path", "parts", "node")
+        moved = kept(named.union(fitting).union(stays).distinct())
+        found.append(moved.filter(F.size("parts") == i + 1).join(ends, "node").select("path", "glob"))
+        at = before_span(moved).distinct()
+    out = paths.select("path", F.lit("").alias("glob")).limit(0)
+    for f in found:
+        out = out.union(f)
+    return out.distinct()
+
+
 def prefixes(path: Column) -> Column:
     """All leading runs of components of a path, the whole one last."""
     parts = F.split(F.lower(path), "/")

@@ -103,14 +103,16 @@ def jobs_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("echo_collapse", with_(WITNESS, EVENTS) + """,
-j AS (SELECT *, CASE WHEN task % 3 = 0 THEN attempt END AS lease, event IN ('completed', 'failed') AS terminal FROM lifecycle),
-w AS (SELECT *, CASE WHEN task % 3 = 0 THEN attempt END AS lease FROM witness),
-last AS (SELECT task, attempt, lease, max(sequence) AS sequence FROM j WHERE terminal GROUP BY ALL),
-first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task, attempt, lease ORDER BY ledger_id, seq) AS n FROM w) WHERE n = 1)
-SELECT CASE WHEN f.task IS NOT NULL THEN 'journal+witness' ELSE 'journal' END AS origin, j.task, j.attempt, j.lease AS lease_epoch, j.sequence AS number, j.ts, f.verdict, f.labor_class, coalesce(f.gpu_seconds, j.gpu_seconds) AS gpu_seconds, f.seq AS witness_seq
-FROM j LEFT JOIN last l ON j.terminal AND j.sequence = l.sequence LEFT JOIN first f ON l.task = f.task AND l.attempt = f.attempt AND l.lease IS NOT DISTINCT FROM f.lease
-UNION ALL SELECT 'witness', w.task, w.attempt, w.lease, w.seq, w.ts, w.verdict, w.labor_class, w.gpu_seconds, w.seq
-FROM w LEFT JOIN (SELECT f.ledger_id, f.seq FROM first f JOIN last l ON l.task = f.task AND l.attempt = f.attempt AND l.lease IS NOT DISTINCT FROM f.lease) x ON x.ledger_id = w.ledger_id AND x.seq = w.seq WHERE x.seq IS NULL""")
+b AS (
+  SELECT 'journal' AS origin, task, attempt, CASE WHEN task % 3 = 0 THEN attempt END AS lease_epoch, NULL AS ledger, sequence AS number, ts, event IN ('completed', 'failed') AS terminal, NULL AS v, NULL AS l, gpu_seconds AS g FROM lifecycle
+  UNION ALL SELECT 'witness', task, attempt, CASE WHEN task % 3 = 0 THEN attempt END, ledger_id, seq, ts, false, verdict, labor_class, gpu_seconds FROM witness),
+k AS (SELECT *, row_number() OVER (PARTITION BY task, attempt, lease_epoch, origin ORDER BY ledger, number) AS k, max(number) FILTER (WHERE terminal) OVER (PARTITION BY task, attempt, lease_epoch) AS last FROM b),
+f AS (
+  SELECT *, max(number) FILTER (WHERE origin = 'witness' AND k = 1) OVER lane AS n1, max(v) FILTER (WHERE origin = 'witness' AND k = 1) OVER lane AS v1, max(l) FILTER (WHERE origin = 'witness' AND k = 1) OVER lane AS l1, max(g) FILTER (WHERE origin = 'witness' AND k = 1) OVER lane AS g1
+  FROM k WINDOW lane AS (PARTITION BY task, attempt, lease_epoch)),
+m AS (SELECT *, coalesce(terminal AND number = last AND n1 IS NOT NULL, false) AS merged FROM f WHERE NOT (origin = 'witness' AND k = 1 AND last IS NOT NULL))
+SELECT CASE WHEN merged THEN 'journal+witness' ELSE origin END AS origin, task, attempt, lease_epoch, number, ts, CASE WHEN merged THEN coalesce(v1, v) ELSE v END AS verdict, CASE WHEN merged THEN coalesce(l1, l) ELSE l END AS labor_class,
+       CASE WHEN merged THEN coalesce(g1, g) ELSE g END AS gpu_seconds, CASE WHEN merged THEN n1 WHEN origin = 'witness' THEN number END AS witness_seq FROM m""")
 def echo_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks of two thirds have no lease, which matches as null."""
     lease = F.when(F.col("task") % 3 == 0, F.col("attempt"))

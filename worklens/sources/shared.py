@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +17,19 @@ def shared_folder(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the application's part of the shared folder, so that rounds don't pile up and survive lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/closure-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_path = path
+    return out
+
+
+def gone(*frames: DataFrame) -> None:
+    """Removes what kept() wrote, once nothing reads it any more."""
+    for df in frames:
+        there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_path)
+        there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
