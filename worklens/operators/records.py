@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from worklens.functions import facts
 from worklens.operators import segments
 
 
@@ -98,6 +99,23 @@ def retries_left(events: DataFrame, most: int) -> DataFrame:
     return events.filter("event = 'failed'").select("task", "sequence", nth.alias("nth")).withColumn("retry", F.when(F.col("nth") <= most, "automatic").otherwise("exhausted"))
 
 
+def retry_plan(terminals: DataFrame, triggers: DataFrame, automatic: dict[str, bool], most: int) -> DataFrame:
+    """Terminals (task, attempt, seq, verdict, pools) with retry: none, exhausted, manual, waiting or automatic, and its trigger.
+
+    triggers (kind, name): pools that came back (pool-return, resource-return)
+    and tasks that may be put back (bounded-requeue). automatic says which
+    triggers need nobody; without the event it waits for, a retry waits. Each
+    pool of a terminal meets the triggers by an equi join; works batch by batch.
+    """
+    kind = facts.lookup(F.col("verdict"), facts.RETRY_ON)
+    rows = terminals.withColumn("trigger", kind)
+    asks = rows.filter("trigger IS NOT NULL").select("task", "seq", F.col("trigger").alias("kind"), F.explode(F.when(F.col("trigger") == "bounded-requeue", F.array(F.col("task").cast("string"))).otherwise(F.col("pools"))).alias("name"))
+    seen = asks.join(triggers.select("kind", "name").distinct(), ["kind", "name"], "left_semi").select("task", "seq").distinct().withColumn("seen", F.lit(True))
+    free = F.col("trigger").isin([t for t, yes in automatic.items() if yes])
+    retry = F.when(F.col("trigger").isNull(), "none").when(F.col("attempt") + 1 > most, "exhausted").when(~free, "manual").when(F.col("seen").isNull(), "waiting").otherwise("automatic")
+    return rows.join(seen, ["task", "seq"], "left").select(*terminals.columns, retry.alias("retry"), "trigger")
+
+
 def digest_mismatches(prepared: DataFrame, admitted: DataFrame) -> DataFrame:
     """Campaigns whose admitted graph is not the one prepared."""
     return prepared.select("campaign", F.col("digest").alias("prepared")).join(admitted.select("campaign", F.col("digest").alias("admitted")), "campaign").filter("prepared <> admitted")

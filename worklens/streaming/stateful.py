@@ -36,20 +36,85 @@ def carried(rows: DataFrame, key: str, order: str, out: str, state: str, first:
     return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def verify_appended(lines: DataFrame) -> DataFrame:
-    """(ledger_id, line, problem) of newly appended (ledger_id, line, raw): only they are hashed; the state is the last valid hash."""
-
-    def step(last: tuple, r) -> tuple[tuple, list[tuple]]:
-        said, before = _OWN_HASH.search(r.raw), _PREVIOUS.search(r.raw)
-        if not said:
-            return last, [(r.ledger_id, r.line, "not-a-record")]
-        body = r.raw[: said.start()] + '"hash":""}'
-        if "sha256:" + hashlib.sha256(body.encode()).hexdigest() != said[1]:
-            return last, [(r.ledger_id, r.line, "hash-mismatch")]
-        wrong = not before or before[1] != last[0]
-        return (said[1],), [(r.ledger_id, r.line, "prev-hash-mismatch")] if wrong else []
-
-    return carried(lines, "ledger_id", "line", "ledger_id long, line long, problem string", "hash string", (GENESIS,), step)
+def verify_appended(lines: DataFrame, most_held: int = 10_000) -> DataFrame:
+    """(ledger_id, line, problem) of newly appended (ledger_id, line, raw, size): only they are hashed.
+
+    size is the number of lines of the ledger as it was read. Lines may come in
+    any order: early ones are held in the state until those before are there; if
+    more than most_held wait, those missing are taken as gone (`gap` at the first).
+    Lines that were verified already are passed over. If a ledger is now shorter
+    than what was verified, or its first line has changed, it is verified anew
+    from its first line on; a row with line 0 and problem `rebuilt` says that
+    what was said of it before no longer counts.
+    """
+    state = "next long, hash string, first string, lines array<bigint>, raws array<string>"
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now, last, first, lines_, raws = held.get if held.exists else (1, GENESIS, None, [], [])
+        rows = pd.concat(list(chunks))
+        early, made = dict(zip(lines_, raws, strict=True)), []
+        begin = rows.loc[rows["line"] == 1, "raw"]
+        if rows["size"].min() < now - 1 or (first is not None and len(begin) and begin.iloc[-1] != first):
+            now, last, first, early = 1, GENESIS, None, {}
+            made.append((key[0], 0, "rebuilt"))
+        early |= {int(n): raw for n, raw in zip(rows["line"], rows["raw"], strict=True) if n >= now}
+        while now in early or len(early) > most_held:
+            if now not in early:
+                made.append((key[0], now, "gap"))
+                now = min(early)
+            raw = early.pop(now)
+            first = raw if now == 1 else first
+            said, before = _OWN_HASH.search(raw), _PREVIOUS.search(raw)
+            if not said:
+                made.append((key[0], now, "not-a-record"))
+            elif "sha256:" + hashlib.sha256((raw[: said.start()] + '"hash":""}').encode()).hexdigest() != said[1]:
+                made.append((key[0], now, "hash-mismatch"))
+            else:
+                if not before or before[1] != last:
+                    made.append((key[0], now, "prev-hash-mismatch"))
+                last = said[1]
+            now += 1
+        held.update((now, last, first, list(early), list(early.values())))
+        yield pd.DataFrame(made, columns=["ledger_id", "line", "problem"])
+
+    return lines.groupBy("ledger_id").applyInPandasWithState(run, "ledger_id long, line long, problem string", state, "append", GroupStateTimeout.NoTimeout)
+
+
+def stalls(events: DataFrame, limit_seconds: int, late: str) -> DataFrame:
+    """(task, at, notice, multiple) for lanes of (task, ts) that fall silent: `stall` once for each multiple of the limit, `recovered` when they speak again.
+
+    Time is that of the events: a timer by task goes off when the watermark has
+    passed the next multiple, whether or not the task speaks any more. A silence
+    that its own next event ends first is noticed then, with its last multiple.
+    """
+    limit = limit_seconds * 1000
+
+    def run(key: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = held.get if held.exists else (None, 0)
+        made = []
+        if held.hasTimedOut:
+            n = (held.getCurrentWatermarkMs() - last) // limit
+            if n > told:
+                made.append((key[0], last + n * limit, "stall", n))
+                told = n
+        else:
+            for at in sorted(int(t.timestamp() * 1000) for t in pd.concat(list(chunks))["ts"]):
+                if last is not None and at > last:
+                    n = (at - last) // limit
+                    if n > told:
+                        made.append((key[0], last + n * limit, "stall", n))
+                    if n or told:
+                        made.append((key[0], at, "recovered", max(n, told)))
+                        told = 0
+                last = at if last is None else max(last, at)
+        held.update((last, told))
+        held.setTimeoutTimestamp(max(last + (told + 1) * limit, held.getCurrentWatermarkMs() + 1))
+        out = pd.DataFrame(made, columns=["task", "at", "notice", "multiple"])
+        out["at"] = pd.to_datetime(out["at"], unit="ms")
+        yield out
+
+    timed = events.select("task", "ts").withWatermark("ts", late)
+    return timed.groupBy("task").applyInPandasWithState(run, "task long, at timestamp, notice string, multiple long", "last long, told long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def pressure_levels(samples: DataFrame, high: float, low: float) -> DataFrame:
