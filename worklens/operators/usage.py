@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.functions import predicates as P
@@ -111,3 +111,40 @@ def interleaved(rows: DataFrame, group: str) -> DataFrame:
     """A fair order: by rank, then the n-th of each group, then the group whose first came first."""
     among = Window.partitionBy("priority", group)
     return rows.withColumns({"nth": F.row_number().over(among.orderBy("created", "task")), "oldest": F.min(F.struct("created", "task")).over(among)["task"]})
+
+
+def first_debits(grants: DataFrame) -> DataFrame:
+    """Of (ledger_id, n, lease_id, admission_key, pool, amount, admitted_at) the first of each lease, and of these the first of each admission key.
+
+    n is the place in the log. A lease granted again debits nothing; the same
+    admission under another lease debits nothing either. Without a key each
+    lease is an admission of its own.
+    """
+    rest = [c for c in grants.columns if c not in ("ledger_id", "lease_id")]
+    leases = grants.groupBy("ledger_id", "lease_id").agg(F.min_by(F.struct(*rest), "n").alias("x")).select("ledger_id", "lease_id", "x.*")
+    key = F.coalesce(F.concat(F.lit("k"), F.col("admission_key")), F.concat(F.lit("l"), F.col("lease_id")))
+    rest = [c for c in leases.columns if c != "ledger_id"]
+    return leases.withColumn("__key", key).groupBy("ledger_id", "__key").agg(F.min_by(F.struct(*rest), "n").alias("x")).select("ledger_id", "x.*")
+
+
+def window_usage(debits: DataFrame, pools: DataFrame, now: Column) -> DataFrame:
+    """(pool, used, reset_at) of pools with a window: debits whose window isn't over at now, and when the oldest of them ends."""
+    ends = F.col("admitted_at") + F.make_dt_interval(secs=F.col("window_seconds"))
+    live = debits.join(pools.filter("window_seconds IS NOT NULL").select("pool", "window_seconds"), "pool").withColumn("ends", ends).filter(F.col("ends") > now)
+    return live.groupBy("pool").agg(F.sum("amount").alias("used"), F.min("ends").alias("reset_at"))
+
+
+def project_headroom(pools: DataFrame) -> DataFrame:
+    """Pools (slots, held, used, window_cap, meter, weekly) with remaining, percent, effective, budget and signal.
+
+    A pool with a window is used as much as its debits of the cap; one without,
+    as much as its slots are held. A meter counts if it says more. What is left
+    of the budget is the lesser of what debits and meter leave.
+    """
+    used, cap = F.coalesce("used", F.lit(0)), F.col("window_cap")
+    own = F.when(cap.isNotNull(), F.least(used, cap) * 100.0 / cap).otherwise(F.least("held", "slots") * 100.0 / F.col("slots"))
+    by_meter = F.coalesce(F.least(F.floor(cap * (100.0 - F.col("meter")) / 100.0), cap), cap)
+    out = pools.withColumns({"remaining": F.greatest(F.lit(0), F.col("slots") - F.col("held")), "percent": own, "budget": F.when(cap.isNotNull(), F.least(F.greatest(F.lit(0), cap - used), by_meter))})
+    out = out.withColumn("effective", F.greatest("percent", F.coalesce("meter", F.lit(0.0))))
+    signal = F.when((F.col("remaining") == 0) | (F.col("effective") >= 90), "STOP").when((F.col("effective") >= 70) | F.coalesce(F.col("weekly") >= 80, F.lit(False)), "SLOW").otherwise("GO")
+    return out.withColumn("signal", signal)

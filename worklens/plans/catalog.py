@@ -7,7 +7,7 @@ import importlib
 from worklens import plans
 
 #: Modules of worklens.plans that register queries when imported.
-MODULES = ["ledger", "chains", "summary", "proofs", "upkeep", "records", "campaigns", "runs", "captures", "accounting", "reconcile"]
+MODULES = ["ledger", "chains", "summary", "proofs", "upkeep", "records", "campaigns", "runs", "captures", "accounting", "reconcile", "windows"]
 
 
 def _load() -> None:
