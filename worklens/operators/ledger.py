@@ -44,21 +44,55 @@ def milestones(events: DataFrame) -> DataFrame:
     )
 
 
-def jobs_v1(rows: DataFrame, events: DataFrame, witness: DataFrame) -> DataFrame:
-    """Rows, journal state and governing witness of each task, whichever exist.
-
-    All facts of a task meet in one shuffle. A witness governs if its attempt is
-    not older than the journal's last; so the latest of each attempt is kept, as
-    a map, and that of the greatest seq among the fitting attempts is picked.
+def jobs_v1(rows: DataFrame, journal: DataFrame, witness: DataFrame) -> DataFrame:
+    """Rows, journal and witnesses of each job, whichever exist, put together by what goes before what.
+
+    rows (task, attempt, state, executor, source, session, model, pool), journal
+    (task, line, us, attempt, event, executor, source, session, pool), witness
+    (ledger_id, task, seq, attempt, verdict, labor_class, gpu_seconds, at,
+    executor, session, model, brief_hash, pool).
+
+    A journal record counts if no record before it in the file is of a later
+    time (null times only before any other); the last of them says the state,
+    and each field is that of the last that has it. Then come the witnesses whose
+    attempt is not older than the last one that row or journal know: that of the
+    greatest seq governs, and fields that it lacks are those of the last that has
+    them. A witness without a task is a job of its own, `witness:` and its seq.
+    All are dealt by anchor once.
     """
-    fact = lambda df, **have: df.select("task", *[have.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("state", "string"), ("at", "struct<us:bigint,n:bigint>"), ("event", "string"), ("journal_attempt", "int"), ("attempt", "int"), ("seq", "bigint"), ("verdict", "string"))])
-    at = F.struct(F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-1)).alias("us"), F.col("sequence").alias("n"))
-    facts = fact(rows, state=F.col("state")).union(fact(events, at=at, event=F.col("event"), journal_attempt=F.col("attempt"))).union(fact(witness, attempt=F.col("attempt"), seq=F.col("seq"), verdict=F.col("verdict")))
-    lanes = facts.groupBy("task", "attempt").agg(F.max("state").alias("state"), F.max_by("event", "at").alias("journal_state"), F.max("journal_attempt").alias("max_attempt"), F.max(F.struct("seq", "verdict")).alias("latest"))
-    found = lanes.groupBy("task").agg(F.max("state").alias("state"), F.max("journal_state").alias("journal_state"), F.max("max_attempt").alias("max_attempt"), F.collect_list(F.when(F.col("latest.seq").isNotNull(), F.struct("latest", "attempt"))).alias("seen"))
-    fitting = F.array_max(F.transform(F.filter("seen", lambda x: F.col("max_attempt").isNull() | (x["attempt"] >= F.col("max_attempt"))), lambda x: x["latest"]))
-    out = found.withColumn("chosen", fitting)
-    return out.select("task", F.coalesce("chosen.verdict", "journal_state", "state").alias("state"), "max_attempt", F.col("chosen.seq").alias("witness_seq"), F.when(F.col("chosen.seq").isNull(), "queue").otherwise("witness").alias("scope"))
+    anchor = F.col("task").cast("string").alias("anchor")
+    in_file = Window.partitionBy("anchor").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    said = journal.select(anchor, *[c for c in journal.columns if c != "task"]).withColumn("__latest", F.max("us").over(in_file))
+    counts = F.col("__latest").isNull() | F.coalesce(F.col("us") >= F.col("__latest"), F.lit(False))
+    last = lambda c: F.max_by(c, F.when(counts & F.col(c).isNotNull(), F.col("line")))
+    told = said.groupBy("anchor").agg(
+        F.max("attempt").alias("j_attempt"), F.max_by("event", F.when(counts, F.col("line"))).alias("j_state"), F.max_by("us", F.when(counts, F.col("line"))).alias("j_us"), F.min_by("source", F.when(counts & F.col("source").isNotNull(), F.col("line"))).alias("j_source"),
+        *[last(c).alias(f"j_{c}") for c in ("executor", "session", "pool")],
+    )
+    own = rows.select(anchor, *[F.col(c).alias(f"r_{c}") for c in ("attempt", "state", "executor", "source", "session", "model", "pool")], F.lit(True).alias("has_row"))
+    known = own.join(told, "anchor", "full_outer").withColumn("last_attempt", F.greatest("r_attempt", "j_attempt"))
+    key = F.coalesce(F.col("task").cast("string"), F.concat(F.lit("witness:"), F.col("seq"))).alias("anchor")
+    seen = witness.select(key, F.col("attempt").alias("w_attempt"), *[c for c in witness.columns if c not in ("task", "attempt")]).join(known.select("anchor", "last_attempt"), "anchor", "left")
+    seen = seen.filter(F.col("last_attempt").isNull() | (F.col("w_attempt") >= F.col("last_attempt")))
+    order = F.struct("seq", "ledger_id")
+    kept = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"w_{c}")
+    governs = seen.groupBy("anchor").agg(F.max_by(F.struct("seq", "w_attempt", "verdict", "labor_class", "gpu_seconds", "at", "pool"), order).alias("w"), *map(kept, ("executor", "session", "model", "brief_hash")))
+    out = known.join(governs, "anchor", "full_outer")
+    judged = F.col("w").isNotNull()
+    counted = F.when(P.canonical_gpu(F.col("w.verdict"), F.col("w.labor_class")), F.col("w.gpu_seconds"))
+    return out.select(
+        "anchor", F.when(judged, "terminal").otherwise(F.coalesce("j_state", "r_state")).alias("state"), F.col("w.verdict").alias("verdict"), "last_attempt", F.col("w.w_attempt").alias("witness_attempt"), F.col("w.seq").alias("witness_seq"), F.col("w.labor_class").alias("labor_class"),
+        F.coalesce("w_executor", "j_executor", "r_executor").alias("executor"), F.coalesce("r_source", "j_source").alias("source"), F.coalesce("w_session", "j_session", "r_session").alias("session"), F.coalesce("w_model", "r_model").alias("model"), F.col("w_brief_hash").alias("brief_hash"),
+        F.when(judged, F.col("w.pool")).otherwise(F.coalesce("j_pool", "r_pool")).alias("pool"), F.col("w.gpu_seconds").alias("gpu_seconds"), counted.alias("canonical_gpu_seconds"), F.when(judged, F.col("w.at")).otherwise(F.timestamp_micros("j_us").cast("timestamp_ntz")).alias("last_event_at"),
+        F.when(judged, "witness").otherwise("queue").alias("scope"),
+    )
+
+
+def in_scope(jobs: DataFrame, scope: str) -> DataFrame:
+    """jobs of the queue (no witness governs), of the witness, or all."""
+    if scope not in ("queue", "witness", "all"):
+        raise ValueError(f"no such scope: {scope}")
+    return jobs if scope == "all" else jobs.filter(F.col("witness_seq").isNull() if scope == "queue" else F.col("witness_seq").isNotNull())
 
 
 def echo_collapse(events: DataFrame, witness: DataFrame) -> DataFrame:

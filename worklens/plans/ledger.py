@@ -9,7 +9,7 @@ from worklens.functions import predicates as P
 from worklens.functions import texts
 from worklens.operators import graphs, ledger, usage
 from worklens.plans import register, table
-from worklens.plans.sql import EVENTS, LINEAGE, MEMBERS, POOLS, TASKS, USAGE, WITNESS, with_
+from worklens.plans.sql import EVENTS, JUDGED, LINEAGE, MEMBERS, POOLS, TASKS, USAGE, WITNESS, with_
 from worklens.sources import bridge
 
 
@@ -91,15 +91,47 @@ def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.milestones(bridge.lifecycle(spark, sf_dir))
 
 
-@register("jobs_v1", with_(WITNESS, TASKS, EVENTS) + """,
-state AS (SELECT task, arg_max(event, (epoch_us(ts), sequence)) AS journal_state, max(attempt) AS max_attempt FROM lifecycle GROUP BY task),
-last AS (SELECT task, r.state, journal_state, max_attempt FROM task_rows r FULL JOIN state USING (task)),
-kept AS (SELECT w.*, row_number() OVER (PARTITION BY w.task ORDER BY seq DESC) AS n FROM witness w LEFT JOIN last USING (task) WHERE max_attempt IS NULL OR attempt >= max_attempt)
-SELECT task, coalesce(verdict, journal_state, state) AS state, max_attempt, seq AS witness_seq, CASE WHEN seq IS NULL THEN 'queue' ELSE 'witness' END AS scope
-FROM last FULL JOIN (SELECT * FROM kept WHERE n = 1) USING (task)""")
+_SPOKEN = """journal AS (
+  SELECT task, sequence AS line, CASE WHEN sequence % 6 <> 0 THEN epoch_us(date_trunc('hour', ts)) END AS us, attempt, event, CASE WHEN sequence % 5 = 0 THEN 'x' || sequence END AS executor, CASE WHEN sequence % 4 = 0 THEN 's' || sequence END AS source, CASE WHEN sequence % 9 = 0 THEN 'j' || sequence END AS session,
+         CASE WHEN sequence % 2 = 0 THEN pool END AS pool FROM lifecycle),
+seen AS (
+  SELECT ledger_id, CASE WHEN seq % 97 <> 0 THEN task END AS task, seq, attempt, verdict, labor_class, gpu_seconds, ts AS at_, CASE WHEN seq % 3 = 0 THEN 'w' || seq END AS executor, CASE WHEN seq % 5 = 0 THEN 't' || seq END AS session, CASE WHEN seq % 4 = 0 THEN 'm' || seq END AS model, CASE WHEN seq % 7 = 0 THEN 'b' || seq END AS brief_hash, 'lease-' || lease_epoch AS pool
+  FROM judged WHERE ledger_id = 0 OR seq % 97 <> 0)"""
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, seq = F.col("sequence"), F.col("seq")
+    some = lambda c, k, name: F.when(c % k == 0, F.concat(F.lit(name), c))
+    rows = bridge.task_rows(spark, sf_dir).select("task", F.when(F.col("task") % 4 == 0, F.col("priority")).alias("attempt"), "state", F.lit("row").alias("executor"), F.when(F.col("task") % 2 == 0, "row").alias("source"), F.lit(None).cast("string").alias("session"), F.lit("row").alias("model"), F.lit("row").alias("pool"))
+    us = F.when(n % 6 != 0, F.unix_micros(F.date_trunc("hour", "ts").cast("timestamp")))
+    journal = bridge.lifecycle(spark, sf_dir).select("task", n.alias("line"), us.alias("us"), "attempt", "event", some(n, 5, "x").alias("executor"), some(n, 4, "s").alias("source"), some(n, 9, "j").alias("session"), F.when(n % 2 == 0, F.col("pool")).alias("pool"))
+    witness = bridge.judged(spark, sf_dir).filter((F.col("ledger_id") == 0) | (seq % 97 != 0)).select(
+        "ledger_id", F.when(seq % 97 != 0, F.col("task")).alias("task"), "seq", "attempt", "verdict", "labor_class", "gpu_seconds", F.col("ts").alias("at"), some(seq, 3, "w").alias("executor"), some(seq, 5, "t").alias("session"), some(seq, 4, "m").alias("model"), some(seq, 7, "b").alias("brief_hash"), F.concat(F.lit("lease-"), "lease_epoch").alias("pool")
+    )
+    return ledger.jobs_v1(rows, journal, witness)
+
+
+@register("jobs_v1", with_(WITNESS, TASKS, EVENTS, JUDGED, _SPOKEN) + """,
+c AS (SELECT *, max(us) OVER (PARTITION BY task ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM journal),
+k AS (SELECT *, latest IS NULL OR coalesce(us >= latest, false) AS counts FROM c),
+j AS (
+  SELECT task, max(attempt) AS attempt, arg_max(event, line) FILTER (WHERE counts) AS state, max(line) FILTER (WHERE counts) AS last_line, arg_max(executor, line) FILTER (WHERE counts AND executor IS NOT NULL) AS executor, arg_min(source, line) FILTER (WHERE counts AND source IS NOT NULL) AS source,
+         arg_max(session, line) FILTER (WHERE counts AND session IS NOT NULL) AS session, arg_max(pool, line) FILTER (WHERE counts AND pool IS NOT NULL) AS pool FROM k GROUP BY task),
+o AS (
+  SELECT task::VARCHAR AS anchor, r.state AS r_state, j.state AS j_state, greatest(CASE WHEN task % 4 = 0 THEN r.priority END, j.attempt) AS last_attempt, j.executor AS j_executor, CASE WHEN r.task IS NOT NULL THEN 'row' END AS r_any, CASE WHEN r.task % 2 = 0 THEN 'row' END AS r_source, j.source AS j_source, j.session AS j_session, j.pool AS j_pool,
+         (SELECT us FROM journal x WHERE x.line = j.last_line) AS us FROM task_rows r FULL JOIN j USING (task)),
+w AS (SELECT coalesce(s.task::VARCHAR, 'witness:' || seq) AS anchor, s.* FROM seen s),
+g AS (SELECT w.* FROM w LEFT JOIN o USING (anchor) WHERE last_attempt IS NULL OR attempt >= last_attempt),
+b AS (
+  SELECT anchor, max(seq) AS seq, arg_max(attempt, seq) AS attempt, arg_max(verdict, seq) AS verdict, arg_max(labor_class, seq) AS labor_class, arg_max(gpu_seconds, seq) AS gpu_seconds, arg_max(at_, seq) AS at_, arg_max(pool, seq) AS pool, arg_max(executor, seq) FILTER (WHERE executor IS NOT NULL) AS executor,
+         arg_max(session, seq) FILTER (WHERE session IS NOT NULL) AS session, arg_max(model, seq) FILTER (WHERE model IS NOT NULL) AS model, arg_max(brief_hash, seq) FILTER (WHERE brief_hash IS NOT NULL) AS brief_hash FROM g GROUP BY anchor)
+SELECT anchor, CASE WHEN b.seq IS NOT NULL THEN 'terminal' ELSE coalesce(j_state, r_state) END AS state, verdict, last_attempt, b.attempt AS witness_attempt, b.seq AS witness_seq, labor_class, coalesce(b.executor, j_executor, r_any) AS executor, coalesce(r_source, j_source) AS source, coalesce(b.session, j_session) AS session,
+       coalesce(model, r_any) AS model, brief_hash, CASE WHEN b.seq IS NOT NULL THEN b.pool ELSE coalesce(j_pool, r_any) END AS pool, gpu_seconds, CASE WHEN labor_class = 'fresh' AND verdict NOT IN ('clean-exit-no-artifact', 'preempted', 'cancelled', 'substituted') THEN gpu_seconds END AS canonical_gpu_seconds,
+       CASE WHEN b.seq IS NOT NULL THEN at_ ELSE make_timestamp(us) END AS last_event_at, CASE WHEN b.seq IS NOT NULL THEN 'witness' ELSE 'queue' END AS scope
+FROM o FULL JOIN b USING (anchor)""")
 def jobs_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1, F7."""
-    return ledger.jobs_v1(bridge.task_rows(spark, sf_dir), bridge.lifecycle(spark, sf_dir), bridge.witness(spark, sf_dir))
+    """Journal times are of whole hours and some are null, so that ties and the order of the file decide; some witnesses have no task."""
+    return _jobs(spark, sf_dir)
 
 
 @register("echo_collapse", with_(WITNESS, EVENTS) + """,
