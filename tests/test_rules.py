@@ -115,6 +115,25 @@ def test_text_and_capsule_rules(spark):
     assert [r.broken for r in records.broken_rules(df, rules.orchestration_rules()).collect()] == [b for _, b in capsules]
 
 
+def test_receipt_rules(spark):
+    base = {"schemaVersion": 1, "sequence": 7, "campaign": "c", "issueNumber": "12"}
+    stamp = {"schemaVersion": 2, "armSerial": 3, "worklistSha256": SHA, "writtenAt": "2026-01-02T03:04:05Z", "actor": "a"}
+    diagnosis = base | {"kind": "diagnosis", "taskId": "t-1", "attempt": 1, "diagnosis": "it broke", "redaction": "conservative-v1"}
+    retry, worker = base | {"kind": "retry", "taskId": "t", "attempt": 2, "reason": "again", "redaction": "conservative-v2"}, base | {"kind": "worker-outcome", "taskId": "t", "taskRevision": SHA, "taskUuid": UUID, "outcome": "needs-authority", "paths": ["a/b"], "reason": None}
+    escalation, pardon = base | {"kind": "escalation", "body": "help"}, base | {"kind": "pardon", "tasks": ["a", "b"]}
+    proposal = {"kind": "gate-set-fix", "paths": ["x"], "goal": "g"}
+    cases = [
+        ([], diagnosis), ([], retry), ([], worker), ([], escalation), ([], pardon), ([], pardon | {"tasks": None, "reason": "r", "nonce": UUID}), ([], diagnosis | stamp | {"inputEpoch": SHA, "verdict": "blocked", "proposal": proposal}), ([], worker | {"outcome": "impossible", "paths": None, "reason": "no way"}),
+        (["schema-version"], retry | {"schemaVersion": "1"}), (["kind", "fields"], retry | {"kind": "other"}), (["fields"], retry | {"more": 1}), (["fields"], retry | {"inputEpoch": SHA}), (["identity"], retry | {"sequence": 8}), (["identity"], retry | {"issueNumber": 12}), (["stamp"], retry | stamp | {"armSerial": 0}),
+        (["stamp"], retry | stamp | {"worklistSha256": "a" * 64}), (["stamp"], retry | stamp | {"writtenAt": "yesterday"}), (["input-epoch"], retry | stamp | {"inputEpoch": "x"}), (["task-id"], retry | {"taskId": "T"}), (["attempt"], retry | {"attempt": 3}), (["redaction"], retry | {"redaction": "none"}),
+        (["diagnosis"], diagnosis | {"diagnosis": " "}), (["diagnosis"], diagnosis | {"diagnosis": "x" * 12_001}), (["diagnosis"], diagnosis | {"diagnosis": "a\u0001"}), (["verdict"], diagnosis | {"verdict": "maybe"}), (["proposal"], diagnosis | {"verdict": "retry", "proposal": proposal}), (["retry-reason"], retry | {"reason": 5}),
+        (["revision"], worker | {"taskRevision": "a" * 64}), (["task-uuid"], worker | {"taskUuid": UUID.upper().replace("0", "A", 1)}), (["outcome"], worker | {"outcome": "done"}), (["authority"], worker | {"reason": "x"}), (["authority"], worker | {"paths": []}), (["impossible"], worker | {"outcome": "impossible"}),
+        (["body"], escalation | {"body": ""}), (["pardoned"], pardon | {"tasks": ["a", "a"]}), (["pardoned"], {k: v for k, v in pardon.items() if k != "tasks"}), (["pardon-reason"], pardon | {"reason": ""}), (["pardon-nonce"], pardon | {"nonce": "n"}),
+    ]
+    df = spark.createDataFrame([(json.dumps(c), 7, "c", "12") for _, c in cases], "raw string, expected_sequence long, expected_campaign string, expected_issue string")
+    assert [r.broken for r in records.broken_rules(df, rules.receipt_rules()).collect()] == [b for b, _ in cases]
+
+
 def test_required_fields():
     need = rules.required_fields()
     assert "agent" not in need["enqueued"] and "agent" in need["dispatched"] and "unit" not in need["dispatched"] and "unit" in need["heartbeat"]

@@ -95,6 +95,24 @@ def broken_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.broken_rules(bridge.lifecycle(spark, sf_dir).withColumns(have), rules.journal_rules()).select("sequence", F.array_join("broken", ",").alias("broken"))
 
 
+@register("broken_receipts", with_(EVENTS) + """
+SELECT sequence, concat_ws(',', CASE WHEN sequence % 7 = 0 THEN 'schema-version' END, CASE WHEN sequence % 11 = 0 THEN 'fields' END, CASE WHEN sequence % 13 = 0 THEN 'identity' END, CASE WHEN sequence % 17 = 0 THEN 'task-id' END, CASE WHEN sequence % 3 < 2 AND attempt NOT IN (1, 2) THEN 'attempt' END,
+       CASE WHEN sequence % 3 < 2 AND sequence % 5 = 0 THEN 'redaction' END, CASE WHEN sequence % 3 = 0 AND sequence % 19 = 0 THEN 'diagnosis' END, CASE WHEN sequence % 3 = 0 AND sequence % 23 = 0 THEN 'verdict' END, CASE WHEN sequence % 3 = 1 AND sequence % 19 = 0 THEN 'retry-reason' END,
+       CASE WHEN sequence % 3 = 2 AND sequence % 29 = 0 THEN 'authority' END) AS broken FROM lifecycle""")
+def broken_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third each are diagnoses, retries and worker outcomes; some are broken by the sequence number."""
+    n, nth, kind = F.col("sequence"), lambda k: F.col("sequence") % k == 0, F.col("sequence") % 3
+    said = F.when(nth(19), " ").otherwise("it broke")
+    common = [F.when(nth(7), 3).otherwise(1).alias("schemaVersion"), F.when(nth(13), n + 1).otherwise(n).alias("sequence"), F.lit("c").alias("campaign"), F.lit("12").alias("issueNumber"), F.when(nth(17), "Task").otherwise("t-1").alias("taskId"), F.when(nth(11), "x").alias("more")]
+    tried = [F.col("attempt"), F.when(nth(5), "none").otherwise("conservative-v1").alias("redaction")]
+    diagnosis = F.to_json(F.struct(F.lit("diagnosis").alias("kind"), *common, *tried, said.alias("diagnosis"), F.when(nth(23), "maybe").otherwise("blocked").alias("verdict")))
+    retry = F.to_json(F.struct(F.lit("retry").alias("kind"), *common, *tried, said.alias("reason")))
+    worker = F.to_json(F.struct(F.lit("worker-outcome").alias("kind"), *common, F.lit("sha256:" + "0" * 64).alias("taskRevision"), F.lit("00000000-0000-4000-8000-000000000000").alias("taskUuid"), F.lit("needs-authority").alias("outcome"), F.when(nth(29), F.array().cast("array<string>")).otherwise(F.array(F.lit("a/b"))).alias("paths")))
+    worker = F.concat(F.lit('{"reason":null,'), F.substring(worker, 2, 1 << 20))
+    rows = bridge.lifecycle(spark, sf_dir).select("sequence", F.when(kind == 0, diagnosis).when(kind == 1, retry).otherwise(worker).alias("raw"), n.alias("expected_sequence"), F.lit("c").alias("expected_campaign"), F.lit("12").alias("expected_issue"))
+    return records.broken_rules(rows, rules.receipt_rules()).select("sequence", F.array_join("broken", ",").alias("broken"))
+
+
 @register("broken_pools", with_(POOLS) + """
 SELECT pool, concat_ws(',', CASE WHEN slots = 0 THEN 'capacity' END, CASE WHEN coalesce(weekly, 0) * 2 > 100 THEN 'weekly' END, CASE WHEN capacity % 300 = 0 AND (meter IS NOT NULL OR weekly IS NOT NULL) THEN 'meter-needs-window' END) AS broken FROM pools""")
 def broken_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
