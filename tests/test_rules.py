@@ -178,8 +178,8 @@ def test_headroom(spark):
 
 
 def test_sums_saturate(spark):
-    most = 2**63 - 1
-    df = spark.createDataFrame([(1, most, most, 1, None, None, "USD", 0.0)] * 3 + [(2, 1, None, 2, 3, None, "USD", 0.0)], "run long, input_tokens long, cache_read_tokens long, cache_write_tokens long, output_tokens long, declared_total long, currency string, cost double")
+    given, most = 2**63 - 1, 2**64 - 1
+    df = spark.createDataFrame([(1, given, given, 1, None, None, "USD", 0.0)] * 3 + [(2, 1, None, 2, 3, None, "USD", 0.0)], "run long, input_tokens long, cache_read_tokens long, cache_write_tokens long, output_tokens long, declared_total long, currency string, cost double")
     got = {r.run: r for r in usage.roll_up(df, "run").collect()}
     assert (got[1].input_tokens, got[1].fresh_input, got[1].total_tokens, got[1].saturated) == (most, most, most, True)
     assert (got[2].input_tokens, got[2].fresh_input, got[2].total_tokens, got[2].saturated) == (1, 3, 6, False)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from worklens.operators import folds, ledger, records
-from worklens.streaming import stateful, tables
+from worklens.streaming import events, stateful, tables
 
 
 def fed(spark, tmp_path, name, batches, view, mode="append"):
@@ -148,3 +148,12 @@ def test_budgets(spark, tmp_path):
     df = spark.createDataFrame(rows, "pool string, s long, gpu_seconds double").select("pool", F.timestamp_seconds("s").alias("ts"), "gpu_seconds")
     got = fed(spark, tmp_path, "budgets", [df.filter("ts < timestamp_seconds(900)"), df.filter("ts >= timestamp_seconds(900)")], lambda s: stateful.budgets(s, "10 minutes", "5 minutes", "1 minute"), "complete")
     assert got == sorted(map(tuple, stateful.budgets(df, "10 minutes", "5 minutes", "1 minute").collect()), key=str)
+
+
+def test_each_sequence_once_and_changes_after_a_cursor(spark, tmp_path):
+    rows = spark.createDataFrame([(i % 7, 1000 + i) for i in range(20)], "sequence long, s long").select("sequence", F.timestamp_seconds("s").alias("ts"))
+    got = fed(spark, tmp_path, "once", [rows.filter("sequence < 4"), rows], events.once)
+    assert sorted(r[0] for r in got) == list(range(7))
+    one = rows.select("sequence").distinct()
+    got = fed(spark, tmp_path, "feed", [one.filter("sequence < 4"), one.filter("sequence >= 4")], lambda s: events.changes_after(s, 2, 5))
+    assert got == [(i, True) for i in (3, 4, 5, 6)] and {r.gap for r in events.changes_after(one, 2).collect()} == {False}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worklens.functions import json_paths
+from worklens.functions import predicates as P
 
 #: The logical usage fields, and where a usage capture without a field map has them.
 USAGE_FIELDS = ["cacheReadTokens", "cacheWriteTokens", "costUsd", "inputTokens", "inputTokensWithCacheRead", "outputTokens", "reasoningTokens", "totalTokens"]
@@ -152,7 +153,7 @@ def observe(scraped: DataFrame, captures: list[Capture]) -> DataFrame:
     n = lambda f: F.col(f"__n_{f}")
     reported = F.coalesce(n("inputTokens"), n("inputTokensWithCacheRead"))
     less = n("inputTokensWithCacheRead") - n("cacheReadTokens")
-    plain = F.coalesce(n("inputTokens"), F.when(less >= 0, less)).cast("decimal(20,0)")
+    plain = F.coalesce(n("inputTokens"), P.exclusive_input(n("inputTokensWithCacheRead"), n("cacheReadTokens"))).cast("decimal(20,0)")
     unreadable = F.array_compact(F.array(*[F.when(F.col(f"__{f}").isNotNull() & n(f).isNull(), F.lit(f)) for f in USAGE_FIELDS], F.when(n("inputTokens").isNull() & (less < 0), F.lit("inputTokensWithCacheRead"))))
     parts, lump = [reported, *map(n, COUNTS)], [n("totalTokens"), n("costUsd")]
     has = lambda columns: F.coalesce(*[c.cast("string") for c in columns]).isNotNull()

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from worklens.functions import predicates as P
 
 COMPONENTS = ["input_tokens", "cache_read_tokens", "cache_write_tokens", "output_tokens"]
-#: Sums stop at the largest number that their column, a signed long, holds.
-MOST = "9223372036854775807"
+#: Where sums stop.
+MOST = "18446744073709551615"
 
 
 def last_attestation(rows: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def roll_up(rows: DataFrame, key: str) -> DataFrame:
     fresh = wide("input_tokens") + wide("cache_write_tokens")
     sums = {c: F.sum(wide(c)) for c in COMPONENTS} | {"fresh_input": F.sum(fresh), "total_tokens": F.sum(F.when(known, total))}
     most = F.lit(MOST).cast("decimal(38,0)")
-    capped = [F.when(s.isNotNull(), F.least(s, most)).cast("long").alias(c) for c, s in sums.items()]  # least passes nulls over
+    capped = [F.when(s.isNotNull(), F.least(s, most)).cast("decimal(20,0)").alias(c) for c, s in sums.items()]  # least passes nulls over
     over = F.greatest(*[F.coalesce(s > most, F.lit(False)) for s in sums.values()])
     counts = [F.count(c).alias(f"n_{c}") for c in COMPONENTS]
     usd = F.col("currency") == "USD"

@@ -28,3 +28,8 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """df with wide whole numbers as longs, as the SQL twins have them."""
+    return df.withColumns({c: df[c].cast("long") for c, kind in df.dtypes if kind == "decimal(20,0)"})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.operators import campaigns, graphs, usage
-from worklens.plans import register, table
+from worklens.plans import longs, register, table
 from worklens.plans.sql import LINEAGE, MEMBERS, PARENTS, TASKS, USAGE, WITNESS, with_
 from worklens.sources import bridge
 
@@ -89,7 +89,7 @@ def campaign_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = campaigns.chains(facts, campaigns.precedes(facts, parents, members))
     tasks = campaigns.chain_members(chain, members)
     last = usage.last_attestation(bridge.attestations(spark, sf_dir))
-    used = usage.roll_up(tasks.join(last, "task"), "issue").select("issue", "attempts", "input_tokens", "output_tokens")
+    used = longs(usage.roll_up(tasks.join(last, "task"), "issue")).select("issue", "attempts", "input_tokens", "output_tokens")
     order = F.sort_array(F.collect_list(F.struct("depth", "run")))
     runs = chain.groupBy("issue", "latest").agg(F.array_join(F.transform(order, lambda x: x["run"].cast("string")), ",").alias("flow_runs"))
     out = runs.join(tasks.groupBy("issue").agg(F.count("*").alias("tasks")), "issue", "left").join(used, "issue", "left")

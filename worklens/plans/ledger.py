@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from worklens.functions import predicates as P
 from worklens.functions import texts
 from worklens.operators import graphs, ledger, usage
-from worklens.plans import register, table
+from worklens.plans import longs, register, table
 from worklens.plans.sql import EVENTS, JUDGED, LINEAGE, MEMBERS, POOLS, TASKS, USAGE, WITNESS, with_
 from worklens.sources import bridge
 
@@ -226,7 +226,7 @@ FROM (SELECT *, declared_total IS NOT NULL OR coalesce(input_tokens, cache_read_
 def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2 to A5, W15, R5, R14."""
     last = usage.last_attestation(bridge.attestations(spark, sf_dir))
-    return usage.roll_up(last.join(bridge.task_rows(spark, sf_dir).select("task", "run"), "task"), "run")
+    return longs(usage.roll_up(last.join(bridge.task_rows(spark, sf_dir).select("task", "run"), "task"), "run"))
 
 
 @register("field_coverage", with_(WITNESS, USAGE, TASKS) + """,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worklens.operators import ledger, paths, proofs, usage
-from worklens.plans import register, table
+from worklens.plans import longs, register, table
 from worklens.plans.sql import EVENTS, LIVE, MEMBERS, PATHS, TASKS, USAGE, WITNESS, with_
 from worklens.sources import bridge
 
@@ -71,7 +71,7 @@ c AS (SELECT run, concat_ws(',', CASE WHEN n_in < n THEN 'input-partial' END, CA
 SELECT run, caveats, caveats = '' AS complete FROM c""")
 def usage_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9."""
-    rolled = usage.roll_up(usage.last_attestation(bridge.attestations(spark, sf_dir)).join(bridge.task_rows(spark, sf_dir).select("task", "run"), "task"), "run")
+    rolled = longs(usage.roll_up(usage.last_attestation(bridge.attestations(spark, sf_dir)).join(bridge.task_rows(spark, sf_dir).select("task", "run"), "task"), "run"))
     rules = {"input-partial": F.col("n_input_tokens") < F.col("attempts"), "output-partial": F.col("n_output_tokens") < F.col("attempts"), "other-currency": F.col("n_other_currency") > 0}
     return proofs.caveats(rolled, rules).select("run", F.array_join("caveats", ",").alias("caveats"), "complete")
 

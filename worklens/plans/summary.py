@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from worklens.functions import predicates as P
 from worklens.operators import ledger, summary, usage
-from worklens.plans import register
+from worklens.plans import longs, register
 from worklens.plans.sql import EVENTS, LIVE, MEMBERS, PARENTS, POOLS, TASKS, USAGE, WITNESS, with_
 from worklens.sources import bridge
 
@@ -102,7 +102,7 @@ def touched_run_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bridge.task_rows(spark, sf_dir)
     recent = bridge.witness(spark, sf_dir).filter(P.within(F.col("ts"), F.to_timestamp(F.lit("2000-01-01")), None))
     runs = summary.touched_runs(rows, bridge.membership(spark, sf_dir), recent)
-    sums = usage.roll_up(usage.last_attestation(bridge.attestations(spark, sf_dir)).join(rows.select("task", "run"), "task"), "run")
+    sums = longs(usage.roll_up(usage.last_attestation(bridge.attestations(spark, sf_dir)).join(rows.select("task", "run"), "task"), "run"))
     return runs.join(sums.select("run", "attempts", "output_tokens"), "run", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
 
 

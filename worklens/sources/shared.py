@@ -33,3 +33,9 @@ def gone(*frames: DataFrame) -> None:
     for df in frames:
         there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_path)
         there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application wrote in the shared folder: for callers, after they have written or collected their results."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

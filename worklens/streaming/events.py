@@ -23,7 +23,13 @@ def live_state(events: DataFrame) -> DataFrame:
     return events.groupBy("task").agg(top.alias("x")).select("task", "x.*")
 
 
-def changes_after(changes: DataFrame, cursor: int) -> DataFrame:
-    """Records past a cursor, and whether some before them are gone already."""
-    earliest = changes.agg(F.min("sequence").alias("earliest"))
-    return changes.filter(F.col("sequence") > cursor).crossJoin(F.broadcast(earliest)).withColumn("gap", F.lit(cursor) < F.col("earliest") - 1).drop("earliest")  # one row
+def changes_after(changes: DataFrame, cursor: int, earliest: int | None = None) -> DataFrame:
+    """Records past a cursor, and whether some before them are gone already.
+
+    A batch finds the earliest record that is still there by itself. A stream is
+    told it, as its source is retained elsewhere, and is then a plain filter.
+    """
+    if earliest is not None:
+        return changes.filter(F.col("sequence") > cursor).withColumn("gap", F.lit(cursor < earliest - 1))
+    first = changes.agg(F.min("sequence").alias("earliest"))
+    return changes.filter(F.col("sequence") > cursor).crossJoin(F.broadcast(first)).withColumn("gap", F.lit(cursor) < F.col("earliest") - 1).drop("earliest")  # one row
