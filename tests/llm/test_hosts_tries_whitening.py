@@ -87,9 +87,9 @@ def test_a_farm_that_links_to_blocked_hosts_is_blocked(spark):
     rows = [(f"http://farm.net/{i}", spam) for i in range(3)] + [(f"http://bad.org/{i}", "") for i in range(40)]
     rows += [(f"http://good.org/{i}", kind) for i in range(20)] + [("http://news.net/1", None), ("http://lone.net/", "<a href='#top'>"), (None, spam), ("no scheme", None)]
     rows += [("http://mixed.net/", spam + '<a href="http://good.org/">')] + [(f"http://mixed.net/{i}", "<a href='/x'>") for i in range(60)]
-    df = pages(spark, rows).withColumns({"verdict": F.lit("mine"), "rule": F.lit(1), "html2": F.col("html")})
+    df = pages(spark, rows).withColumns({"verdict": F.lit("mine"), "rule": F.lit(1), "n": F.lit("n"), "kind": F.lit("k")})
     out = urls.judge(df, rules(spark))
-    assert out.columns == ["page_id", "url", "html", "html2", "host", "path", "rule", "verdict", "trust", "distrust"]
+    assert out.columns == ["page_id", "url", "html", "n", "kind", "host", "path", "rule", "verdict", "trust", "distrust"]
     got = {rows[r.page_id][0]: r for r in out.collect()}
     assert len(got) == len(rows)
     assert got["http://farm.net/0"].verdict == "block" and got["http://farm.net/0"].rule is None

@@ -133,11 +133,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     """
     new = ["host", "path", "rule", "verdict", "trust", "distrust", "ruled"]
     kept = [c for c in pages.columns if c not in new]
-    rows = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    ruled = apply_rules(rows, rules)
+    whole = F.struct(*kept).alias("__page")  # whatever its columns are named
+    rows = pages.select(whole, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
+    ruled = apply_rules(rows.drop("html"), rules)
     hosts = ruled.filter("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("trusted"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     hosts = common.staged(hosts, "hosts")
-    links = common.staged(host_links(rows.select("host", F.col(html).alias("html"))), "links")
+    links = common.staged(host_links(rows.select("host", "html")), "links")
     scores = propagate(hosts.select("host", "trusted", "blocked"), links)
     scored = hosts.join(scores, "host", "left").select("host", "n", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("trust", "distrust")])
     bad = (F.col("distrust") > F.col("n") * threshold) & (F.col("distrust") > F.col("trust"))
@@ -146,4 +147,4 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     mine = common.spread_join(ruled.filter("host <> ''"), scored, ["host"], total)
     nowhere = ruled.filter("host = ''").withColumns({"verdict": F.lit("allow"), "trust": F.lit(0.0), "distrust": F.lit(0.0)})
     out = mine.drop("n").unionByName(nowhere)
-    return out.select(*kept, "host", "path", "rule", F.coalesce("ruled", "verdict").alias("verdict"), "trust", "distrust")
+    return out.select("__page.*", "host", "path", "rule", F.coalesce("ruled", "verdict").alias("verdict"), "trust", "distrust")
