@@ -67,22 +67,50 @@ def coverage(claims: DataFrame, traces: DataFrame) -> DataFrame:
     return claims.select("claim").join(carried, "claim", "left").withColumn("traced", F.col("n_rows").isNotNull()).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
-def census(claims: DataFrame, bindings: DataFrame) -> DataFrame:
-    """What binds each claim: `none`, the kind of its one binding, or how many there are."""
-    n = bindings.groupBy("claim").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
-    bound = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, F.col("kind")).otherwise(F.concat(F.col("n"), F.lit(" bindings")))
-    return claims.select("claim").join(n, "claim", "left").select("claim", bound.alias("bound"))
-
-
-def trace_faults(claims: DataFrame, tasks: DataFrame, traces: DataFrame) -> DataFrame:
-    """(rule, seq, claim): rows that name unknown claims or tasks, releases without an earlier sitting, claims never traced."""
-    fault = lambda df, rule: df.select(F.lit(rule).alias("rule"), "seq", "claim")
-    unknown_claim = fault(traces.join(claims, "claim", "left_anti"), "unknown-claim")
-    unknown_task = fault(traces.join(tasks, "task", "left_anti"), "unknown-task")
+def census(claims: DataFrame, bindings: DataFrame, gates: DataFrame) -> DataFrame:
+    """(claim, bound, oracle, fault): what binds each claim, which must be exactly one of bindings (claim, kind, value).
+
+    A check's oracle is its value, a gate's its id and the command of gates
+    (gate, command), a human has none. Several are listed in order. Faults: no
+    oracle, several, a gate that isn't declared.
+    """
+    resolved = bindings.join(gates.select(F.col("gate").alias("value"), "command", F.lit(True).alias("declared")), "value", "left")
+    is_gate = F.col("kind") == "gate"
+    says = F.when(is_gate, F.concat("value", F.lit(": "), F.when(F.col("declared"), F.col("command")).otherwise("unresolved"))).when(F.col("kind") == "check", F.col("value"))
+    listed = F.when(F.col("kind") == "human", "HUMAN-ATTENDED").otherwise(F.concat_ws(": ", "kind", "value"))
+    n = resolved.withColumns({"says": says, "listed": listed}).groupBy("claim").agg(
+        F.count("*").alias("n"), F.min("kind").alias("kind"), F.max("says").alias("says"), F.array_join(F.sort_array(F.collect_list("listed")), "; ").alias("list"), F.coalesce(F.max(is_gate & F.col("declared").isNull()), F.lit(False)).alias("lost")
+    )
+    none, one = F.col("n").isNull(), F.col("n") == 1
+    bound = F.when(none, "none").when(one, F.col("kind")).otherwise(F.concat(F.col("n"), F.lit(" bindings")))
+    fault = F.when(none, "no-oracle").when(~one, "several-oracles").when(F.col("lost"), "unknown-gate")
+    return claims.select("claim").join(n, "claim", "left").select("claim", bound.alias("bound"), F.when(none, None).when(one, F.col("says")).otherwise(F.col("list")).alias("oracle"), fault.alias("fault"))
+
+
+def trace_faults(claims: DataFrame, tasks: DataFrame, traces: DataFrame, criteria: DataFrame, files: DataFrame, unauthored: DataFrame) -> DataFrame:
+    """(rule, seq, claim, cited) for the faults of traces (seq, claim, task, kind, acceptance, evidence).
+
+    Rows that name a claim of claims (claim, stage) or a task that isn't there;
+    acceptance ids that their task, if it is there, doesn't declare in criteria
+    (task, acceptance); evidence `path` or `path#anchor` without such a file of
+    files (path, body), or with a file that doesn't hold the anchor; releases
+    without an earlier sitting of their claim and task; claims that are never
+    traced, unless their stage is one of unauthored (stage).
+    """
+    fault = lambda df, rule, cited=None: df.select(F.lit(rule).alias("rule"), "seq", "claim", (F.lit(None).cast("string") if cited is None else F.col(cited)).alias("cited"))
+    known = tasks.select("task").distinct()
+    unknown_claim = fault(traces.join(claims.select("claim").distinct(), "claim", "left_anti"), "unknown-claim")
+    unknown_task = fault(traces.join(known, "task", "left_anti"), "unknown-task")
+    cites = traces.join(known, "task", "left_semi").select("seq", "claim", "task", F.explode("acceptance").alias("acceptance"))
+    unmet = fault(cites.join(criteria.select("task", "acceptance").distinct(), ["task", "acceptance"], "left_anti"), "unknown-acceptance", "acceptance")
+    path, anchor = F.substring_index("cited", "#", 1), F.when(F.col("cited").contains("#"), F.expr("substring(cited, instr(cited, '#') + 1)"))
+    proof = traces.select("seq", "claim", F.explode("evidence").alias("cited")).withColumns({"path": path, "anchor": anchor}).join(files.select("path", "body"), "path", "left")
+    lost = fault(proof.filter("body IS NULL"), "missing-evidence", "cited").union(fault(proof.filter(F.col("body").isNotNull() & F.col("anchor").isNotNull() & ~F.col("body").contains(F.col("anchor"))), "missing-anchor", "cited"))
     sat = F.min(F.when(F.col("kind") == "sitting", F.col("seq"))).over(Window.partitionBy("claim", "task"))
     early = traces.withColumn("sat", sat).filter((F.col("kind") == "release") & ~F.coalesce(F.col("sat") < F.col("seq"), F.lit(False)))
-    untraced = claims.join(traces, "claim", "left_anti").select("claim", F.lit(None).cast("long").alias("seq"))
-    return unknown_claim.union(unknown_task).union(fault(early, "release-without-sitting")).union(fault(untraced, "never-traced"))
+    owned = claims.join(unauthored.select("stage").distinct(), "stage", "left_anti").filter("stage IS NOT NULL")
+    untraced = owned.join(traces.select("claim").distinct(), "claim", "left_anti").select("claim", F.lit(None).cast("long").alias("seq"))
+    return unknown_claim.union(unknown_task).union(unmet).union(lost).union(fault(early, "release-without-sitting")).union(fault(untraced, "never-traced"))
 
 
 def paired(briefs: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -114,24 +114,41 @@ def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("binding_census", with_(WITNESS) + _TRACES + """,
-n AS (SELECT claim, count(*) AS n, min(kind) AS kind FROM traces WHERE task % 40 = 1 GROUP BY claim)
-SELECT claim, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN kind ELSE n || ' bindings' END AS bound FROM claims LEFT JOIN n USING (claim)""")
+b AS (SELECT claim, CASE task % 3 WHEN 0 THEN 'gate' WHEN 1 THEN 'check' ELSE 'human' END AS kind, CASE task % 3 WHEN 0 THEN 'g' || task % 5 WHEN 1 THEN 'c' || task END AS value FROM traces WHERE task % 40 = 1 OR task % 57 = 0),
+r AS (SELECT claim, kind, CASE kind WHEN 'gate' THEN value || ': ' || CASE WHEN value <> 'g3' THEN 'run ' || value ELSE 'unresolved' END WHEN 'check' THEN value END AS says, CASE WHEN kind = 'human' THEN 'HUMAN-ATTENDED' ELSE kind || ': ' || value END AS listed, kind = 'gate' AND value = 'g3' AS lost FROM b),
+n AS (SELECT claim, count(*) AS n, min(kind) AS kind, max(says) AS says, string_agg(listed, '; ' ORDER BY listed) AS list, bool_or(lost) AS lost FROM r GROUP BY claim)
+SELECT claim, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN kind ELSE n || ' bindings' END AS bound, CASE WHEN n = 1 THEN says WHEN n > 1 THEN list END AS oracle, CASE WHEN n IS NULL THEN 'no-oracle' WHEN n > 1 THEN 'several-oracles' WHEN lost THEN 'unknown-gate' END AS fault FROM claims LEFT JOIN n USING (claim)""")
 def binding_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J32."""
+    """Checks, gates (one of five isn't declared) and humans."""
     claims, traces = _traces(spark, sf_dir)
-    return proofs.census(claims, traces.filter("task % 40 = 1"))
+    task = F.col("task")
+    bindings = traces.filter("task % 40 = 1 OR task % 57 = 0").select("claim", F.when(task % 3 == 0, "gate").when(task % 3 == 1, "check").otherwise("human").alias("kind"), F.when(task % 3 == 0, F.concat(F.lit("g"), task % 5)).when(task % 3 == 1, F.concat(F.lit("c"), task)).alias("value"))
+    gates = bindings.filter("kind = 'gate' AND value <> 'g3'").select(F.col("value").alias("gate"), F.concat(F.lit("run "), "value").alias("command")).distinct()
+    return proofs.census(claims, bindings, gates)
 
 
 @register("trace_faults", with_(WITNESS, TASKS) + _TRACES + """,
-sat AS (SELECT *, min(seq) FILTER (WHERE kind = 'sitting') OVER (PARTITION BY claim, task) AS sat FROM traces)
-SELECT 'unknown-claim' AS rule, seq, claim FROM traces ANTI JOIN claims USING (claim)
-UNION ALL SELECT 'unknown-task', seq, claim FROM traces ANTI JOIN (SELECT task FROM task_rows WHERE run % 6 <> 0) USING (task)
-UNION ALL SELECT 'release-without-sitting', seq, claim FROM sat WHERE kind = 'release' AND NOT coalesce(sat < seq, FALSE)
-UNION ALL SELECT 'never-traced', NULL, claim FROM claims ANTI JOIN traces USING (claim)""")
+sat AS (SELECT *, min(seq) FILTER (WHERE kind = 'sitting') OVER (PARTITION BY claim, task) AS sat FROM traces),
+ok AS (SELECT task FROM task_rows WHERE run % 6 <> 0),
+c AS (SELECT seq, claim, task, unnest(['a' || seq % 3, 'b' || seq % 4]) AS acceptance FROM traces SEMI JOIN ok USING (task))
+SELECT 'unknown-claim' AS rule, seq, claim, NULL AS cited FROM traces ANTI JOIN claims USING (claim)
+UNION ALL SELECT 'unknown-task', seq, claim, NULL FROM traces ANTI JOIN ok USING (task)
+UNION ALL SELECT 'unknown-acceptance', seq, claim, acceptance FROM c WHERE NOT (acceptance = 'a' || task % 3 OR acceptance IN ('b0', 'b1', 'b2'))
+UNION ALL SELECT 'missing-evidence', seq, claim, 'f' || claim || '#F' || seq % 5 FROM traces WHERE claim % 11 = 0
+UNION ALL SELECT 'missing-anchor', seq, claim, 'f' || claim || '#F' || seq % 5 FROM traces WHERE claim % 11 <> 0 AND seq % 5 = 4
+UNION ALL SELECT 'release-without-sitting', seq, claim, NULL FROM sat WHERE kind = 'release' AND NOT coalesce(sat < seq, FALSE)
+UNION ALL SELECT 'never-traced', NULL, claim, NULL FROM claims ANTI JOIN traces USING (claim) WHERE claim % 4 <> 1""")
 def trace_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J33."""
+    """Each row cites two acceptance ids and one finding of a file; a quarter of the claims belongs to an unauthored stage."""
     claims, traces = _traces(spark, sf_dir)
-    return proofs.trace_faults(claims, bridge.task_rows(spark, sf_dir).filter("run % 6 <> 0").select("task"), traces)
+    seq, claim = F.col("seq"), F.col("claim")
+    traces = traces.withColumns({"acceptance": F.array(F.concat(F.lit("a"), seq % 3), F.concat(F.lit("b"), seq % 4)), "evidence": F.array(F.concat(F.lit("f"), claim, F.lit("#F"), seq % 5))})
+    tasks = bridge.task_rows(spark, sf_dir).filter("run % 6 <> 0").select("task")
+    criteria = tasks.select("task", F.explode(F.array(F.concat(F.lit("a"), F.col("task") % 3), F.lit("b0"), F.lit("b1"), F.lit("b2"))).alias("acceptance"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("claim"))
+    files = parts.filter("claim % 11 <> 0").select(F.concat(F.lit("f"), "claim").alias("path"), F.lit("F0 F1 F2 F3").alias("body"))
+    staged = claims.withColumn("stage", F.concat(F.lit("s"), claim % 4))
+    return proofs.trace_faults(staged, tasks, traces, criteria, files, spark.createDataFrame([("s1",)], "stage string"))
 
 
 _PAIRS = """,
