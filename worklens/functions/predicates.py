@@ -136,3 +136,14 @@ def lifecycle_filter(*, since: Column | None = None, until: Column | None = None
     for name, value in fields.items():
         out = out if value is None else out & equals(name, value)
     return out
+
+
+def journal_filter(*, since_us: int | None = None, **fields) -> Column:
+    """all filters that are set; fields are task, session, event, journal_scope, projection_scope. A record without a time is never too early."""
+    unknown = set(fields) - {"task", "session", "event", "journal_scope", "projection_scope"}
+    if unknown:
+        raise ValueError(f"no such filter: {sorted(unknown)}")
+    out = F.lit(True) if since_us is None else F.coalesce(F.col("us") >= since_us, F.lit(True))
+    for name, value in fields.items():
+        out = out if value is None else out & equals(name, value)
+    return out

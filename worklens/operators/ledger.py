@@ -197,6 +197,16 @@ def compare_ledgers(ours: DataFrame, theirs: DataFrame, keys: list[str], fields:
     return joined.select(*[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys], status.alias("status"), F.when(there[0] & there[1], F.array_join(differ, ",")).alias("fields"))
 
 
+#: O1: where records of equal time stand.
+ORIGINS = ["journal", "witness"]
+
+
+def log_key(log: DataFrame) -> DataFrame:
+    """O1: log (origin, ts, number, event_id) with place: records come by time, null first, then journal before witness, by number and event id."""
+    rank = F.array_position(F.array(*map(F.lit, ORIGINS)), F.col("origin")).cast("int")
+    return log.withColumn("place", F.struct(F.col("ts"), rank.alias("origin"), F.col("number"), F.col("event_id")))
+
+
 def page(df: DataFrame, after: Column | None, order: list[Column], size: int = 100) -> DataFrame:
     """O3: a page by key: rows past the cursor, in order."""
     return (df if after is None else df.filter(after)).orderBy(*order).limit(min(size, 1000))

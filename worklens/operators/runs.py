@@ -141,3 +141,25 @@ def standup_jobs(rows: DataFrame, events: DataFrame, witness: DataFrame) -> Data
     jobs = jobs.join(failed, ["task", "attempt"], "left")
     bucket = standup_bucket(F.col("w.verdict"), F.col("failed"), F.lit(False), F.col("journal"), F.col("state").isin("pending", "recurring"))
     return jobs.select("task", F.col("w.verdict").alias("verdict"), F.col("w.labor_class").alias("labor_class"), bucket.alias("bucket"))
+
+
+def failures(members: DataFrame, lanes: DataFrame, events: DataFrame, witness: DataFrame) -> DataFrame:
+    """(run, task, verdict, attempt, lease_epoch, failed_at, stderr_tail, stderr_truncated, error) of members (run, task) whose current attempt ended without passing.
+
+    The latest witness must be of the current attempt. The tail is that of the
+    newest failed event of the current lane, events (.., stderr_tail,
+    stderr_truncated), the error that of its newest witness, witness (.., error);
+    a lane without a lease takes those of all leases of its attempt.
+    """
+    jobs = lanes.groupBy("task").agg(
+        F.max_by(F.struct("attempt", "lease_epoch"), F.when(F.col("attempt").isNotNull(), F.struct("attempt", "lease_epoch"))).alias("now"),
+        F.max_by(F.struct("attempt", "witness", "terminal_at"), F.when(F.col("witness").isNotNull(), F.struct("attempt", "lease_epoch", "witness.n"))).alias("last"),
+    )
+    bad = jobs.filter((F.col("last.attempt") == F.col("now.attempt")) & ~P.passing(F.col("last.witness.said")))
+    bad = bad.select("task", F.col("last.witness.said").alias("verdict"), F.col("now.attempt").alias("attempt"), F.col("now.lease_epoch").alias("lease_epoch"), F.col("last.terminal_at").alias("failed_at"))
+    lane = bad.select("task", "attempt", F.col("lease_epoch").alias("__lease"))
+    here = F.col("__lease").isNull() | (F.col("lease_epoch") == F.col("__lease"))
+    tails = events.filter("event = 'failed'").join(lane, ["task", "attempt"]).filter(here).groupBy("task").agg(F.max_by(F.struct("stderr_tail", "stderr_truncated"), "sequence").alias("tail"))
+    errors = witness.join(lane, ["task", "attempt"]).filter(here).groupBy("task").agg(F.max_by("error", "seq").alias("error"))
+    out = members.select("run", "task").distinct().join(bad, "task").join(tails, "task", "left").join(errors, "task", "left")
+    return out.select("run", "task", "verdict", "attempt", "lease_epoch", "failed_at", "tail.stderr_tail", "tail.stderr_truncated", "error")

@@ -73,14 +73,6 @@ def touched_runs(rows: DataFrame, members: DataFrame, tasks: DataFrame) -> DataF
     return both.join(tasks.select("task").distinct(), "task", "left_semi").select("run").distinct()
 
 
-def run_failures(members: DataFrame, witness: DataFrame, events: DataFrame) -> DataFrame:
-    """Failed tasks of each run, by the witness of their current attempt only, with the newest failure event."""
-    rest = F.struct("attempt", "lease_epoch", "seq")
-    current = witness.groupBy("task").agg(F.max_by(F.struct("attempt", "verdict", "seq"), rest).alias("x")).filter("x.verdict = 'failed'")
-    tail = events.filter("event = 'failed'").groupBy("task").agg(F.max("sequence").alias("last_failure"))
-    return members.select("run", "task").distinct().join(current, "task").join(tail, "task", "left").select("run", "task", "x.attempt", "x.seq", "last_failure")
-
-
 def remaining_budgets(events: DataFrame, budgets: DataFrame, now) -> DataFrame:
     """Seconds since each running task started, and what its budget leaves, which may be negative."""
     began = F.max_by("ts", F.when(F.col("event") == "started", F.col("sequence")))

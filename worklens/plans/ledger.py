@@ -174,13 +174,20 @@ def first_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.first_membership(bridge.membership(spark, sf_dir))
 
 
-@register("log_order_page", with_(WITNESS) + """
-SELECT ts, ledger_id, seq, task FROM witness WHERE (ts, ledger_id, seq) > (TIMESTAMP '1999-06-01', 3, 0) ORDER BY ts, ledger_id, seq LIMIT 100""")
+@register("log_order_page", with_(WITNESS, EVENTS) + """,
+log AS (
+  SELECT 'journal' AS origin, 1 AS r, CASE WHEN sequence % 50 <> 0 THEN date_trunc('day', ts) END AS ts, sequence AS number, 'e' || task AS event_id FROM lifecycle
+  UNION ALL SELECT 'witness', 2, CASE WHEN seq % 50 <> 0 THEN TIMESTAMP '2024-01-01' + to_days((seq % 40)::INT) END, seq, ledger_id || '/' || seq FROM witness)
+SELECT origin, ts, number, event_id FROM log WHERE ts > TIMESTAMP '2024-01-07' OR (ts = TIMESTAMP '2024-01-07' AND (r > 1 OR (r = 1 AND number > 2500))) ORDER BY ts, r, number, event_id LIMIT 1000""")
 def log_order_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O1, O3: the limit is the page."""
-    rows = bridge.witness(spark, sf_dir)
-    after = F.struct("ts", "ledger_id", "seq") > F.struct(F.to_timestamp(F.lit("1999-06-01")).alias("ts"), F.lit(3).cast("long").alias("ledger_id"), F.lit(0).cast("long").alias("seq"))
-    return ledger.page(rows.select("ts", "ledger_id", "seq", "task"), after, [F.col("ts"), F.col("ledger_id"), F.col("seq")])
+    """O1, O3: both origins, past a place in the log; the limit is the page."""
+    n, seq = F.col("sequence"), F.col("seq")
+    journal = bridge.lifecycle(spark, sf_dir).select(F.lit("journal").alias("origin"), F.when(n % 50 != 0, F.date_trunc("day", "ts").cast("timestamp_ntz")).alias("ts"), n.alias("number"), F.concat(F.lit("e"), "task").alias("event_id"))
+    day = F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(cast(seq % 40 AS int))")
+    witness = bridge.witness(spark, sf_dir).select(F.lit("witness").alias("origin"), F.when(seq % 50 != 0, day).alias("ts"), seq.alias("number"), F.concat_ws("/", "ledger_id", "seq").alias("event_id"))
+    log = ledger.log_key(journal.union(witness))
+    cursor = F.struct(F.expr("TIMESTAMP_NTZ '2024-01-07'").alias("ts"), F.lit(1).alias("origin"), F.lit(2500).cast("long").alias("number"), F.lit("\U0010ffff").alias("event_id"))
+    return ledger.page(log, F.col("place") > cursor, [F.col("place")], 1000).select("origin", "ts", "number", "event_id")
 
 
 @register("sequence_gaps", with_(EVENTS) + """,

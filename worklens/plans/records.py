@@ -15,11 +15,21 @@ from worklens.sources import bridge
 
 @register("readable_log", with_(EVENTS) + "SELECT sequence, task FROM lifecycle WHERE sequence % 7 <> 0 AND date_trunc('second', ts) >= TIMESTAMP '2024-01-20'")
 def readable_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F5, F6."""
+    """F5."""
     said = F.when(F.col("sequence") % 7 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return records.log_filter(bridge.lifecycle(spark, sf_dir).withColumn("at", said), F.to_timestamp(F.lit("2024-01-20"))).select("sequence", "task")
 
 
+@register("journal_filter", with_(EVENTS) + """
+SELECT sequence, task FROM lifecycle WHERE event = 'started' AND ledger_id % 2 = 1 AND (sequence % 9 = 0 OR ts >= TIMESTAMP '2024-01-20') UNION ALL SELECT sequence, task FROM lifecycle WHERE task = 7 AND pool = 'pool-8'""")
+def journal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """each ninth record has no time and is never too early."""
+    us = F.when(F.col("sequence") % 9 != 0, F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = bridge.lifecycle(spark, sf_dir).withColumns({"us": us, "journal_scope": F.when(F.col("ledger_id") % 2 == 1, "odd"), "session": F.col("pool")})
+    kept = rows.filter(P.journal_filter(event="started", journal_scope="odd", since_us=1_705_708_800_000_000)).union(rows.filter(P.journal_filter(task=7, session="pool-8")))
+    return kept.select("sequence", "task")
+
+
 @register("origin_events", with_(EVENTS) + "SELECT sequence, task FROM lifecycle WHERE event = 'started' OR pool = 'pool-2'")
 def origin_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the record's kind as its source, its pool as the producer."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from worklens.functions import predicates as P
 from worklens.operators import ledger, runs
 from worklens.plans import register
-from worklens.plans.sql import EVENTS, GRADED, JUDGED, LIVE, PARENTS, TASKS, WITNESS, with_
+from worklens.plans.sql import EVENTS, GRADED, JUDGED, LIVE, MEMBERS, PARENTS, TASKS, WITNESS, with_
 from worklens.sources import bridge
 
 #: Rows and live jobs with an attempt, a lease and a labor of their own.
@@ -129,3 +129,21 @@ def standup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent = witness.filter(P.canonical_gpu(F.col("verdict"), F.col("labor_class"))).groupBy("task").agg(F.sum("gpu_seconds").alias("gpu"))
     rows = jobs.join(spent, "task", "left").groupBy((F.col("task") % 10).alias("digest"), "bucket")
     return rows.agg(F.count("*").alias("entries"), F.count_if(F.col("labor_class") == "reused").alias("reused"), F.round(F.coalesce(F.sum("gpu"), F.lit(0.0)), 2).alias("gpu_seconds"))
+
+
+@register("run_failures", with_(WITNESS, TASKS, EVENTS, LIVE, MEMBERS, GRADED, JUDGED) + """,
+live_ AS (SELECT task, attempt, task % 4 AS lease_epoch FROM live),
+f AS (SELECT task, attempt, lease_epoch FROM live_ UNION ALL SELECT task, attempt, lease_epoch FROM graded UNION ALL SELECT task, attempt, lease_epoch FROM judged),
+now AS (SELECT task, attempt, max(lease_epoch) AS lease FROM f WHERE (task, attempt) IN (SELECT (task, max(attempt)) FROM f GROUP BY task) GROUP BY task, attempt),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY attempt DESC, lease_epoch DESC, seq DESC) AS k FROM judged) WHERE k = 1),
+bad AS (SELECT w.task, verdict, w.attempt, lease, ts FROM w JOIN now USING (task) WHERE w.attempt = now.attempt AND verdict NOT IN ('pass', 'reused', 'substituted')),
+t AS (SELECT b.task, max(sequence) AS s FROM graded g JOIN bad b ON b.task = g.task AND b.attempt = g.attempt AND (lease IS NULL OR lease = g.lease_epoch) WHERE event = 'failed' GROUP BY b.task),
+e AS (SELECT b.task, max(seq) AS s FROM judged j JOIN bad b ON b.task = j.task AND b.attempt = j.attempt AND (lease IS NULL OR lease = j.lease_epoch) GROUP BY b.task)
+SELECT run, task, verdict, attempt, lease AS lease_epoch, ts AS failed_at, 'oh ' || t.s AS stderr_tail, t.s % 2 = 0 AS stderr_truncated, CASE WHEN e.s % 3 = 0 THEN 'lost ' || e.s END AS error
+FROM (SELECT DISTINCT run, task FROM membership) JOIN bad USING (task) LEFT JOIN t USING (task) LEFT JOIN e USING (task)""")
+def run_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current attempt's failures, with the tail of its messages and its error."""
+    events = bridge.graded(spark, sf_dir).withColumns({"stderr_tail": F.concat(F.lit("oh "), "sequence"), "stderr_truncated": F.col("sequence") % 2 == 0})
+    witness = bridge.judged(spark, sf_dir).withColumn("error", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("lost "), "seq")))
+    lanes = runs.lanes(_held(spark, sf_dir).limit(0), _alive(spark, sf_dir), events, witness)
+    return runs.failures(bridge.membership(spark, sf_dir), lanes, events, witness)

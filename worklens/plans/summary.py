@@ -106,15 +106,6 @@ def touched_run_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(sums.select("run", "attempts", "output_tokens"), "run", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
 
 
-@register("run_failures", with_(WITNESS, TASKS, EVENTS, MEMBERS) + """,
-w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY attempt DESC, lease_epoch DESC, seq DESC) AS n FROM witness) WHERE n = 1 AND verdict = 'failed'),
-f AS (SELECT task, max(sequence) AS last_failure FROM lifecycle WHERE event = 'failed' GROUP BY task)
-SELECT run, task, attempt, seq, last_failure FROM (SELECT DISTINCT run, task FROM membership) JOIN w USING (task) LEFT JOIN f USING (task)""")
-def run_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17."""
-    return summary.run_failures(bridge.membership(spark, sf_dir), bridge.witness(spark, sf_dir), bridge.lifecycle(spark, sf_dir))
-
-
 @register("remaining_budgets", with_(TASKS, EVENTS) + """,
 s AS (SELECT task, arg_max(ts, sequence) FILTER (WHERE event = 'started') AS started_at, arg_max(event, sequence) AS event FROM lifecycle GROUP BY task),
 e AS (SELECT task, ((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(started_at)) // 1000000)::BIGINT AS elapsed FROM s WHERE started_at IS NOT NULL AND event NOT IN ('completed', 'failed'))
