@@ -115,6 +115,19 @@ def test_text_and_capsule_rules(spark):
     assert [r.broken for r in records.broken_rules(df, rules.orchestration_rules()).collect()] == [b for _, b in capsules]
 
 
+def test_evidence_specs(spark):
+    from worklens.functions import facts
+
+    digits = "AB" * 32
+    cases = [
+        (["artifact:/a:b", f"store:{PATH}1", f"store:{PATH}", f"hash:sha256:{digits}", "exit:3"], (None, ["/a:b"], [PATH, PATH + "1"], "sha256:" + digits.lower(), 3)), ([], (None, [], [], None, 0)), (["hash:sha256"], (None, [], [], "any", 0)), ([f"hash:sha256:sha256:{digits}"], (None, [], [], "sha256:" + digits.lower(), 0)),
+        *[([bad], (why, None, None, None, None)) for bad, why in (("artifact:a", "artifact-path"), ("artifact:", "artifact-path"), ("artifact", "no-value"), ("store:/tmp", "store-path"), ("hash:md5", "hash-kind"), ("hash:sha256:ab", "hash-digits"), ("exit:256", "exit-code"), ("exit:-1", "exit-code"), ("exit:x", "exit-code"), ("other:1", "kind"))],
+        (["exit:1", "exit:1"], ("exit-twice", None, None, None, None)), (["hash:sha256", "hash:sha256"], ("hash-twice", None, None, None, None)), ([f"store:{PATH}"] * 2, ("store-twice", None, None, None, None)), (["exit:1", "store:x", "exit:2"], ("store-path", None, None, None, None)),
+    ]
+    got = spark.createDataFrame([(c,) for c, _ in cases], "s array<string>").select(facts.evidence_spec(F.col("s")).alias("x")).collect()
+    assert [tuple(r.x) for r in got] == [w for _, w in cases]
+
+
 def test_receipt_rules(spark):
     base = {"schemaVersion": 1, "sequence": 7, "campaign": "c", "issueNumber": "12"}
     stamp = {"schemaVersion": 2, "armSerial": 3, "worklistSha256": SHA, "writtenAt": "2026-01-02T03:04:05Z", "actor": "a"}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worklens.functions import facts, rules, texts
 from worklens.functions import predicates as P
-from worklens.functions import rules, texts
 from worklens.operators import records
 from worklens.plans import register, table
 from worklens.plans.sql import EVENTS, POOLS, TASKS, WITNESS, with_
@@ -123,6 +123,18 @@ def broken_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.broken_rules(rows, rules.receipt_rules()).select("sequence", F.array_join("broken", ",").alias("broken"))
 
 
+@register("evidence_specs", with_(EVENTS) + """
+SELECT sequence, CASE WHEN sequence % 5 = 0 THEN 'artifact-path' WHEN sequence % 7 = 0 THEN 'exit-code' WHEN sequence % 11 = 0 THEN 'exit-twice' END AS fault,
+       CASE WHEN sequence % 5 <> 0 AND sequence % 7 <> 0 AND sequence % 11 <> 0 THEN CASE WHEN sequence % 2 = 0 THEN 'any' ELSE 'sha256:' || sha256(sequence::VARCHAR) END END AS hash, CASE WHEN sequence % 5 <> 0 AND sequence % 7 <> 0 AND sequence % 11 <> 0 THEN (sequence % 256)::INT END AS exit FROM lifecycle""")
+def evidence_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specs of each record; some are broken by the sequence number."""
+    n = F.col("sequence")
+    code = F.concat(F.lit("exit:"), F.when(n % 7 == 0, 256).otherwise(n % 256))
+    specs = F.array(F.concat(F.when(n % 5 == 0, "artifact:out/").otherwise("artifact:/out/"), n), F.when(n % 2 == 0, "hash:sha256").otherwise(F.concat(F.lit("hash:sha256:"), F.upper(F.sha2(n.cast("string"), 256)))), code)
+    specs = F.when(n % 11 == 0, F.concat(specs, F.array(code))).otherwise(specs)
+    return bridge.lifecycle(spark, sf_dir).select("sequence", facts.evidence_spec(specs).alias("x")).select("sequence", "x.fault", "x.hash", "x.exit")
+
+
 @register("broken_pools", with_(POOLS) + """
 SELECT pool, concat_ws(',', CASE WHEN slots = 0 THEN 'capacity' END, CASE WHEN coalesce(weekly, 0) * 2 > 100 THEN 'weekly' END, CASE WHEN capacity % 300 = 0 AND (meter IS NOT NULL OR weekly IS NOT NULL) THEN 'meter-needs-window' END) AS broken FROM pools""")
 def broken_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
