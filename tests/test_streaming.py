@@ -157,3 +157,30 @@ def test_each_sequence_once_and_changes_after_a_cursor(spark, tmp_path):
     one = rows.select("sequence").distinct()
     got = fed(spark, tmp_path, "feed", [one.filter("sequence < 4"), one.filter("sequence >= 4")], lambda s: events.changes_after(s, 2, 5))
     assert got == [(i, True) for i in (3, 4, 5, 6)] and {r.gap for r in events.changes_after(one, 2).collect()} == {False}
+
+
+def test_boundaries_are_recorded_before_records_go(spark, tmp_path):
+    rows = [(1, 1, 10), (1, 2, 60), (1, 3, 40), (1, 4, 70), (2, 1, 10), (2, 2, 20), (3, 5, 90)]
+    df = spark.createDataFrame(rows, "ledger_id long, sequence long, s long").select("ledger_id", "sequence", F.timestamp_seconds("s").alias("ts"))
+    horizon, path = {"from": 50}, f"{tmp_path}/bounds"
+    apply = tables.record_boundary(path, lambda: F.timestamp_seconds(F.lit(horizon["from"])), 2)
+    apply(df, 0)
+    kept = lambda: sorted((r.ledger_id, r.sequence) for r in tables.retained(df, path).collect())
+    assert kept() == [(1, 2), (1, 3), (1, 4), (3, 5)]  # the third is older than the horizon, but comes after its first record
+    horizon["from"] = 20
+    apply(df, 1)
+    assert kept() == [(1, 2), (1, 3), (1, 4), (3, 5)]  # boundaries only rise
+    horizon["from"] = 65
+    apply(df, 2)
+    assert kept() == [(1, 4), (3, 5)]
+
+
+def test_log_position_on_a_stream(spark, tmp_path):
+    rows = [("journal", i) for i in range(1, 7)] + [("witness", i) for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "origin string, number long")
+    got = fed(spark, tmp_path, "positions", [df.filter("number < 4"), df.filter("number >= 4")], lambda s: records.after_position(s, 3, 2))
+    assert got == sorted([("journal", 4), ("journal", 5), ("journal", 6), ("witness", 3), ("witness", 4)], key=str)
+    heads = tables.upsert(f"{tmp_path}/heads", "origin string, number long", ["origin"], ["number"], buckets=2)
+    heads(df.filter("number >= 4"), 0)
+    heads(df.filter("number < 4"), 1)  # late
+    assert sorted(map(tuple, tables.read(spark, f"{tmp_path}/heads", "origin string, number long").collect())) == [("journal", 6), ("witness", 4)]

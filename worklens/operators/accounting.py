@@ -121,6 +121,11 @@ CAVEATS = [
 ]
 
 
+def expected(roster: DataFrame) -> DataFrame:
+    """(run, task, attempt), one row for each expected attempt of roster (run, task, ceiling); a task whose ceiling is unknown or zero has none."""
+    return roster.filter("ceiling > 0").select("run", "task", F.explode(F.sequence(F.lit(1), F.col("ceiling").cast("int"))).alias("attempt"))
+
+
 def missing(roster: DataFrame, attested: DataFrame, most: int = 64) -> DataFrame:
     """(run, missing): the first `most` of a run's expected attempts that nothing attests, by task and attempt, as `task#attempt`.
 

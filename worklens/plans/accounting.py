@@ -119,6 +119,15 @@ def usage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run", "tasks", "expected", "unknown_ceilings", "observed", "attested", "unexpected", "duplicate_leases", "missing_attempts", "tasks_without_attestation", *longs, "n_cache_read_tokens", F.round("cost_usd", 4).alias("cost"), "reported", F.coalesce(F.array_join("missing_fields", ","), F.lit("")).alias("missing_fields"), F.array_join("caveats", ",").alias("caveats"))
 
 
+@register("expected_attempt_rows", with_(WITNESS, TASKS, _ROSTER) + """
+SELECT run, e.task, e.attempt, w.task IS NOT NULL AS attested FROM (SELECT run, task, unnest(range(1, ceiling + 1))::INT AS attempt FROM roster WHERE ceiling > 0) e LEFT JOIN (SELECT DISTINCT task, attempt FROM witness) w ON w.task = e.task AND w.attempt = e.attempt""")
+def expected_attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected attempts as rows, with whether anything attests them."""
+    roster = bridge.task_rows(spark, sf_dir).select("run", "task", F.when(F.col("task") % 9 != 0, F.col("task") % 8).cast("int").alias("ceiling"))
+    attested = bridge.witness(spark, sf_dir).select("task", "attempt").distinct().withColumn("attested", F.lit(True))
+    return accounting.expected(roster).join(attested, ["task", "attempt"], "left").select("run", "task", "attempt", F.coalesce("attested", F.lit(False)).alias("attested"))
+
+
 @register("missing_identities", with_(WITNESS, TASKS, _ROSTER) + """,
 m AS (SELECT run, task, unnest(range(1, ceiling + 1)) AS attempt FROM roster WHERE ceiling > 0),
 o AS (SELECT run, task, attempt, row_number() OVER (PARTITION BY run ORDER BY task, attempt) AS k FROM m WHERE (task, attempt) NOT IN (SELECT (task, attempt::BIGINT) FROM witness))

@@ -110,3 +110,29 @@ def with_fresh_meters(pools: DataFrame, meters: Callable[[SparkSession], DataFra
     """A batch of pools with their latest usable meter, null where there is none; meters are read anew for each batch."""
     good = records.fresh_meters(meters(pools.sparkSession), now, seconds).filter("fresh").select("pool", F.col("percent").alias("meter"))
     return pools.join(good, "pool", "left")
+
+
+BOUNDARY = "ledger_id long, boundary long"
+
+
+def record_boundary(path: str, cutoff: Callable[[], Column], buckets: int = 16) -> Batch:
+    """A foreachBatch function that records, before anything is dropped, from where on each ledger of (ledger_id, sequence, ts) is kept.
+
+    That is the first record inside the horizon, whose beginning cutoff() says
+    anew for each batch; what stands before it goes, whatever its time, and all
+    after it stays. A ledger without one keeps what comes after its last record.
+    Boundaries only rise. The batch should be the whole of the ledgers it names.
+    """
+    put = upsert(path, BOUNDARY, ["ledger_id"], ["boundary"], buckets=buckets)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        inside = F.min(F.when(F.col("ts") >= cutoff(), F.col("sequence")))
+        put(batch.groupBy("ledger_id").agg(F.coalesce(inside, F.max("sequence") + 1).alias("boundary")), batch_id)
+
+    return apply
+
+
+def retained(records: DataFrame, path: str) -> DataFrame:
+    """Records from their ledger's recorded boundary on; a plain filter by a join, so a stream may use it too. Ledgers without a boundary stay whole."""
+    bounds = read(records.sparkSession, path, BOUNDARY)
+    return records.join(bounds, "ledger_id", "left").filter(F.col("boundary").isNull() | (F.col("sequence") >= F.col("boundary"))).drop("boundary")
