@@ -11,7 +11,7 @@ SCHEMA = (
     f"input_tokens {D}, input_as_reported {D}, cache_read_tokens {D}, cache_write_tokens {D}, output_tokens {D}, reasoning_tokens {D}, stated_total {D}, cost_usd decimal(38,18), currency string, record string"
 )
 FIVE = ["cacheReadTokens", "cacheWriteTokens", "inputTokensWithCacheRead", "outputTokens", "reasoningTokens"]
-BASE = {"ledger_id": 1, "attempt": 1, "lease_epoch": 1, "adapter": "codex", "session": "s", "scope": "session-cumulative", "mode": "fresh", "evidence": "accounted", "declared": FIVE, "state": "reported", "unreadable": [], "record": "accounted", "currency": "USD"}
+BASE = {"ledger_id": 1, "attempt": 1, "lease_epoch": 1, "adapter": "threads", "session": "s", "scope": "session-cumulative", "mode": "fresh", "evidence": "accounted", "declared": FIVE, "state": "reported", "unreadable": [], "record": "accounted", "currency": "USD"}
 
 
 def said(task, seq, figures=(), **more):

@@ -10,11 +10,11 @@ from worklens.operators import captures
 from worklens.operators.captures import Capture
 
 OUTPUT = "task long, attempt int, lease_epoch long, adapter string, stream string, body string"
-CODEX = [
-    Capture("codex", "sessionRef", "$..thread_id"), Capture("codex", "model", "$..model"), Capture("codex", "finalMessage", "$[?@.type == 'item.completed' && @.item.type == 'agent_message'].item.text", mode="jsonPathLast"),
-    Capture("codex", "usage", "$..usage", fields={"inputTokensWithCacheRead": ["input_tokens"], "cacheReadTokens": ["cached_input_tokens"], "cacheWriteTokens": ["cache_write_input_tokens"], "outputTokens": ["output_tokens"], "reasoningTokens": ["reasoning_output_tokens"]}),
-    Capture("claude", "usage", "$[?@.type == 'assistant'].message.usage", mode="jsonPathLast", fields={"inputTokens": ["input_tokens"], "outputTokens": ["output_tokens"], "cacheWriteTokens": ["missing", "cache.0.write"]}),
-    Capture("claude", "cost", "$[?@.type == 'result'].total_cost_usd", mode="jsonPathLast", fields={"costUsd": ["$"]}), Capture("claude", "window", "$[?@.type == 'result'].modelUsage.*.contextWindow", mode="jsonPathLast"),
+DECLARED = [
+    Capture("threads", "sessionRef", "$..thread_id"), Capture("threads", "model", "$..model"), Capture("threads", "finalMessage", "$[?@.type == 'item.completed' && @.item.type == 'agent_message'].item.text", mode="jsonPathLast"),
+    Capture("threads", "usage", "$..usage", fields={"inputTokensWithCacheRead": ["input_tokens"], "cacheReadTokens": ["cached_input_tokens"], "cacheWriteTokens": ["cache_write_input_tokens"], "outputTokens": ["output_tokens"], "reasoningTokens": ["reasoning_output_tokens"]}),
+    Capture("messages", "usage", "$[?@.type == 'assistant'].message.usage", mode="jsonPathLast", fields={"inputTokens": ["input_tokens"], "outputTokens": ["output_tokens"], "cacheWriteTokens": ["missing", "cache.0.write"]}),
+    Capture("messages", "cost", "$[?@.type == 'result'].total_cost_usd", mode="jsonPathLast", fields={"costUsd": ["$"]}), Capture("messages", "window", "$[?@.type == 'result'].modelUsage.*.contextWindow", mode="jsonPathLast"),
     Capture("shell", "branch", "(?m)^branch=(.+)$", mode="regex"), Capture("shell", "twice", "a\\nb", stream="stderr", mode="regex"), Capture("shell", "finalMessage", "$.n"),
 ]
 THREAD = ['{"type":"thread.started","thread_id":"t-1"}', '{"type":"turn.started"}', '{"type":"item.completed","item":{"type":"agent_message","text":"first"}}', '{"type":"item.completed","item":{"type":"agent_message","text":"die \\"letzte\\" é"}}',
@@ -41,26 +41,26 @@ def outputs(spark, *rows):
 
 
 def test_captures_of_three_modes(spark):
-    claude = [json.dumps(x) for x in ({"type": "assistant", "message": {"usage": {"input_tokens": 3, "output_tokens": 2.0, "cache": [{"write": 7}]}}}, {"type": "user", "message": {"usage": {"input_tokens": 99}}}, {"type": "result", "total_cost_usd": 0.1234567890123, "modelUsage": {"m": {"contextWindow": 5}}})]
+    spoken = [json.dumps(x) for x in ({"type": "assistant", "message": {"usage": {"input_tokens": 3, "output_tokens": 2.0, "cache": [{"write": 7}]}}}, {"type": "user", "message": {"usage": {"input_tokens": 99}}}, {"type": "result", "total_cost_usd": 0.1234567890123, "modelUsage": {"m": {"contextWindow": 5}}})]
     df = outputs(
-        spark, ("codex", "stdout", "\n".join(THREAD)), ("claude", "stdout", "\n".join(claude)), ("shell", "stdout", "branch=one\nx branch=no\nbranch=two\r\n"), ("codex", "stdout", "\n".join(THREAD[:2]) + '\n{"type":"turn.comp'), ("codex", "stdout", "oops"),
-        ("codex", "stdout", THREAD[0] + "\noops\n" + THREAD[1]), ("codex", "stdout", '{"thread_id":5}'), ("codex", "stdout", None), ("other", "stdout", "x"), ("shell", "stderr", "a\nb"),
+        spark, ("threads", "stdout", "\n".join(THREAD)), ("messages", "stdout", "\n".join(spoken)), ("shell", "stdout", "branch=one\nx branch=no\nbranch=two\r\n"), ("threads", "stdout", "\n".join(THREAD[:2]) + '\n{"type":"turn.comp'), ("threads", "stdout", "oops"),
+        ("threads", "stdout", THREAD[0] + "\noops\n" + THREAD[1]), ("threads", "stdout", '{"thread_id":5}'), ("threads", "stdout", None), ("other", "stdout", "x"), ("shell", "stderr", "a\nb"),
     )
-    got = {r.task: (r.captures, r.fault) for r in captures.scrape(df, CODEX).collect()}
+    got = {r.task: (r.captures, r.fault) for r in captures.scrape(df, DECLARED).collect()}
     usage = json.dumps(json.loads(THREAD[4])["usage"], separators=(",", ":"))
     assert got[0] == ({"sessionRef": '"t-1"', "finalMessage": '"die \\"letzte\\" é"', "usage": usage}, None)
     assert got[1][0]["window"] == "5" and json.loads(got[1][0]["usage"])["input_tokens"] == 3 and got[1][0]["cost"] == "0.1234567890123"
     assert got[2] == (None, "malformed")  # a shell's output is no JSON, and this adapter declares a path over it
     assert got[3] == ({"sessionRef": '"t-1"'}, None) and got[4] == got[5] == (None, "malformed") and got[6] == (None, "not-text") and got[7] == got[8] == ({}, None) and got[9] == ({"twice": '"a\\nb"'}, None)
-    only = captures.scrape(df, [c for c in CODEX if c.adapter == "shell" and c.mode == "regex"]).filter("task = 2").collect()
+    only = captures.scrape(df, [c for c in DECLARED if c.adapter == "shell" and c.mode == "regex"]).filter("task = 2").collect()
     assert only[0].captures == {"branch": '"two\\r"'}
 
 
 def test_usage_by_field_map(spark):
-    claude = {"type": "assistant", "message": {"usage": {"input_tokens": 3, "output_tokens": 2.0, "cache": [{"write": 7}]}}}
+    spoken = {"type": "assistant", "message": {"usage": {"input_tokens": 3, "output_tokens": 2.0, "cache": [{"write": 7}]}}}
     under = THREAD[4].replace("11008", "16205")
-    df = outputs(spark, ("codex", "stdout", "\n".join(THREAD)), ("claude", "stdout", json.dumps(claude)), ("claude", "stdout", json.dumps(claude).replace("2.0", '"2"').replace("3", "-3")), ("codex", "stdout", under), ("codex", "stdout", THREAD[0]), ("shell", "stdout", ""), ("codex", "stdout", '{"usage":{}}'))
-    got = {r.task: r for r in captures.observe(captures.scrape(df, CODEX), CODEX).collect()}
+    df = outputs(spark, ("threads", "stdout", "\n".join(THREAD)), ("messages", "stdout", json.dumps(spoken)), ("messages", "stdout", json.dumps(spoken).replace("2.0", '"2"').replace("3", "-3")), ("threads", "stdout", under), ("threads", "stdout", THREAD[0]), ("shell", "stdout", ""), ("threads", "stdout", '{"usage":{}}'))
+    got = {r.task: r for r in captures.observe(captures.scrape(df, DECLARED), DECLARED).collect()}
     r = got[0]
     assert (r.state, r.shape, r.input_tokens, r.input_as_reported, r.cache_read_tokens, r.cache_write_tokens, r.output_tokens, r.reasoning_tokens, r.total_tokens, r.total_source, r.unreadable) == ("reported", "components", 5196, 16204, 11008, 0, 5, 0, 16209, "derived", [])
     assert r.declared == ["cacheReadTokens", "cacheWriteTokens", "inputTokensWithCacheRead", "outputTokens", "reasoningTokens"]
