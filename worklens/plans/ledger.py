@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from worklens.functions import predicates as P
 from worklens.functions import texts
 from worklens.operators import graphs, ledger, usage
-from worklens.plans import longs, register, table
+from worklens.plans import ORACLES, longs, register, table
 from worklens.plans.sql import EVENTS, JUDGED, LINEAGE, MEMBERS, POOLS, TASKS, USAGE, WITNESS, with_
 from worklens.sources import bridge
 
@@ -134,6 +134,14 @@ def jobs_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(spark, sf_dir)
 
 
+@register("scoped_jobs", f"SELECT anchor, state, last_attempt, 'queue' AS asked FROM ({ORACLES['jobs_v1']}) WHERE scope = 'queue' UNION ALL SELECT anchor, verdict, witness_attempt, 'witness' FROM ({ORACLES['jobs_v1']}) WHERE scope = 'witness'")
+def scoped_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jobs of the queue, and those of the witness."""
+    jobs = _jobs(spark, sf_dir)
+    of = lambda scope, state, attempt: ledger.in_scope(jobs, scope).select("anchor", F.col(state).alias("state"), F.col(attempt).alias("last_attempt"), F.lit(scope).alias("asked"))
+    return of("queue", "state", "last_attempt").union(of("witness", "verdict", "witness_attempt"))
+
+
 @register("echo_collapse", with_(WITNESS, EVENTS) + """,
 b AS (
   SELECT 'journal' AS origin, task, attempt, CASE WHEN task % 3 = 0 THEN attempt END AS lease_epoch, NULL AS ledger, sequence AS number, ts, event IN ('completed', 'failed') AS terminal, NULL AS v, NULL AS l, gpu_seconds AS g FROM lifecycle
