@@ -152,14 +152,14 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
     r"""
     WITH RECURSIVE rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
     p AS (
-      SELECT row_number() OVER () AS r, page_id, html, lower(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+      SELECT row_number() OVER () AS r, page_id, html, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     ruled AS (
       SELECT * FROM (
         SELECT p.r, page_id, html, host, path, rh || rp AS rule, rv, row_number() OVER (PARTITION BY p.r ORDER BY length(rh || rp) DESC NULLS LAST) AS k
         FROM p LEFT JOIN rules ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp)) WHERE k = 1),
     hosts AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE rv = 'allow') AS trusted, count(*) FILTER (WHERE rv = 'block') AS blocked FROM ruled WHERE host <> '' GROUP BY host),
     ends AS (
-      SELECT DISTINCT r, host AS src, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(l, '://([^/?#]*)', 1)) WHEN starts_with(l, '//') THEN lower(regexp_extract(l, '^//([^/?#]*)', 1))
+      SELECT DISTINCT r, host AS src, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN translate(regexp_extract(l, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') WHEN starts_with(l, '//') THEN translate(regexp_extract(l, '^//([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
              WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE host END AS dst
       FROM (SELECT r, host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS l FROM p WHERE host <> '')),
     links AS (SELECT src, dst, count(*) AS w FROM ends WHERE dst <> '' GROUP BY ALL),
