@@ -98,7 +98,7 @@ def stalls(events: DataFrame, limit_seconds: int, late: str) -> DataFrame:
                 made.append((key[0], last + n * limit, "stall", n))
                 told = n
         else:
-            for at in sorted(int(t.timestamp() * 1000) for t in pd.concat(list(chunks))["ts"]):
+            for at in sorted(pd.concat(list(chunks))["ms"].tolist()):
                 if last is not None and at > last:
                     n = (at - last) // limit
                     if n > told:
@@ -109,12 +109,12 @@ def stalls(events: DataFrame, limit_seconds: int, late: str) -> DataFrame:
                 last = at if last is None else max(last, at)
         held.update((last, told))
         held.setTimeoutTimestamp(max(last + (told + 1) * limit, held.getCurrentWatermarkMs() + 1))
-        out = pd.DataFrame(made, columns=["task", "at", "notice", "multiple"])
-        out["at"] = pd.to_datetime(out["at"], unit="ms")
-        yield out
+        yield pd.DataFrame(made, columns=["task", "at", "notice", "multiple"])
 
-    timed = events.select("task", "ts").withWatermark("ts", late)
-    return timed.groupBy("task").applyInPandasWithState(run, "task long, at timestamp, notice string, multiple long", "last long, told long", "append", GroupStateTimeout.EventTimeTimeout)
+    # milliseconds, as watermarks are, so that no time zone comes between
+    timed = events.select("task", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
+    out = timed.groupBy("task").applyInPandasWithState(run, "task long, at long, notice string, multiple long", "last long, told long", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("task", F.timestamp_millis("at").alias("at"), "notice", "multiple")
 
 
 def pressure_levels(samples: DataFrame, high: float, low: float) -> DataFrame:
