@@ -20,8 +20,12 @@ DEGREE = 10
 RESIDUAL = 1e-12
 #: Eigenvalues of at most this share of the largest one count as zero.
 RANK = 1e-12
-#: Rounds after which an iteration that doesn't get better any more is given up.
-PATIENCE = 3
+#: A round that leaves more than this share of the residual counts as none; after so many in a row rounding is taken to be reached.
+SLOWEST, PATIENCE = 0.7, 5
+#: A residual of this share of the largest eigenvalue is rounding: the pair is fixed, and the others are kept apart from it.
+ROUNDING = 2e-13
+#: How much more than the last wanted pair the polynomial may raise the first one that isn't fixed.
+APART = 1e8
 
 Pass = Callable[[np.ndarray], np.ndarray]
 
@@ -77,12 +81,15 @@ def top_components(multiply: Pass, dims: int, count: int, seed: int = 13) -> tup
     QR and Rayleigh-Ritz then give new pairs. It ends when each wanted pair's
     residual is RESIDUAL of the largest eigenvalue and of its distance to the
     next one (what bounds the angle to the true vector), or when rounding lets it
-    get no better. With no more dimensions than columns the first Rayleigh-Ritz
+    get no better. Leading pairs that have come so far are fixed and projected
+    out of what the others go through, and the polynomial's degree is such that it
+    never raises the first of the rest beyond what rounding bears; so a few great
+    eigenvalues before a flat rest do no harm. With no more dimensions than columns the first Rayleigh-Ritz
     is the answer. Each vector's sign makes its entry of greatest size positive.
     """
-    block = min(dims, count + SPARE)
+    block, wanted = min(dims, count + SPARE), min(count, dims)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((dims, block)))[0]
-    best, waited, kept = np.inf, 0, None
+    best, waited, kept, locked = np.inf, 0, None, 0
     while True:
         aq = multiply(q)
         h = q.T @ aq
@@ -90,28 +97,34 @@ def top_components(multiply: Pass, dims: int, count: int, seed: int = 13) -> tup
         values, turn = values[::-1], turn[:, ::-1]
         q, aq = q @ turn, aq @ turn
         top = max(values[0], 0.0)
-        wanted = min(count, dims)
         residual = np.linalg.norm(aq - q * values, axis=0)[:wanted]
         gaps = [min(abs(values[i] - values[j]) for j in range(block) if j != i) if block > 1 else top for i in range(wanted)]
-        floor = [max(g, 1e-4 * top) for g in gaps]  # equal eigenvalues have no vectors of their own
-        worst = 0.0 if top == 0 or block == dims else max(r / g for r, g in zip(residual, floor, strict=True))
-        if worst < best / 2:
-            waited = 0
-        else:
-            waited += 1
+        floor = [max(g, 1e-4 * v, 1e-9 * top) for g, v in zip(gaps, values)]  # equal eigenvalues have no vectors of their own
+        share = [r / g if top else 0.0 for r, g in zip(residual, floor, strict=True)]
+        worst = 0.0 if top == 0 or block == dims else max(share)
+        waited = 0 if worst < SLOWEST * best else waited + 1
         if worst < best:
             best, kept = worst, (values.copy(), q.copy())
         if worst <= RESIDUAL or waited >= PATIENCE:
             break
-        upper = max(values[-1], 1e-9 * top)
+        done = [s <= RESIDUAL or r <= ROUNDING * top for s, r in zip(share, residual, strict=True)]
+        locked = max(locked, next((i for i, d in enumerate(done) if not d), wanted - 1))
+        fixed, lead = q[:, :locked], max(values[locked], 1e-300)
+        upper = max(values[-1], 1e-9 * lead)
         e = c = upper / 2
-        sigma = first = e / (top - c)
-        before, now = q, (aq - c * q) * (sigma / e)
-        for _ in range(DEGREE - 1):
+        # how far the polynomial may tell the first active pair from the last wanted one, as rounding drowns the latter else
+        spread = np.arccosh(max(1.0, (lead - c) / e)) - np.arccosh(max(1.0, (values[wanted - 1] - c) / e))
+        degree = int(min(DEGREE, max(1, np.log(APART) / max(spread, 1e-9))))
+        apart = lambda y, v=fixed: y - v @ (v.T @ y)
+        sigma = first = e / (lead - c)
+        before = q[:, locked:]
+        now = (apart(multiply(before)) - c * before) * (sigma / e)
+        for _ in range(degree - 1):
             after = 1 / (2 / first - sigma)
-            before, now = now, (multiply(now) - c * now) * (2 * after / e) - before * (sigma * after)
+            before, now = now, (apart(multiply(now)) - c * now) * (2 * after / e) - before * (sigma * after)
             sigma = after
-        q = np.linalg.qr(now)[0]
+        now = now / np.maximum(np.linalg.norm(now, axis=0), 1e-300)
+        q = np.linalg.qr(np.concatenate([fixed, now], axis=1))[0]
     values, q = kept
     values, q = values[:wanted], q[:, :wanted]
     return values, q * np.where(q[np.abs(q).argmax(axis=0), range(wanted)] < 0, -1.0, 1.0)
