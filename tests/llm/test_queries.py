@@ -29,7 +29,7 @@ COLUMNS = {
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in "documents embeddings benchmark".split():
+    for name in "documents embeddings benchmark pages conversations".split():
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
