@@ -133,8 +133,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     """
     new = ["host", "path", "rule", "verdict", "trust", "distrust", "ruled"]
     kept = [c for c in pages.columns if c not in new]
-    whole = F.struct(*kept).alias("__page")  # whatever its columns are named
-    rows = pages.select(whole, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
+    own = {c: f"__own_{i}" for i, c in enumerate(kept)}  # whatever they are named; those that nobody asks for are pruned
+    rows = pages.select(*[F.col(c).alias(name) for c, name in own.items()], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     ruled = apply_rules(rows.drop("html"), rules)
     hosts = ruled.filter("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "allow").alias("trusted"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     hosts = common.staged(hosts, "hosts")
@@ -147,4 +147,4 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     mine = common.spread_join(ruled.filter("host <> ''"), scored, ["host"], total)
     nowhere = ruled.filter("host = ''").withColumns({"verdict": F.lit("allow"), "trust": F.lit(0.0), "distrust": F.lit(0.0)})
     out = mine.drop("n").unionByName(nowhere)
-    return out.select("__page.*", "host", "path", "rule", F.coalesce("ruled", "verdict").alias("verdict"), "trust", "distrust")
+    return out.select(*[F.col(name).alias(c) for c, name in own.items()], "host", "path", "rule", F.coalesce("ruled", "verdict").alias("verdict"), "trust", "distrust")
