@@ -319,6 +319,24 @@ def test_bands_find_pairs_for_any_number_of_codes(count):
     assert np.mean(np.any([~differs[:, at].any(axis=1) for at in bands], axis=0)) >= 0.98 and count / 16 ** len(bands[0]) <= 1000
 
 
+@pytest.mark.parametrize("count", [None, 10**7, 10**9])
+def test_wide_links_do_not_depend_on_the_number_of_codes(spark, monkeypatch, count):
+    """Pairs at the very limit: those that agree in a band are linked, and no others, however many codes there are."""
+    rng = np.random.default_rng(14)
+    first = rng.integers(0, 1 << 63, (500, simhash.WORDS)).astype(np.uint64)
+    second = first.copy()
+    for row in second:
+        for b in rng.choice(64 * simhash.WORDS, 86, replace=False):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    df = spark.createDataFrame([(i, bytearray(c.tobytes())) for i, c in enumerate(np.concatenate([first, second]))], "node long, wide binary")
+    differs = np.array([[x != y for x, y in zip(a.tobytes().hex(), b.tobytes().hex())] for a, b in zip(first, second)])
+    meet = np.any([~differs[:, at].any(axis=1) for at in simhash._bands(10**4)], axis=0)
+    if count:
+        monkeypatch.setattr(type(df), "count", lambda self: count)
+    found = {(min(r), max(r)) for r in simhash.wide_links(df, 86).collect()}
+    assert found == {(i, 500 + i) for i in np.flatnonzero(meet).tolist()} and meet.mean() >= 0.99
+
+
 def test_wide_bucket_connects_what_pairs_connect():
     rng = np.random.default_rng(13)
     codes = rng.integers(0, 1 << 63, (30, simhash.WORDS)).astype(np.uint64)[rng.integers(0, 30, 900)]

@@ -257,64 +257,99 @@ def _wide_bucket_links(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np
     return own, parent[own]
 
 
-def _bands(count: int) -> list[list[int]]:
-    """Hexadecimal digits of each band: the more codes, the longer the bands and the more of them.
+#: Bytes of a wide fingerprint by which codes are dealt, the first three of each word; for each, pairs of others, one of which must agree too.
+DEALT = [at for at in range(8 * WORDS) if at % 8 < 3]
+_OTHERS = [at for at in range(8 * WORDS) if at % 8 >= 3]
+FINER = np.stack([np.concatenate([np.random.default_rng([11, n, i]).permutation(_OTHERS).reshape(-1, 2) for i in range(3)]) for n in range(len(DEALT))])
 
-    Of pairs that differ in 15.1 % of their bits 99 % agree in 1 of 32 bands of
-    12 bits, of 64 of 16 bits or of 125 of 20; a band's values hold at most about
-    1000 codes each, if these are spread evenly.
+
+def _bands(count: int | None = None) -> list[list[int]]:
+    """Hexadecimal digits of each band, a dealt byte and a finer pair; the same for any count, as no link may depend on how many codes there are.
+
+    Two codes meet if they agree in one of these 24 x 60 bands of 24 bits: of
+    pairs that differ in 77 bits (15.1 %) 99.96 % do, in 86 (16.8 %) 99.6 %. A
+    band's values hold 60 codes each of a thousand million, if spread evenly.
     """
-    digits = 16 * WORDS
-    if count <= 1000 << 12:
-        return [[at, at + 1, at + 2] for at in range(0, digits, 4)]
-    size, rounds = (4, 2) if count <= 1000 << 16 else (5, 5)
-    orders = [np.random.default_rng([11, i]).permutation(digits) for i in range(rounds)]
-    return [sorted(order[at : at + size].tolist()) for order in orders for at in range(0, digits - size + 1, size)]
+    return [[digit for byte in (dealt, *pair) for digit in (2 * byte, 2 * byte + 1)] for dealt, pairs in zip(DEALT, FINER.tolist()) for pair in pairs]
+
+
+def _met_links(codes: np.ndarray, band: np.ndarray, bucket: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of codes (n, WORDS) that connect just what pairs of one bucket connect that agree in a finer pair and are within distance.
+
+    bucket numbers the rows' buckets, band tells by which byte each was dealt. Pairs that are connected already are not compared.
+    """
+    octets, first = np.ascontiguousarray(codes).view(np.uint8).ravel(), np.arange(len(codes)) * (8 * WORDS)
+    parent, bucket = np.arange(len(codes)), bucket.astype(np.int64) << 16
+    for p, q in FINER.transpose(1, 2, 0):
+        value = bucket | octets.take(first + p.take(band)).astype(np.int64) << 8 | octets.take(first + q.take(band))
+        order = np.argsort(value)
+        value = value[order]
+        start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        size = np.diff(np.append(start, len(value)))
+        for at, n in zip(start[size > FEW].tolist(), size[size > FEW].tolist()):
+            mine = order[at : at + n]
+            if (parent[mine] != parent[mine[0]]).any():
+                a, b = _wide_bucket_links(codes[mine], distance)
+                parent = _join(parent, mine[a], mine[b])
+        few = np.repeat(size <= FEW, size)
+        left, step = np.flatnonzero(few), 1
+        while len(left := left[left + step < len(value)]) and len(left := left[value[left] == value[left + step]]):
+            i, j = order[left], order[left + step]
+            apart = parent[i] != parent[j]
+            i, j = i[apart], j[apart]
+            for at in range(0, len(i), 1 << 16):
+                x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                near = np.bitwise_count(codes[x] ^ codes[y]).sum(axis=1, dtype=np.int64) <= distance
+                if near.any():
+                    parent = _join(parent, x[near], y[near])
+            step += 1
+    own = np.flatnonzero(parent != np.arange(len(codes)))
+    return own, parent[own]
 
 
 def wide_links(codes: DataFrame, distance: int, most: int = 1 << 16) -> DataFrame:
     """codes (node long, wide binary; distinct) to links (a, b) of nodes within distance bits.
 
-    Codes meet where they agree in one of the bands, of which there are more and
-    longer ones for more codes. All of a bucket is compared: the codes of one of
-    over `most` are dealt to parts, and every two parts meet in a task, so no
-    pair that agrees in a band is lost. Each task returns at most one link a code.
-    Only bits count, no text is read again.
+    Codes are compared where they agree in a dealt byte and in one of the finer
+    pairs, see _bands(); whether two are linked depends on these two alone, never
+    on what else is there. Buckets are dealt by the byte, the finer pairs are
+    looked up inside. The codes of a bucket of over `most` are dealt to parts,
+    and every two parts meet in a task, so no pair that agrees is lost. Each task
+    returns at most one link a code and bucket. Only bits count, no text is read again.
     """
-    bands = _bands(codes.count())
-    entry = lambda n, at: F.xxhash64(F.lit(n), F.concat(*[F.substring("hex", i + 1, 1) for i in at]))
-    keyed = codes.withColumn("hex", F.hex("wide")).select("node", "wide", F.explode(F.array(*[entry(n, at) for n, at in enumerate(bands)])).alias("key"))
+    entry = lambda n, at: F.xxhash64(F.lit(n), F.substring("wide", at + 1, 1))
+    keyed = codes.select("node", "wide", F.posexplode(F.array(*[entry(n, at) for n, at in enumerate(DEALT)])).alias("band", "key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     hot = common.staged(sizes.select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")), "hot-bands")
     if not hot.isEmpty():
         part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
         other = F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part")))
         dealt = keyed.join(F.broadcast(hot), "key").withColumn("part", part).withColumn("other", other)
-        dealt = dealt.select("node", "wide", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
-        keyed = keyed.join(F.broadcast(hot), "key", "left_anti").select("node", "wide", "key").union(dealt)
+        dealt = dealt.select("node", "wide", "band", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+        keyed = keyed.join(F.broadcast(hot), "key", "left_anti").select("node", "wide", "band", "key").union(dealt)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WORDS), np.uint64))
+        held, rows = [], 0  # batches whose last bucket may go on
         for b in batches:
             wide = np.frombuffer(b"".join(b["wide"].to_pylist()), np.uint64).reshape(-1, WORDS)
-            now = [np.concatenate(x) for x in zip(held, (b["key"].to_numpy(), b["node"].to_numpy(), wide))]
-            cut = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
-            yield from found(now, cut)
-            held = tuple(x[cut[-1] :] if len(cut) else x for x in now)
-        yield from found(held, np.array([len(held[0])]))
-
-    def found(rows, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
-        out, start = [], 0
-        for stop in cut.tolist():
-            if stop - start > 1:
-                a, b = _wide_bucket_links(rows[2][start:stop], distance)
-                out.append((rows[1][start + a], rows[1][start + b]))
-            start = stop
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return keyed.repartition("key").sortWithinPartitions("key").select("key", "node", "wide").mapInArrow(search, "a long, b long")
+            held.append((b["key"].to_numpy(), b["node"].to_numpy(), b["band"].to_numpy(), wide))
+            rows += b.num_rows
+            if held[0][0][0] != held[-1][0][-1] and rows >= 1 << 15:
+                now = [np.concatenate(x) for x in zip(*held)]
+                cut = np.flatnonzero(now[0][1:] != now[0][:-1])[-1] + 1
+                yield from found([x[:cut] for x in now])
+                held = [tuple(x[cut:] for x in now)]
+                rows -= cut
+        if rows:
+            yield from found([np.concatenate(x) for x in zip(*held)])
+
+    def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket = np.cumsum(np.concatenate([[False], rows[0][1:] != rows[0][:-1]]))
+        a, b = _met_links(rows[3], rows[2], bucket, distance)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[1][a]), pa.array(rows[1][b])], names=["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").select("key", "node", "band", "wide").mapInArrow(search, "a long, b long")
 
 
 def _grouped(rows: DataFrame, links: Callable[[DataFrame], DataFrame], *more: str) -> DataFrame:
