@@ -627,6 +627,22 @@ def test_model_is_a_distribution():
     assert scores[0] > -2 > scores[1] and scores[2] == pytest.approx(3 * scores[3] + scores[4])
 
 
+def test_model_is_broadcast_packed():
+    """A full-sized table of mostly empty slots takes a small part of its 38 MB on its way, and scores the same."""
+    import pickle
+
+    from worklens.llm import mixing_model as m
+
+    model = trained_model()
+    keys = [m.state_bytes(1) + b"Wthe", m.state_bytes(0) + b"Wzzz"]
+    again = pickle.loads(pickle.dumps(model))
+    assert again.table.dtype == np.uint16 and (again.table == model.table).all() and again.log10(keys).tolist() == model.log10(keys).tolist()
+    wide = m.Model(m.MOST_SLOTS, np.zeros(sum(1 << s for s in m.MOST_SLOTS), np.uint16))
+    wide.table[::50] = np.random.default_rng(3).integers(1, 1 << 16, len(wide.table[::50]))
+    sent = pickle.dumps(wide)
+    assert len(sent) < wide.table.nbytes / 8 and (pickle.loads(sent).table == wide.table).all()
+
+
 def slow_spelling(model, head, word):
     """The mixed bits of one word, one after the other; slots and tables are the model's."""
     from worklens.llm import mixing_model as m
