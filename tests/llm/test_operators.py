@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from worklens.llm import common, components, contamination, language, lines, mixing, neighbours, sharding, simhash, tokens
+from worklens.llm import common, components, contamination, language, lines, mixing, neighbours, overlap, sharding, simhash, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_lines int"
 ODD = [
@@ -282,6 +282,43 @@ def test_similar_groups(spark, docs):
     assert {r.component_id for r in odd if r.doc_id in (7, 8, 9)} == {7} and {r.component_id for r in odd if (r.doc_id or 0) >= 1000} == {1000}
 
 
+def test_similar_groups_are_whole(spark):
+    """Every pair alike by 0.8 or more is in one group, also those that differ in more bits than link; a changed block moves a fingerprint more than spread words."""
+    rng = random.Random(17)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    licence = rng.choices(words, k=60)
+    for i in range(250):
+        base = rng.choices(words, k=rng.choice([4, 5, 6, 9, 24, 60, 300]))
+        if i % 5 == 0:
+            base = licence[: rng.randint(40, 60)] + base[: rng.randint(2, 20)]  # frequent shingles
+        cut = len(base) - max(1, len(base) // 9)
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[:cut] + rng.choices(words, k=len(base) // 9 - rng.randint(0, 2)))), (10 * i + 2, " ".join(base + base[: len(base) // 5])), (10 * i + 3, " ".join(base[:cut]))]
+    sets = {i: set(simhash.shingle_hashes(x.encode(), 5).tolist()) for i, x in rows}
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    codes = {i: np.frombuffer(simhash.wide_fingerprint(x.encode(), 5), np.uint64) for i, x in rows}
+    pairs = [(a, b) for n, a in enumerate(sets) for b in list(sets)[:n] if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert sum(np.bitwise_count(codes[a] ^ codes[b]).sum() > 86 for a, b in pairs) > 5
+    assert all(found[a] == found[b] for a, b in pairs)
+    near = [(a, b) for n, a in enumerate(sets) for b in list(sets)[:n] if np.bitwise_count(codes[a] ^ codes[b]).sum() <= 86]
+    place = {i: n for n, i in enumerate(sets)}
+    parent = simhash._join(np.arange(len(place)), *np.array([(place[a], place[b]) for a, b in pairs + near]).T)
+    assert all(found[i] == list(sets)[parent[n]] for i, n in place.items())  # and nothing else is
+
+
+@pytest.mark.parametrize("part", [2048, 3])
+def test_missed_pairs_hold_all_that_are_alike(spark, monkeypatch, part):
+    monkeypatch.setattr(overlap, "PART", part)
+    rng = np.random.default_rng(18)
+    base = [rng.integers(0, 1 << 40, n).astype(np.uint64) for n in rng.integers(1, 40, 60)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.95], rng.integers(0, 50, rng.integers(0, 4)).astype(np.uint64)])) for b in base for _ in range(5)]
+    hot = np.arange(40, dtype=np.int64)[::-1]
+    rows = [(i, n, prefix.tolist(), i) for i, (_, n, prefix) in enumerate(map(overlap.Prefixes(hot).of, sets))]
+    df = spark.createDataFrame(rows, "sid long, n int, prefix array<long>, root long")
+    found = {tuple(r) for r in overlap.missed_pairs(df.select("sid", "prefix"), df.select("sid", "n", "root")).collect()}
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b])) > 0}
+    assert len(want) > 50 and want <= found and len(found) < 2 * len(want)
+
+
 @pytest.mark.parametrize("most", [4096, 150])
 def test_wide_links(spark, most):
     """One crowded group: what the bands and finer bands find connects all that pairs within the distance connect."""

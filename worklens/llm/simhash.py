@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from worklens.llm import common
+from worklens.llm import common, overlap
 from worklens.llm.components import connected_components
 
 SEED = 42
@@ -53,7 +53,12 @@ def fingerprint(raw: bytes, shingle: int) -> int:
 
 def wide_fingerprint(raw: bytes, shingle: int) -> bytes:
     """WORDS fingerprints in one, each of other hashes of the same shingles; the first is the plain one."""
-    hashes = shingle_hashes(raw, shingle)[:, None]
+    return wide_majority(shingle_hashes(raw, shingle))
+
+
+def wide_majority(hashes: np.ndarray) -> bytes:
+    """The wide fingerprint of a text's shingle hashes."""
+    hashes = hashes[:, None]
     mixed = hashes[:, :1] * _FACTORS[1:]
     mixed = (mixed ^ (mixed >> np.uint64(31))) * _SPREAD
     mixed ^= mixed >> np.uint64(29)
@@ -377,24 +382,40 @@ def near_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
 
 def similar_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, differing: float = 0.168) -> DataFrame:
-    """As near_groups, for texts whose shingles are alike by about 0.8 or more (Jaccard).
+    """As near_groups, for texts whose shingles are alike by 0.8 or more (Jaccard, of sets), and for those whose wide fingerprints are near.
 
     Wide fingerprints of two texts differ in acos(c) / pi of their bits, c being
     the cosine of their shingle counts: 15.1 % at similarity 0.8, 17.2 % at 0.75,
     19.2 % at 0.7, with a standard deviation of 1.6 points; `differing` is the
-    largest share that links. code is a digest of the wide fingerprint. A long
-    text is held in one task, at some 300 bytes a word; else as near_groups.
+    largest share that links. That finds most pairs of 0.8 or more and some
+    below. Those of 0.8 or more that it misses, as their bits differ more or
+    share no band, are found by the sets themselves, none excepted: see overlap.
+    code is a digest of the wide fingerprint. A long text is held in one task, at
+    some 300 bytes a word; else as near_groups.
     """
+    hashes = lambda raw: shingle_hashes(raw, shingle)
+    raws = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    raws = raws.select("doc_id", F.md5("raw").alias("key"), "raw")
+    prefixes = docs.sparkSession.sparkContext.broadcast(overlap.Prefixes(overlap.hot_shingles(raws, hashes)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.by_partition(batches, 2 << 20):
-            wide = [wide_fingerprint(x, shingle) for x in b["raw"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(wide, pa.binary())], names=["doc_id", "key", "wide"])
+            own = [hashes(x) for x in b["raw"].to_pylist()]
+            sid, n, prefix = zip(*[prefixes.value.of(x) for x in own])
+            columns = [b["doc_id"], b["key"], pa.array([wide_majority(x) for x in own], pa.binary()), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "wide", "sid", "n", "prefix"])
 
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(raw).alias("key"), raw.alias("raw")).mapInArrow(encode, "doc_id long, key string, wide binary")
+    rows = raws.mapInArrow(encode, "doc_id long, key string, wide binary, sid long, n int, prefix array<long>")
     rows = common.staged(rows.withColumn("code", F.xxhash64("wide")), "wide-fingerprints")
-    return _grouped(rows, lambda classes: wide_links(classes.select(F.col("code").alias("node"), "wide"), int(differing * 64 * WORDS)), "wide")
+
+    def links(classes: DataFrame) -> DataFrame:
+        equal = rows.groupBy("sid").agg(F.min("code").alias("a"), F.max("code").alias("b")).select("sid", "a", "b").filter("a < b")
+        equal = rows.select("sid", "code").join(equal, "sid").select("a", F.col("code").alias("b")).filter("a < b").distinct()
+        near = wide_links(classes.select(F.col("code").alias("node"), "wide"), int(differing * 64 * WORDS))
+        near = common.staged(near.union(equal), "near-links")
+        return near.union(overlap.missed_links(rows, connected_components(near), raws, hashes))
+
+    return _grouped(rows, links, "wide")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
