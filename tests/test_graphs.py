@@ -53,6 +53,40 @@ def test_reach_walks_the_frontier_of_a_branching_graph(spark):
     assert {tuple(r) for r in graphs.reach(pairs(spark, starts, "name node"), pairs(spark, edges, "node to")).collect()} == want
 
 
+def closure(out, node):
+    todo, seen = [node], {node}
+    while todo:
+        for b in out.get(todo.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+def test_reach_through_chains_rings_and_branches(spark, monkeypatch):
+    """Against brute force; what is written along a chain doesn't grow with the square of its length."""
+    monkeypatch.setattr(graphs, "PIECE", 7)
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 30) for i in range(30)] + [(200, 200), (300, 301), (301, 300), (301, 302), (302, 303), (303, 304), (304, 302), (20, 400), (400, 401), (401, 40)]
+    edges += [(500 + i, 500 + rng.randrange(40)) for i in range(40)]
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    nodes = {x for e in edges for x in e}
+    starts = [(x, x) for x in nodes] + [(-1, 3), (-1, 30), (-1, 115), (-2, 999)]
+    got = [tuple(r) for r in graphs.reach(pairs(spark, starts, "name node"), pairs(spark, edges + edges[:9], "node to")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(name, x) for name, node in starts for x in closure(out, node)}
+
+
+def test_what_reach_writes_along_a_chain(spark, monkeypatch):
+    written, kept = [], graphs._kept
+    monkeypatch.setattr(graphs, "_kept", lambda df: written.append(kept(df)) or written[-1])
+    monkeypatch.setattr(graphs, "_gone", lambda *frames: None)
+    edges = spark.range(4000).selectExpr("id AS node", "id + 1 AS to")
+    assert graphs.reach(spark.range(0, 4000, 20).selectExpr("id AS name", "id AS node"), edges).count() == sum(4001 - i for i in range(0, 4000, 20))
+    assert max(df.count() for df in written) <= 4001
+
+
 def test_ready_sets(spark):
     tasks = spark.createDataFrame([(i, i in (1, 2), i == 5) for i in range(1, 13)], "task long, done boolean, blocked boolean")
     needs = pairs(spark, [(3, 1), (4, 3), (4, 2), (6, 5), (7, 6), (7, 3), (8, 9), (9, 8), (10, 8), (11, 77), (4, 3)], "task needs")

@@ -11,6 +11,8 @@ from worklens.sources.shared import kept as _kept
 
 #: How many times the edges, or the pairs found, ways of double length may be.
 GROWTH = 4
+#: Nodes of a piece of an unbranched chain.
+PIECE = 1024
 
 
 def follow(pointers: DataFrame) -> DataFrame:
@@ -84,8 +86,8 @@ def conflicts(edges: DataFrame) -> DataFrame:
     return several("run", "second-successor").union(several("successor", "second-predecessor")).union(own).union(cycles(edges).select("run", F.lit("cycle")))
 
 
-def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, node) from (name, node) and edges (node, to): all that each name reaches from its nodes, these included.
+def _closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, node) from (name, node) and edges (node, to): all that each name reaches from its nodes, these included; every pair found is written.
 
     Along chains the step doubles each round, so a long one takes as many rounds
     as its length has binary digits. Where it branches, ways of double length
@@ -117,6 +119,55 @@ def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
             step, changed = longer, True
 
 
+def _pieces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of edges (node, to): places (node, piece, place), one row a node, and steps (node, to) between pieces.
+
+    An edge is plain if it is the only one from its node and the only one to its
+    target. Plain edges form chains, or rings, which are cut before their least
+    node; chains are cut in pieces of PIECE nodes. So all other edges lead from
+    the last node of a piece to the first of one: who enters a piece meets all of
+    it, and who stands in it all that is behind, and all that the piece leads to.
+    """
+    edges = _kept(edges.select("node", "to").distinct())
+    single = edges.groupBy("node").agg(F.min("to").alias("to"), F.count("*").alias("n")).filter("n = 1 AND node <> to").select("node", "to")
+    plain = _kept(single.join(edges.groupBy("to").agg(F.count("*").alias("n")).filter("n = 1").select("to"), "to").select(F.col("to").alias("run"), F.col("node").alias("successor")))
+    ends, endless = _doubled(plain)
+    if not endless.isEmpty():
+        ends = ends.union(_doubled(plain.join(endless.filter("run <> low").select("run"), "run", "left_semi"))[0])
+    nodes = edges.select("node").union(edges.select("to")).distinct().join(ends.withColumnRenamed("run", "node"), "node", "left")
+    place = F.coalesce("steps", F.lit(0).cast("long"))
+    places = _kept(nodes.select("node", F.struct(F.coalesce("head", "node").alias("head"), F.floor(place / PIECE).alias("part")).alias("piece"), place.alias("place")))
+    to = places.select(F.col("node").alias("to"), F.col("piece").alias("piece_to"), F.col("place").alias("place_to"))
+    between = edges.join(places, "node").join(to, "to").filter((F.col("piece") != F.col("piece_to")) | (F.col("place_to") != F.col("place") + 1))
+    return places, _kept(between.select(F.col("piece").alias("node"), F.col("piece_to").alias("to")).distinct())
+
+
+def _ahead(pieces: DataFrame, steps: DataFrame) -> DataFrame:
+    """(piece, far): what each of pieces (piece) leads to by one step or more, itself only if it lies on a cycle."""
+    first = pieces.select(F.col("piece").alias("node")).distinct().join(steps, "node")
+    return _closure(first.select(F.col("node").alias("name"), F.col("to").alias("node")), steps).select(F.col("name").alias("piece"), F.col("node").alias("far"))
+
+
+def reach(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, node) from (name, node) and edges (node, to): all that each name reaches from its nodes, these included.
+
+    Unbranched chains are taken in pieces: what is searched and written are pairs
+    of pieces, and of names with pieces. The pairs of names and nodes, which may be
+    as many as the square of a chain, come from a last join by piece, each once;
+    they are neither written nor sorted here.
+    """
+    places, steps = _pieces(edges)
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few rows that become many aren't put into one task
+    dealt = places.repartition(n, "piece")
+    at = _kept(starts.select("name", "node").distinct().join(places, "node", "left"))
+    lone = at.filter("piece IS NULL").select("name", "node")
+    first = at.filter("piece IS NOT NULL").groupBy("name", "piece").agg(F.min("place").alias("since"))
+    far = first.join(_ahead(first, steps), "piece").select("name", F.col("far").alias("piece")).distinct()
+    entered = first.join(far, ["name", "piece"], "left_anti").union(far.withColumn("since", F.lit(0).cast("long")))
+    met = entered.repartition(n, "piece").join(dealt, "piece").filter("place >= since")
+    return lone.union(met.select("name", "node"))
+
+
 def blocked_by(dependencies: DataFrame, blocked: DataFrame) -> DataFrame:
     """(task, root) for every blocked task that a task depends on, near or far."""
     back = dependencies.select(F.col("needs").alias("node"), F.col("task").alias("to"))
