@@ -87,6 +87,27 @@ def test_what_reach_writes_along_a_chain(spark, monkeypatch):
     assert max(df.count() for df in written) <= 4001
 
 
+def test_deferrals_look_pairs_up(spark, monkeypatch):
+    """Against brute force on chains, a ring and branches, with tasks that no dependency names."""
+    written, kept = [], graphs._kept
+    monkeypatch.setattr(graphs, "_kept", lambda df: written.append(kept(df)) or written[-1])
+    monkeypatch.setattr(graphs, "_gone", lambda *frames: None)
+    monkeypatch.setattr(graphs, "PIECE", 50)
+    rng = random.Random(5)
+    needs = [(2 * i + 2, 2 * i) for i in range(1000)] + [(2 * i + 3, 2 * i + 1) for i in range(1000)] + [(3001 + i % 20, 3000 + i % 20) for i in range(19)] + [(3000, 3019)] + [(4000 + rng.randrange(60), 4000 + rng.randrange(60)) for _ in range(50)]
+    out, back = {}, {}
+    for a, b in needs:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    known = sorted({x for e in needs for x in e} | {5000, 5001, 5002})
+    checkpoints, open_ = [(x, x // 40) for x in known if x % 5 == 0], [(x, x // 40) for x in known if x % 3]
+    got = [tuple(r) for r in graphs.deferrals(pairs(spark, needs, "task needs"), pairs(spark, checkpoints, "checkpoint campaign"), pairs(spark, open_, "task campaign")).collect()]
+    near = {c: closure(out, c) | closure(back, c) for c, _ in checkpoints}
+    want = [(c, t) for c, m in checkpoints for t, n in open_ if m == n and t not in near[c]]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    assert max(df.count() for df in written) < 12_000  # the related pairs of the chains alone are 400 000
+
+
 def test_ready_sets(spark):
     tasks = spark.createDataFrame([(i, i in (1, 2), i == 5) for i in range(1, 13)], "task long, done boolean, blocked boolean")
     needs = pairs(spark, [(3, 1), (4, 3), (4, 2), (6, 5), (7, 6), (7, 3), (8, 9), (9, 8), (10, 8), (11, 77), (4, 3)], "task needs")

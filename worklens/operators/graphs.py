@@ -179,13 +179,17 @@ def deferrals(dependencies: DataFrame, checkpoints: DataFrame, open_tasks: DataF
     """(checkpoint, task) for open work that a checkpoint waits for though neither depends on the other, near or far.
 
     checkpoints (checkpoint, campaign) and open_tasks (task, campaign): each
-    checkpoint waits for the open tasks of its campaign. Of related ones only the
-    pairs are looked up, so no task is compared with all others.
+    checkpoint waits for the open tasks of its campaign. Only these pairs are
+    looked up: two tasks in one piece of a chain are related, others are if one's
+    piece leads to the other's. Nobody's related tasks are listed.
     """
-    back = dependencies.select(F.col("needs").alias("node"), F.col("task").alias("to"))
-    start = checkpoints.select(F.col("checkpoint").alias("name"), F.col("checkpoint").alias("node"))
-    related = reach(start, back).union(reach(start, back.select(F.col("to").alias("node"), F.col("node").alias("to")))).select(F.col("name").alias("checkpoint"), F.col("node").alias("task"))
-    return checkpoints.join(open_tasks, "campaign").select("checkpoint", "task").join(related, ["checkpoint", "task"], "left_anti")
+    places, steps = _pieces(dependencies.select(F.col("needs").alias("node"), F.col("task").alias("to")))
+    at = lambda name: places.select(F.col("node").alias(name), F.col("piece").alias(f"__{name}"))
+    waits = checkpoints.join(at("checkpoint"), "checkpoint", "left").join(open_tasks.join(at("task"), "task", "left"), "campaign")
+    waits = _kept(waits.filter("checkpoint <> task AND (__checkpoint <> __task OR __checkpoint IS NULL OR __task IS NULL)").select("checkpoint", "task", "__checkpoint", "__task"))
+    own = waits.select(F.col("__checkpoint").alias("piece")).filter("piece IS NOT NULL").distinct()
+    related = _ahead(own, steps).union(_ahead(own, steps.select(F.col("to").alias("node"), F.col("node").alias("to"))))
+    return waits.join(related.select(F.col("piece").alias("__checkpoint"), F.col("far").alias("__task")).distinct(), ["__checkpoint", "__task"], "left_anti").select("checkpoint", "task")
 
 
 def ready(tasks: DataFrame, needs: DataFrame) -> DataFrame:
