@@ -50,3 +50,15 @@ def test_patterns_of_a_table_match_as_columns_do(spark):
     got = [tuple(r) for r in paths.forbidden_by(df, spark.createDataFrame([(g,) for g in globs + many], "glob string")).collect()]
     assert set(got) == want and len(got) == len(want) > 300
     assert paths.forbidden_by(df.limit(0), spark.createDataFrame([("a",)], "glob string")).count() == 0
+
+
+def test_wildcards_meet_only_parts_that_begin_as_they_do(spark, monkeypatch):
+    """Against the patterns one by one; no part of a path is held against all wildcards of its folder."""
+    written, kept = [], paths.kept
+    monkeypatch.setattr(paths, "kept", lambda df: written.append(df) or kept(df))
+    globs = [f"d/{x}" for x in ("a*", "A?c", "*", "?b", "[ab]c", "a[", "a[*", "ab.c*", "ab\\*", "abc*x", "x*")] + [f"d/{i}*" for i in range(300)]
+    df = spark.createDataFrame([(f"d/{x}",) for x in ("a", "abc", "ABC", "a[", "a[z", "ab.cd", "abxcd", "ab\\z", "abczx", "", "12", "123", "299z")], "path string")
+    want = {tuple(r) for r in paths.forbidden(df, globs).select("path", "glob").collect()}
+    got = [tuple(r) for r in paths.forbidden_by(df, spark.createDataFrame([(g,) for g in globs], "glob string")).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+    assert any("start" in line for df in written for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)

@@ -60,7 +60,8 @@ def forbidden_by(paths: DataFrame, patterns: DataFrame) -> DataFrame:
 
     A node of the trie is the beginning of some patterns, up to a component. In
     each round every path takes its next component from where it stands: to the
-    child of that name, by an equi join, to children whose wildcards fit, and,
+    child of that name, by an equi join, to children whose wildcards fit, of which
+    it meets those whose letters before the first wildcard it begins with, and,
     standing behind a **, it may also stay. Before a ** it stands behind it as
     well. So a path only meets the edges of its nodes, not all patterns. As many
     rounds as the longest path has components. A ** at the end takes one
@@ -78,14 +79,16 @@ def forbidden_by(paths: DataFrame, patterns: DataFrame) -> DataFrame:
     ends = kept(rows.select(F.array_join("parts", "/").alias("node"), "glob"))
     spans, wild = edges.filter("part = '**'").select("node", "child"), F.col("part").rlike(r"[*?\[]")
     names = edges.filter((F.col("part") != "**") & ~wild)
-    globs = kept(edges.filter((F.col("part") != "**") & wild).select("node", "child", _fits("part").alias("pattern")))
+    globs = kept(edges.filter((F.col("part") != "**") & wild).select("node", "child", F.regexp_extract("part", r"^[^*?\[]*", 0).alias("start"), _fits("part").alias("pattern")))
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.length("part")), lambda n: F.substring("part", F.lit(1), n)))
     before_span = lambda at: at.union(at.join(spans, "node").select("path", "parts", F.col("child").alias("node")))
     at = before_span(paths.select("path", F.split(F.lower("path"), "/").alias("parts"), F.lit("").alias("node")).distinct())
     found = []
     for i in range(paths.agg(F.max(F.size(F.split("path", "/")))).first()[0] or 0):
         here = at.filter(F.size("parts") > i).withColumn("part", F.get("parts", F.lit(i)))
         named = here.join(names, ["node", "part"]).select("path", "parts", F.col("child").alias("node"))
-        fitting = here.join(globs, "node").filter(F.expr("part RLIKE pattern")).select("path", "parts", F.col("child").alias("node"))
+        open_ = here.join(globs.select("node").distinct(), "node", "left_semi")
+        fitting = open_.withColumn("start", starts).join(globs, ["node", "start"]).filter(F.expr("part RLIKE pattern")).select("path", "parts", F.col("child").alias("node"))
         stays = here.filter((F.col("node") == "**") | F.col("node").endswith("/**")).select("path", "parts", "node")
         moved = kept(named.union(fitting).union(stays).distinct())
         found.append(moved.filter(F.size("parts") == i + 1).join(ends, "node").select("path", "glob"))
