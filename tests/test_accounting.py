@@ -96,3 +96,16 @@ def test_roll_up_against_the_roster(spark):
     huge = spark.createDataFrame([(1, "x", 2_000_000_000), (1, "y", 3)], "run long, task string, ceiling int")
     first = accounting.missing(huge, spark.createDataFrame([("x", 2)], "task string, attempt int")).collect()[0].missing
     assert first[:3] == ["x#1", "x#3", "x#4"] and len(first) == 64
+
+
+def test_account_of_scrapes_that_name_no_other(spark):
+    """Without the columns that name a predecessor the figures are those of scrapes that name none, and nothing is shuffled."""
+    rows = [said("a", 1, (10, 4, 0, 3, 1)), said("a", 2, (10, None, 0, 3, 1), mode="resume"), said("b", 1, (1, 2, 3, 4, 5), unreadable=["outputTokens"]), said("c", 1, state="not-reported")]
+    df = frame(spark, rows)
+    bare = accounting.account(df.drop("pred_task", "pred_attempt", "pred_lease"))
+    want = {(r.task, r.seq): r.accounting for r in accounting.account(df).collect()}
+    assert {(r.task, r.seq): r.accounting for r in bare.collect()} == want and len(want) == 4
+    assert "Exchange" not in bare._jdf.queryExecution().executedPlan().toString()
+    roster = spark.createDataFrame([("r", "a", 2), ("r", "b", None), ("r", "c", 3)], "run string, task string, ceiling int")
+    verified = spark.createDataFrame([(1, True)], "ledger_id long, verified boolean")
+    assert accounting.roll_up(roster, bare, verified).collect() == accounting.roll_up(roster, accounting.account(df), verified).collect()

@@ -16,6 +16,8 @@ COMPONENTS = ["cacheReadTokens", "cacheWriteTokens", "inputTokens", "inputTokens
 #: What account() gives, in the same order as it is observed.
 ACCOUNTED = ["input_tokens", "input_as_reported", "cache_read_tokens", "cache_write_tokens", "output_tokens", "reasoning_tokens", "stated_total", "cost_usd"]
 IDENTITY = ["task", "attempt", "lease_epoch"]
+#: What the sums of a run read of an attempt's record.
+SUMMED = ["record", "declared", "unreadable", "state", "currency", "accounting", *ACCOUNTED]
 #: Where sums stop.
 MOST = "18446744073709551615"
 
@@ -29,10 +31,13 @@ def with_predecessors(scrapes: DataFrame) -> DataFrame:
 
     Scrapes and those that ask for them meet in one window by identity, so an
     attempt that was scraped or named very often costs no more than its rows.
+    Without a column pred_task nobody names any, and nothing is dealt out.
     """
     kept = [c for c in scrapes.columns]
     row = F.struct(*kept)
     none = F.lit(None).cast(scrapes.select(row.alias("x")).schema["x"].dataType)
+    if "pred_task" not in kept:
+        return scrapes.withColumn("before", none)
     key = lambda *columns: F.struct(F.col("ledger_id"), *[F.col(c).alias(n) for c, n in zip(columns, IDENTITY, strict=True)]).alias("key")
     told = scrapes.select(key(*IDENTITY), "seq", F.lit(1).alias("kind"), row.alias("told"), none.alias("asks"))
     asks = scrapes.select(key("pred_task", "pred_attempt", "pred_lease"), "seq", F.lit(0).alias("kind"), none.alias("told"), row.alias("asks"))
@@ -46,8 +51,8 @@ def account(scrapes: DataFrame) -> DataFrame:
 
     scrapes: ledger_id, seq, task, attempt, lease_epoch, adapter, session, scope
     (attempt, session-cumulative), mode (fresh, resume), pred_task, pred_attempt,
-    pred_lease, evidence (accounted, legacy or null), declared, state, unreadable
-    and the columns ACCOUNTED. Only a resumed session of cumulative counters is
+    pred_lease (may be missing if no scrape names another), evidence (accounted,
+    legacy or null), declared, state, unreadable and the columns ACCOUNTED. Only a resumed session of cumulative counters is
     told apart from its predecessor; a drop, an unread value or a missing
     baseline makes a field unavailable, with the first field's reason. An input
     that includes cache reads keeps its own delta unless these exceed it.
@@ -171,7 +176,7 @@ def roll_up(roster: DataFrame, scrapes: DataFrame, verified: DataFrame) -> DataF
         F.count("*").alias("tasks"), n("ceiling").alias("expected"), F.count_if(F.col("ceiling").isNull()).alias("unknown_ceilings"), n("observed").alias("observed"), n("attested").alias("attested"), n("unexpected").alias("unexpected"),
         n("twice").alias("duplicate_leases"), F.sum(F.when(F.col("ceiling").isNotNull(), F.col("ceiling") - F.coalesce("attested", F.lit(0)))).alias("missing_attempts"), F.count_if(F.coalesce("attested", F.lit(0)) == 0).alias("tasks_without_attestation"), F.coalesce(F.max("unverified"), F.lit(False)).alias("unverified"),
     )
-    rest = [c for c in good.columns if c not in ("task", "attempt")]
+    rest = [c for c in good.columns if c in SUMMED]  # what isn't read behind needn't travel
     picked = good.join(one, "task").filter(expected).groupBy("task", "attempt").agg(F.max_by(F.struct(*rest), F.struct("seq", "ledger_id")).alias("x")).select("task", "attempt", "x.*")
     attempts = picked.join(tasks.select("run", "task"), "task")
     return cover.join(_sums(attempts), "run", "left").withColumn("caveats", _caveats()).withColumn("complete", F.size("caveats") == 0)

@@ -110,7 +110,7 @@ SELECT run, tasks, expected, unknown_ceilings, observed, attested, unexpected, d
 FROM c LEFT JOIN s USING (run)""")
 def usage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the roster; a quarter of the ledgers isn't verified."""
-    scrapes = _scrapes(spark, sf_dir).withColumns({"mode": F.lit("fresh"), "pred_task": F.lit(None).cast("long")})
+    scrapes = _scrapes(spark, sf_dir).withColumn("mode", F.lit("fresh")).drop("pred_task", "pred_attempt", "pred_lease", "pred_seq")
     scrapes = accounting.account(scrapes).withColumn("record", F.col("evidence"))
     roster = bridge.task_rows(spark, sf_dir).select("run", "task", F.when(F.col("task") % 9 != 0, F.col("task") % 8).cast("int").alias("ceiling"))
     verified = bridge.witness(spark, sf_dir).select("ledger_id", (F.col("ledger_id") % 4 != 3).alias("verified")).distinct()
