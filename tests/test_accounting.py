@@ -109,3 +109,18 @@ def test_account_of_scrapes_that_name_no_other(spark):
     roster = spark.createDataFrame([("r", "a", 2), ("r", "b", None), ("r", "c", 3)], "run string, task string, ceiling int")
     verified = spark.createDataFrame([(1, True)], "ledger_id long, verified boolean")
     assert accounting.roll_up(roster, bare, verified).collect() == accounting.roll_up(roster, accounting.account(df), verified).collect()
+
+
+def test_bindings_hold_records_against_each_other_once(spark, monkeypatch):
+    """What is returned reads what was kept, not the records again, and only records that hold by themselves are followed."""
+    kept, follow = accounting.shared.kept, accounting.graphs.follow
+    held, followed = [], []
+    monkeypatch.setattr(accounting.shared, "kept", lambda df: held.append(kept(df)) or held[-1])
+    monkeypatch.setattr(accounting.graphs, "follow", lambda df: followed.append(df) or follow(df))
+    derivations = {1: "fresh-zero", 2: "delta", 3: "baseline-missing", 4: "delta", 5: None, 6: "delta", 7: "attempt"}
+    rows = [(1, n, f"h{n}", "t", 1, 1, "x", None if n == 6 else "s", "session-cumulative", ["outputTokens"], d, n != 7, n - 1 if d == "delta" else None, f"h{n - 1}", "t", 1, 1) for n, d in derivations.items()]
+    schema = "ledger_id long, seq long, hash string, task string, attempt int, lease_epoch long, adapter string, session string, scope string, declared array<string>, derivation string, contributes boolean, pred_seq long, pred_hash string, pred_task string, pred_attempt int, pred_lease long"
+    out = accounting.bindings(spark.createDataFrame(rows, schema))
+    assert {r.seq: (r.bound, r.counted) for r in out.collect()} == {1: (None, True), 2: (True, True), 3: (None, False), 4: (False, False), 5: (None, False), 6: (False, False), 7: (None, False)}
+    assert len(held) == 1 and "pred_hash" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.node.seq for r in followed[0].collect()) == [1, 2]

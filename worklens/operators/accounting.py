@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worklens.operators import graphs
+from worklens.sources import shared
 
 #: Logical fields in order, with the column that holds what was observed of them.
 FIELDS = {
@@ -101,21 +102,33 @@ def bindings(records: DataFrame) -> DataFrame:
     task, attempt, lease, the same adapter, session, scope and declarations, and
     a contribution of its own. It counts if it is bound, and so is the one it
     names, down to one that started from zero: pointers double, so a chain takes
-    as many rounds as its length has binary digits.
+    as many rounds as its length has binary digits. Records are read once: each
+    tells at its own number, and asks at the one it names, in one window by ledger
+    and number. What comes of it is kept, and only what holds by itself goes on.
     """
-    held = ["seq", "hash", *IDENTITY, "adapter", "session", "scope", "declared", "derivation", "contributes"]
-    there = records.select(F.col("ledger_id"), F.col("seq").alias("pred_seq"), F.struct(*held).alias("p")).filter("pred_seq IS NOT NULL")
-    rows = records.join(there, ["ledger_id", "pred_seq"], "left")
-    same = lambda c: F.col(f"p.{c}").eqNullSafe(F.col(c))
-    named = lambda c, n: F.col(f"p.{c}") == F.col(n)
-    holds = (F.col("pred_seq") < F.col("seq")) & named("hash", "pred_hash") & named("task", "pred_task") & named("attempt", "pred_attempt") & named("lease_epoch", "pred_lease") & F.col("session").isNotNull() & (F.col("session") != "")
-    holds = holds & same("adapter") & same("session") & same("scope") & same("declared") & F.col("p.derivation").isin("fresh-zero", "delta") & F.col("p.contributes")
     is_delta = F.col("derivation") == "delta"
-    bound = F.when(is_delta, F.coalesce(holds, F.lit(False)))
+    asks = F.coalesce(is_delta & (F.col("pred_seq") < F.col("seq")) & (F.col("session") != ""), F.lit(False))  # no other can be bound
+    tells = F.coalesce(F.col("derivation").isin("fresh-zero", "delta") & F.col("contributes"), F.lit(False))
     starts = F.col("derivation").isin("fresh-zero", "attempt") & F.col("pred_seq").isNull() & F.coalesce("contributes", F.lit(False))
-    rows = rows.select("ledger_id", "seq", bound.alias("bound"), F.struct("ledger_id", "seq").alias("node"), F.when(is_delta & bound, F.struct("ledger_id", F.col("pred_seq").alias("seq"))).alias("to"), F.coalesce(F.when(is_delta, bound).otherwise(starts), F.lit(False)).alias("good"))
-    counted = graphs.follow(rows.select("node", "to", "good")).select("node.ledger_id", "node.seq", F.col("good").alias("counted"))
-    return rows.select("ledger_id", "seq", "bound").join(counted, ["ledger_id", "seq"])
+    says = ["hash", *IDENTITY, "adapter", "session", "scope", "declared"]
+    own = F.struct(*says).alias("own")
+    named = F.struct(*[F.col(c).alias(n) for c, n in zip(["pred_hash", "pred_task", "pred_attempt", "pred_lease"], says)], *says[4:]).alias("own")
+    seen = F.struct(F.col("seq").alias("at"), F.when(tells, own).alias("told"), F.lit(None).cast("long").alias("asker"), F.lit(None).cast(records.select(named).schema["own"].dataType).alias("asked"))
+    wanted = F.struct(F.col("pred_seq").alias("at"), F.lit(None).cast(records.select(own).schema["own"].dataType).alias("told"), F.col("seq").alias("asker"), named.alias("asked"))
+    rows = records.select("ledger_id", "seq", is_delta.alias("is_delta"), starts.alias("starts"), asks.alias("asks"), F.explode(F.array_compact(F.array(seen, F.when(asks, wanted)))).alias("x"))
+    place = Window.partitionBy("ledger_id", "x.at").orderBy(F.col("x.asker").asc_nulls_first())
+    p = F.last("x.told", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("ledger_id", "seq", "is_delta", "starts", "asks", "x", p.alias("p")).filter("x.asker IS NOT NULL OR NOT asks")
+    equal = [(F.col(f"p.{c}") == F.col(f"x.asked.{c}")) if c in says[:4] else F.col(f"p.{c}").eqNullSafe(F.col(f"x.asked.{c}")) for c in says]
+    holds = F.col("p").isNotNull()
+    for same in equal:
+        holds = holds & same
+    bound = F.when(F.col("is_delta"), F.col("asks") & F.coalesce(holds, F.lit(False)))
+    rows = rows.select("ledger_id", "seq", bound.alias("bound"), F.when(F.col("is_delta") & bound, F.col("x.at")).alias("to"), F.coalesce(F.when(F.col("is_delta"), bound).otherwise(F.col("starts")), F.lit(False)).alias("good"))
+    rows = shared.kept(rows)
+    pointers = rows.filter("good").select(F.struct("ledger_id", "seq").alias("node"), F.when(F.col("to").isNotNull(), F.struct("ledger_id", F.col("to").alias("seq"))).alias("to"), "good")
+    counted = graphs.follow(pointers).filter("good").select("node.ledger_id", "node.seq", F.lit(True).alias("counted"))
+    return rows.select("ledger_id", "seq", "bound").join(counted, ["ledger_id", "seq"], "left").withColumn("counted", F.coalesce("counted", F.lit(False)))
 
 
 #: What may be incomplete about a run's usage, in order.
